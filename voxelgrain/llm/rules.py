@@ -28,7 +28,10 @@ SMALLEST_GROUP = 40
 CUTOFF = 60.0
 #: Median of the chi-square distribution with four degrees of freedom.
 CHI2_4_MEDIAN = 3.3567
-FLOORS = (0.05, 0.02, 0.02, 0.02)
+FLOORS = (0.5, 0.05, 0.05, 0.1)
+#: Words of ordinary prose that every ratio is blended with, so that a few words
+#: alone don't make an outlier.
+PRIOR_WORDS, PRIOR_CHARS = 20, 100
 STATS = ("s0", "s1", "s2", "s3")
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -78,12 +81,12 @@ def base_failed() -> Column:
 
 def statistics() -> list[Column]:
     """The transformed vector: length, word length, symbols, repetition."""
-    n = F.greatest(F.col("n_words"), F.lit(1))
+    n = F.col("n_words") + PRIOR_WORDS
     return [
         F.log1p(F.col("n_words")).alias("s0"),
-        F.log((F.col("word_chars") + 1) / n).alias("s1"),
+        F.log((F.col("word_chars") + PRIOR_CHARS) / n).alias("s1"),
         F.sqrt(F.col("n_symbols") / n).alias("s2"),
-        F.sqrt((F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)) + F.col("n_repeat_words") / n) / 2).alias("s3"),
+        F.sqrt((F.col("n_dup_lines") / (F.col("n_lines") + 1) + F.col("n_repeat_words") / n) / 2).alias("s3"),
     ]
 
 
