@@ -25,7 +25,7 @@ STEPS = 3
 SMALLEST_GROUP = 40
 #: Squared distance over which a document is an outlier, in units in which the
 #: centre half of a group has the median that normal data would have.
-CUTOFF = 60.0
+CUTOFF = 120.0
 #: Median of the chi-square distribution with four degrees of freedom.
 CHI2_4_MEDIAN = 3.3567
 FLOORS = (0.5, 0.05, 0.05, 0.1)
