@@ -201,14 +201,14 @@ def _run(documents: DataFrame, path: str, keep: list[str], text: str, fields: li
 
 
 def encode(documents: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns and ids (array<bigint>), n_tokens of every whole text.
+    """``keep`` columns and ids (array<int>), n_tokens of every whole text.
 
     The tokenizer file must lie at ``path`` on every executor. Null and empty
     texts have no tokens; repeated rows are encoded alike; an empty table gives
     none; columns not in ``keep`` are not read.
     """
-    row = lambda coder, ids: (np.frombuffer(ids, "<u4").astype(np.int64), len(ids) // 4)
-    return _run(documents, path, keep, text, [("ids", "array<bigint>", pa.list_(pa.int64())), ("n_tokens", "bigint", pa.int64())], row)
+    row = lambda coder, ids: (np.frombuffer(ids, "<i4"), len(ids) // 4)
+    return _run(documents, path, keep, text, [("ids", "array<int>", pa.list_(pa.int32())), ("n_tokens", "bigint", pa.int64())], row)
 
 
 def decode(encoded: DataFrame, path: str, keep: list[str], ids: str = "ids") -> DataFrame:
