@@ -1,15 +1,201 @@
-"""All queries of the library's own operators, with their SQL oracles."""
+"""All queries of the library's own operators, with their SQL oracles.
+
+Every entry applies an operator to whole tables; the SQL beside it is for DuckDB
+and computes the same rows in another way.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from voxelgrain.operators import components as C
+from voxelgrain.operators import distance as D
+from voxelgrain.operators import relational as R
+from voxelgrain.operators import volume as V
+from voxelgrain.views import MEASURES_SQL, SHAPE, STRUCTURE_SQL, TRUTH_SQL, VOXELS_SQL, measurements, structure, table, truth, vesicles, voxels
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+VOX, GT, MEAS = f"WITH {VOXELS_SQL}", f"WITH {VOXELS_SQL}, {TRUTH_SQL}", f"WITH {MEASURES_SQL}"
+BOTH = f"WITH {VOXELS_SQL}, {STRUCTURE_SQL}"
+OFFSETS_SQL = "off(dz, dy, dx) AS (VALUES (-1,0,0),(1,0,0),(0,-1,0),(0,1,0),(0,0,-1),(0,0,1))"
+POOLS = [("MP-V", F.col("ribbon_distance") < 100), ("RA-V", F.col("ribbon_distance") < 80), ("Docked-V", (F.col("pd_distance") < 100) & (F.col("boundary_distance") < 2))]
+POOL_NAMES = ["RA-V", "MP-V", "Docked-V", "unassigned"]
+POOL_SQL = "CASE WHEN pd_distance < 100 AND boundary_distance < 2 THEN 'Docked-V' WHEN ribbon_distance < 80 THEN 'RA-V' WHEN ribbon_distance < 100 THEN 'MP-V' ELSE 'unassigned' END"
+POOLED = f"{MEAS}, pooled AS (SELECT *, {POOL_SQL} AS pool FROM meas)"
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def r6(c, name: str):
+    return F.round(c, 6).alias(name)
+
+
+def pooled(s: SparkSession, d: str) -> DataFrame:
+    return R.assign_pools(measurements(s, d), POOLS)
+
+
+# -- objects, masks --------------------------------------------------------
+
+query("label_sizes", f"{VOX} SELECT tomo, label, count(*) AS size FROM vox GROUP BY ALL")(lambda s, d: V.label_sizes(voxels(s, d)))
+
+query("region_properties", f"""{VOX} SELECT tomo, label, count(*) AS area, min(z) AS min_z, max(z)+1 AS max_z, min(y) AS min_y, max(y)+1 AS max_y, min(x) AS min_x, max(x)+1 AS max_x,
+ round(avg(z),6) AS c_z, round(avg(y),6) AS c_y, round(avg(x),6) AS c_x FROM vox GROUP BY ALL""")(
+    lambda s, d: V.objects(voxels(s, d)).select("tomo", "label", "area", *[f"{m}_{c}" for c in "zyx" for m in ("min", "max")], *[r6(f"c_{c}", f"c_{c}") for c in "zyx"])
+)
+
+
+@query("intensity_statistics", f"""{VOX}, img AS (SELECT tomo, z, y, x, CAST((z*31 + y*17 + x*7) % 101 AS DOUBLE) AS value FROM vox)
+ SELECT tomo, label, max(value) AS intensity_max, round(avg(value),6) AS intensity_mean, min(value) AS intensity_min, round(stddev_pop(value),6) AS intensity_std FROM vox JOIN img USING (tomo,z,y,x) GROUP BY ALL""")
+def _intensity(s, d):
+    v = voxels(s, d)
+    image = v.select(*V.POS, ((F.col("z") * 31 + F.col("y") * 17 + F.col("x") * 7) % 101).cast("double").alias("value"))
+    return V.intensity(v, image).select("tomo", "label", "intensity_max", r6("intensity_mean", "intensity_mean"), "intensity_min", r6("intensity_std", "intensity_std"))
+
+
+query("size_filter", f"{VOX} SELECT * FROM vox SEMI JOIN (SELECT tomo, label FROM vox GROUP BY ALL HAVING count(*) >= 20) USING (tomo, label)")(lambda s, d: V.size_filter(voxels(s, d), 20))
+query("size_filter_strict", f"{VOX} SELECT * FROM vox SEMI JOIN (SELECT tomo, label FROM vox GROUP BY ALL HAVING count(*) > 20) USING (tomo, label)")(lambda s, d: V.size_filter(voxels(s, d), 20, strict=True))
+query("z_extent_filter", f"{VOX} SELECT * FROM vox SEMI JOIN (SELECT tomo, label FROM vox GROUP BY ALL HAVING max(z)-min(z)+1 >= 7) USING (tomo, label)")(lambda s, d: V.z_extent_filter(voxels(s, d), 7))
+query("border_filter", f"{VOX} SELECT * FROM vox ANTI JOIN (SELECT tomo, label FROM vox GROUP BY ALL HAVING min(y) <= 0 OR min(x) <= 0 OR max(y)+1 >= 64 OR max(x)+1 >= 64) USING (tomo, label)")(lambda s, d: V.border_filter(voxels(s, d), SHAPE, planar=True))
+query("whole_in_z", f"""{VOX}, per AS (SELECT tomo, label, z, count(*) AS m FROM vox GROUP BY ALL), mid AS (SELECT tomo, label, arg_max(z, m*100 - z) AS mid, min(z) lo, max(z) hi FROM per GROUP BY ALL)
+ SELECT * FROM vox SEMI JOIN (SELECT * FROM mid WHERE mid-lo >= 2 AND hi-mid >= 2) USING (tomo, label)""")(lambda s, d: V.whole_in_z(voxels(s, d), 2))
+query("relabel_sequential", f"{VOX} SELECT tomo, z, y, x, dense_rank() OVER (PARTITION BY tomo ORDER BY label) AS label FROM vox")(lambda s, d: V.relabel_sequential(voxels(s, d)))
+query("first_voxel", f"{VOX} SELECT tomo, label, z, y, x FROM vox QUALIFY row_number() OVER (PARTITION BY tomo, label ORDER BY z, y, x) = 1")(lambda s, d: V.first_voxel(voxels(s, d)))
+query("in_mask", f"{GT} SELECT vox.* FROM vox SEMI JOIN gt USING (tomo, z, y, x)")(lambda s, d: V.in_mask(voxels(s, d), truth(s, d)))
+query("outside_mask", f"{GT} SELECT vox.* FROM vox ANTI JOIN gt USING (tomo, z, y, x)")(lambda s, d: V.in_mask(voxels(s, d), truth(s, d), inside=False))
+query("overlapping_objects", f"{GT} SELECT * FROM vox SEMI JOIN (SELECT DISTINCT vox.tomo, vox.label FROM vox JOIN (SELECT * FROM gt WHERE label % 5 = 0) g USING (tomo, z, y, x)) USING (tomo, label)")(lambda s, d: V.overlapping(voxels(s, d), truth(s, d).where("label % 5 = 0")))
+query("crop", f"{VOX} SELECT tomo, z-2 AS z, y-8 AS y, x-8 AS x, label FROM vox WHERE z >= 2 AND z < 6 AND y >= 8 AND y < 40 AND x >= 8 AND x < 40")(lambda s, d: V.crop(voxels(s, d), (2, 8, 8), (6, 40, 40), shift=True))
+query("crop_to_joint_box", f"""{GT}, a AS (SELECT * FROM vox WHERE label BETWEEN 20 AND 24), b AS (SELECT * FROM gt WHERE label BETWEEN 30 AND 33), u AS (SELECT tomo,z,y,x FROM a UNION ALL SELECT tomo,z,y,x FROM b),
+ box AS (SELECT tomo, min(z) z0, max(z) z1, min(y) y0, max(y) y1, min(x) x0, max(x) x1 FROM u GROUP BY tomo)
+ SELECT vox.* FROM vox JOIN box USING (tomo) WHERE z BETWEEN z0 AND z1 AND y BETWEEN y0-2 AND y1+2 AND x BETWEEN x0-2 AND x1+2""")(
+    lambda s, d: V.crop_to_joint_box(voxels(s, d), voxels(s, d).where("label between 20 and 24"), truth(s, d).where("label between 30 and 33"), halo=(0, 2, 2))
+)
+
+query("slab", f"{VOX} SELECT * FROM vox WHERE z BETWEEN 2 AND 5")(lambda s, d: V.slab(voxels(s, d), 2, 8))
+query("downsample", f"{VOX} SELECT tomo, CAST(z//2 AS INTEGER) AS z, CAST(y//2 AS INTEGER) AS y, CAST(x//2 AS INTEGER) AS x, label FROM vox WHERE z%2=0 AND y%2=0 AND x%2=0")(lambda s, d: V.downsample(voxels(s, d), 2))
+query("resize_labels", f"""{VOX}, zs AS (SELECT i, CAST(floor(i*8/4.0) AS INTEGER) o FROM range(4) t(i)), ys AS (SELECT i, CAST(floor(i*64/96.0) AS INTEGER) o FROM range(96) t(i))
+ SELECT tomo, CAST(zs.i AS INTEGER) AS z, CAST(a.i AS INTEGER) AS y, CAST(b.i AS INTEGER) AS x, label FROM vox JOIN zs ON zs.o = vox.z JOIN ys a ON a.o = vox.y JOIN ys b ON b.o = vox.x""")(lambda s, d: V.resize_labels(voxels(s, d), (0.5, 1.5, 1.5), SHAPE))
+query("overlay", f"{GT} SELECT tomo, z, y, x, coalesce(gt.label, vox.label) AS label FROM vox FULL JOIN gt USING (tomo, z, y, x)")(lambda s, d: V.overlay(voxels(s, d), truth(s, d)))
+query("append_objects", f"{GT}, top AS (SELECT tomo, max(label) m FROM vox GROUP BY tomo), g AS (SELECT tomo, z, y, x, label + m AS label FROM gt JOIN top USING (tomo)) SELECT tomo, z, y, x, coalesce(g.label, vox.label) AS label FROM vox FULL JOIN g USING (tomo, z, y, x)")(lambda s, d: V.append(voxels(s, d), truth(s, d)))
+query("stack_slices", f"{VOX} SELECT tomo, z, y, x, dense_rank() OVER (PARTITION BY tomo ORDER BY z, label) AS label FROM vox")(lambda s, d: V.stack_slices(voxels(s, d)))
+
+
+@query("paint_spheres", """WITH sph AS (SELECT 'tomo' || CAST(p_partkey % 3 AS VARCHAR) AS tomo, p_partkey AS id, CAST(p_partkey % 8 AS INTEGER) z, CAST(p_partkey * 7 % 64 AS INTEGER) y, CAST(p_partkey * 13 % 64 AS INTEGER) x, p_size % 4 + 1 AS r FROM part),
+ o AS (SELECT a.i dz, b.i dy, c.i dx FROM range(-4,5) a(i), range(-4,5) b(i), range(-4,5) c(i))
+ SELECT tomo, CAST(z+dz AS INTEGER) AS z, CAST(y+dy AS INTEGER) AS y, CAST(x+dx AS INTEGER) AS x, max(id) AS label FROM sph JOIN o ON dz*dz+dy*dy+dx*dx <= r*r
+ WHERE z+dz BETWEEN 0 AND 7 AND y+dy BETWEEN 0 AND 63 AND x+dx BETWEEN 0 AND 63 GROUP BY tomo, z+dz, y+dy, x+dx""")
+def _paint(s, d):
+    k = F.col("p_partkey")
+    sph = table(s, d, "part").select(F.concat(F.lit("tomo"), (k % 3).cast("string")).alias("tomo"), k.alias("id"), (k % 8).cast("int").alias("z"), (k * 7 % 64).cast("int").alias("y"), (k * 13 % 64).cast("int").alias("x"), (F.col("p_size") % 4 + 1).alias("radius"))
+    return V.paint_spheres(sph, SHAPE)
+
+
+# -- morphology ------------------------------------------------------------
+
+NEAR = f"{VOX}, {OFFSETS_SQL}, near AS (SELECT tomo, z+dz AS z, y+dy AS y, x+dx AS x, label FROM vox, off)"
+query("dilate", f"{NEAR}, g AS (SELECT tomo,z,y,x,max(label) AS label FROM near ANTI JOIN vox USING (tomo,z,y,x) GROUP BY ALL) SELECT * FROM vox UNION ALL SELECT * FROM g")(lambda s, d: V.dilate(voxels(s, d)))
+query("erode", f"{NEAR}, c AS (SELECT tomo,z,y,x,label,count(*) n FROM near GROUP BY ALL) SELECT vox.* FROM vox JOIN c USING (tomo,z,y,x,label) WHERE n = 6")(lambda s, d: V.erode(voxels(s, d)))
+query("boundary_inner", f"{NEAR}, c AS (SELECT tomo,z,y,x,label,count(*) n FROM near GROUP BY ALL) SELECT vox.* FROM vox LEFT JOIN c USING (tomo,z,y,x,label) WHERE coalesce(n,0) < 6")(lambda s, d: V.boundary(voxels(s, d)))
+query("boundary_outer", f"{NEAR} SELECT tomo,z,y,x,max(label) AS label FROM near ANTI JOIN vox USING (tomo,z,y,x) GROUP BY ALL")(lambda s, d: V.boundary(voxels(s, d), "outer"))
+query("separate_instances", f"{NEAR} SELECT tomo,z,y,x FROM vox WHERE NOT EXISTS (SELECT 1 FROM near WHERE near.tomo=vox.tomo AND near.z=vox.z AND near.y=vox.y AND near.x=vox.x AND near.label<>vox.label)")(lambda s, d: V.separate_instances(voxels(s, d)))
+query("surface_area", f"{NEAR} SELECT n.tomo, n.label, CAST(count(*) AS DOUBLE) AS area FROM near n ANTI JOIN vox USING (tomo,z,y,x,label) GROUP BY ALL")(lambda s, d: V.surface_area(voxels(s, d)))
+query("z_max_filter", f"{VOX} SELECT tomo, CAST(z+i AS INTEGER) AS z, y, x, max(label) AS label FROM vox, range(-2,2) t(i) GROUP BY ALL")(lambda s, d: V.z_max_filter(voxels(s, d), 4))
+query("contacts", f"{BOTH}, {OFFSETS_SQL} SELECT ves.* FROM ves SEMI JOIN (SELECT tomo, z+dz z, y+dy y, x+dx x FROM structure, off) USING (tomo,z,y,x)")(lambda s, d: V.contacts(vesicles(s, d), structure(s, d)))
+
+# -- comparison ------------------------------------------------------------
+
+SCORES = f"""{GT}, o AS (SELECT vox.tomo, vox.label AS la, gt.label AS lb, count(*) n FROM vox JOIN gt USING (tomo,z,y,x) GROUP BY ALL), sa AS (SELECT tomo, label la, count(*) a FROM vox GROUP BY ALL), sb AS (SELECT tomo, label lb, count(*) b FROM gt GROUP BY ALL),
+ sc AS (SELECT *, n/(a+b-n) AS iou FROM o JOIN sa USING (tomo, la) JOIN sb USING (tomo, lb))"""
+query("overlap_scores", f"{SCORES} SELECT tomo, la AS label_a, lb AS label_b, n, round(iou,6) AS iou, round(n/a,6) AS iop, round(n/b,6) AS iot FROM sc")(lambda s, d: V.scores(voxels(s, d), truth(s, d)).select("tomo", "label_a", "label_b", "n", r6("iou", "iou"), r6("iop", "iop"), r6("iot", "iot")))
+query("object_matching", f"""{SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY tomo, la ORDER BY iou DESC, lb) ra, row_number() OVER (PARTITION BY tomo, lb ORDER BY iou DESC, la) rb FROM sc WHERE iou >= 0.02),
+ tp AS (SELECT tomo, count(*) tp FROM r WHERE ra=1 AND rb=1 GROUP BY tomo) SELECT tomo, coalesce(tp,0) AS tp, na-coalesce(tp,0) AS fp, nb-coalesce(tp,0) AS fn
+ FROM (SELECT tomo, count(*) na FROM sa GROUP BY tomo) FULL JOIN (SELECT tomo, count(*) nb FROM sb GROUP BY tomo) USING (tomo) LEFT JOIN tp USING (tomo)""")(lambda s, d: V.matching(voxels(s, d), truth(s, d), 0.02))
+query("dice", f"{GT} SELECT tomo, round(2*(SELECT count(*) FROM vox v SEMI JOIN gt USING (tomo,z,y,x) WHERE v.tomo=t.tomo)/((SELECT count(*) FROM vox v WHERE v.tomo=t.tomo)+(SELECT count(*) FROM gt g WHERE g.tomo=t.tomo)),6) AS dice FROM (SELECT DISTINCT tomo FROM vox) t")(lambda s, d: V.dice(voxels(s, d), truth(s, d)).select("tomo", r6("dice", "dice")))
+query("symmetric_best_dice", f"""{SCORES}, dd AS (SELECT *, 2*n/(a+b) AS dc FROM sc), ba AS (SELECT tomo, avg(coalesce(m,0)) v FROM sa LEFT JOIN (SELECT tomo, la, max(dc) m FROM dd GROUP BY ALL) USING (tomo, la) GROUP BY tomo),
+ bb AS (SELECT tomo, avg(coalesce(m,0)) v FROM sb LEFT JOIN (SELECT tomo, lb, max(dc) m FROM dd GROUP BY ALL) USING (tomo, lb) GROUP BY tomo) SELECT tomo, round(least(ba.v, bb.v),6) AS sbd FROM ba JOIN bb USING (tomo)""")(lambda s, d: V.symmetric_best_dice(voxels(s, d), truth(s, d)).select("tomo", r6("sbd", "sbd")))
+query("additional_objects", f"{SCORES}, x AS (SELECT * FROM vox ANTI JOIN (SELECT tomo, la AS label FROM sc WHERE iou > 0.03) USING (tomo, label)) SELECT tomo, z, y, x, dense_rank() OVER (PARTITION BY tomo ORDER BY label) AS label FROM x")(lambda s, d: V.additional_objects(voxels(s, d), truth(s, d), 0.03))
+
+# -- components and distances ----------------------------------------------
+
+COMPONENTS = f"""WITH RECURSIVE {VOXELS_SQL}, {STRUCTURE_SQL}, v AS (SELECT tomo, z, y, x, tomo || '/' || lpad(CAST(z AS VARCHAR),9,'0') || '/' || lpad(CAST(y AS VARCHAR),9,'0') || '/' || lpad(CAST(x AS VARCHAR),9,'0') AS id FROM structure),
+ e AS (SELECT a.id AS a, b.id AS b FROM v a, range(-1,2) i(dz), range(-1,2) j(dy), range(-1,2) k(dx), v b WHERE b.tomo=a.tomo AND b.z=a.z+dz AND b.y=a.y+dy AND b.x=a.x+dx),
+ r(id, m) AS (SELECT id, id FROM v UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.id WHERE r.m < e.b), c AS (SELECT id, min(m) AS m FROM r GROUP BY id)"""
+query("connected_components", f"{COMPONENTS} SELECT tomo, z, y, x, dense_rank() OVER (PARTITION BY tomo ORDER BY m) AS component FROM v JOIN c USING (id)")(lambda s, d: C.components(structure(s, d)))
+query("largest_component", f"{COMPONENTS} SELECT tomo, z, y, x FROM v JOIN c USING (id) JOIN (SELECT m FROM (SELECT tomo, m, count(*) n FROM v JOIN c USING (id) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY tomo ORDER BY n DESC, m) = 1) USING (m)")(lambda s, d: C.largest_component(structure(s, d)))
+query("components_size_filter", f"{COMPONENTS} SELECT tomo, z, y, x, label FROM (SELECT tomo, z, y, x, m, dense_rank() OVER (PARTITION BY tomo ORDER BY m) AS label, count(*) OVER (PARTITION BY m) n FROM v JOIN c USING (id)) WHERE n >= 5")(lambda s, d: C.components_filtered(structure(s, d), 5).select(*V.POS, "label"))
+NEAREST = f"{BOTH}, n AS (SELECT a.tomo, a.label, b.label sl, (a.z-b.z)*(a.z-b.z)+(a.y-b.y)*(a.y-b.y)+(a.x-b.x)*(a.x-b.x) AS d2, a.z az, a.y ay, a.x ax, b.z bz, b.y by_, b.x bx FROM ves a JOIN structure b ON a.tomo = b.tomo), m AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY tomo, label ORDER BY d2, az, ay, ax, bz, by_, bx) = 1)"
+query("nearest_structure", f"{NEAREST} SELECT tomo, label, round(sqrt(d2),6) AS distance, az, ay, ax, bz, by_, bx, sl AS structure_label FROM m")(
+    lambda s, d: D.nearest_structure(vesicles(s, d), structure(s, d)).select("tomo", "label", r6("distance", "distance"), F.col("ep_object.z").alias("az"), F.col("ep_object.y").alias("ay"), F.col("ep_object.x").alias("ax"), F.col("ep_structure.z").alias("bz"), F.col("ep_structure.y").alias("by_"), F.col("ep_structure.x").alias("bx"), "structure_label")
+)
+query("flagship_pools", f"{NEAREST} SELECT tomo, CASE WHEN sqrt(d2) < 2 THEN 'docked' ELSE 'free' END AS pool, count(*) AS n, round(avg(sqrt(d2)),6) AS mean_distance FROM m GROUP BY ALL")(
+    lambda s, d: R.assign_pools(D.nearest_structure(vesicles(s, d), structure(s, d)), [("free", F.lit(True)), ("docked", F.col("distance") < 2)]).groupBy("tomo", "pool").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("distance"), "mean_distance"))
+)
+PAIRS = f"{BOTH}, n AS (SELECT a.tomo, a.label ia, b.label ib, min((a.z-b.z)*(a.z-b.z)+(a.y-b.y)*(a.y-b.y)+(a.x-b.x)*(a.x-b.x)) d2 FROM structure a JOIN structure b ON a.tomo=b.tomo AND a.label<b.label GROUP BY ALL), p AS (SELECT tomo, ia AS id_a, ib AS id_b, sqrt(d2) AS distance FROM n WHERE d2 <= 400)"
+query("pairwise_distances", f"{PAIRS} SELECT tomo, id_a, id_b, round(distance,6) AS distance FROM p")(lambda s, d: D.pairwise(structure(s, d), 20.0).select("tomo", "id_a", "id_b", r6("distance", "distance")))
+query("nearest_neighbours", f"""{PAIRS}, b AS (SELECT tomo, id_a id, id_b o, distance FROM p UNION ALL SELECT tomo, id_b, id_a, distance FROM p)
+ SELECT DISTINCT tomo, least(id,o) AS id_a, greatest(id,o) AS id_b, round(distance,6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY tomo, id ORDER BY distance, o) k FROM b) WHERE k <= 2""")(lambda s, d: D.neighbours(D.pairwise(structure(s, d), 20.0), 2).select("tomo", "id_a", "id_b", r6("distance", "distance")))
+query("top_structures", f"{NEAREST}, c AS (SELECT tomo, sl AS structure_label, count(*) AS objects FROM m WHERE sqrt(d2) <= 10 GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY tomo ORDER BY objects DESC, structure_label) AS rank FROM c QUALIFY rank <= 3")(lambda s, d: D.top_structures(D.nearest_structure(vesicles(s, d), structure(s, d)), 10.0, 3))
+query("top_n_per_structure", f"{NEAREST} SELECT tomo, sl AS structure_label, label, row_number() OVER (PARTITION BY tomo, sl ORDER BY d2, label) AS rank FROM m QUALIFY rank <= 2")(lambda s, d: D.top_n_per_structure(D.nearest_structure(vesicles(s, d), structure(s, d)), 2).select("tomo", "structure_label", "label", "rank"))
+query("direct_pairs")(lambda s, d: D.direct_pairs(D.pairwise(structure(s, d), 20.0), voxels(s, d)).select("tomo", "id_a", "id_b", r6("distance", "distance")))
+
+# -- measurement tables ----------------------------------------------------
+
+query("pool_assignment", f"{POOLED} SELECT tomo, id, pool FROM pooled")(lambda s, d: pooled(s, d).select("tomo", "id", "pool"))
+query("pool_query_filter", f"{MEAS} SELECT * FROM meas WHERE radius > 10 AND ribbon_distance <= 120 AND boundary_distance < 50")(lambda s, d: R.query_filter(measurements(s, d), "radius > 10, ribbon_distance <= 120, no_such_column > 3, boundary_distance < 50", strict=False))
+query("counts_per_group", f"""{POOLED} SELECT tomo, count(*) FILTER (pool='RA-V') AS "RA-V", count(*) FILTER (pool='MP-V') AS "MP-V", count(*) FILTER (pool='Docked-V') AS "Docked-V", count(*) FILTER (pool='unassigned') AS unassigned FROM pooled GROUP BY tomo""")(lambda s, d: R.counts_per_group(pooled(s, d), "tomo", "pool", POOL_NAMES))
+query("category_summary", f"""{POOLED}, c AS (SELECT t.tomo, p.pool, count(m.id) AS n FROM (SELECT DISTINCT tomo FROM pooled) t CROSS JOIN (VALUES ('RA-V'),('MP-V'),('Docked-V'),('unassigned')) p(pool) LEFT JOIN pooled m ON m.tomo=t.tomo AND m.pool=p.pool GROUP BY ALL)
+ SELECT pool, round(avg(n),6) AS mean, round(stddev_samp(n),6) AS std FROM c GROUP BY pool""")(lambda s, d: R.category_summary(pooled(s, d), "tomo", "pool", POOL_NAMES).select("pool", r6("mean", "mean"), r6("std", "std")))
+query("mean_std", f"{POOLED} SELECT pool, round(avg(radius),6) AS radius_mean, round(stddev_samp(radius),6) AS radius_std FROM pooled GROUP BY pool")(lambda s, d: R.mean_std(pooled(s, d), ["pool"], ["radius"]).select("pool", r6("radius_mean", "radius_mean"), r6("radius_std", "radius_std")))
+query("with_total", f"{MEAS} SELECT tomo, round(avg(radius),6) AS mean FROM meas GROUP BY tomo UNION ALL SELECT 'all', round(avg(radius),6) FROM meas")(lambda s, d: R.with_total(measurements(s, d), "tomo", {"mean": F.round(F.avg("radius"), 6)}))
+query("bridge_groups", f"""{MEAS}, b(grp, tomo) AS (VALUES ('a','tomo1'),('a','tomo2'),('b','tomo2'),('b','tomo3')) SELECT grp AS "group", round(avg(radius),6) AS radius_mean, round(stddev_pop(radius),6) AS radius_std FROM meas JOIN b USING (tomo) GROUP BY grp""")(lambda s, d: R.bridge_groups(measurements(s, d), s.createDataFrame([("a", "tomo1"), ("a", "tomo2"), ("b", "tomo2"), ("b", "tomo3")], "group string, tomo string"), "tomo", ["radius"]).select("group", r6("radius_mean", "radius_mean"), r6("radius_std", "radius_std")))
+query("conditional_means", f"""{POOLED} SELECT tomo, count(*) AS n_all, round(avg(radius),6) AS all_radius, count(*) FILTER (pool='RA-V') AS "n_RA-V", round(avg(radius) FILTER (pool='RA-V'),6) AS "RA-V_radius", count(*) FILTER (pool='MP-V') AS "n_MP-V", round(avg(radius) FILTER (pool='MP-V'),6) AS "MP-V_radius" FROM pooled GROUP BY tomo""")(lambda s, d: R.conditional_means(pooled(s, d), "tomo", "pool", ["RA-V", "MP-V"], ["radius"]).select("tomo", "n_all", r6("all_radius", "all_radius"), "n_RA-V", r6("`RA-V_radius`", "RA-V_radius"), "n_MP-V", r6("`MP-V_radius`", "MP-V_radius")))
+query("by_condition", """SELECT o_orderstatus AS condition, o_orderpriority AS used_for, count(DISTINCT o_custkey) AS n_groups, sum(o_orderkey) AS total, grouping(o_orderstatus)*2+grouping(o_orderpriority) AS level FROM orders GROUP BY GROUPING SETS ((o_orderstatus),(o_orderpriority),())""")(
+    lambda s, d: R.by_condition(table(s, d, "orders").select(F.col("o_orderstatus").alias("condition"), F.col("o_orderpriority").alias("used_for"), "o_custkey", "o_orderkey"), "condition", "used_for", "o_custkey", "o_orderkey")
+)
+query("micro_scores", f"""{POOLED}, t AS (SELECT tomo, count(*) FILTER (pool='RA-V') tp, count(*) FILTER (pool='MP-V') fp, count(*) FILTER (pool='Docked-V') fn FROM pooled GROUP BY tomo) SELECT tomo, round(tp/(tp+fp),6) AS precision, round(tp/(tp+fn),6) AS recall, round(2*tp/(2*tp+fp+fn),6) AS f1 FROM t""")(
+    lambda s, d: R.micro_scores(pooled(s, d).select("tomo", *[(F.col("pool") == p).cast("int").alias(c) for p, c in (("RA-V", "tp"), ("MP-V", "fp"), ("Docked-V", "fn"))]), ["tomo"]).select("tomo", r6("precision", "precision"), r6("recall", "recall"), r6("f1", "f1"))
+)
+query("histogram", f"{MEAS} SELECT CAST(least(15, floor((radius-5)/(25/16.0))) AS INTEGER) AS bin, count(*) AS n FROM meas WHERE radius BETWEEN 5 AND 30 GROUP BY ALL")(lambda s, d: R.histogram(measurements(s, d), "radius", 5, 30, 16))
+query("confusion", f"""{POOLED}, x AS (SELECT pool, CASE WHEN ribbon_distance < 90 THEN 'RA-V' ELSE 'unassigned' END AS other FROM pooled) SELECT pool, count(*) FILTER (other='RA-V') AS "RA-V", count(*) FILTER (other='unassigned') AS unassigned FROM x GROUP BY pool""")(lambda s, d: R.confusion(pooled(s, d).withColumn("other", F.when(F.col("ribbon_distance") < 90, "RA-V").otherwise("unassigned")), "pool", "other", ["RA-V", "unassigned"]))
+query("uniqueness", f"{MEAS} SELECT count(DISTINCT radius) AS n_distinct, count(radius) AS n, round(count(DISTINCT radius)/count(radius),9) AS share FROM meas")(lambda s, d: R.uniqueness(measurements(s, d), "radius").select("n_distinct", "n", F.round("share", 9).alias("share")))
+query("accuracy", f"{POOLED} SELECT round(avg(CASE WHEN pool = CASE WHEN ribbon_distance < 90 THEN 'RA-V' ELSE 'unassigned' END THEN 1.0 ELSE 0 END),9) AS accuracy FROM pooled")(lambda s, d: R.accuracy(pooled(s, d).withColumn("other", F.when(F.col("ribbon_distance") < 90, "RA-V").otherwise("unassigned")), "pool", "other").select(F.round("accuracy", 9).alias("accuracy")))
+query("top_n_per_group", f"{MEAS} SELECT *, row_number() OVER (PARTITION BY tomo ORDER BY ribbon_distance, id) AS rank FROM meas QUALIFY rank <= 3")(lambda s, d: R.top_n(measurements(s, d), ["tomo"], 3, "ribbon_distance", "id"))
+query("split_tasks", f"{MEAS} SELECT tomo, id, ntile(7) OVER (PARTITION BY tomo ORDER BY id) - 1 AS task FROM meas")(lambda s, d: R.split_tasks(measurements(s, d), 7, "id", ["tomo"]).select("tomo", "id", "task"))
+query("ordered_split", f"{MEAS}, k AS (SELECT tomo, id, count(*) OVER (PARTITION BY tomo) n, row_number() OVER (PARTITION BY tomo ORDER BY id) k FROM meas) SELECT tomo, id, CASE WHEN k <= floor(n*0.8) THEN 'train' WHEN k <= floor(n*0.8)+floor(n*0.1) THEN 'val' ELSE 'test' END AS split FROM k")(lambda s, d: R.ordered_split(measurements(s, d), "id", ["tomo"]).select("tomo", "id", "split"))
+query("standardise", f"{MEAS} SELECT tomo, id, round((radius - avg(radius) OVER (PARTITION BY tomo))/stddev_pop(radius) OVER (PARTITION BY tomo),6) AS radius_standard FROM meas")(lambda s, d: R.standardise(measurements(s, d), "radius", ["tomo"]).select("tomo", "id", r6("radius_standard", "radius_standard")))
+query("upsert", f"{MEAS}, n AS (SELECT tomo, id, radius+1 AS radius FROM meas WHERE id % 5 = 0) SELECT tomo, id, radius FROM meas WHERE id % 5 <> 0 UNION ALL SELECT * FROM n")(lambda s, d: R.upsert(measurements(s, d).select("tomo", "id", "radius"), measurements(s, d).where("id % 5 = 0").select("tomo", "id", (F.col("radius") + 1).alias("radius")), ["tomo", "id"]))
+query("missing_work", f"{MEAS} SELECT tomo, id FROM meas WHERE NOT (id % 3 = 0)")(lambda s, d: R.missing(measurements(s, d).select("tomo", "id"), measurements(s, d).where("id % 3 = 0"), ["id"]))
+query("key_mismatch", "SELECT c_custkey AS k, 'left' AS only_in FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'right' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")(lambda s, d: R.key_mismatch(table(s, d, "customer").select(F.col("c_custkey").alias("k")), table(s, d, "orders").select(F.col("o_custkey").alias("k")), ["k"]))
+query("merge_update", "SELECT coalesce(o.k, c.k) AS k, coalesce(o.v, c.v) AS v FROM (SELECT c_custkey k, c_acctbal v FROM customer) c FULL JOIN (SELECT o_custkey k, max(o_totalprice) v FROM orders GROUP BY ALL) o ON o.k = c.k")(lambda s, d: R.merge_update(table(s, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v")), table(s, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("v")), ["k"]))
+query("zip_by_order", "WITH c AS (SELECT c_nationkey n, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) p FROM customer), q AS (SELECT s_nationkey n, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) p FROM supplier) SELECT n, p AS position, c_custkey, s_suppkey FROM c JOIN q USING (n, p)")(lambda s, d: R.zip_by_order(table(s, d, "customer").select(F.col("c_nationkey").alias("n"), "c_custkey"), table(s, d, "supplier").select(F.col("s_nationkey").alias("n"), "s_suppkey"), "c_custkey", "s_suppkey", ["n"]))
+query("first_equal_content", "SELECT a.doc_id AS a, min(b.doc_id) AS b FROM documents a JOIN documents b ON a.text = b.text GROUP BY a.doc_id")(lambda s, d: R.first_equal_content(table(s, d, "documents").select(F.col("doc_id").alias("a"), "text"), table(s, d, "documents").select(F.col("doc_id").alias("b"), "text"), "text", "a", "b"))
+query("keyword_hits", "SELECT term, count(*) AS hits, count(DISTINCT p_brand) AS datasets FROM part, (VALUES ('a'),('e'),('part'),('10')) t(term) WHERE contains(lower(p_name), term) AND NOT regexp_full_match(p_name, '\\s*\\d+\\s*') GROUP BY term")(lambda s, d: R.keyword_hits(table(s, d, "part"), ["a", "e", "part", "10"], "p_name", "p_brand"))
+query("deviating_values", "WITH v AS (SELECT l_returnflag AS k, list_sort(list(DISTINCT l_quantity)) AS vs FROM lineitem GROUP BY ALL) SELECT k, len(vs) AS n, vs[1] AS first FROM v WHERE len(vs) > 1")(lambda s, d: R.deviating(table(s, d, "lineitem").select(F.col("l_returnflag").alias("k"), "l_quantity"), "k", "l_quantity").select("k", F.size("values").cast("long").alias("n"), F.col("values")[0].alias("first")))
+query("ragged_pivot", f"""{POOLED}, n AS (SELECT pool, radius, row_number() OVER (PARTITION BY pool ORDER BY radius) AS k FROM pooled) SELECT k AS row, max(radius) FILTER (pool='RA-V') AS "RA-V", max(radius) FILTER (pool='Docked-V') AS "Docked-V" FROM n WHERE pool IN ('RA-V','Docked-V') GROUP BY k""")(lambda s, d: R.ragged_pivot(pooled(s, d).where(F.col("pool").isin("RA-V", "Docked-V")), "pool", "radius", ["RA-V", "Docked-V"]))
+query("update_pool", f"{POOLED} SELECT id, 'checked' AS pool FROM pooled WHERE id % 11 = 0 UNION ALL SELECT id, pool FROM pooled WHERE id % 11 <> 0")(lambda s, d: R.update_pool(pooled(s, d).select("id", "pool"), measurements(s, d).where("id % 11 = 0"), "checked"))
+query("correct_pools", f"{POOLED} SELECT id, CASE WHEN id % 6 = 0 THEN pool WHEN id % 3 = 0 THEN 'RA-V' WHEN id % 2 = 0 THEN 'MP-V' ELSE pool END AS pool FROM pooled")(
+    lambda s, d: R.correct_pools(pooled(s, d).select("id", "pool"), measurements(s, d).where("id % 3 = 0").select("id", F.lit(1).alias("value")).unionByName(measurements(s, d).where("id % 2 = 0").select("id", F.lit(2).alias("value"))), {1: "RA-V", 2: "MP-V"})
+)
+query("status_table", "SELECT c_custkey, n_orders, CASE WHEN n_orders IS NULL THEN 'missing' WHEN n_orders = 0 THEN 'empty' ELSE 'ok' END AS status FROM customer LEFT JOIN (SELECT o_custkey AS c_custkey, count(*) FILTER (o_orderstatus='F') AS n_orders FROM orders GROUP BY ALL) USING (c_custkey)")(lambda s, d: R.status_table(table(s, d, "customer").select("c_custkey"), table(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("n_orders")), ["c_custkey"], "n_orders"))
+query("union_tagged", "SELECT c_custkey AS k, 'customer' AS origin FROM customer UNION ALL SELECT s_suppkey, 'supplier' FROM supplier")(lambda s, d: R.union_tagged({"customer": table(s, d, "customer").select(F.col("c_custkey").alias("k")), "supplier": table(s, d, "supplier").select(F.col("s_suppkey").alias("k"))}))
+query("json_props", "SELECT event_type, count(*) AS n, count(*) FILTER (props IS NULL) AS n_null FROM events GROUP BY ALL")(lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("props").isNull()).alias("n_null")))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
