@@ -3,14 +3,15 @@
 1. Each document gets its set of word shingles (64-bit hashes), a key of the
    whole set, MinHash bands and an Odd sketch: one-permutation MinHash samples
    folded into a parity bitmap. Documents with one set are one node from here on.
-2. Nodes that share a band meet in a bucket. A bucket is cut into blocks of
-   bounded size; a task compares the sketches of two blocks (the population
-   count of their XOR estimates how many samples differ), leaves out what cannot
-   reach the threshold, and returns a forest of the likeliest links between
-   different components, never all pairs of a group.
-3. Links are confirmed on full sets, confirmed ones are joined into components,
-   and the buckets that still hold several components are compared again without
-   the pairs already looked at, until no candidate is left.
+2. Nodes that share a band meet in a bucket; a pair belongs to the first band
+   it shares. A bucket is cut into blocks of bounded size; a task compares the
+   sketches of two blocks (the population count of their XOR estimates how many
+   samples differ), leaves out what cannot reach the threshold, and returns a
+   forest of the likeliest links, never all pairs of a group. The links are
+   confirmed on full sets and joined into components.
+3. Buckets that still hold several components are compared again. Rows with a
+   candidate in another component get their full sets, and a task confirms, in
+   order of likelihood, every candidate that would still join two components.
 """
 
 from __future__ import annotations
@@ -98,22 +99,22 @@ def _prepare(shingle: int):
         for b in slices(batches, "_text", 4_000_000):
             sets = cutter.batch(b.column(1).to_pylist())
             full = [i for i, s in enumerate(sets) if len(s)]
-            key, band, odd, n = [None] * len(sets), [None] * len(sets), [None] * len(sets), [0] * len(sets)
+            key, band, odd, marks, n = [None] * len(sets), [None] * len(sets), [None] * len(sets), [None] * len(sets), [0] * len(sets)
             if full:
                 some = [sets[i] for i in full]
                 hashed = bands(some).astype(np.int64)
                 bits, samples = sketch(some)
                 for row, i in enumerate(full):
-                    key[i], band[i], odd[i], n[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), hashed[row], bits[row].tobytes(), int(samples[row])
+                    key[i], band[i], odd[i], marks[i], n[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), hashed[row], bits[row].tobytes(), hashed[row].astype(np.uint32).tobytes(), int(samples[row])
             size = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), size, pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(odd, pa.binary()), pa.array(n, pa.int32())], names=["id", "n_shingles", "key", "bands", "sketch", "samples"])
+            yield pa.RecordBatch.from_arrays([b.column(0), size, pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(odd, pa.binary()), pa.array(marks, pa.binary()), pa.array(n, pa.int32())], names=["id", "n_shingles", "key", "bands", "sketch", "marks", "samples"])
 
     return work
 
 
 def prepare(documents: DataFrame, shingle: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     src = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("_text"))
-    return stage(src.mapInArrow(_prepare(shingle), "id long, n_shingles long, key binary, bands array<long>, sketch binary, samples int"), "dedup-sets")
+    return stage(src.mapInArrow(_prepare(shingle), "id long, n_shingles long, key binary, bands array<long>, sketch binary, marks binary, samples int"), "dedup-sets")
 
 
 def estimate(z: np.ndarray, na: np.ndarray, nb: np.ndarray, sa: np.ndarray, sb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,83 +139,130 @@ def _find(parent: dict[int, int], x: int) -> int:
     return x
 
 
-def _compare(rows: list[tuple], seen: set[tuple[int, int]], threshold: float, per_row: int) -> list[tuple[int, int]]:
-    """Links worth confirming among one group's rows (side, id, comp, samples, size, sketch).
+def _candidates(rows: list[tuple], threshold: float) -> tuple[np.ndarray, ...]:
+    """(a, b, ids, components): row numbers of pairs that may be linked.
 
-    Rows of side 0 are compared with all rows. ``per_row`` 0 asks for a forest
-    over components, likeliest links first; else for the best links of each row.
+    Rows are (side, id, comp, samples, size, sketch, marks, band). Rows of side
+    0 are compared with all rows. Likelier pairs come first.
     """
-    left = np.array([r[0] == 0 for r in rows])
-    ident, comp = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    left, ident, comp = np.array([r[0] == 0 for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
     na, size = np.array([r[3] for r in rows], float), np.array([r[4] for r in rows], float)
-    bits = np.frombuffer(b"".join(r[5] for r in rows), np.uint64).reshape(len(rows), -1)
-    found_a, found_b, found_j = [], [], []
+    bits = np.ascontiguousarray(np.frombuffer(b"".join(r[5] for r in rows), np.uint64).reshape(len(rows), -1).T)
+    marks, band = np.frombuffer(b"".join(r[6] for r in rows), np.uint32).reshape(len(rows), -1), rows[0][7]
+    out: list[tuple] = []
     at_left = np.flatnonzero(left)
     for i in range(0, len(at_left), 64):
         a = at_left[i : i + 64]
-        z = np.zeros((len(a), len(rows)), np.int64)
-        for w in range(bits.shape[1]):
-            z += np.bitwise_count(bits[a, w][:, None] ^ bits[:, w][None, :])
-        j, se = estimate(z, na[a][:, None], na[None, :], size[a][:, None], size[None, :])
-        small, large = np.minimum(size[a][:, None], size[None, :]), np.maximum(size[a][:, None], size[None, :])
-        ok = (j + MARGIN * se >= threshold) & (comp[a][:, None] != comp[None, :]) & (ident[a][:, None] != ident[None, :]) & (small >= threshold * large)
-        x, y = np.nonzero(ok)
-        found_a.append(a[x])
-        found_b.append(y)
-        found_j.append(j[x, y])
-    if not found_a:
-        return []
-    a, b, j = np.concatenate(found_a), np.concatenate(found_b), np.concatenate(found_j)
-    lo, hi = np.minimum(ident[a], ident[b]), np.maximum(ident[a], ident[b])
-    order = np.lexsort((hi, lo, -j))
-    out, parent, used, done = [], {}, {}, set()
-    for k in order.tolist():
-        pair = (int(lo[k]), int(hi[k]))
-        if pair in seen or pair in done:
-            continue
-        if per_row:
-            if used.get(pair[0], 0) >= per_row and used.get(pair[1], 0) >= per_row:
-                continue
-            used[pair[0]], used[pair[1]] = used.get(pair[0], 0) + 1, used.get(pair[1], 0) + 1
+        may = (comp[a][:, None] != comp[None, :]) & (ident[a][:, None] != ident[None, :]) & ~(left[None, :] & (ident[a][:, None] > ident[None, :]))
+        may &= np.minimum(size[a][:, None], size[None, :]) >= threshold * np.maximum(size[a][:, None], size[None, :])
+        x, y = np.nonzero(may)
+        if len(x) > 0.3 * may.size:
+            z = np.zeros(may.shape, np.int64)
+            for word in bits:
+                z += np.bitwise_count(word[a][:, None] ^ word[None, :])
+            z = z[x, y]
         else:
-            x, y = _find(parent, int(comp[a[k]])), _find(parent, int(comp[b[k]]))
-            if x == y:
-                continue
-            parent[x] = y
-        done.add(pair)
-        out.append(pair)
-    return out
+            z = np.zeros(len(x), np.int64)
+            for word in bits:
+                z += np.bitwise_count(word[a[x]] ^ word[y])
+        # far pairs go by whole numbers: even if half of the differing bits met
+        near = np.flatnonzero(z <= 0.75 * (na[a[x]] + na[y]) * (1 - threshold) + 200 * (na[a[x]] > 600))
+        x, y, z = a[x[near]], y[near], z[near]
+        j, se = estimate(z, na[x], na[y], size[x], size[y])
+        ok = np.flatnonzero(j + MARGIN * se >= threshold)
+        x, y, j = x[ok], y[ok], j[ok]
+        own = (marks[x] == marks[y]).argmax(1) == band
+        out.append((x[own], y[own], j[own]))
+    a, b, j = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, int) for k in range(3))
+    order = np.lexsort((np.maximum(ident[a], ident[b]), np.minimum(ident[a], ident[b]), -j))
+    return a[order], b[order], ident, comp
+
+
+def _forest(a: np.ndarray, b: np.ndarray, comp: np.ndarray) -> list[int]:
+    """Numbers of the pairs of a spanning forest over components, likeliest first.
+
+    Every component takes its first pair to another one, components merge, and
+    so on until no pair is left between two of them.
+    """
+    _, part = np.unique(comp, return_inverse=True)
+    chosen: list[int] = []
+    live = np.arange(len(a))
+    while True:
+        live = live[part[a[live]] != part[b[live]]]
+        if not len(live):
+            return chosen
+        best = np.full(part.max() + 1, len(a))
+        np.minimum.at(best, part[a[live]], live)
+        np.minimum.at(best, part[b[live]], live)
+        parent: dict[int, int] = {}
+        for k in np.unique(best[best < len(a)]).tolist():
+            x, y = _find(parent, int(part[a[k]])), _find(parent, int(part[b[k]]))
+            if x != y:
+                parent[x] = y
+                chosen.append(k)
+        part = np.array([_find(parent, p) for p in range(part.max() + 1)])[part]
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Groups of a partition that is sorted by (bucket, i, j), with two rows or more."""
+    key, rows = None, []
+    for b in batches:
+        for bucket, i, j, *row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            if (bucket, i, j) != key:
+                if len(rows) > 1:
+                    yield key, rows
+                key, rows = (bucket, i, j), []
+            rows.append(tuple(row))
+    if len(rows) > 1:
+        yield key, rows
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n in "ij" else pa.int64()) for c, n in zip(cols, names, strict=True)], names=names)
+
+
+def _likely(threshold: float):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = set()
+        for _, rows in _groups(batches):
+            a, b, ident, comp = _candidates(rows, threshold)
+            for k in _forest(a, b, comp):
+                x, y = int(ident[a[k]]), int(ident[b[k]])
+                out.add((min(x, y), max(x, y)))
+        yield _batch(list(out), ["a", "b"])
 
+    return work
 
-def _candidates(threshold: float, per_row: int):
-    """Compares the groups of a partition that is sorted by (bucket, i, j)."""
 
+def _needed(threshold: float):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, seen, out = None, [], set(), set()
-        for b in batches:
-            cols = [c.to_pylist() for c in b.columns]
-            for bucket, i, j, side, ident, comp, samples, size, bits, other in zip(*cols, strict=True):
-                if (bucket, i, j) != key:
-                    if len(rows) > 1:
-                        out.update(_compare(rows, seen, threshold, per_row))
-                    key, rows, seen = (bucket, i, j), [], set()
-                if side == 2:
-                    seen.add((ident, other))
-                else:
-                    rows.append((side, ident, comp, samples, size, bits))
-            if len(out) > 200_000:
-                yield _pairs(out)
-                out = set()
-        if len(rows) > 1:
-            out.update(_compare(rows, seen, threshold, per_row))
-        yield _pairs(out)
+        for key, rows in _groups(batches):
+            a, b, ident, _ = _candidates(rows, threshold)
+            if len(a):
+                yield _batch([(*key, int(ident[k])) for k in np.unique(np.concatenate([a, b]))], ["bucket", "i", "j", "id"])
 
     return work
 
 
-def _pairs(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*pairs, strict=True) if pairs else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+def _exact(threshold: float, per_cent: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = set()
+        for _, rows in _groups(batches):
+            sets = [np.frombuffer(r[8], np.uint64) for r in rows]
+            a, b, ident, comp = _candidates(rows, threshold)
+            parent: dict[int, int] = {}
+            for p, q in zip(a.tolist(), b.tolist(), strict=True):
+                x, y = _find(parent, int(comp[p])), _find(parent, int(comp[q]))
+                if x == y:
+                    continue
+                same = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+                if 100 * same >= per_cent * (len(sets[p]) + len(sets[q]) - same):
+                    parent[x] = y
+                    out.add((int(ident[p]), int(ident[q])))
+        yield _batch(list(out), ["a", "b"])
+
+    return work
 
 
 def _slots(ids: DataFrame, most_bits: int = 24) -> tuple[int, np.ndarray]:
@@ -228,18 +276,17 @@ def _slots(ids: DataFrame, most_bits: int = 24) -> tuple[int, np.ndarray]:
     return slots, bitmap
 
 
-def confirm(documents: DataFrame, pairs: DataFrame, shingle: int, per_cent: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(a, b, linked) of pairs of ids, from the full sets of their texts.
+def full_sets(documents: DataFrame, ids: DataFrame, shingle: int, id_col: str, text: str) -> DataFrame:
+    """(id, shingles): the whole sets of the documents with these ids.
 
-    Only texts whose id may be among the pairs (a bitmap of fixed size tells)
-    are cut again and moved. Of a repeated id, any of its texts can link.
+    A bitmap of fixed size tells which texts may be needed; only those are cut
+    again and moved. An id that repeats has a row for each of its sets.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     slots, bitmap = _slots(ids)
     shared = documents.sparkSession.sparkContext.broadcast(bitmap)
-    src = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("_text")).withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(slots)))
+    src = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("_text")).where("id is not null").withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(slots)))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, marks = Shingler(shingle), shared.value
         for b in batches:
             slot = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -248,6 +295,12 @@ def confirm(documents: DataFrame, pairs: DataFrame, shingle: int, per_cent: int,
                 got = cutter.batch(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in got], pa.binary())], names=["id", "shingles"])
 
+    return stage(src.mapInArrow(work, "id long, shingles binary").join(ids, "id", "left_semi").dropDuplicates(), "dedup-full")
+
+
+def confirm(pairs: DataFrame, full: DataFrame, per_cent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough; of a repeated id any set counts."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             linked = []
@@ -255,12 +308,11 @@ def confirm(documents: DataFrame, pairs: DataFrame, shingle: int, per_cent: int,
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 same = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(100 * same >= per_cent * (len(x) + len(y) - same) and len(x) > 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+            keep = pa.array(linked, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
-    full = src.where("id is not null").mapInArrow(sets, "id long, shingles binary").join(ids, "id", "left_semi").dropDuplicates()
-    full = stage(full, "dedup-full")
     both = pairs.join(full.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(full.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
+    return both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -288,6 +340,36 @@ def components(edges: DataFrame) -> DataFrame:
         rest = rest.join(a, "a").join(b, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
 
 
+def _merge(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, comp) after links (a, b) between ids have joined their components."""
+    of = lambda c: comp.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}"))
+    merged = components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    return comp.join(merged.select(F.col("id").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("id", F.coalesce("root", "comp").alias("comp"))
+
+
+def _blocks(now: DataFrame, block: int) -> DataFrame:
+    """Groups (bucket, i, j) of rows to compare, from (id, comp, bucket, ...).
+
+    Only buckets with several components count. Rows outside a bucket's largest
+    component are asked about (side 0) in blocks i; all rows answer in blocks j.
+    """
+    per_comp = now.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    about = per_comp.groupBy("bucket").agg(F.sum("n").alias("rows"), F.max(F.struct("n", "comp"))["comp"].alias("main"), F.max("n").alias("of_main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    now = now.join(about, "bucket").withColumn("ni", F.ceil((F.col("rows") - F.col("of_main")) / block).cast("int")).withColumn("nj", F.ceil(F.col("rows") / block).cast("int"))
+    mine = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    at = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    asks = F.when(F.col("comp") != F.col("main"), F.transform(upto("nj"), lambda j: at(mine("ni", "i"), j, 0)))
+    answers = F.when((F.col("comp") == F.col("main")) | (F.col("ni") > 1) | (F.col("nj") > 1), F.transform(upto("ni"), lambda i: at(i, mine("nj", "j"), 1)))
+    none = F.array().cast("array<struct<i:int,j:int,side:int>>")
+    both = now.withColumn("_at", F.explode(F.concat(F.coalesce(asks, none), F.coalesce(answers, none))))
+    return both.select("bucket", "_at.i", "_at.j", "_at.side", "id", "comp", "samples", "n_shingles", "sketch", "marks", "band")
+
+
+def _sorted(group: DataFrame) -> DataFrame:
+    return group.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+
 def near_duplicates(documents: DataFrame, shingle: int = 5, per_cent: int = 80, id_col: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row.
 
@@ -297,45 +379,28 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, per_cent: int = 80,
     Rows that repeat an id share its component; each repeat of the component's
     own id is marked kept (``keep_first`` keeps one). An empty table gives none.
     """
-    spark = documents.sparkSession
     docs = prepare(documents, shingle, id_col, text)
     live = docs.where(F.col("key").isNotNull() & F.col("id").isNotNull())
     node = live.groupBy("key").agg(F.min("id").alias("node"))
     # one row for each set: its sketch and bands under its least id
-    nodes = stage(live.select("id", "key", "bands", "sketch", "samples", "n_shingles").join(node.withColumnRenamed("node", "id"), ["key", "id"]).dropDuplicates(["key"]).drop("key"), "dedup-nodes")
-    in_bucket = nodes.select("id", F.explode("bands").alias("bucket")).distinct()
+    nodes = stage(live.select("id", "key", "bands", "sketch", "marks", "samples", "n_shingles").join(node.withColumnRenamed("node", "id"), ["key", "id"]).dropDuplicates(["key"]).drop("key"), "dedup-nodes")
+    in_bucket = nodes.select("id", F.posexplode("bands").alias("band", "bucket")).dropDuplicates(["bucket", "id"])
     crowded = in_bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     rows = stage(in_bucket.join(crowded, "bucket").join(nodes.drop("bands"), "id"), "dedup-rows")
-    comp = nodes.select("id", F.col("id").alias("comp")).distinct()
-    seen, turn = spark.createDataFrame([], "a long, b long, linked boolean"), 0
-    while True:
-        now = rows.join(comp, "id") if turn else rows.withColumn("comp", F.col("id"))
-        per_comp = now.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-        # the largest component of a bucket need not be compared within itself
-        about = per_comp.groupBy("bucket").agg(F.sum("n").alias("rows"), F.max(F.struct("n", "comp"))["comp"].alias("main"), F.max("n").alias("of_main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-        now = now.join(about, "bucket").withColumn("ni", F.ceil((F.col("rows") - F.col("of_main")) / block).cast("int")).withColumn("nj", F.ceil(F.col("rows") / block).cast("int"))
-        cols = ["bucket", "i", "j", "side", "id", "comp", "samples", "n_shingles", "sketch", F.lit(None).cast("long").alias("other")]
-        mine = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
-        upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        asks = now.where(F.col("comp") != F.col("main")).withColumn("i", mine("ni", "i")).withColumn("j", upto("nj")).withColumn("side", F.lit(0))
-        # rows of the main component, and rows of the other blocks
-        answers = now.where((F.col("comp") == F.col("main")) | (F.col("ni") > 1) | (F.col("nj") > 1)).withColumn("j", mine("nj", "j")).withColumn("i", upto("ni")).withColumn("side", F.lit(1))
-        group = asks.select(*cols).unionByName(answers.select(*cols))
-        if turn:
-            known = now.join(seen.select(F.col("a").alias("id"), F.col("b").alias("other")), "id")
-            known = known.withColumn("i", upto("ni")).withColumn("j", upto("nj")).select("bucket", "i", "j", F.lit(2).alias("side"), "id", "comp", "samples", "n_shingles", F.lit(None).cast("binary").alias("sketch"), "other")
-            group = group.unionByName(known)
-        made = group.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", F.desc("side")).mapInArrow(_candidates(per_cent / 100, 16 if turn else 0), "a long, b long").distinct()
-        pairs = stage(made.join(seen, ["a", "b"], "left_anti"), "dedup-pairs")
-        if pairs.isEmpty():
-            break
-        checked = stage(confirm(documents, pairs, shingle, per_cent, id_col, text), "dedup-checked")
-        seen = seen.unionByName(checked)
-        links = checked.where("linked").select("a", "b")
-        of = lambda c: comp.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}"))
-        merged = components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        comp = stage(comp.join(merged.select(F.col("id").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")), "dedup-comp")
-        turn += 1
+    limit = per_cent / 100
+    # first round: every node is a component of its own
+    group = _blocks(rows.withColumn("comp", F.col("id")), block)
+    pairs = stage(_sorted(group).mapInArrow(_likely(limit), "a long, b long").distinct(), "dedup-pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    links = confirm(pairs, full_sets(documents, ids, shingle, id_col, text), per_cent)
+    comp = stage(_merge(nodes.select("id", F.col("id").alias("comp")).distinct(), links), "dedup-comp")
+    # second round: what may still join two components, on full sets in the task
+    group = _blocks(rows.join(comp, "id"), block)
+    needed = stage(_sorted(group).mapInArrow(_needed(limit), "bucket long, i int, j int, id long").distinct(), "dedup-needed")
+    if not needed.isEmpty():
+        full = full_sets(documents, needed.select("id").distinct(), shingle, id_col, text)
+        more = _sorted(group.join(needed, ["bucket", "i", "j", "id"]).join(full, "id").select(*group.columns, "shingles")).mapInArrow(_exact(limit, per_cent), "a long, b long").distinct()
+        comp = stage(_merge(comp, more), "dedup-comp")
     named = node.join(comp.withColumnRenamed("id", "node"), "node").select("key", F.col("comp").alias("component"))
     linked = docs.select("id", "n_shingles", "key").join(named, "key", "left")
     alone = linked.groupBy("id").agg(F.min("component").alias("component")).where("id is not null and component is not null")
