@@ -136,16 +136,16 @@ def mcd(stats: DataFrame, key: list[str], steps: int = STEPS) -> DataFrame:
     Groups number far fewer than rows; each step writes a table of one row a
     group, and is joined by broadcast only when Spark sees that it is small.
     """
-    est = stage(_factors(_start(stats, key)), "mcd-start")
+    est = stage(_factors(_start(stats, key)).repartition(1), "mcd-start")
     sizes = est.select(*key, "n")
     for _ in range(steps):
         far = _distance(stats.join(est.drop("n"), key))
         half = far.groupBy(*key).agg(F.percentile_approx("d2", 0.5, 1000).alias("half"))
         far = far.select(*key, *STATS, "d2")
         near = far.join(half, key).where(F.col("d2") <= F.col("half"))
-        est = stage(_factors(_estimate(near, key)), "mcd-step")
+        est = stage(_factors(_estimate(near, key)).repartition(1), "mcd-step")
     half = _distance(stats.join(est, key)).groupBy(*key).agg((F.percentile_approx("d2", 0.5, 1000) / CHI2_4_MEDIAN).alias("scale"))
-    return stage(est.join(half, key).join(sizes, key), "mcd")
+    return stage(est.join(half, key).join(sizes, key).repartition(1), "mcd")
 
 
 def judge(documents: DataFrame, keep: list[str], text: str = "text", groups: tuple[str, ...] = ("lang", "source"), cutoff: float = CUTOFF, smallest: int = SMALLEST_GROUP, steps: int = STEPS) -> DataFrame:
@@ -164,16 +164,18 @@ def judge(documents: DataFrame, keep: list[str], text: str = "text", groups: tup
     key = [F.coalesce(F.concat(F.lit("="), F.col(g).cast("string")), F.lit("")).alias(m) for g, m in zip(groups, marks, strict=True)]
     src = documents.select(*[F.col(c).alias(k) for c, k in zip(keep, names, strict=True)], F.col(text).alias("_text"), *key)
     rows = counts(src, [*names, *marks], "_text")
-    rows = stage(rows.withColumn("base_failed", base_failed()).select("*", *statistics()), "rule-stats")
+    # "_all", the key of the whole table, is stored: a literal would make its joins
+    # joins without a key
+    rows = stage(rows.withColumn("base_failed", base_failed()).select("*", *statistics(), F.lit(1).alias("_all")), "rule-stats")
     passed = rows.where(~F.col("base_failed"))
-    passed_stats = passed.select(*marks, *STATS).withColumn("_all", F.lit(1))
+    passed_stats = passed.select(*marks, "_all", *STATS)
     out = passed
     fields = [f"m{i}" for i in range(4)] + [f"l{i}{j}" for i in range(4) for j in range(i + 1)] + ["scale"]
     used = None
     for depth, level in enumerate([*levels, ["_all"]]):
         est = mcd(passed_stats, level, steps).where(F.col("n") >= smallest)
         est = est.select(*level, F.struct(*fields).alias(f"e{depth}"))
-        out = out.withColumn("_all", F.lit(1)).join(est, level, "left")
+        out = out.join(est, level, "left")
         used = F.col(f"e{depth}") if used is None else F.coalesce(used, F.col(f"e{depth}"))
     out = out.withColumn("_e", used).select(*rows.columns, "_e.*")
     out = _distance(out).withColumn("distance", F.col("d2") / F.greatest(F.col("scale"), F.lit(1e-3)))
