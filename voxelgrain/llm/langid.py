@@ -22,7 +22,7 @@ from voxelgrain.llm.common import CACHE_WORDS, slices
 
 BUCKETS = 1 << 15
 SIZES = (1, 2, 3, 4)
-ITERATIONS = 15
+ITERATIONS = 10
 UNKNOWN = "und"
 #: Distinct words of one batch that are counted by n-gram at a time.
 PART = 50_000
@@ -107,36 +107,39 @@ def mixture(like: np.ndarray, doc: np.ndarray, weight: np.ndarray, n_docs: int,
     penalty, half the log of its number of words, saves.
     """
     n_langs = like.shape[1]
-    p = np.exp(like - like.max(1, keepdims=True)).astype(np.float64)
     starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
     present = doc[starts]
     total = np.add.reduceat(weight, starts) if len(doc) else np.zeros(0)
     out = np.zeros((n_docs, n_langs))
     if not len(doc) or not n_langs:
         return out
+    p = np.exp(like - like.max(1, keepdims=True)).astype(np.float64)
     row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(doc))))
 
-    def em(pi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def em(pi: np.ndarray, p: np.ndarray, row: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        n = np.add.reduceat(weight, first)[:, None]
         for _ in range(iterations):
             joint = p * pi[row]
-            norm = joint.sum(1)
-            pi = np.add.reduceat(joint * (weight / np.maximum(norm, 1e-300))[:, None], starts) / total[:, None]
-        fit_ = np.add.reduceat(weight * np.log(np.maximum((p * pi[row]).sum(1), 1e-300)), starts)
-        return pi, fit_
+            pi = np.add.reduceat(joint * (weight / np.maximum(joint.sum(1), 1e-300))[:, None], first) / n
+        return pi, np.add.reduceat(weight * np.log(np.maximum((p * pi[row]).sum(1), 1e-300)), first)
 
-    pi, best = em(np.full((len(starts), n_langs), 1 / n_langs))
+    pi, best = em(np.full((len(starts), n_langs), 1 / n_langs), p, row, weight)
+    live = np.arange(len(pi))  # documents whose set of languages may still shrink
     for _ in range(n_langs - 1):
-        open_ = pi > 0
-        least = np.where(open_, pi, np.inf).argmin(1)
-        trial = pi.copy()
-        trial[np.arange(len(pi)), least] = 0
-        many = open_.sum(1) > 1
-        trial = np.where(many[:, None] & (trial.sum(1, keepdims=True) > 0), trial / np.maximum(trial.sum(1, keepdims=True), 1e-300), pi)
-        trial, fit_ = em(trial)
-        better = many & (fit_ + 0.5 * np.log(np.maximum(total, 2)) >= best)
-        if not better.any():
+        live = live[(pi[live] > 0).sum(1) > 1]
+        if not len(live):
             break
-        pi[better], best[better] = trial[better], fit_[better]
+        place = np.full(len(pi), -1)
+        place[live] = np.arange(len(live))
+        mine = np.flatnonzero(place[row] >= 0)
+        trial = pi[live].copy()
+        trial[np.arange(len(live)), np.where(trial > 0, trial, np.inf).argmin(1)] = 0
+        trial /= trial.sum(1, keepdims=True)
+        trial, fit_ = em(trial, p[mine], place[row[mine]], weight[mine])
+        better = fit_ + 0.5 * np.log(np.maximum(total[live], 2)) >= best[live]
+        live = live[better]
+        pi[live], best[live] = trial[better], fit_[better]
     out[present] = pi
     return out
 
@@ -160,7 +163,8 @@ class Reader:
         for i in range(0, len(named), PART):
             part = [x for _, x in named[i : i + PART]]
             word, bucket = ngrams(part, len(self.table))
-            made.append(np.stack([np.bincount(word, self.table[bucket, k], len(part)) for k in range(len(self.langs))], 1).astype(np.float32))
+            each = [np.bincount(word, self.table[bucket, k], len(part)) for k in range(len(self.langs))]
+            made.append(np.array(each, np.float32).reshape(len(self.langs), len(part)).T)
         self.row.update(zip([w for w, _ in named], range(len(self.like), len(self.like) + len(named)), strict=True))
         self.like = np.concatenate(made)
         return self.row
