@@ -44,10 +44,10 @@ def distance_transform(mask: np.ndarray, size: Size = (1, 1, 1)) -> np.ndarray:
 
 
 def local_maxima(a: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Voxels of the mask that no face neighbour exceeds."""
+    """Voxels of the mask that none of their 26 neighbours exceeds."""
     p = np.pad(a, 1, constant_values=-np.inf)
     best = np.full(a.shape, -np.inf)
-    for o in FACES:
+    for o in (tuple(i - 1 for i in k) for k in np.ndindex(3, 3, 3)):
         best = np.maximum(best, p[tuple(slice(1 + d, 1 + d + n) for d, n in zip(o, a.shape, strict=True))])
     return mask & (a >= best)
 
