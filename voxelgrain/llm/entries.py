@@ -73,5 +73,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in ops}
 
 
+WORDS_SQL = "regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')"
+LOWER_WORDS_SQL = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+
+DEDUP_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, {LOWER_WORDS_SQL} AS ws FROM documents),
+ l AS (SELECT doc_id, CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh FROM w),
+ s AS (SELECT DISTINCT doc_id, unnest(sh) AS sh FROM l), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+ e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+ sym AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+ r(id, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT sym.b, r.m FROM r JOIN sym ON sym.a = r.id WHERE r.m < sym.b),
+ c AS (SELECT id, min(m) AS m FROM r GROUP BY id)
+ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.m AS component_id, d.doc_id = c.m AS kept FROM documents d JOIN c ON c.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+MIX_SQL = f"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len({WORDS_SQL}), 0) AS BIGINT) AS size,
+  -ln((CAST('0x' || substr(md5('17:' || CAST(doc_id AS VARCHAR)), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0)
+  / greatest(0.05, coalesce((length(text) - length(regexp_replace(text, '[a-zA-Z]{{2,}}', '', 'g'))) / greatest(length(text), 1), 0.0)) AS k FROM documents),
+ s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM d GROUP BY source),
+ v AS (SELECT source, source_size, [5, 2, 1][(i - 1) % 3 + 1] AS w, 2 * source_size AS cap FROM s),
+ o AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held, sum(w) OVER (ORDER BY cap / w DESC, source DESC) AS open, (SELECT 1.5 * sum(source_size) FROM s) AS total FROM v),
+ u AS (SELECT arg_min((total - held) / open, held) AS unit FROM o WHERE w * ((total - held) / open) <= cap),
+ t AS (SELECT source, source_size, CASE WHEN w * unit > cap THEN cap ELSE w * unit END::DOUBLE AS target FROM v, u),
+ g AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
+ q AS (SELECT d.*, g.source_size, g.target, g.epochs, round(g.target - g.epochs * g.source_size)::BIGINT AS rest,
+  coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN g ON g.source IS NOT DISTINCT FROM d.source)
+ SELECT doc_id, size, source_size, target, CAST(epochs * size + least(size, greatest(0, rest - before)) AS BIGINT) AS taken FROM q"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_minhash_near_dedup": DEDUP_SQL, "op8_mix_sources": MIX_SQL}
