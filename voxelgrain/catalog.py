@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from voxelgrain.operators import components as C
 from voxelgrain.operators import distance as D
+from voxelgrain.operators import kernels as K
 from voxelgrain.operators import relational as R
 from voxelgrain.operators import volume as V
+from voxelgrain.plans import analysis as A
+from voxelgrain.streaming import ingest
 from voxelgrain.views import MEASURES_SQL, SHAPE, STRUCTURE_SQL, TRUTH_SQL, VOXELS_SQL, measurements, structure, table, truth, vesicles, voxels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,6 +196,20 @@ query("union_tagged", "SELECT c_custkey AS k, 'customer' AS origin FROM customer
 query("json_props", "SELECT event_type, count(*) AS n, count(*) FILTER (props IS NULL) AS n_null FROM events GROUP BY ALL")(lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("props").isNull()).alias("n_null")))
 
 
+# -- analyses --------------------------------------------------------------
+
+VESICLE_POOL_SQL = "CASE WHEN pd_distance < 100 AND boundary_distance < 2 THEN 'Docked-V' WHEN ribbon_distance < 80 AND boundary_distance < 50 THEN 'MP-V' WHEN ribbon_distance < 80 THEN 'RA-V' ELSE 'unassigned' END"
+query("vesicle_pools", f"{MEAS} SELECT tomo, {VESICLE_POOL_SQL} AS pool, count(*) AS n, round(avg(radius),6) AS mean_radius FROM meas GROUP BY ALL")(lambda s, d: A.assign_vesicle_pools(measurements(s, d)).groupBy("tomo", "pool").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("radius"), "mean_radius")))
+query("inside_fraction", f"{GT} SELECT tomo, label, CAST(count(*)*8 AS DOUBLE) AS volume, CAST(count(g)*8 AS DOUBLE) AS inner_volume, round(count(g)/count(*),6) AS fraction FROM vox LEFT JOIN (SELECT tomo,z,y,x,1 AS g FROM gt) USING (tomo,z,y,x) GROUP BY ALL")(lambda s, d: A.inside_fraction(voxels(s, d), truth(s, d), 8.0).select("tomo", "label", "volume", "inner_volume", r6("fraction", "fraction")))
+query("select_structures")(lambda s, d: A.select_structures(structure(s, d), vesicles(s, d), 6.0, 2, connectivity=1))
+query("evaluate_components")(lambda s, d: A.evaluate(structure(s, d), truth(s, d).where("label % 7 = 0"), 2, 2, limit=0.1).select("tomo", "tp", "fp", "fn", r6("dice", "dice")))
+query("proximity", f"{BOTH}, n AS (SELECT a.tomo, a.label, a.z, a.y, a.x, min((a.z-b.z)*(a.z-b.z)+(a.y-b.y)*(a.y-b.y)+(a.x-b.x)*(a.x-b.x)) d2 FROM (SELECT * FROM ves WHERE label % 5 = 0) a JOIN structure b ON a.tomo=b.tomo GROUP BY ALL) SELECT tomo, label, round(sqrt(min(d2)),6) AS min, round(quantile_cont(sqrt(d2),0.5),6) AS median, round(sqrt(max(d2)),6) AS max FROM n GROUP BY ALL")(lambda s, d: A.proximity(vesicles(s, d).where("label % 5 = 0"), structure(s, d)).select("tomo", "label", r6("min", "min"), r6("median", "median"), r6("max", "max")))
+query("thin_zone")(lambda s, d: A.thin_zone(vesicles(s, d), structure(s, d), 3.0, 1))
+query("membrane_near")(lambda s, d: A.membrane_near(structure(s, d), vesicles(s, d), 2.0, 2, connectivity=1))
+query("object_axes")(lambda s, d: K.axes(voxels(s, d)).select("tomo", "label", r6("major", "major"), r6("minor", "minor")))
+query("event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value),4) AS total FROM events GROUP BY ALL")(lambda s, d: ingest.windowed_counts(table(s, d, "events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total")))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
