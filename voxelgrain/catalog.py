@@ -26,7 +26,6 @@ _SQL: dict[str, str] = {}
 VOX, GT, MEAS = f"WITH {VOXELS_SQL}", f"WITH {VOXELS_SQL}, {TRUTH_SQL}", f"WITH {MEASURES_SQL}"
 BOTH = f"WITH {VOXELS_SQL}, {STRUCTURE_SQL}"
 OFFSETS_SQL = "off(dz, dy, dx) AS (VALUES (-1,0,0),(1,0,0),(0,-1,0),(0,1,0),(0,0,-1),(0,0,1))"
-POOLS = [("MP-V", F.col("ribbon_distance") < 100), ("RA-V", F.col("ribbon_distance") < 80), ("Docked-V", (F.col("pd_distance") < 100) & (F.col("boundary_distance") < 2))]
 POOL_NAMES = ["RA-V", "MP-V", "Docked-V", "unassigned"]
 POOL_SQL = "CASE WHEN pd_distance < 100 AND boundary_distance < 2 THEN 'Docked-V' WHEN ribbon_distance < 80 THEN 'RA-V' WHEN ribbon_distance < 100 THEN 'MP-V' ELSE 'unassigned' END"
 POOLED = f"{MEAS}, pooled AS (SELECT *, {POOL_SQL} AS pool FROM meas)"
@@ -47,7 +46,9 @@ def r6(c, name: str):
 
 
 def pooled(s: SparkSession, d: str) -> DataFrame:
-    return R.assign_pools(measurements(s, d), POOLS)
+    near = F.col("ribbon_distance")
+    docked = (F.col("pd_distance") < 100) & (F.col("boundary_distance") < 2)
+    return R.assign_pools(measurements(s, d), [("MP-V", near < 100), ("RA-V", near < 80), ("Docked-V", docked)])
 
 
 # -- objects, masks --------------------------------------------------------
