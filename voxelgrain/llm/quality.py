@@ -54,7 +54,7 @@ def context_vectors(documents: DataFrame, text: str = "text", buckets: int = BUC
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pairs = Words(buckets), np.zeros((buckets, dim), np.float32)
         own, any_ = index_vectors(buckets, dim), False
-        for b in slices(batches, "_text", 4_000_000):
+        for b in slices(batches, "_text", 2_000_000):
             doc, w = words.batch(b.column(0).to_pylist())
             any_ |= len(w) > 0
             near = np.zeros((len(w), dim), np.float32)
@@ -149,7 +149,7 @@ def fit(rows: DataFrame, context: np.ndarray, max_docs: int = MAX_DOCS) -> Netwo
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool = Pool(shared.value)
-        for b in slices(batches, "text", 4_000_000):
+        for b in slices(batches, "text", 2_000_000):
             x = pool.batch(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() for v in x], pa.binary()), b.column(2)], names=["doc_id", "x", "y"])
 
@@ -175,7 +175,7 @@ def score(documents: DataFrame, model: Network | None, context: np.ndarray, keep
         if state:
             net = Network.__new__(Network)
             vars(net).update(state)
-        for b in slices(batches, "_text", 4_000_000):
+        for b in slices(batches, "_text", 2_000_000):
             p = net.prob(pool.batch(b.column(b.num_columns - 1).to_pylist())) if net else np.full(b.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(b.num_columns - 1)], pa.array(p, pa.float64())], names=[*keep, "score"])
 
