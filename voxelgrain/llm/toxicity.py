@@ -80,7 +80,7 @@ def fit(rows: DataFrame, bits: int = BITS, epochs: int = 3, max_docs: int = MAX_
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, feats, held, room = Ftrl(bits, **rates), Features(bits), [], MAX_FEATURES
-        for b in slices(batches):
+        for b in slices(batches, limit=2_000_000):
             texts, ys = b.column(1).to_pylist(), b.column(2).to_pylist()
             doc, bucket = feats.batch(texts)
             order = np.argsort(doc, kind="stable")
@@ -116,7 +116,7 @@ def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: list
         w = np.zeros((1 << bits) + 1, np.float32)
         w[at] = value
         feats = Features(bits)
-        for b in slices(batches, "_text", 4_000_000):
+        for b in slices(batches, "_text", 2_000_000):
             doc, bucket = feats.batch(b.column(b.num_columns - 1).to_pylist())
             live = np.flatnonzero(w[bucket])
             pair = np.unique(doc[live].astype(np.int64) << bits | bucket[live])
