@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from voxelgrain.llm.common import Hashes, slices, stage, words_of
 
 DISCOUNT = 0.75
-CHUNK_BYTES = 12_000_000
+CHUNK_BYTES = 5_000_000
 #: Hashes of the marks before and after each text; words never hash to them.
 BEGIN, END = 1, 2
 LEVELS = 255
@@ -169,15 +169,19 @@ class Trie:
         self.file.close()
 
 
-def _chunks(shards: int, chunk_bytes: int):
-    """Rows (chunk, shard, data): one of the texts (shard -1), one for each shard."""
+def _chunks(shards: int, chunk_bytes: int, texts: bool):
+    """Rows (chunk, shard, data): one of the texts (shard -1), or one for each shard.
+
+    Chunks are numbered by partition; both kinds come from the same scan, whose
+    partitions Spark plans the same way each time.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes(31)
         number = TaskContext.get().partitionId() << 32
 
         def made(rows: list) -> pa.RecordBatch:
-            docs = [(np.concatenate([[BEGIN], np.maximum(hashes.of(w), np.uint64(16)), [END]]).astype(np.uint64)) for _, w, _ in rows]
+            docs = [np.concatenate([np.array([BEGIN], np.uint64), np.maximum(h, np.uint64(16)), np.array([END], np.uint64)]) for _, h, _ in rows]
             size = np.array([len(d) for d in docs])
             flat = np.concatenate(docs)
             # words in the order of shard and hash
@@ -203,18 +207,23 @@ def _chunks(shards: int, chunk_bytes: int):
             ids = np.array([r[0] if r[0] is not None else 0 for r in rows], np.int64)
             none = np.array([r[0] is None for r in rows], np.uint8)
             held = np.array([2 if r[2] is None else int(not r[2]) for r in rows], np.uint8)
-            out = [(number_now, -1, pack(ids, none, held, size - 1, index.astype(np.int32), pair_word.astype(np.int32), pair_word2.astype(np.int32)))]
+            if texts:
+                return row([(number_now, -1, pack(ids, none, held, size - 1, index.astype(np.int32), pair_word.astype(np.int32), pair_word2.astype(np.int32)))])
+            out = []
             cut_w, cut_p = np.searchsorted(shard, np.arange(shards + 1)), np.searchsorted(shard[pair_word], np.arange(shards + 1))
             for s in np.unique(shard).tolist():
                 a, b, c, d = cut_w[s], cut_w[s + 1], cut_p[s], cut_p[s + 1]
                 out.append((number_now, s, pack(word[a:b], word_count[a:b], (pair_word[c:d] - a).astype(np.int32), (word[pair_word2[c:d]] & np.uint64(0xFFFFFFFF)).astype(np.uint32), pair_count[c:d])))
+            return row(out)
+
+        def row(out: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], names=["chunk", "shard", "data"])
 
         held_rows, held_bytes, number_now = [], 0, number
-        for b in slices(batches, "_text", chunk_bytes):
+        for b in slices(batches, "_text", min(chunk_bytes, 2_000_000)):
             for i, t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                words = words_of(t)
-                held_rows.append((i, words, y))
+                # words are kept as hashes only: a chunk's memory is bounded by its text
+                held_rows.append((i, hashes.of(words_of(t)), y))
                 held_bytes += 16 + len(t or "")
                 if held_bytes >= chunk_bytes:
                     yield made(held_rows)
@@ -262,15 +271,15 @@ def score(documents: DataFrame, train: Column, id_col: str = "doc_id", text: str
     an empty table gives no rows. Other columns are not read.
     """
     spark = documents.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = documents.select(F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_text"), train.cast("boolean").alias("_train"))
-    rows = stage(src.mapInArrow(_chunks(shards, chunk_bytes), "chunk long, shard int, data binary"), "lm-chunks")
-    answers = rows.where(F.col("shard") >= 0).groupBy("shard").applyInArrow(_answer, "chunk long, shard int, data binary, tokens long, types long")
+    made = lambda texts: src.mapInArrow(_chunks(shards, chunk_bytes, texts), "chunk long, shard int, data binary")
+    answers = made(False).groupBy("shard").applyInArrow(_answer, "chunk long, shard int, data binary, tokens long, types long")
     answers = stage(answers, "lm-answers")
     total = answers.where(F.col("chunk") < 0).agg(F.sum("tokens"), F.sum("types")).first()
     n, v = int(total[0] or 0), int(total[1] or 0)
     codes = answers.where(F.col("chunk") >= 0).groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("shard", "data"))).alias("codes"))
-    joined = rows.where(F.col("shard") < 0).select("chunk", "data").join(codes, "chunk").select("data", F.transform("codes", lambda c: c["data"]).alias("codes"))
+    joined = made(True).select("chunk", "data").join(codes, "chunk").select("data", F.transform("codes", lambda c: c["data"]).alias("codes"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
