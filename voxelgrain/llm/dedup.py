@@ -132,6 +132,15 @@ def estimate(z: np.ndarray, na: np.ndarray, nb: np.ndarray, sa: np.ndarray, sb:
     return j, np.sqrt(var)
 
 
+def may_link(z: np.ndarray, na: np.ndarray, nb: np.ndarray, sa: np.ndarray, sb: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(which pairs may reach the threshold, similarity of all pairs).
+
+    The margin of standard errors is the only test, at every size of set.
+    """
+    j, se = estimate(z, na, nb, sa, sb)
+    return j + MARGIN * se >= threshold, j
+
+
 def _find(parent: dict[int, int], x: int) -> int:
     while parent.setdefault(x, x) != x:
         parent[x] = parent[parent[x]]
@@ -165,11 +174,8 @@ def _candidates(rows: list[tuple], threshold: float) -> tuple[np.ndarray, ...]:
             z = np.zeros(len(x), np.int64)
             for word in bits:
                 z += np.bitwise_count(word[a[x]] ^ word[y])
-        # far pairs go by whole numbers: even if half of the differing bits met
-        near = np.flatnonzero(z <= 0.75 * (na[a[x]] + na[y]) * (1 - threshold) + 200 * (na[a[x]] > 600))
-        x, y, z = a[x[near]], y[near], z[near]
-        j, se = estimate(z, na[x], na[y], size[x], size[y])
-        ok = np.flatnonzero(j + MARGIN * se >= threshold)
+        x = a[x]
+        ok, j = may_link(z, na[x], na[y], size[x], size[y], threshold)
         x, y, j = x[ok], y[ok], j[ok]
         own = (marks[x] == marks[y]).argmax(1) == band
         out.append((x[own], y[own], j[own]))
