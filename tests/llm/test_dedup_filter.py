@@ -34,3 +34,15 @@ def test_small_sets_at_the_threshold_are_candidates(sizes):
 
 def test_no_jump_at_sets_that_nearly_fill_the_ranges():
     assert lost(pairs(np.random.default_rng(1), 1000, 855, 855, 760)) <= 10
+
+
+@pytest.mark.parametrize("sizes", [(300, 300, 267), (630, 630, 560), (855, 855, 760), (800, 1000, 800), (1350, 1350, 1200), (2250, 2250, 2000), (5000, 5000, 4445)])
+def test_estimate_has_no_bias_and_the_margin_loses_no_pair(sizes):
+    sets = pairs(np.random.default_rng(2), 2000, *sizes)
+    a, b = np.full(2000, float(sizes[0])), np.full(2000, float(sizes[1]))
+    bits, n = dedup.sketch(sets)
+    z = np.bitwise_count(bits[::2] ^ bits[1::2]).sum(1).astype(np.int64)
+    j, se = dedup.estimate(z, n[::2].astype(float), n[1::2].astype(float), a, b)
+    assert abs(j.mean() - sizes[2] / (sizes[0] + sizes[1] - sizes[2])) < 0.002
+    assert abs(j.std() / se.mean() - 1) < 0.15
+    assert lost(sets, 20) == 0

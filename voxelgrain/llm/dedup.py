@@ -117,28 +117,71 @@ def prepare(documents: DataFrame, shingle: int, id_col: str = "doc_id", text: st
     return stage(src.mapInArrow(_prepare(shingle), "id long, n_shingles long, key binary, bands array<long>, sketch binary, marks binary, samples int"), "dedup-sets")
 
 
+def _ranges(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, variance) of the samples in which two sets differ.
+
+    ``common`` shingles are in both sets, ``a`` and ``b`` in one alone; each
+    falls into one of the ranges. A range gives 1 if only one set has a sample
+    there and 2 if both have and the samples differ. The variance is that of
+    Poisson loads less what the known sizes explain.
+    """
+    c, a, b = common / SAMPLES, a / SAMPLES, b / SAMPLES
+    whole = np.maximum(c + a + b, 1e-9)
+    no_a, no_b, none = np.exp(-c - a), np.exp(-c - b), np.exp(-whole)
+    hit = (1 - none) / whole  # chance that the least hash is a given part, over its load
+    slope = (none * (1 + whole) - 1) / whole**2
+    one, two = no_a + no_b - 2 * none, np.maximum(1 - no_a - no_b + none - c * hit, 0)
+    mean = one + 2 * two
+    by_c, by_a, by_b = no_a + no_b - 2 * (hit + c * slope), no_a - 2 * c * slope, no_b - 2 * c * slope
+    var = one + 4 * two - mean**2 - c * by_c**2 - a * by_a**2 - b * by_b**2
+    return SAMPLES * mean, SAMPLES * np.maximum(var, 0)
+
+
 def estimate(z: np.ndarray, na: np.ndarray, nb: np.ndarray, sa: np.ndarray, sb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(similarity, standard error) from differing bits ``z``, samples and set sizes."""
+    """(similarity, standard error) from differing bits ``z``, samples and set sizes.
+
+    Of the ranges that the union fills, a share as large as the similarity has
+    one sample in both sets; how many are filled follows from the size of the
+    union, (sa + sb) / (1 + similarity). Newton steps solve for the similarity.
+    """
     n = float(SKETCH_BITS)
     differ = -n / 2 * np.log(np.maximum(1 - 2 * z / n, 1e-3))
-    both = np.maximum((na + nb - differ) / 2, 0)
-    both = np.minimum(both, np.minimum(na, nb))
-    collide = (na - both) * (nb - both) / np.maximum(SAMPLES - both, 1)
-    union = np.maximum(na + nb - both - collide, 1)
-    j = np.minimum(both / union, 1)
-    whole = np.maximum(sa + sb, 1) / (1 + j)  # size of the union of the full sets
+    # more or fewer ranges filled than the sizes let expect: the same holds of the union
+    scale = (2 - np.exp(-sa / SAMPLES) - np.exp(-sb / SAMPLES)) * SAMPLES / np.maximum(na + nb, 1)
+    both = np.clip((na + nb - differ) / 2, 0, np.minimum(na, nb)) * scale
+    j = np.minimum(both / np.maximum((na + nb) * scale - both, 1), 1)
+    for _ in range(4):
+        load = (sa + sb) / (1 + j) / SAMPLES
+        none = np.exp(-load)
+        filled = np.maximum(SAMPLES * (1 - none), 1)
+        slope = np.maximum(filled - SAMPLES * j * load * none / (1 + j), 0.1)
+        j = np.clip(j - (j * filled - both) / slope, 0, 1)
+    common = (sa + sb) * j / (1 + j)
+    _, var = _ranges(common, sa - common, sb - common)
     noise = np.maximum(n / 4 * (np.exp(np.minimum(4 * differ / n, 20)) - 1) - differ, 0.25)
-    var = np.maximum(j * (1 - j), 0.01) / union * np.clip(1 - union / whole, 0, 1) + noise * ((na + nb) / (2 * union * union)) ** 2
-    return j, np.sqrt(var)
+    return j, np.sqrt(var + noise) / (2 * slope)
 
 
-def may_link(z: np.ndarray, na: np.ndarray, nb: np.ndarray, sa: np.ndarray, sb: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(which pairs may reach the threshold, similarity of all pairs).
+def most_bits(sa: np.ndarray, sb: np.ndarray, threshold: float) -> np.ndarray:
+    """Most differing bits of a pair of sets of these sizes at the threshold.
 
-    The margin of standard errors is the only test, at every size of set.
+    Bits are allowed up to ``MARGIN`` standard errors over their mean, with
+    Bernstein's term for the tail of small counts. No pair has more than two for
+    each shingle that only one set has, so sparse ranges need no more.
     """
-    j, se = estimate(z, na, nb, sa, sb)
-    return j + MARGIN * se >= threshold, j
+    n = float(SKETCH_BITS)
+    common = (sa + sb) * threshold / (1 + threshold)
+    a, b = np.maximum(sa - common, 0), np.maximum(sb - common, 0)
+    differ, var = _ranges(common, a, b)
+    left = np.exp(-2 * differ / n)
+    spread = var * left**2 + n / 4 * (1 - left**2 * (1 + 4 * differ / n))
+    return np.minimum(2 * (a + b), n / 2 * (1 - left) + MARGIN * np.sqrt(spread) + MARGIN**2 / 3) + 1e-6
+
+
+def may_link(z: np.ndarray, na: np.ndarray, nb: np.ndarray, sa: np.ndarray, sb: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of the pairs that may reach the threshold, their similarity)."""
+    ok = np.flatnonzero(z <= most_bits(sa, sb, threshold))
+    return ok, estimate(z[ok], na[ok], nb[ok], sa[ok], sb[ok])[0]
 
 
 def _find(parent: dict[int, int], x: int) -> int:
@@ -176,7 +219,7 @@ def _candidates(rows: list[tuple], threshold: float) -> tuple[np.ndarray, ...]:
                 z += np.bitwise_count(word[a[x]] ^ word[y])
         x = a[x]
         ok, j = may_link(z, na[x], na[y], size[x], size[y], threshold)
-        x, y, j = x[ok], y[ok], j[ok]
+        x, y = x[ok], y[ok]
         own = (marks[x] == marks[y]).argmax(1) == band
         out.append((x[own], y[own], j[own]))
     a, b, j = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, int) for k in range(3))
