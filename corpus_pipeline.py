@@ -31,12 +31,19 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, 0.8)."""
-    found = dedup.near_duplicates(docs, shingle=5, per_cent=80)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    return left if repeated.isEmpty() else left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    """One document of each group of near copies (five words, 0.8).
+
+    Where ids repeat, every row stands for itself, so that only rows whose own
+    text has a copy go. Rows without words or without an id all stay.
+    """
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        found = dedup.near_duplicates(docs, shingle=5, per_cent=80)
+        gone = found.where(~F.col("kept")).select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = stage(docs.withColumn("_row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "pipeline-rows")
+    found = dedup.near_duplicates(rows, shingle=5, per_cent=80, id_col="_row").select("_row", "component_id")
+    first = found.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(F.struct("doc_id", "_row"))["_row"].alias("_row")).select("_row")
+    return rows.join(first, "_row", "left_semi").unionByName(rows.where("_row is null")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

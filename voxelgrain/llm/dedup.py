@@ -426,7 +426,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, per_cent: int = 80,
     union; a component's id is its least id and that row is kept. Rows without
     words, with a null text or a null id are linked with nothing and kept.
     Rows that repeat an id share its component; each repeat of the component's
-    own id is marked kept (``keep_first`` keeps one). An empty table gives none.
+    own id is marked kept. An empty table gives none.
     """
     docs = prepare(documents, shingle, id_col, text)
     live = docs.where(F.col("key").isNotNull() & F.col("id").isNotNull())
