@@ -218,14 +218,22 @@ def anisotropy(v: DataFrame, size: Size = (1, 1, 1)) -> DataFrame:
 
 
 def axes(v: DataFrame, size: Size = (1, 1, 1)) -> DataFrame:
-    """Full axis lengths of the ellipsoid with each object's second moments."""
+    """Full axis lengths of the ellipsoid with each object's second moments.
 
-    def f(pdf):
-        p = pdf[["z", "y", "x"]].to_numpy(float) * np.array(size)
-        e = np.linalg.eigvalsh(np.cov(p.T, bias=True) + np.diag(np.array(size) ** 2 / 12))
-        return {"major": float(4 * np.sqrt(e[2])), "minor": float(4 * np.sqrt(e[0]))}
+    Spark sums the moments; only one row an object goes to numpy.
+    """
+    at = {c: F.col(c).cast("double") * float(s) for c, s in zip("zyx", size, strict=True)}
+    m = v.groupBy("tomo", "label").agg(*[F.covar_pop(at[c], at[d]).alias(f"_{c}{d}") for c, d in ("zz", "zy", "zx", "yy", "yx", "xx")])
 
-    return per_object(v, "major double, minor double", f)
+    def work(batches):
+        for pdf in batches:
+            zz, zy, zx, yy, yx, xx = (pdf[c].to_numpy(float) for c in ("_zz", "_zy", "_zx", "_yy", "_yx", "_xx"))
+            cov = np.stack([zz, zy, zx, zy, yy, yx, zx, yx, xx], 1).reshape(-1, 3, 3)
+            e = np.linalg.eigvalsh(cov + np.diag(np.array(size) ** 2 / 12))
+            yield pdf[["tomo", "label"]].assign(major=4 * np.sqrt(e[:, 2]), minor=4 * np.sqrt(e[:, 0]))
+
+    types = dict(v.dtypes)
+    return m.mapInPandas(work, f"tomo {types['tomo']}, label {types['label']}, major double, minor double")
 
 
 def voxels_of(a: np.ndarray, lo: np.ndarray, name: str = "label") -> pd.DataFrame:
