@@ -153,7 +153,7 @@ query("nearest_neighbours", f"""{PAIRS}, b AS (SELECT tomo, id_a id, id_b o, dis
 query("top_structures", f"{NEAREST}, c AS (SELECT tomo, sl AS structure_label, count(*) AS objects FROM m WHERE sqrt(d2) <= 10 GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY tomo ORDER BY objects DESC, structure_label) AS rank FROM c QUALIFY rank <= 3")(lambda s, d: D.top_structures(D.nearest_structure(vesicles(s, d), structure(s, d)), 10.0, 3))
 query("top_n_per_structure", f"{NEAREST} SELECT tomo, sl AS structure_label, label, row_number() OVER (PARTITION BY tomo, sl ORDER BY d2, label) AS rank FROM m QUALIFY rank <= 2")(lambda s, d: D.top_n_per_structure(D.nearest_structure(vesicles(s, d), structure(s, d)), 2).select("tomo", "structure_label", "label", "rank"))
 query("direct_pairs")(lambda s, d: D.direct_pairs(D.pairwise(voxels(s, d), 20.0), voxels(s, d)).select("tomo", "id_a", "id_b", r6("distance", "distance")))
-# the same over all objects; DuckDB is too slow for these, brute force on a small table tests them
+# the same over all objects; no SQL, brute force on a small table tests them
 query("connected_components_whole")(lambda s, d: C.components(voxels(s, d)))
 query("largest_component_whole")(lambda s, d: C.largest_component(voxels(s, d)))
 query("components_size_filter_whole")(lambda s, d: C.components_filtered(voxels(s, d), 5).select(*V.POS, "label"))
