@@ -160,30 +160,39 @@ def lm_by_brute_force(rows):
     tokens = lambda t: [*words(t), b"\0end"]
     c = Counter(w for _, t in train for w in tokens(t))
     n, v = sum(c.values()), len(c)
-    two = Counter((a, b) for _, t in train for a, b in zip([b"\0begin", *tokens(t)], tokens(t), strict=False))
-    total, fan = Counter(), Counter()
-    for (a, _), k in two.items():
-        total[a] += k
-        fan[a] += 1
+    grams, total, fan = Counter(), Counter(), Counter()
+    for _, t in train:
+        line = [b"\0two", b"\0one", *tokens(t)]
+        grams.update(tuple(line[i : i + 3]) for i in range(len(line) - 2))
+        grams.update(tuple(line[i : i + 2]) for i in range(1, len(line) - 1))
+    for g, k in grams.items():
+        total[g[:-1]] += k
+        fan[g[:-1]] += 1
     out = {}
     for i, t in rows:
         base = score = known = 0
-        before = b"\0begin"
-        for w in tokens(t):
-            p = (c[w] + 0.5) / (n + 0.5 * (v + 1))
-            base += math.log10(p)
+        line = [b"\0two", b"\0one", *tokens(t)]
+        for k in range(2, len(line)):
+            w = line[k]
+            q = (c[w] + 0.5) / (n + 0.5 * (v + 1))
+            base += math.log10(q)
             known += c[w] > 0
-            q = max(two[before, w] - 0.75, 0) / total[before] + 0.75 * fan[before] / total[before] * p if total[before] else p
+            for context in ((line[k - 1],), (line[k - 2], line[k - 1])):
+                if total[context]:
+                    q = max(grams[*context, w] - 0.75, 0) / total[context] + 0.75 * fan[context] / total[context] * q
             score += math.log10(q)
-            before = w
         out[i] = (len(tokens(t)), known, n, base, score)
     return out
 
 
-def test_lm_equals_brute_force(docs):
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_lm_equals_brute_force(docs, shuffled):
     rows = [(x.doc_id, x.text) for x in docs.select("doc_id", "text").collect()]
     want = lm_by_brute_force(rows)
-    for x in lm.score(docs, crc_split("doc_id", 5) != 1, shards=3, chunk_bytes=100_000).collect():
+    d = docs.repartition(7, F.rand()) if shuffled else docs
+    got = lm.score(d, crc_split("doc_id", 5) != 1, chunk_bytes=100_000, shard_tokens=5_000 if shuffled else 50_000).collect()
+    assert len(got) == len(rows)
+    for x in got:
         tokens, known, n, base, score = want[x.doc_id]
         assert (x.n_tokens, x.n_known, x.train_tokens) == (tokens, known, n)
         assert abs(x.base_score - base) < 1e-6 and abs(x.score - score) < 0.03 * tokens
@@ -198,11 +207,36 @@ def test_lm_edges(edge, empty):
 
 def test_elias_fano_finds_what_is_there():
     r = np.random.default_rng(0)
-    for n in (0, 1, 50, 5000):
-        v = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
-        e = lm.EliasFano(*lm.EliasFano.build(v))
-        assert (e.find(v) == np.arange(len(v))).all() and (e.get(np.arange(len(v))) == v).all()
-        assert (e.find(v + np.uint64(1)) < 0).all() or n == 5000
+    for n, top in ((0, 64), (1, 64), (50, 64), (5000, 64), (5000, 13), (4000, 40)):
+        v = np.sort(r.integers(0, 2**top, n, dtype=np.uint64))
+        e = lm.EliasFano(*lm.EliasFano.parts(v))
+        assert (e.get(np.arange(n)) == v).all()
+        whole = np.zeros(n, np.int64), np.full(n, n)
+        found = e.search(*whole, v)
+        assert (v[found] == v).all()
+        other = r.integers(0, 2**top, n, dtype=np.uint64)
+        assert ((e.search(*whole, other) >= 0) == np.isin(other, v)).all()
+
+
+def test_successors_are_those_of_their_context():
+    r = np.random.default_rng(3)
+    words = np.unique(r.integers(16, 2**64, 40, dtype=np.uint64))
+    grams = Counter(tuple(g) for g in r.integers(0, 40, (900, 3)).tolist())
+    pairs = sorted({g[:2] for g in grams})
+    number = {p: k for k, p in enumerate(pairs)}
+    tri = sorted(grams)
+    trie = lm.Trie(words, np.array([a << 32 | b for a, b in pairs], np.uint64), np.array([number[g[:2]] << 32 | g[2] for g in tri], np.uint64), np.array([grams[g] for g in tri]))
+    assert (trie.find(words) == np.arange(40)).all()
+    every = np.array([(a, b) for a in range(-1, 40) for b in range(-1, 40)])
+    at = trie.successor(trie.to2, trie.second, every[:, 0], every[:, 1])
+    assert at.tolist() == [number.get((a, b), -1) for a, b in every.tolist()]
+    count, fan = trie.pair(np.arange(len(pairs)))
+    assert count.tolist() == [sum(k for g, k in grams.items() if g[:2] == p) for p in pairs]
+    assert fan.tolist() == [sum(g[:2] == p for g in grams) for p in pairs]
+    ask = np.array([(number[g[:2]], w) for g in tri for w in range(40)])
+    found = trie.successor(trie.to3, trie.third, ask[:, 0], ask[:, 1])
+    where = {g: k for k, g in enumerate(tri)}
+    assert found.tolist() == [where.get((*pairs[p], w), -1) for p, w in ask.tolist()]
 
 
 def test_langid(docs, edge, empty):

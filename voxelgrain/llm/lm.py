@@ -1,23 +1,30 @@
-"""Bigram language model in Elias-Fano tries, one trie for each shard of words.
-
-Texts are cut into chunks. A chunk sends each shard one block: the distinct
-words of that shard and their distinct successors, with counts in training
-texts. A shard adds up its blocks, builds a trie (level 1: words and their
-counts and back-off weights; level 2: successors and quantised discounted
-probabilities; monotone sequences and pointers in Elias-Fano form, in a
-memory-mapped file) and answers every block by context-relative successor
-search. Chunks then add up the log probabilities of their texts:
-
+"""Trigram language model in Elias-Fano tries, one trie for each shard of contexts.
+
+Texts are cut into chunks, which are written once. A chunk sends each shard one
+block: the part of its own trie (word, pair, trigram, with counts in training
+texts) whose contexts belong to that shard. A shard adds up its blocks, builds a
+trie and answers every block; chunks then add up the log probabilities of their
+texts. Shards are as many as the tokens call for, and the pairs of a frequent
+first word are spread over several of them by the second word.
+
+A trie has three levels in one memory map: words (ascending hashes), pairs and
+trigrams. Pointers between levels, running counts and the ids of successors are
+monotone sequences in Elias-Fano form, read by sampled select over the packed
+bits, never unpacked. Ids of successors are relative to their context: each
+range continues where the one before ended, and a successor is searched between
+the two pointers of its context only. Trigrams keep their discounted probability
+as one byte.
+
+    P(w | u v) = max(c(u v w) - D, 0) / c(u v) + D * successors(u v) / c(u v) * P(w | v)
     P(w | v) = max(c(v w) - D, 0) / c(v) + D * successors(v) / c(v) * P(w)
 
 with P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)). All counts cover all training
-texts, nothing is pruned, and what a block holds is counted before it is sent.
+texts and nothing is pruned. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import mmap
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,18 +34,30 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelgrain.llm.common import Hashes, slices, stage, words_of
+from voxelgrain.llm.common import Hashes, mix, offsets, slices, stage, words_of
 
 DISCOUNT = 0.75
 CHUNK_BYTES = 5_000_000
-#: Hashes of the marks before and after each text; words never hash to them.
-BEGIN, END = 1, 2
+SHARD_TOKENS = 2_000_000
+#: Least share of a chunk's trigrams for which a first word is reported as frequent:
+#: 20,000 words of a chunk, and of the corpus, at most.
+LEAST_SHARE = 1 / 20_000
+#: Hashes of the marks: two before each text, one after it, one to follow that.
+#: Words never hash to them.
+BEGIN2, BEGIN, END, AFTER = 1, 2, 3, 4
 LEVELS = 255
 LOWEST = -12.0
+LOW32 = 0xFFFFFFFF
+
+
+def small(a: np.ndarray) -> np.ndarray:
+    """Non-negative integers in the least type that holds them."""
+    top = int(a.max()) if len(a) else 0
+    return a.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max))
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    head = np.array([len(arrays), *[len(a.tobytes()) for a in arrays]], np.int64).tobytes()
+    head = np.array([len(arrays), *[a.nbytes for a in arrays]], np.int64).tobytes()
     kinds = b"".join(a.dtype.str.encode().ljust(8) for a in arrays)
     return zstandard.ZstdCompressor(level=1).compress(head + kinds + b"".join(a.tobytes() for a in arrays))
 
@@ -68,236 +87,372 @@ def dequantise(code: np.ndarray) -> np.ndarray:
 
 
 class EliasFano:
-    """A non-decreasing sequence: low bits plain, high bits in unary."""
+    """A non-decreasing sequence of 64-bit values in packed form.
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.l, self.low = n, np.uint64(low_bits), low
-        bits = np.unpackbits(high)
-        # select directories: of the ones (items) and the zeros (ends of buckets)
-        self.ones = np.flatnonzero(bits)[:n]
-        self.ends = np.flatnonzero(bits == 0) - np.arange(len(bits) - int(bits.sum()))
+    ``low`` holds l bits of each item, ``high`` the rest in unary, ``rank`` the
+    ones before every eighth word of ``high``.
+    """
+
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, rank: np.ndarray):
+        self.n, self.l, self.low, self.high, self.rank = n, low_bits, low, high, rank
 
     @staticmethod
-    def build(values: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray]:
-        """(n, low bits, low, high) of ascending 64-bit values."""
+    def parts(values: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
+        """(n, low bits, low, high, rank) of ascending values."""
         n = len(values)
+        values = values.astype(np.uint64)
         top = int(values[-1]) if n else 0
         l = max(0, (top // max(1, n)).bit_length() - 1)  # noqa: E741
-        low = (values & np.uint64((1 << l) - 1)).astype(np.uint32 if l <= 32 else np.uint64)
-        high = (values >> np.uint64(l)).astype(np.int64)
-        bits = np.zeros(n + (int(high[-1]) if n else 0) + 1, np.uint8)
-        bits[high + np.arange(n)] = 1
-        return n, l, low, np.packbits(bits)
+        low = np.zeros(n * l // 64 + 2, np.uint64)
+        if l and n:
+            rest = values & np.uint64((1 << l) - 1)
+            off = (np.arange(n) * l % 64).astype(np.uint64)
+            words = (n * l - l) // 64 + 1  # words in which an item starts; none is skipped
+            first = -(-64 * np.arange(words) // l)
+            low[:words] = np.add.reduceat(rest << off, first)  # bits of items don't meet: a sum joins them
+            last = np.append(first[1:], n) - 1
+            over = np.flatnonzero(off[last].astype(np.int64) + l > 64)
+            low[over + 1] |= rest[last[over]] >> (np.uint64(64) - off[last[over]])
+        top_bits = (values >> np.uint64(l)).astype(np.int64)
+        bits = np.zeros(-(-(n + (int(top_bits[-1]) if n else 0) + 1) // 512) * 512, np.uint8)
+        bits[top_bits + np.arange(n)] = 1
+        high = np.packbits(bits, bitorder="little").view(np.uint64)
+        rank = offsets(np.bitwise_count(high).reshape(-1, 8).sum(1))[:-1].astype(np.uint32)
+        return n, l, low, high, rank
 
     def get(self, at: np.ndarray) -> np.ndarray:
-        return (self.ones[at] - at).astype(np.uint64) << self.l | self.low[at].astype(np.uint64)
-
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """Index of each value, -1 for those not in the sequence."""
-        high = (values >> self.l).astype(np.int64)
-        ok = high < len(self.ends)
-        high = np.where(ok, high, 0)
-        if not self.n:
-            return np.full(len(values), -1)
-        lo = np.where(high > 0, self.ends[np.maximum(high - 1, 0)], 0)
-        hi, low = self.ends[high], (values & np.uint64((1 << int(self.l)) - 1)).astype(self.low.dtype)
-        end = hi.copy()
-        while (open_ := lo < hi).any():  # buckets hold two items on average
-            mid = (lo + hi) // 2
-            less = open_ & (self.low[np.minimum(mid, self.n - 1)] < low)
-            lo = np.where(less, mid + 1, lo)
-            hi = np.where(open_ & ~less, mid, hi)
-        at = np.minimum(lo, self.n - 1)
-        return np.where(ok & (lo < end) & (self.low[at] == low), lo, -1)
+        """Items at these indexes, each below n."""
+        block = np.searchsorted(self.rank, at, "right") - 1
+        left, word = at - self.rank[block], block * 8
+        for _ in range(7):  # the word of the block that holds the one sought
+            ones = np.bitwise_count(self.high[word])
+            on = left >= ones
+            if not on.any():
+                break
+            left, word = left - on * ones, word + on
+        x, bit = self.high[word], np.zeros(len(at), np.int64)
+        for step in (32, 16, 8, 4, 2, 1):
+            ones = np.bitwise_count(x & np.uint64((1 << step) - 1))
+            on = left >= ones
+            left, bit, x = left - on * ones, bit + on * step, np.where(on, x >> np.uint64(step), x)
+        top = (word * 64 + bit - at).astype(np.uint64) << np.uint64(self.l)
+        if not self.l:
+            return top
+        off = at * self.l
+        w, o = off >> 6, (off & 63).astype(np.uint64)
+        rest = self.low[w] >> o
+        over = o.astype(np.int64) + self.l > 64
+        rest = np.where(over, rest | self.low[w + 1] << (np.where(over, np.uint64(64) - o, np.uint64(0))), rest)
+        return top | rest & np.uint64((1 << self.l) - 1)
+
+    def search(self, lo: np.ndarray, hi: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Index of each value within [lo, hi), -1 where it is not there."""
+        out = np.full(len(values), -1, np.int64)
+        live = np.flatnonzero(lo < hi)
+        lo, hi, values = lo[live], hi[live], values[live]
+        while len(live):
+            mid = (lo + hi) >> 1
+            got = self.get(mid)
+            hit = got == values
+            out[live[hit]] = mid[hit]
+            less = got < values
+            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+            on = np.flatnonzero(~hit & (lo < hi))
+            live, lo, hi, values = live[on], lo[on], hi[on], values[on]
+        return out
+
+
+def relative(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Ids that ascend in each range, made one ascending sequence.
+
+    Every range is raised by the last value of the ranges before it.
+    """
+    fan = np.diff(starts)
+    full = np.flatnonzero(fan)
+    if not len(full):
+        return ids.astype(np.uint64)
+    base = offsets(ids[starts[1:][full] - 1].astype(np.int64) + 1)[:-1]
+    return (ids + np.repeat(base, fan[full])).astype(np.uint64)
 
 
 class Trie:
-    """Words and successors of one shard, in a memory-mapped unnamed file."""
-
-    def __init__(self, word: np.ndarray, count: np.ndarray, pair_word: np.ndarray, pair_next: np.ndarray, pair_count: np.ndarray, discount: float = DISCOUNT):
-        """``word`` ascends; ``pair_word`` is an index into it; (word, next) ascends."""
-        fan = np.bincount(pair_word, minlength=len(word))
-        self.meta, self.at, parts = [], [], []
-        starts = np.concatenate([[0], np.cumsum(fan)]).astype(np.uint64)
-        follow = pair_word.astype(np.uint64) << np.uint64(32) | pair_next
-        total = np.bincount(pair_word, pair_count, len(word))
-        share = np.maximum(pair_count - discount, 0) / np.maximum(total, 1)[pair_word]
-        weight = np.where(total > 0, discount * fan / np.maximum(total, 1), 1.0)
-        for values in (word, starts, follow):
-            n, low_bits, low, high = EliasFano.build(values)
-            self.meta.append((n, low_bits))
-            parts += [low, high]
-        parts += [count.astype(np.int64), weight.astype(np.float32), quantise(share)]
-        self.file = tempfile.TemporaryFile()
-        at = 0
-        for p in parts:
-            raw = p.tobytes()
-            self.file.write(raw + b"\0" * (-len(raw) % 8))
-            self.at.append((at, p.dtype, len(p)))
-            at += len(raw) + -len(raw) % 8
-        self.file.write(b"\0" * 8)
-        self.file.flush()
-        self.map = mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ)
-        view = [np.frombuffer(self.map, kind, n, a) for a, kind, n in self.at]
-        self.words, self.starts, self.follow = (EliasFano(*self.meta[k], view[2 * k], view[2 * k + 1]) for k in range(3))
-        self.count, self.weight, self.share = view[6:]
-
-    def look(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index or -1, count, back-off weight) of words."""
-        at = self.words.find(word)
-        known, safe = at >= 0, np.maximum(at, 0)
-        if not len(self.count):
-            return at, np.zeros(len(at), np.int64), np.ones(len(at), np.float32)
-        return at, np.where(known, self.count[safe], 0), np.where(known, self.weight[safe], np.float32(1))
-
-    def successors(self, context: np.ndarray, nxt: np.ndarray) -> np.ndarray:
-        """Quantised shares of the successors ``nxt`` of contexts (indexes, -1: none)."""
-        known = np.flatnonzero(context >= 0)
-        code = np.zeros(len(context), np.uint8)
-        if len(known) and len(self.share):
-            at = self.follow.find(context[known].astype(np.uint64) << np.uint64(32) | nxt[known])
-            hit = np.flatnonzero(at >= 0)
-            # context-relative: a hit lies between the context's two pointers
-            c = context[known[hit]]
-            inside = (at[hit] >= self.starts.get(c)) & (at[hit] < self.starts.get(c + 1))
-            code[known[hit[inside]]] = self.share[at[hit[inside]]]
-        return code
-
-    def close(self) -> None:
-        self.words = self.starts = self.follow = self.count = self.weight = self.share = None
-        self.map = None
-        self.file.close()
-
-
-def _chunks(shards: int, chunk_bytes: int, texts: bool):
-    """Rows (chunk, shard, data): one of the texts (shard -1), or one for each shard.
-
-    Chunks are numbered by partition; both kinds come from the same scan, whose
-    partitions Spark plans the same way each time.
+    """Words, pairs and trigrams of one shard, in one memory map without a file.
+
+    ``words``: ascending hashes; ``pairs``: ascending first << 32 | second;
+    ``trigrams``: ascending pair << 32 | third, all as indexes; ``counts`` of
+    the trigrams are positive.
+    """
+
+    def __init__(self, words: np.ndarray, pairs: np.ndarray, trigrams: np.ndarray, counts: np.ndarray, discount: float = DISCOUNT):
+        n1, n2 = len(words), len(pairs)
+        parent = (trigrams >> np.uint64(32)).astype(np.int64)
+        to3 = offsets(np.bincount(parent, minlength=n2))
+        to2 = offsets(np.bincount((pairs >> np.uint64(32)).astype(np.int64), minlength=n1))
+        running = np.zeros(len(counts) + 1, np.int64)
+        np.cumsum(counts, out=running[1:])
+        total = running[to3]
+        share = quantise(np.maximum(counts - discount, 0) / np.maximum(np.diff(total), 1)[parent])
+        made = [EliasFano.parts(v) for v in (words, to2, to3, total, relative((pairs & np.uint64(LOW32)).astype(np.int64), to2), relative((trigrams & np.uint64(LOW32)).astype(np.int64), to3))]
+        arrays = [a for p in made for a in p[2:]] + [share]
+        at = offsets([-(-a.nbytes // 8) * 8 for a in arrays])
+        self.map = mmap.mmap(-1, int(at[-1]) + 8)
+        view = []
+        for a, p in zip(arrays, at, strict=False):
+            v = np.frombuffer(self.map, a.dtype, len(a), int(p))
+            v[:] = a
+            view.append(v)
+        self.words, self.to2, self.to3, self.total, self.second, self.third = (EliasFano(*made[k][:2], *view[3 * k : 3 * k + 3]) for k in range(6))
+        self.share = view[-1]
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Index of each word, -1 where unknown."""
+        n = len(hashes)
+        return self.words.search(np.zeros(n, np.int64), np.full(n, self.words.n, np.int64), hashes)
+
+    @staticmethod
+    def _range(pointer: EliasFano, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and end of the nodes under ``at`` (-1: none)."""
+        safe = np.maximum(at, 0)
+        lo, hi = pointer.get(safe).astype(np.int64), pointer.get(safe + 1).astype(np.int64)
+        return lo, np.where(at >= 0, hi, lo)
+
+    def _counts(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        return (self.total.get(hi) - self.total.get(lo)).astype(np.int64)
+
+    def word(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(count, successors) of words."""
+        lo, hi = self._range(self.to2, at)
+        return self._counts(lo, hi), hi - lo
+
+    def pair(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(count, successors) of pairs."""
+        safe = np.maximum(at, 0)
+        lo, hi = self._range(self.to3, at)
+        return np.where(at >= 0, self._counts(safe, np.minimum(safe + 1, self.total.n - 1)), 0), hi - lo
+
+    def successor(self, pointer: EliasFano, ids: EliasFano, context: np.ndarray, nxt: np.ndarray) -> np.ndarray:
+        """Node of ``nxt`` among the successors of ``context`` only, or -1."""
+        lo, hi = self._range(pointer, np.where(nxt >= 0, context, -1))
+        if not ids.n:
+            return np.full(len(lo), -1, np.int64)
+        base = np.where(lo > 0, ids.get(np.minimum(np.maximum(lo - 1, 0), ids.n - 1)).astype(np.int64) + 1, 0)
+        return ids.search(lo, hi, (base + np.maximum(nxt, 0)).astype(np.uint64))
+
+    def shares(self, at: np.ndarray) -> np.ndarray:
+        """One byte for the discounted probability of each trigram (-1: none)."""
+        return np.where(at >= 0, self.share[np.maximum(at, 0)], 0).astype(np.uint8) if len(self.share) else np.zeros(len(at), np.uint8)
+
+
+class Layout:
+    """A chunk's own trie, its nodes in the order in which shards hold them.
+
+    ``words`` are the chunk's ascending hashes, ``tokens`` indexes into them,
+    ``size`` the tokens of each text with its marks.
     """
 
+    def __init__(self, words: np.ndarray, tokens: np.ndarray, size: np.ndarray, learn: np.ndarray, hot: tuple[np.ndarray, np.ndarray], shards: int):
+        ends = np.cumsum(size)
+        open_ = np.ones(len(tokens), bool)
+        open_[ends - 1] = open_[ends - 2] = False
+        self.at = np.flatnonzero(open_)  # where a trigram begins
+        t = tokens.astype(np.int64)
+        pair, in_pair = np.unique(t[self.at] << 32 | t[self.at + 1], return_inverse=True)
+        tri, in_tri = np.unique(in_pair.astype(np.int64) << 32 | t[self.at + 2], return_inverse=True)
+        first, second, parent = pair >> 32, pair & LOW32, tri >> 32
+        count = np.bincount(in_tri, np.repeat(learn, size)[self.at], len(tri)).astype(np.int64)
+        parts = np.ones(len(words), np.int64)
+        if len(hot[0]):
+            k = np.minimum(np.searchsorted(hot[0], words), len(hot[0]) - 1)
+            parts = np.where(hot[0][k] == words, hot[1][k], 1)
+        shard_of = lambda w, part: (mix(words[w] + np.uint64(0x9E3779B97F4A7C15) * part.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+        shard = shard_of(first, (mix(words[second]) % parts[first].astype(np.uint64)))
+        order = np.argsort(shard, kind="stable")
+        rank = np.empty(len(pair), np.int64)
+        rank[order] = np.arange(len(pair))
+        order3 = np.argsort(rank[parent], kind="stable")
+        rank3 = np.empty(len(tri), np.int64)
+        rank3[order3] = np.arange(len(tri))
+        self.first, self.second, self.shard = first[order], second[order], shard[order]
+        self.parent, self.third, self.count = rank[parent[order3]], (tri & LOW32)[order3], count[order3]
+        self.in_pair, self.in_tri = rank[in_pair], rank3[in_tri]
+        # a word is asked about wherever its pairs may be
+        split = np.flatnonzero(parts > 1)
+        split = split[np.isin(split, first)]
+        every = np.repeat(split, parts[split])
+        part = np.arange(len(every)) - np.repeat(offsets(parts[split])[:-1], parts[split])
+        asked = np.unique(np.concatenate([self.shard << 32 | self.first, shard_of(every, part) << 32 | every]))
+        self.asked, self.asked_shard = asked & LOW32, asked >> 32
+        self.words, self.shards = words, shards
+
+    def blocks(self) -> Iterator[tuple[int, bytes]]:
+        """(shard, block): words asked, their pairs and trigrams, by a dictionary."""
+        cut1, cut2 = (np.searchsorted(s, np.arange(self.shards + 1)) for s in (self.asked_shard, self.shard))
+        cut3 = np.searchsorted(self.parent, cut2)
+        for s in np.unique(self.asked_shard).tolist():
+            a, p, t = slice(cut1[s], cut1[s + 1]), slice(cut2[s], cut2[s + 1]), slice(cut3[s], cut3[s + 1])
+            used, at = np.unique(np.concatenate([self.asked[a], self.second[p], self.third[t]]), return_inverse=True)
+            n1, n2 = len(self.asked[a]), len(self.second[p])
+            fan1 = np.bincount(np.searchsorted(self.asked[a], self.first[p]), minlength=n1)
+            fan2 = np.bincount(self.parent[t] - cut2[s], minlength=n2)
+            yield s, pack(self.words[used], *map(small, (at[:n1], fan1, at[n1 : n1 + n2], fan2, at[n1 + n2 :], self.count[t])))
+
+
+def _chunks(chunk_bytes: int):
+    """Rows (chunk, tokens, entries, hot, data): the texts of a chunk as word numbers."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes(31)
-        number = TaskContext.get().partitionId() << 32
-
-        def made(rows: list) -> pa.RecordBatch:
-            docs = [np.concatenate([np.array([BEGIN], np.uint64), np.maximum(h, np.uint64(16)), np.array([END], np.uint64)]) for _, h, _ in rows]
-            size = np.array([len(d) for d in docs])
-            flat = np.concatenate(docs)
-            # words in the order of shard and hash
-            word, word_at = np.unique(flat, return_inverse=True)
-            shard = (word % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            place = np.empty(len(word), np.int64)
-            place[order] = np.arange(len(word))
-            word, shard, at = word[order], shard[order], place[word_at]
-            last = np.zeros(len(flat), bool)
-            ends = np.cumsum(size) - 1
-            last[ends] = True
-            first = np.flatnonzero(~last)
-            learn = np.repeat(np.array([r[2] for r in rows], bool), size)
-            key = at[first] << 32 | at[first + 1]
-            pair, index = np.unique(key, return_inverse=True)
-            pair_word, pair_word2 = pair >> 32, pair & 0xFFFFFFFF
-            pair_count = np.bincount(index, learn[first], len(pair)).astype(np.uint32)
-            begin = word == BEGIN
-            word_count = np.bincount(at, learn, len(word))
-            word_count[begin] = 0  # the mark before a text is no token
-            word_count = word_count.astype(np.uint32)
+        hashes, number = Hashes(31), TaskContext.get().partitionId() << 32
+        rows, held = [], 0
+
+        def made() -> pa.RecordBatch:
+            marks = np.array([BEGIN2, BEGIN], np.uint64), np.array([END, AFTER], np.uint64)
+            texts = [np.concatenate([marks[0], h, marks[1]]) for _, h, _ in rows]
+            size, flat = np.array([len(t) for t in texts]), np.concatenate(texts)
+            words, tokens = np.unique(flat, return_inverse=True)
+            learn = np.array([bool(r[2]) for r in rows])
+            # frequent first words of training trigrams, with how many there are
+            n = np.bincount(tokens, np.repeat(learn, size), len(words)).astype(np.int64)
+            n[np.searchsorted(words, [END, AFTER])] = 0
+            often = np.flatnonzero(n > max(1, LEAST_SHARE * n.sum()))
             ids = np.array([r[0] if r[0] is not None else 0 for r in rows], np.int64)
             none = np.array([r[0] is None for r in rows], np.uint8)
-            held = np.array([2 if r[2] is None else int(not r[2]) for r in rows], np.uint8)
-            if texts:
-                return row([(number_now, -1, pack(ids, none, held, size - 1, index.astype(np.int32), pair_word.astype(np.int32), pair_word2.astype(np.int32)))])
-            out = []
-            cut_w, cut_p = np.searchsorted(shard, np.arange(shards + 1)), np.searchsorted(shard[pair_word], np.arange(shards + 1))
-            for s in np.unique(shard).tolist():
-                a, b, c, d = cut_w[s], cut_w[s + 1], cut_p[s], cut_p[s + 1]
-                out.append((number_now, s, pack(word[a:b], word_count[a:b], (pair_word[c:d] - a).astype(np.int32), (word[pair_word2[c:d]] & np.uint64(0xFFFFFFFF)).astype(np.uint32), pair_count[c:d])))
-            return row(out)
-
-        def row(out: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], names=["chunk", "shard", "data"])
-
-        held_rows, held_bytes, number_now = [], 0, number
+            held_out = np.array([2 if r[2] is None else int(not r[2]) for r in rows], np.uint8)
+            data = pack(words, small(tokens), size, ids, none, held_out)
+            hot = [[{"h": h, "n": c} for h, c in zip(words[often].astype(np.int64).tolist(), n[often].tolist(), strict=True)]]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([number], pa.int64()), pa.array([int(size.sum())], pa.int64()), pa.array([int(n.sum())], pa.int64()), pa.array(hot, pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))), pa.array([data], pa.binary())],
+                names=["chunk", "tokens", "entries", "hot", "data"],
+            )
+
         for b in slices(batches, "_text", min(chunk_bytes, 2_000_000)):
             for i, t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 # words are kept as hashes only: a chunk's memory is bounded by its text
-                held_rows.append((i, hashes.of(words_of(t)), y))
-                held_bytes += 16 + len(t or "")
-                if held_bytes >= chunk_bytes:
-                    yield made(held_rows)
-                    held_rows, held_bytes, number_now = [], 0, number_now + 1
-        if held_rows:
-            yield made(held_rows)
+                rows.append((i, np.maximum(hashes.of(words_of(t)), np.uint64(16)), y))
+                held += 16 + len(t or "")
+                if held >= chunk_bytes:
+                    yield made()
+                    rows, held, number = [], 0, number + 1
+        if rows:
+            yield made()
+
+    return work
+
+
+def _layout(data: bytes, hot: tuple[np.ndarray, np.ndarray], shards: int) -> tuple[Layout, list[np.ndarray]]:
+    words, tokens, size, ids, none, held = unpack(data)
+    return Layout(words, tokens, size, held == 0, hot, shards), [tokens.astype(np.int64), size, ids, none, held]
+
+
+def _blocks(hot, shards: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                got = list(_layout(data.as_py(), hot.value, shards)[0].blocks())
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(got), pa.int64()), pa.array([s for s, _ in got], pa.int32()), pa.array([d for _, d in got], pa.binary())], names=["chunk", "shard", "data"])
+
+    return work
+
+
+def build(blocks: Iterator[list[np.ndarray]], vocabulary: np.ndarray, discount: float = DISCOUNT) -> Trie:
+    """The trie of the training trigrams of all blocks."""
+    keys, counts = [], []
+    for words, asked, fan1, second, fan2, third, count in blocks:
+        place = np.searchsorted(vocabulary, words).astype(np.uint64)
+        first = np.repeat(place[asked], fan1)
+        seen = np.flatnonzero(count)
+        pair = np.repeat(first << np.uint64(32) | place[second], fan2)[seen]
+        keys.append(np.stack([pair, place[third[seen]]]))
+        counts.append(count[seen].astype(np.int64))
+    pair, third = np.concatenate(keys, 1) if keys else np.zeros((2, 0), np.uint64)
+    del keys
+    pairs, at = np.unique(pair, return_inverse=True)
+    del pair
+    trigrams, at = np.unique(at.astype(np.uint64) << np.uint64(32) | third, return_inverse=True)
+    return Trie(vocabulary, pairs, trigrams, np.bincount(at, np.concatenate(counts) if counts else None, len(trigrams)).astype(np.int64), discount)
+
+
+def _answer(hot):
+    def work(table: pa.Table) -> pa.Table:
+        """Build one shard's trie from its blocks and answer each of them."""
+        shard, data = table.column("shard")[0].as_py(), table.column("data")
+        vocabulary = np.unique(np.concatenate([unpack(d.as_py())[0] for d in data]))
+        trie = build((unpack(d.as_py()) for d in data), vocabulary)
+        out = []
+        for d in data:
+            words, asked, fan1, second, fan2, third, _ = unpack(d.as_py())
+            place = trie.find(words)
+            pair = trie.successor(trie.to2, trie.second, np.repeat(place[asked], fan1), place[second])
+            tri = trie.successor(trie.to3, trie.third, np.repeat(pair, fan2), place[third])
+            out.append(pack(*map(small, (*trie.word(place[asked]), *trie.pair(pair))), trie.shares(tri)))
+        count, _ = trie.word(np.arange(len(vocabulary)))
+        mark = np.isin(vocabulary, np.array([BEGIN2, BEGIN], np.uint64))
+        texts, tokens = int(count[vocabulary == BEGIN].sum()), int(count[~mark].sum())
+        types = int(((count > 0) & ~mark & ~np.isin(vocabulary, hot.value[0])).sum())
+        n = len(out)
+        cols = {"chunk": pa.array([*table.column("chunk").to_pylist(), -1], pa.int64()), "shard": pa.array([shard] * (n + 1), pa.int32()), "data": pa.array([*out, b""], pa.binary())}
+        return pa.table(cols | {k: pa.array([0] * n + [v], pa.int64()) for k, v in (("texts", texts), ("tokens", tokens), ("types", types))})
 
     return work
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """Build one shard's trie from its blocks and answer each of them."""
-    shard = table.column("shard")[0].as_py()
-    blocks = [unpack(d.as_py()) for d in table.column("data")]
-    all_words = np.concatenate([b[0] for b in blocks])
-    word, at = np.unique(all_words, return_inverse=True)
-    count = np.bincount(at, np.concatenate([b[1] for b in blocks]), len(word)).astype(np.int64)
-    base, parts, counts = 0, [], []
-    for b in blocks:
-        seen = np.flatnonzero(b[4])
-        parts.append(at[base + b[2][seen]].astype(np.uint64) << np.uint64(32) | b[3][seen])
-        counts.append(b[4][seen])
-        base += len(b[0])
-    key = np.concatenate(parts)
-    pair, index = np.unique(key, return_inverse=True)
-    pair_count = np.bincount(index, np.concatenate(counts), len(pair))
-    trie = Trie(word, count, (pair >> np.uint64(32)).astype(np.int64), pair & np.uint64(0xFFFFFFFF), pair_count)
-    out = []
-    for b in blocks:
-        place, c, weight = trie.look(b[0])
-        out.append(pack(c, weight, trie.successors(place[b[2]], b[3].astype(np.uint64))))
-    trie.close()
-    chunk = table.column("chunk").to_pylist()
-    n = len(out)
-    return pa.table({"chunk": pa.array([*chunk, -1], pa.int64()), "shard": pa.array([shard] * (n + 1), pa.int32()), "data": pa.array([*out, b""], pa.binary()), "tokens": pa.array([0] * n + [int(count.sum())], pa.int64()), "types": pa.array([0] * n + [int((count > 0).sum())], pa.int64())})
-
-
-def score(documents: DataFrame, train: Column, id_col: str = "doc_id", text: str = "text", shards: int | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def score(documents: DataFrame, train: Column, id_col: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of all texts.
 
     ``train`` tells which rows are learned from; null counts as held out with a
-    null mark. Null and empty texts are the end mark alone. Ids may be null and
-    may repeat: rows are scored one by one, and a repeated training row counts
-    each time. With no training rows N is 0 and every token is equally unlikely;
-    an empty table gives no rows. Other columns are not read.
+    null mark. Null and empty texts are the end mark alone; a very long text is
+    a chunk of its own and is scored whole. Ids may be null and may repeat: rows
+    are scored one by one, and a repeated training row counts each time. With no
+    training rows N is 0 and every token is equally unlikely; an empty table
+    gives no rows. Other columns are not read.
     """
     spark = documents.sparkSession
-    shards = shards or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = documents.select(F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_text"), train.cast("boolean").alias("_train"))
-    made = lambda texts: src.mapInArrow(_chunks(shards, chunk_bytes, texts), "chunk long, shard int, data binary")
-    answers = made(False).groupBy("shard").applyInArrow(_answer, "chunk long, shard int, data binary, tokens long, types long")
-    answers = stage(answers, "lm-answers")
-    total = answers.where(F.col("chunk") < 0).agg(F.sum("tokens"), F.sum("types")).first()
-    n, v = int(total[0] or 0), int(total[1] or 0)
+    chunks = stage(src.mapInArrow(_chunks(chunk_bytes), "chunk long, tokens long, entries long, hot array<struct<h:long,n:long>>, data binary"), "lm-chunks")
+    all_tokens, entries = chunks.agg(F.sum("tokens"), F.sum("entries")).first()
+    shards = max(1, -(-int(all_tokens or 0) // shard_tokens))
+    # first words that fill more than a shard: at most 1 / LEAST_SHARE words
+    often = chunks.select(F.explode("hot").alias("w")).groupBy("w.h").agg(F.sum("w.n").alias("n")).where(F.col("n") > int(entries or 0) * max(LEAST_SHARE, 1 / shards)).toPandas()
+    hashes, n = often["h"].to_numpy(np.int64).astype(np.uint64), often["n"].to_numpy(np.int64)
+    order = np.argsort(hashes)
+    hot_words, hot_parts = hashes[order], -(-n[order] * shards // max(1, int(entries or 0)))
+    hot = spark.sparkContext.broadcast((hot_words, hot_parts))
+    blocks = chunks.select("chunk", "data").mapInArrow(_blocks(hot, shards), "chunk long, shard int, data binary")
+    answers = stage(blocks.groupBy("shard").applyInArrow(_answer(hot), "chunk long, shard int, data binary, texts long, tokens long, types long"), "lm-answers")
+    texts, tokens, types = (int(x or 0) for x in answers.where(F.col("chunk") < 0).agg(F.sum("texts"), F.sum("tokens"), F.sum("types")).first())
+    total = tokens + texts
+    kinds = types + int((~np.isin(hot_words, np.array([BEGIN2, BEGIN], np.uint64))).sum()) + (texts > 0)
     codes = answers.where(F.col("chunk") >= 0).groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("shard", "data"))).alias("codes"))
-    joined = made(True).select("chunk", "data").join(codes, "chunk").select("data", F.transform("codes", lambda c: c["data"]).alias("codes"))
+    joined = chunks.select("chunk", "data").join(codes, "chunk").select("data", F.transform("codes", lambda c: c["data"]).alias("codes"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                ids, none, held, size, index, pair_word, pair_word2 = unpack(b.column(0)[k].as_py())
+                lay, (tok, size, ids, none, held) = _layout(b.column(0)[k].as_py(), hot.value, shards)
                 got = [unpack(c) for c in b.column(1)[k].as_py()]
-                count, weight, code = (np.concatenate([g[j] for g in got]) for j in range(3))
-                p1 = (count + 0.5) / (n + 0.5 * (v + 1))
-                p2 = dequantise(code) + weight[pair_word].astype(np.float64) * p1[pair_word2]
-                doc = np.repeat(np.arange(len(ids)), size)
-                word = pair_word2[index]
-                sums = [np.bincount(doc, x, len(ids)) for x in (np.log10(p1)[word], np.log10(p2)[index], (count > 0)[word])]
+                count1, fan1, count2, fan2, code = (np.concatenate([g[j] for g in got]) for j in range(5))
+                count = np.bincount(lay.asked, count1, len(lay.words))
+                fan = np.bincount(lay.asked, fan1, len(lay.words))
+                own = count.copy()
+                own[np.searchsorted(lay.words, END)] = texts
+                p1 = (own + 0.5) / (total + 0.5 * (kinds + 1))
+                # a pair's probability after its first word, a trigram's after its pair
+                c1 = np.maximum(count, 1)
+                p2 = np.maximum(count2 - DISCOUNT, 0) / c1[lay.first] + np.where(count > 0, DISCOUNT * fan / c1, 1.0)[lay.first] * p1[lay.second]
+                back = np.where(count2 > 0, DISCOUNT * fan2 / np.maximum(count2, 1), 1.0)
+                # of the n + 2 trigrams of a text the last only carries its pair
+                n_of = size - 3
+                starts = offsets(size - 2)[:-1]
+                doc = np.repeat(np.arange(len(ids)), n_of)
+                here = np.arange(len(doc)) - np.repeat(offsets(n_of)[:-1] - starts, n_of)
+                word = tok[lay.at[here] + 2]
+                p3 = dequantise(code)[lay.in_tri[here]] + back[lay.in_pair[here]] * p2[lay.in_pair[here + 1]]
+                sums = [np.bincount(doc, x, len(ids)) for x in (np.log10(p1)[word], np.log10(p3), (own > 0)[word])]
                 cols = [
                     pa.array(ids, pa.int64(), mask=none.astype(bool)),
                     pa.array(held == 1, pa.bool_(), mask=held == 2),
-                    pa.array(size.astype(np.int64)),
+                    pa.array(n_of, pa.int64()),
                     pa.array(sums[2].astype(np.int64)),
-                    pa.array(np.full(len(ids), n), pa.int64()),
+                    pa.array(np.full(len(ids), total), pa.int64()),
                     pa.array(sums[0], pa.float64()),
                     pa.array(sums[1], pa.float64()),
                 ]
