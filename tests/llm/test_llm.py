@@ -212,10 +212,11 @@ def test_elias_fano_finds_what_is_there():
         e = lm.EliasFano(*lm.EliasFano.parts(v))
         assert (e.get(np.arange(n)) == v).all()
         whole = np.zeros(n, np.int64), np.full(n, n)
-        found = e.search(*whole, v)
+        bounds = np.zeros(n, np.uint64), np.full(n, 2**top - 1, np.uint64)
+        found = e.search(*whole, v, *bounds)
         assert (v[found] == v).all()
         other = r.integers(0, 2**top, n, dtype=np.uint64)
-        assert ((e.search(*whole, other) >= 0) == np.isin(other, v)).all()
+        assert ((e.search(*whole, other, *bounds) >= 0) == np.isin(other, v)).all()
 
 
 def test_successors_are_those_of_their_context():
@@ -228,13 +229,14 @@ def test_successors_are_those_of_their_context():
     trie = lm.Trie(words, np.array([a << 32 | b for a, b in pairs], np.uint64), np.array([number[g[:2]] << 32 | g[2] for g in tri], np.uint64), np.array([grams[g] for g in tri]))
     assert (trie.find(words) == np.arange(40)).all()
     every = np.array([(a, b) for a in range(-1, 40) for b in range(-1, 40)])
-    at = trie.successor(trie.to2, trie.second, every[:, 0], every[:, 1])
+    one = np.ones(len(every), np.int64)
+    at = trie.successor(trie.second, trie.nodes(trie.to2, every[:, 0]), one, every[:, 1])
     assert at.tolist() == [number.get((a, b), -1) for a, b in every.tolist()]
-    count, fan = trie.pair(np.arange(len(pairs)))
-    assert count.tolist() == [sum(k for g, k in grams.items() if g[:2] == p) for p in pairs]
-    assert fan.tolist() == [sum(g[:2] == p for g in grams) for p in pairs]
+    at = np.arange(len(pairs))
+    assert trie.count_of_pair(at).tolist() == [sum(k for g, k in grams.items() if g[:2] == p) for p in pairs]
+    assert np.diff(np.array(trie.nodes(trie.to3, at)), axis=0)[0].tolist() == [sum(g[:2] == p for g in grams) for p in pairs]
     ask = np.array([(number[g[:2]], w) for g in tri for w in range(40)])
-    found = trie.successor(trie.to3, trie.third, ask[:, 0], ask[:, 1])
+    found = trie.successor(trie.third, trie.nodes(trie.to3, ask[:, 0]), np.ones(len(ask), np.int64), ask[:, 1])
     where = {g: k for k, g in enumerate(tri)}
     assert found.tolist() == [where.get((*pairs[p], w), -1) for p, w in ask.tolist()]
 

@@ -49,6 +49,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_in_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like ``stage``, in as many buckets by ``key`` as a shuffle has partitions.
+
+    A join or grouping by ``key`` then moves only the other side. The table's
+    name is dropped at once; its files stay, as those of ``stage`` do.
+    """
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    path = f"{shared_dir(spark).rstrip('/')}/{table}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # noqa: B018 - resolved before the name goes
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def words_of(text: str | None) -> list[bytes]:
     """UTF-8 words of a text, A-Z lower-cased, no other letter changed."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

@@ -34,14 +34,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelgrain.llm.common import Hashes, mix, offsets, slices, stage, words_of
+from voxelgrain.llm.common import Hashes, mix, offsets, slices, stage, stage_in_buckets, words_of
 
 DISCOUNT = 0.75
 CHUNK_BYTES = 5_000_000
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 4_000_000
 #: Least share of a chunk's trigrams for which a first word is reported as frequent:
 #: 20,000 words of a chunk, and of the corpus, at most.
 LEAST_SHARE = 1 / 20_000
+#: Words that blocks name by number, the commonest of ``SAMPLE_CHUNKS`` chunks. This
+#: only shortens blocks: any other word is named by its hash.
+COMMON, SAMPLE_CHUNKS = 1 << 17, 8
 #: Hashes of the marks: two before each text, one after it, one to follow that.
 #: Words never hash to them.
 BEGIN2, BEGIN, END, AFTER = 1, 2, 3, 4
@@ -57,9 +60,11 @@ def small(a: np.ndarray) -> np.ndarray:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed value; bytes of equal weight lie together."""
     head = np.array([len(arrays), *[a.nbytes for a in arrays]], np.int64).tobytes()
     kinds = b"".join(a.dtype.str.encode().ljust(8) for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(head + kinds + b"".join(a.tobytes() for a in arrays))
+    planes = [np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T).tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(head + kinds + b"".join(planes))
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
@@ -69,11 +74,20 @@ def unpack(data: bytes) -> list[np.ndarray]:
     at, out = 8 * (n + 1) + 8 * n, []
     for k, size in enumerate(sizes):
         kind = np.dtype(raw[8 * (n + 1) + 8 * k : 8 * (n + 1) + 8 * k + 8].decode().strip())
-        out.append(np.frombuffer(raw, kind, size // kind.itemsize, at))
+        planes = np.frombuffer(raw, np.uint8, size, at).reshape(kind.itemsize, -1)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
         at += size
     return out
 
 
+def by_use(numbers: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of 0..n-1 by falling use, ``numbers`` in that order): small numbers are common."""
+    order = np.argsort(-np.bincount(numbers, minlength=n), kind="stable")
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    return order, place[numbers]
+
+
 def quantise(p: np.ndarray) -> np.ndarray:
     """log10 of probabilities as one byte; 0 stands for probability 0."""
     with np.errstate(divide="ignore"):
@@ -89,16 +103,16 @@ def dequantise(code: np.ndarray) -> np.ndarray:
 class EliasFano:
     """A non-decreasing sequence of 64-bit values in packed form.
 
-    ``low`` holds l bits of each item, ``high`` the rest in unary, ``rank`` the
-    ones before every eighth word of ``high``.
+    ``low`` holds l bits of each item, ``high`` the rest in unary; ``rank`` has
+    the ones before each word of ``high``, ``hint`` the word of every 64th one.
     """
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, rank: np.ndarray):
-        self.n, self.l, self.low, self.high, self.rank = n, low_bits, low, high, rank
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, rank: np.ndarray, hint: np.ndarray):
+        self.n, self.l, self.low, self.high, self.rank, self.hint = n, low_bits, low, high, rank, hint
 
     @staticmethod
-    def parts(values: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
-        """(n, low bits, low, high, rank) of ascending values."""
+    def parts(values: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(n, low bits, low, high, rank, hint) of ascending values."""
         n = len(values)
         values = values.astype(np.uint64)
         top = int(values[-1]) if n else 0
@@ -114,51 +128,57 @@ class EliasFano:
             over = np.flatnonzero(off[last].astype(np.int64) + l > 64)
             low[over + 1] |= rest[last[over]] >> (np.uint64(64) - off[last[over]])
         top_bits = (values >> np.uint64(l)).astype(np.int64)
-        bits = np.zeros(-(-(n + (int(top_bits[-1]) if n else 0) + 1) // 512) * 512, np.uint8)
-        bits[top_bits + np.arange(n)] = 1
+        at = top_bits + np.arange(n)
+        bits = np.zeros(-(-(n + (int(top_bits[-1]) if n else 0) + 1) // 64) * 64, np.uint8)
+        bits[at] = 1
         high = np.packbits(bits, bitorder="little").view(np.uint64)
-        rank = offsets(np.bitwise_count(high).reshape(-1, 8).sum(1))[:-1].astype(np.uint32)
-        return n, l, low, high, rank
+        rank = offsets(np.bitwise_count(high)).astype(np.uint32 if n < 1 << 32 else np.uint64)
+        return n, l, low, high, rank, (at[::64] >> 6).astype(np.uint32)
 
     def get(self, at: np.ndarray) -> np.ndarray:
         """Items at these indexes, each below n."""
-        block = np.searchsorted(self.rank, at, "right") - 1
-        left, word = at - self.rank[block], block * 8
-        for _ in range(7):  # the word of the block that holds the one sought
-            ones = np.bitwise_count(self.high[word])
-            on = left >= ones
-            if not on.any():
-                break
-            left, word = left - on * ones, word + on
-        x, bit = self.high[word], np.zeros(len(at), np.int64)
+        word = self.hint[at >> 6].astype(np.int64)
+        on = np.flatnonzero(self.rank[word + 1] <= at)
+        while len(on):  # a few words on at most, but for runs of zeros
+            word[on] += 1
+            on = on[self.rank[word[on] + 1] <= at[on]]
+        left, x, bit = (at - self.rank[word]).astype(np.uint8), self.high[word], np.zeros(len(at), np.uint8)
         for step in (32, 16, 8, 4, 2, 1):
             ones = np.bitwise_count(x & np.uint64((1 << step) - 1))
-            on = left >= ones
-            left, bit, x = left - on * ones, bit + on * step, np.where(on, x >> np.uint64(step), x)
+            far = left >= ones
+            left -= ones * far
+            move = far * np.uint8(step)
+            bit += move
+            x = x >> move.astype(np.uint64)
         top = (word * 64 + bit - at).astype(np.uint64) << np.uint64(self.l)
         if not self.l:
             return top
         off = at * self.l
         w, o = off >> 6, (off & 63).astype(np.uint64)
-        rest = self.low[w] >> o
-        over = o.astype(np.int64) + self.l > 64
-        rest = np.where(over, rest | self.low[w + 1] << (np.where(over, np.uint64(64) - o, np.uint64(0))), rest)
+        # the second shift in two steps: a shift by 64 is not defined
+        rest = self.low[w] >> o | self.low[w + 1] << np.uint64(1) << (np.uint64(63) - o)
         return top | rest & np.uint64((1 << self.l) - 1)
 
-    def search(self, lo: np.ndarray, hi: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """Index of each value within [lo, hi), -1 where it is not there."""
+    def search(self, lo: np.ndarray, hi: np.ndarray, values: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Index of each value within [lo, hi), -1 where it is not there.
+
+        Items of a range lie between ``least`` and ``most``; ids of hashed words
+        lie evenly there, so interpolation takes few steps.
+        """
         out = np.full(len(values), -1, np.int64)
-        live = np.flatnonzero(lo < hi)
-        lo, hi, values = lo[live], hi[live], values[live]
+        live = np.flatnonzero((lo < hi) & (least <= values) & (values <= most))
+        lo, hi, values, least, most = lo[live], hi[live], values[live], least[live].astype(np.float64), most[live].astype(np.float64)
         while len(live):
-            mid = (lo + hi) >> 1
+            share = (values - least + 0.5) / (most - least + 1)
+            mid = np.clip(lo + (share * (hi - lo)).astype(np.int64), lo, hi - 1)
             got = self.get(mid)
             hit = got == values
             out[live[hit]] = mid[hit]
             less = got < values
             lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+            least, most = np.where(less, got + 1.0, least), np.where(less, most, got - 1.0)
             on = np.flatnonzero(~hit & (lo < hi))
-            live, lo, hi, values = live[on], lo[on], hi[on], values[on]
+            live, lo, hi, values, least, most = live[on], lo[on], hi[on], values[on], least[on], most[on]
         return out
 
 
@@ -188,12 +208,10 @@ class Trie:
         parent = (trigrams >> np.uint64(32)).astype(np.int64)
         to3 = offsets(np.bincount(parent, minlength=n2))
         to2 = offsets(np.bincount((pairs >> np.uint64(32)).astype(np.int64), minlength=n1))
-        running = np.zeros(len(counts) + 1, np.int64)
-        np.cumsum(counts, out=running[1:])
-        total = running[to3]
+        total = offsets(counts)[to3]
         share = quantise(np.maximum(counts - discount, 0) / np.maximum(np.diff(total), 1)[parent])
-        made = [EliasFano.parts(v) for v in (words, to2, to3, total, relative((pairs & np.uint64(LOW32)).astype(np.int64), to2), relative((trigrams & np.uint64(LOW32)).astype(np.int64), to3))]
-        arrays = [a for p in made for a in p[2:]] + [share]
+        made = [EliasFano.parts(v) for v in (to2, to3, total, relative((pairs & np.uint64(LOW32)).astype(np.int64), to2), relative((trigrams & np.uint64(LOW32)).astype(np.int64), to3))]
+        arrays = [a for p in made for a in p[2:]] + [words, share]
         at = offsets([-(-a.nbytes // 8) * 8 for a in arrays])
         self.map = mmap.mmap(-1, int(at[-1]) + 8)
         view = []
@@ -201,47 +219,57 @@ class Trie:
             v = np.frombuffer(self.map, a.dtype, len(a), int(p))
             v[:] = a
             view.append(v)
-        self.words, self.to2, self.to3, self.total, self.second, self.third = (EliasFano(*made[k][:2], *view[3 * k : 3 * k + 3]) for k in range(6))
-        self.share = view[-1]
+        self.to2, self.to3, self.total, self.second, self.third = (EliasFano(*made[k][:2], *view[4 * k : 4 * k + 4]) for k in range(5))
+        self.words, self.share = view[-2:]
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Index of each word, -1 where unknown."""
-        n = len(hashes)
-        return self.words.search(np.zeros(n, np.int64), np.full(n, self.words.n, np.int64), hashes)
+        at = np.minimum(np.searchsorted(self.words, hashes), max(0, len(self.words) - 1))
+        return np.where(self.words[at] == hashes, at, -1) if len(self.words) else np.full(len(hashes), -1)
 
     @staticmethod
-    def _range(pointer: EliasFano, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def nodes(pointer: EliasFano, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin and end of the nodes under ``at`` (-1: none)."""
         safe = np.maximum(at, 0)
+        if pointer.n < 2:
+            return safe * 0, safe * 0
         lo, hi = pointer.get(safe).astype(np.int64), pointer.get(safe + 1).astype(np.int64)
         return lo, np.where(at >= 0, hi, lo)
 
-    def _counts(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        return (self.total.get(hi) - self.total.get(lo)).astype(np.int64)
-
-    def word(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(count, successors) of words."""
-        lo, hi = self._range(self.to2, at)
-        return self._counts(lo, hi), hi - lo
+    def count_of_word(self, nodes: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Count of the words whose pairs are these nodes."""
+        return (self.total.get(nodes[1]) - self.total.get(nodes[0])).astype(np.int64)
 
-    def pair(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(count, successors) of pairs."""
+    def count_of_pair(self, at: np.ndarray) -> np.ndarray:
         safe = np.maximum(at, 0)
-        lo, hi = self._range(self.to3, at)
-        return np.where(at >= 0, self._counts(safe, np.minimum(safe + 1, self.total.n - 1)), 0), hi - lo
+        return np.where(at >= 0, (self.total.get(np.minimum(safe + 1, self.total.n - 1)) - self.total.get(safe)).astype(np.int64), 0)
 
-    def successor(self, pointer: EliasFano, ids: EliasFano, context: np.ndarray, nxt: np.ndarray) -> np.ndarray:
-        """Node of ``nxt`` among the successors of ``context`` only, or -1."""
-        lo, hi = self._range(pointer, np.where(nxt >= 0, context, -1))
+    def successor(self, ids: EliasFano, nodes: tuple[np.ndarray, np.ndarray], fan: np.ndarray, nxt: np.ndarray) -> np.ndarray:
+        """Node of each ``nxt`` within the nodes of its context only, or -1.
+
+        Context k is asked about ``fan[k]`` successors in a row.
+        """
+        lo, hi = nodes
         if not ids.n:
-            return np.full(len(lo), -1, np.int64)
-        base = np.where(lo > 0, ids.get(np.minimum(np.maximum(lo - 1, 0), ids.n - 1)).astype(np.int64) + 1, 0)
-        return ids.search(lo, hi, (base + np.maximum(nxt, 0)).astype(np.uint64))
+            return np.full(len(nxt), -1, np.int64)
+        base = np.where(lo > 0, ids.get(np.clip(lo - 1, 0, ids.n - 1)) + np.uint64(1), np.uint64(0))
+        base, lo, hi = np.repeat(base, fan), np.repeat(lo, fan), np.repeat(np.where(lo < hi, hi, lo), fan)
+        hi = np.where(nxt >= 0, hi, lo)
+        return ids.search(lo, hi, base + np.maximum(nxt, 0).astype(np.uint64), base, base + np.uint64(len(self.words)))
 
     def shares(self, at: np.ndarray) -> np.ndarray:
         """One byte for the discounted probability of each trigram (-1: none)."""
         return np.where(at >= 0, self.share[np.maximum(at, 0)], 0).astype(np.uint8) if len(self.share) else np.zeros(len(at), np.uint8)
 
+    def answer(self, words: np.ndarray, asked: np.ndarray, fan1: np.ndarray, second: np.ndarray, fan2: np.ndarray, third: np.ndarray) -> list[np.ndarray]:
+        """Counts and successors of the words asked and of their pairs, shares of trigrams."""
+        place = self.find(words)
+        under_word = self.nodes(self.to2, place[asked])
+        pair = self.successor(self.second, under_word, fan1, place[second])
+        under_pair = self.nodes(self.to3, pair)
+        tri = self.successor(self.third, under_pair, fan2, place[third])
+        return [self.count_of_word(under_word), under_word[1] - under_word[0], self.count_of_pair(pair), under_pair[1] - under_pair[0], self.shares(tri)]
+
 
 class Layout:
     """A chunk's own trie, its nodes in the order in which shards hold them.
@@ -284,17 +312,43 @@ class Layout:
         self.asked, self.asked_shard = asked & LOW32, asked >> 32
         self.words, self.shards = words, shards
 
-    def blocks(self) -> Iterator[tuple[int, bytes]]:
-        """(shard, block): words asked, their pairs and trigrams, by a dictionary."""
+    def blocks(self, common: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """(shard, block): words asked, their pairs and trigrams, by a dictionary.
+
+        The dictionary's words are numbers of ascending ``common`` and hashes.
+        """
+        short = np.isin(self.words, common)
+        number = np.searchsorted(common, self.words)
         cut1, cut2 = (np.searchsorted(s, np.arange(self.shards + 1)) for s in (self.asked_shard, self.shard))
         cut3 = np.searchsorted(self.parent, cut2)
         for s in np.unique(self.asked_shard).tolist():
             a, p, t = slice(cut1[s], cut1[s + 1]), slice(cut2[s], cut2[s + 1]), slice(cut3[s], cut3[s + 1])
             used, at = np.unique(np.concatenate([self.asked[a], self.second[p], self.third[t]]), return_inverse=True)
+            order, at = by_use(at, len(used))
+            used = used[order]
             n1, n2 = len(self.asked[a]), len(self.second[p])
             fan1 = np.bincount(np.searchsorted(self.asked[a], self.first[p]), minlength=n1)
             fan2 = np.bincount(self.parent[t] - cut2[s], minlength=n2)
-            yield s, pack(self.words[used], *map(small, (at[:n1], fan1, at[n1 : n1 + n2], fan2, at[n1 + n2 :], self.count[t])))
+            yield s, pack(self.words[used[~short[used]]], *name_words(used, short, number), *map(small, (at[:n1], fan1, at[n1 : n1 + n2], fan2, at[n1 + n2 :], self.count[t])))
+
+
+def name_words(used: np.ndarray, short: np.ndarray, number: np.ndarray) -> list[np.ndarray]:
+    """[steps between the numbers of short words, place of each in the dictionary]."""
+    at = np.flatnonzero(short[used])
+    n = number[used[at]]
+    order = np.argsort(n)
+    return [small(np.diff(n[order], prepend=0)), small(at[order])]
+
+
+def read_block(data: bytes, common: np.ndarray) -> list[np.ndarray]:
+    """[words, asked, fan1, second, fan2, third, count] of a block."""
+    hashes, steps, at, *rest = unpack(data)
+    words = np.empty(len(hashes) + len(at), np.uint64)
+    long = np.ones(len(words), bool)
+    long[at] = False
+    words[at] = common[np.cumsum(steps, dtype=np.int64)] if len(at) else 0
+    words[long] = hashes
+    return [words, *rest]
 
 
 def _chunks(chunk_bytes: int):
@@ -317,7 +371,8 @@ def _chunks(chunk_bytes: int):
             ids = np.array([r[0] if r[0] is not None else 0 for r in rows], np.int64)
             none = np.array([r[0] is None for r in rows], np.uint8)
             held_out = np.array([2 if r[2] is None else int(not r[2]) for r in rows], np.uint8)
-            data = pack(words, small(tokens), size, ids, none, held_out)
+            order, tokens = by_use(tokens, len(words))
+            data = pack(words, small(order), small(tokens), small(size), ids, none, held_out)
             hot = [[{"h": h, "n": c} for h, c in zip(words[often].astype(np.int64).tolist(), n[often].tolist(), strict=True)]]
             return pa.RecordBatch.from_arrays(
                 [pa.array([number], pa.int64()), pa.array([int(size.sum())], pa.int64()), pa.array([int(n.sum())], pa.int64()), pa.array(hot, pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))), pa.array([data], pa.binary())],
@@ -339,15 +394,26 @@ def _chunks(chunk_bytes: int):
 
 
 def _layout(data: bytes, hot: tuple[np.ndarray, np.ndarray], shards: int) -> tuple[Layout, list[np.ndarray]]:
-    words, tokens, size, ids, none, held = unpack(data)
-    return Layout(words, tokens, size, held == 0, hot, shards), [tokens.astype(np.int64), size, ids, none, held]
+    words, order, tokens, size, ids, none, held = unpack(data)
+    tokens, size = order[tokens].astype(np.int64), size.astype(np.int64)
+    return Layout(words, tokens, size, held == 0, hot, shards), [tokens, size, ids, none, held]
+
+
+def _common(chunks: DataFrame) -> np.ndarray:
+    """Ascending hashes of the commonest words of a few chunks."""
+    some = [unpack(r["data"])[:3] for r in chunks.orderBy(F.xxhash64("chunk")).limit(SAMPLE_CHUNKS).select("data").toLocalIterator()]
+    if not some:
+        return np.zeros(0, np.uint64)
+    words, at = np.unique(np.concatenate([w[order] for w, order, _ in some]), return_inverse=True)
+    use = np.bincount(at, np.concatenate([np.bincount(t, minlength=len(o)) for _, o, t in some]))
+    return np.sort(words[np.argsort(-use, kind="stable")[:COMMON]])
 
 
-def _blocks(hot, shards: int):
+def _blocks(hot, common, shards: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                got = list(_layout(data.as_py(), hot.value, shards)[0].blocks())
+                got = list(_layout(data.as_py(), hot.value, shards)[0].blocks(common.value))
                 yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(got), pa.int64()), pa.array([s for s, _ in got], pa.int32()), pa.array([d for _, d in got], pa.binary())], names=["chunk", "shard", "data"])
 
     return work
@@ -371,20 +437,19 @@ def build(blocks: Iterator[list[np.ndarray]], vocabulary: np.ndarray, discount:
     return Trie(vocabulary, pairs, trigrams, np.bincount(at, np.concatenate(counts) if counts else None, len(trigrams)).astype(np.int64), discount)
 
 
-def _answer(hot):
+def _answer(hot, common):
     def work(table: pa.Table) -> pa.Table:
         """Build one shard's trie from its blocks and answer each of them."""
         shard, data = table.column("shard")[0].as_py(), table.column("data")
-        vocabulary = np.unique(np.concatenate([unpack(d.as_py())[0] for d in data]))
-        trie = build((unpack(d.as_py()) for d in data), vocabulary)
+        vocabulary = np.zeros(0, np.uint64)
+        for k in range(0, len(data), 16):
+            vocabulary = np.unique(np.concatenate([vocabulary, *[read_block(d.as_py(), common.value)[0] for d in data[k : k + 16]]]))
+        trie = build((read_block(d.as_py(), common.value) for d in data), vocabulary)
         out = []
         for d in data:
-            words, asked, fan1, second, fan2, third, _ = unpack(d.as_py())
-            place = trie.find(words)
-            pair = trie.successor(trie.to2, trie.second, np.repeat(place[asked], fan1), place[second])
-            tri = trie.successor(trie.to3, trie.third, np.repeat(pair, fan2), place[third])
-            out.append(pack(*map(small, (*trie.word(place[asked]), *trie.pair(pair))), trie.shares(tri)))
-        count, _ = trie.word(np.arange(len(vocabulary)))
+            made = trie.answer(*read_block(d.as_py(), common.value)[:6])
+            out.append(pack(*map(small, made[:4]), made[4]))
+        count = trie.count_of_word(trie.nodes(trie.to2, np.arange(len(vocabulary))))
         mark = np.isin(vocabulary, np.array([BEGIN2, BEGIN], np.uint64))
         texts, tokens = int(count[vocabulary == BEGIN].sum()), int(count[~mark].sum())
         types = int(((count > 0) & ~mark & ~np.isin(vocabulary, hot.value[0])).sum())
@@ -407,7 +472,7 @@ def score(documents: DataFrame, train: Column, id_col: str = "doc_id", text: str
     """
     spark = documents.sparkSession
     src = documents.select(F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_text"), train.cast("boolean").alias("_train"))
-    chunks = stage(src.mapInArrow(_chunks(chunk_bytes), "chunk long, tokens long, entries long, hot array<struct<h:long,n:long>>, data binary"), "lm-chunks")
+    chunks = stage_in_buckets(src.mapInArrow(_chunks(chunk_bytes), "chunk long, tokens long, entries long, hot array<struct<h:long,n:long>>, data binary"), "lm-chunks", "chunk")
     all_tokens, entries = chunks.agg(F.sum("tokens"), F.sum("entries")).first()
     shards = max(1, -(-int(all_tokens or 0) // shard_tokens))
     # first words that fill more than a shard: at most 1 / LEAST_SHARE words
@@ -416,8 +481,9 @@ def score(documents: DataFrame, train: Column, id_col: str = "doc_id", text: str
     order = np.argsort(hashes)
     hot_words, hot_parts = hashes[order], -(-n[order] * shards // max(1, int(entries or 0)))
     hot = spark.sparkContext.broadcast((hot_words, hot_parts))
-    blocks = chunks.select("chunk", "data").mapInArrow(_blocks(hot, shards), "chunk long, shard int, data binary")
-    answers = stage(blocks.groupBy("shard").applyInArrow(_answer(hot), "chunk long, shard int, data binary, texts long, tokens long, types long"), "lm-answers")
+    common = spark.sparkContext.broadcast(_common(chunks))  # 1 MB at most
+    blocks = chunks.select("chunk", "data").mapInArrow(_blocks(hot, common, shards), "chunk long, shard int, data binary")
+    answers = stage(blocks.groupBy("shard").applyInArrow(_answer(hot, common), "chunk long, shard int, data binary, texts long, tokens long, types long"), "lm-answers")
     texts, tokens, types = (int(x or 0) for x in answers.where(F.col("chunk") < 0).agg(F.sum("texts"), F.sum("tokens"), F.sum("types")).first())
     total = tokens + texts
     kinds = types + int((~np.isin(hot_words, np.array([BEGIN2, BEGIN], np.uint64))).sum()) + (texts > 0)
