@@ -42,6 +42,8 @@ SHARD_TOKENS = 4_000_000
 #: Least share of a chunk's trigrams for which a first word is reported as frequent:
 #: 20,000 words of a chunk, and of the corpus, at most.
 LEAST_SHARE = 1 / 20_000
+#: A word's pairs are spread over shards in parts of a shard over this number at most.
+SPLIT = 8
 #: Words that blocks name by number, the commonest of ``SAMPLE_CHUNKS`` chunks. This
 #: only shortens blocks: any other word is named by its hash.
 COMMON, SAMPLE_CHUNKS = 1 << 17, 8
@@ -315,40 +317,41 @@ class Layout:
     def blocks(self, common: np.ndarray) -> Iterator[tuple[int, bytes]]:
         """(shard, block): words asked, their pairs and trigrams, by a dictionary.
 
-        The dictionary's words are numbers of ascending ``common`` and hashes.
+        The dictionary names words by steps between their numbers in ``common``,
+        and the rest by their hashes.
         """
-        short = np.isin(self.words, common)
-        number = np.searchsorted(common, self.words)
+        number = rank_in(common, self.words)
+        # the dictionary's order: common words first, the commonest before the others
+        weight = np.where(number >= 0, number, len(common) + np.arange(len(number)))
         cut1, cut2 = (np.searchsorted(s, np.arange(self.shards + 1)) for s in (self.asked_shard, self.shard))
         cut3 = np.searchsorted(self.parent, cut2)
         for s in np.unique(self.asked_shard).tolist():
             a, p, t = slice(cut1[s], cut1[s + 1]), slice(cut2[s], cut2[s + 1]), slice(cut3[s], cut3[s + 1])
             used, at = np.unique(np.concatenate([self.asked[a], self.second[p], self.third[t]]), return_inverse=True)
-            order, at = by_use(at, len(used))
-            used = used[order]
+            order = np.argsort(weight[used])
+            place = np.empty(len(used), np.int64)
+            place[order] = np.arange(len(used))
+            used, at = used[order], place[at]
+            some = np.count_nonzero(number[used] >= 0)
             n1, n2 = len(self.asked[a]), len(self.second[p])
             fan1 = np.bincount(np.searchsorted(self.asked[a], self.first[p]), minlength=n1)
             fan2 = np.bincount(self.parent[t] - cut2[s], minlength=n2)
-            yield s, pack(self.words[used[~short[used]]], *name_words(used, short, number), *map(small, (at[:n1], fan1, at[n1 : n1 + n2], fan2, at[n1 + n2 :], self.count[t])))
+            yield s, pack(self.words[used[some:]], *map(small, (np.diff(number[used[:some]], prepend=0), at[:n1], fan1, at[n1 : n1 + n2], fan2, at[n1 + n2 :], self.count[t])))
 
 
-def name_words(used: np.ndarray, short: np.ndarray, number: np.ndarray) -> list[np.ndarray]:
-    """[steps between the numbers of short words, place of each in the dictionary]."""
-    at = np.flatnonzero(short[used])
-    n = number[used[at]]
-    order = np.argsort(n)
-    return [small(np.diff(n[order], prepend=0)), small(at[order])]
+def rank_in(common: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Place of each word in ``common``, -1 for those not there."""
+    if not len(common):
+        return np.full(len(words), -1)
+    order = np.argsort(common)
+    at = order[np.minimum(np.searchsorted(common, words, sorter=order), len(common) - 1)]
+    return np.where(common[at] == words, at, -1)
 
 
 def read_block(data: bytes, common: np.ndarray) -> list[np.ndarray]:
     """[words, asked, fan1, second, fan2, third, count] of a block."""
-    hashes, steps, at, *rest = unpack(data)
-    words = np.empty(len(hashes) + len(at), np.uint64)
-    long = np.ones(len(words), bool)
-    long[at] = False
-    words[at] = common[np.cumsum(steps, dtype=np.int64)] if len(at) else 0
-    words[long] = hashes
-    return [words, *rest]
+    hashes, steps, *rest = unpack(data)
+    return [np.concatenate([common[np.cumsum(steps, dtype=np.int64)], hashes]) if len(steps) else hashes, *rest]
 
 
 def _chunks(chunk_bytes: int):
@@ -400,13 +403,13 @@ def _layout(data: bytes, hot: tuple[np.ndarray, np.ndarray], shards: int) -> tup
 
 
 def _common(chunks: DataFrame) -> np.ndarray:
-    """Ascending hashes of the commonest words of a few chunks."""
+    """Hashes of the commonest words of a few chunks, the commonest first."""
     some = [unpack(r["data"])[:3] for r in chunks.orderBy(F.xxhash64("chunk")).limit(SAMPLE_CHUNKS).select("data").toLocalIterator()]
     if not some:
         return np.zeros(0, np.uint64)
     words, at = np.unique(np.concatenate([w[order] for w, order, _ in some]), return_inverse=True)
     use = np.bincount(at, np.concatenate([np.bincount(t, minlength=len(o)) for _, o, t in some]))
-    return np.sort(words[np.argsort(-use, kind="stable")[:COMMON]])
+    return words[np.argsort(-use, kind="stable")[:COMMON]]
 
 
 def _blocks(hot, common, shards: int):
@@ -475,15 +478,16 @@ def score(documents: DataFrame, train: Column, id_col: str = "doc_id", text: str
     chunks = stage_in_buckets(src.mapInArrow(_chunks(chunk_bytes), "chunk long, tokens long, entries long, hot array<struct<h:long,n:long>>, data binary"), "lm-chunks", "chunk")
     all_tokens, entries = chunks.agg(F.sum("tokens"), F.sum("entries")).first()
     shards = max(1, -(-int(all_tokens or 0) // shard_tokens))
-    # first words that fill more than a shard: at most 1 / LEAST_SHARE words
-    often = chunks.select(F.explode("hot").alias("w")).groupBy("w.h").agg(F.sum("w.n").alias("n")).where(F.col("n") > int(entries or 0) * max(LEAST_SHARE, 1 / shards)).toPandas()
+    # first words that fill a good part of a shard: at most 1 / LEAST_SHARE words
+    least = max(LEAST_SHARE, 1 / (SPLIT * shards))
+    often = chunks.select(F.explode("hot").alias("w")).groupBy("w.h").agg(F.sum("w.n").alias("n")).where(F.col("n") > int(entries or 0) * least).toPandas()
     hashes, n = often["h"].to_numpy(np.int64).astype(np.uint64), often["n"].to_numpy(np.int64)
     order = np.argsort(hashes)
-    hot_words, hot_parts = hashes[order], -(-n[order] * shards // max(1, int(entries or 0)))
+    hot_words, hot_parts = hashes[order], np.minimum(shards, -(-n[order] * SPLIT * shards // max(1, int(entries or 0))))
     hot = spark.sparkContext.broadcast((hot_words, hot_parts))
     common = spark.sparkContext.broadcast(_common(chunks))  # 1 MB at most
     blocks = chunks.select("chunk", "data").mapInArrow(_blocks(hot, common, shards), "chunk long, shard int, data binary")
-    answers = stage(blocks.groupBy("shard").applyInArrow(_answer(hot, common), "chunk long, shard int, data binary, texts long, tokens long, types long"), "lm-answers")
+    answers = stage(blocks.repartition(4 * shards, "shard").groupBy("shard").applyInArrow(_answer(hot, common), "chunk long, shard int, data binary, texts long, tokens long, types long"), "lm-answers")
     texts, tokens, types = (int(x or 0) for x in answers.where(F.col("chunk") < 0).agg(F.sum("texts"), F.sum("tokens"), F.sum("types")).first())
     total = tokens + texts
     kinds = types + int((~np.isin(hot_words, np.array([BEGIN2, BEGIN], np.uint64))).sum()) + (texts > 0)
