@@ -280,13 +280,42 @@ def test_ann_recall_and_edges(spark):
     assert ann.nearest(d.limit(0), F.lit(True)).count() == 0
 
 
-def test_multi_index_returns_every_code_within_the_radius():
+def test_multi_index_finds_every_code_near_in_a_substring():
     r = np.random.default_rng(6)
-    codes = r.integers(0, 256, (500, 8), dtype=np.uint8)
-    index = ann.MultiIndex(codes)
-    for radius in (0, 5, 17, 24, 40):
-        want = np.flatnonzero(ann.POPCOUNT[codes ^ codes[3]].sum(1) <= radius)
-        assert (index.within(codes[3], radius) == want).all()
+    codes = r.integers(0, 1 << 10, (500, 4), dtype=np.uint32)
+    index = ann.MultiIndex(codes, 10)
+    gaps = np.bitwise_count(codes ^ codes[3])
+    for reach in (0, 1, 2, 3):
+        found = index.probe(codes[3], reach)
+        assert (found == np.flatnonzero((gaps <= reach).any(1))).all()
+        # pigeonhole: every code within the radius is among them
+        assert np.isin(np.flatnonzero(gaps.sum(1) <= 4 * (reach + 1) - 1), found).all()
+
+
+def test_ann_ties_repeated_ids_and_infinities(spark):
+    rows = [(0, [1.0, 0.0]), (5, [2.0, 0.0]), (3, [0.0, 0.0 + 1e-300]), (4, [2.0, 0.0]), (0, [1.0, 1.0]), (100, [float("inf"), 0.0]), (None, [1.0, 0.0]), (7, None)]
+    d = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, query string")
+    got = [(x.query_id, x.rank, x.vec_id, x.score) for x in ann.nearest(d, F.col("vec_id") % 100 == 0, k=3).collect()]
+    want = []
+    live = [(i, v) for i, v in rows if i is not None and v and all(map(math.isfinite, v))]
+    for n, (i, v) in enumerate(live):
+        if i % 100 == 0:
+            near = sorted((math.dist(v, w), j) for m, (j, w) in enumerate(live) if m != n)[:3]
+            want += [(i, k + 1, j, s) for k, (s, j) in enumerate(near)]
+    assert sorted(got) == sorted(want)
+
+
+def test_ann_prunes_where_neighbours_are_near():
+    r = np.random.default_rng(2)
+    x = np.repeat(r.normal(size=(300, 32)), 10, 0) + 0.05 * r.normal(size=(3000, 32))
+    mean, rot, reach = ann.learn(x, 9)
+    index, code = ann.MultiIndex(ann.codes(x, mean, rot)), ann.codes(x, mean, rot)
+    share, met = [], []
+    for i in range(0, 3000, 60):
+        found = index.probe(code[i], reach)
+        share.append(len(found) / len(x))
+        met.append(np.isin(np.arange(i - i % 10, i - i % 10 + 10), found).mean())
+    assert np.mean(share) < 0.05 and np.mean(met) >= 0.95
 
 
 def test_quality(spark, docs, labels, edge, empty):
@@ -342,6 +371,30 @@ def test_rules_base_equals_brute_force(spark, docs, edge, empty):
     assert rules.judge(empty, ["doc_id"]).count() == 0
 
 
+def test_chi_square_quantile():
+    assert abs(rules.quantile(0.025) - rules.INSIDE) < 1e-3 and abs(rules.quantile(0.5) - rules.MEDIAN) < 1e-3
+
+
+def test_mcd_equals_brute_force(spark):
+    """The estimate is that of the best half that any start reaches."""
+    r = np.random.default_rng(12)
+    x = r.multivariate_normal([5, 1, 0.5, 0.3], np.diag([0.5, 0.2, 0.3, 0.2]) + 0.05, 400)
+    x[:100] += [4, -3, 3, 2]
+    d = spark.createDataFrame([("[]", *map(float, v), n) for n, v in enumerate(x)], "k string, s0 double, s1 double, s2 double, s3 double, _no long")
+    e = rules.mcd(d).collect()[0]
+    low = np.zeros((4, 4))
+    for i in range(4):
+        for j in range(i + 1):
+            low[i, j] = e[f"l{i}{j}"]
+    got = low @ low.T
+    clean = x[100:]
+    want = np.cov(clean.T, bias=True) + np.diag(np.array(rules.FLOORS) ** 2)
+    assert np.abs(np.array([e[m] for m in rules.CENTRE]) - clean.mean(0)).max() < 0.1
+    assert np.abs(got - want).max() < 0.12
+    dist = np.einsum("ij,jk,ik->i", x - [e[m] for m in rules.CENTRE], np.linalg.inv(got), x - [e[m] for m in rules.CENTRE])
+    assert (dist[:100] > rules.quantile(1e-6)).all() and not (dist[100:] > rules.quantile(1e-6)).any()
+
+
 def test_rules_reject_outliers(spark):
     r = random.Random(8)
     rows = [(i, " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(3, 8))) for _ in range(r.randint(80, 200))), "en", "a") for i in range(300)]
@@ -361,6 +414,26 @@ def test_urls(spark):
     assert [got[i].verdict for i in (2, 3, 4, 5, 8, 9)] == ["block", "block", "allow", "block", "block", "allow"]
     assert (got[6].host, got[6].path, got[7].host, got[7].path) == ("", "", "", "")
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    odd = spark.createDataFrame([(None, "http://a.example.org/" + "x" * 100_000), (1, "http://a.example.org/"), (1, "http://a.example.org/")], "page_id long, url string")
+    assert [x.verdict for x in urls.judge(odd).collect()][1:] == ["allow", "allow"] and urls.judge(odd).count() == 3
+
+
+def test_url_model_on_names_that_it_has_not_seen():
+    w = urls.fit(urls.training_urls())
+    bad = ["cheap-cialis-shop", "vegas-blackjack-bonus", "free-porn-videos", "online-casino-royal", "replica-rolex", "instant-payday-loan", "warez-download", "xxx-tube", "buy-viagra-now", "poker-jackpot"]
+    good = ["hotels-berlin", "city-library", "sussex-council", "physics-department", "weather-report", "cooking-recipes", "bookshop", "mathematics-journal", "railway-museum", "pharmacology-institute", "ththat", "orchard", "tionary", "analytics"]
+    forms = [("www.", ".example.org", "/fr/1"), ("", ".com", "/index.html"), ("blog.", ".net", "/")]
+    p = lambda names: urls.score(w, [a + n + b for n in names for a, b, _ in forms], [c for _ in names for *_, c in forms])
+    assert (p(bad) >= 0.5).mean() >= 0.9 and (p(good) < 0.5).mean() >= 0.9
+
+
+def test_url_grams_equal_brute_force():
+    hosts, paths = ["a.bc", "", "\u00e9x"], ["/p/q", "", "/long/path"]
+    row, bucket = urls.grams(hosts, paths)
+    for i, (h, p) in enumerate(zip(hosts, paths, strict=True)):
+        alone = urls.grams([h], [p])[1]
+        want = sum(len({raw[k : k + n] for k in range(len(raw) - n + 1)}) for raw in (f"^{h}$".encode(), f"^{p}$".encode()) for n in urls.SIZES)
+        assert (np.sort(bucket[row == i]) == np.sort(alone)).all() and abs(len(alone) - want) <= 1
 
 
 def test_pipeline(spark, small):

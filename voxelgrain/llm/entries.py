@@ -12,6 +12,9 @@ from voxelgrain.llm import ann, bpe, dedup, langid, lm, mixing, quality, rules,
 from voxelgrain.llm.common import crc_split
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+# Every query reads one row of its table for one row of its result (op6: for its
+# queries). Nulls, empty and very long texts, ties, repeated rows and empty tables
+# have the results that the docstrings of the operators state.
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of documents: four-word shingles, similarity 0.8."""
     return dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, per_cent=80)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; learns from labels with crc32 mod 3 other than 1, blocks from 0.7."""
     docs = table(spark, sf_dir, "documents")
     split = crc_split("doc_id", 3)
     out = toxicity.train_and_score(docs, table(spark, sf_dir, "labels"), ["doc_id"], split != 1)
@@ -30,14 +35,17 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of tokens and digests of token ids and of the decoded text."""
     return bpe.digests(table(spark, sf_dir, "documents"), TOKENIZER, ["doc_id"])
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trigram and base scores of every document; learns from crc32 mod 5 other than 1."""
     return lm.score(table(spark, sf_dir, "documents"), crc_split("doc_id", 5) != 1)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main language of every document; learns from crc32 mod 5 other than 0."""
     docs = table(spark, sf_dir, "documents")
     split = crc_split("doc_id", 5)
     out = langid.predict(docs, langid.fit(docs.where(split != 0)), ["doc_id"])
@@ -45,10 +53,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest of every vector whose id divides by 100, among all others."""
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; learns from labels with crc32 mod 5 other than 0, keeps from 0.3."""
     docs = table(spark, sf_dir, "documents")
     split = crc_split("doc_id", 5)
     out = quality.train_and_score(docs, table(spark, sf_dir, "labels"), ["doc_id"], split != 0)
@@ -56,15 +66,18 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of 150 % of all words takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every document."""
     out = rules.judge(table(spark, sf_dir, "documents"), ["doc_id"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every URL."""
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -87,8 +100,9 @@ DEDUP_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, {LOWER_WORDS_SQL} AS ws FROM
  SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.m AS component_id, d.doc_id = c.m AS kept FROM documents d JOIN c ON c.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
 
 MIX_SQL = f"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len({WORDS_SQL}), 0) AS BIGINT) AS size,
-  -ln((CAST('0x' || substr(md5('17:' || CAST(doc_id AS VARCHAR)), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0)
-  / greatest(0.05, coalesce((length(text) - length(regexp_replace(text, '[a-zA-Z]{{2,}}', '', 'g'))) / greatest(length(text), 1), 0.0)) AS k FROM documents),
+  -ln((CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0)
+  / greatest(0.05, coalesce(length(regexp_replace(text, '[^\\p{{L}}\\p{{M}}]', '', 'g')) / greatest(length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')), 1)
+   * ln(1.0 + len(list_distinct({WORDS_SQL}))) / ln(1.0 + greatest(len({WORDS_SQL}), 1)), 0.0)) AS k FROM documents),
  s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM d GROUP BY source),
  v AS (SELECT source, source_size, [5, 2, 1][(i - 1) % 3 + 1] AS w, 2 * source_size AS cap FROM s),
  o AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held, sum(w) OVER (ORDER BY cap / w DESC, source DESC) AS open, (SELECT 1.5 * sum(source_size) FROM s) AS total FROM v),

@@ -21,6 +21,8 @@ from voxelgrain.llm.common import WORD, stage
 WEIGHTS = (5, 2, 1)
 TOTAL_SHARE = 1.5
 MOST_EPOCHS = 2
+#: Sources whose targets are broadcast at most, of about 100 bytes each.
+BROADCAST_SOURCES = 50_000
 BINS = 4096
 #: Logarithms of keys between which bins are cut; keys beyond go to the end bins.
 LEAST, MOST = -12.0, 8.0
@@ -31,9 +33,18 @@ def n_words(text: Column) -> Column:
 
 
 def quality_weight(text: Column) -> Column:
-    """Share of letters and single spaces: from 0.05 (none) to 1 (plain prose)."""
-    plain = F.length(text) - F.length(F.regexp_replace(text, "[a-zA-Z]{2,}", ""))
-    return F.greatest(F.lit(0.05), F.coalesce(plain / F.greatest(F.length(text), F.lit(1)), F.lit(0.0)))
+    """Quality from 0.05 to 1: letters of any script times variety of words.
+
+    The first factor is the share of letters and marks among the characters
+    other than white space, the second ln(1 + distinct words) / ln(1 + words):
+    near 1 for prose of any length, low for boilerplate and repeated text. Texts
+    without words, and null, have the least weight.
+    """
+    full = F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]", ""))
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}\p{M}]", ""))
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    variety = F.log(1.0 + F.size(F.array_distinct(words))) / F.log(1.0 + F.greatest(F.size(words), F.lit(1)))
+    return F.greatest(F.lit(0.05), F.coalesce(letters / F.greatest(full, F.lit(1)) * variety, F.lit(0.0)))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHARE, most: float = MOST_EPOCHS) -> list[tuple]:
@@ -66,26 +77,28 @@ def mix(documents: DataFrame, size: Column | None = None, weight: Column | None
     ends, as many words as are left. Null texts have size 0 and take none; a
     null source is a source of its own, last in order. Ties of keys (repeated
     rows) are broken by id and then shared between equal rows in any order,
-    which leaves the multiset of results the same. Null ids draw as the empty
-    string. An empty table gives no rows.
+    which leaves the multiset of results the same. A null id draws by a digest
+    of its text. Very long texts are measured whole, and the last one taken may
+    be taken in part. An empty table gives no rows. Columns other than doc_id,
+    text and source are not read.
     """
     spark = documents.sparkSession
     size = n_words(F.col("text")) if size is None else size
     weight = quality_weight(F.col("text")) if weight is None else weight
-    u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+    u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))).cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     drawn = documents.select("doc_id", "source", size.alias("size"), (-F.log(u) / weight).alias("key"))
     drawn = stage(drawn.withColumn("bin", F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((F.log("key") - LEAST) * (bins / (MOST - LEAST))))).cast("int")), "mix-keys")
-    by_bin = drawn.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")).persist()
+    by_bin = stage(drawn.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")), "mix-bins")
     plan = targets(by_bin.groupBy("source").agg(F.sum("bin_size")), weights, total_share, most)
     goal = spark.createDataFrame([(s, n, t, int(t // n) if n else 0) for s, n, t in plan], "source string, source_size long, target double, epochs int")
     goal = goal.withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
+    few = F.broadcast if len(plan) <= BROADCAST_SOURCES else lambda df: df  # else AQE splits hot sources
     before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    same = F.col("g.source").eqNullSafe(F.col("source"))
-    # sources x bins rows at most; the goals are one row a source
-    ends = by_bin.withColumn("before", F.coalesce(F.sum("bin_size").over(before), F.lit(0))).alias("b").join(F.broadcast(goal.alias("g")), F.col("g.source").eqNullSafe(F.col("b.source")))
+    # sources x bins rows at most
+    ends = by_bin.withColumn("before", F.coalesce(F.sum("bin_size").over(before), F.lit(0))).alias("b").join(few(goal.alias("g")), F.col("g.source").eqNullSafe(F.col("b.source")))
     cut = ends.where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("bin_size") > F.col("rest"))).select(F.col("g.source").alias("source"), F.col("bin").alias("cut_bin"), "before")
     goals = goal.alias("g").join(cut.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source")), "left").select(F.col("g.source").alias("source"), "source_size", "target", "epochs", "rest", F.coalesce("cut_bin", F.lit(bins)).alias("cut_bin"), F.coalesce("before", F.lit(0)).alias("before"))
-    every = drawn.alias("d").join(F.broadcast(goals.alias("g")), F.col("g.source").eqNullSafe(F.col("d.source"))).select("d.doc_id", "d.source", "d.size", "d.key", "d.bin", "source_size", "target", "epochs", "rest", "cut_bin", "before")
+    every = drawn.alias("d").join(few(goals.alias("g")), F.col("g.source").eqNullSafe(F.col("d.source"))).select("d.doc_id", "d.source", "d.size", "d.key", "d.bin", "source_size", "target", "epochs", "rest", "cut_bin", "before")
     inside = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     at = every.where(F.col("bin") == F.col("cut_bin"))
     at = at.withColumn("so_far", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))

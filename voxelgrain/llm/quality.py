@@ -2,10 +2,11 @@
 
 Random indexing: every hashed word has a fixed sparse random vector of -1, 0
 and 1; the context vector of a word is the sum of the random vectors around it
-over all training texts, so the table is counted in one pass and its size is
-fixed. A document is the mean and spread of its words' own and context vectors.
-A two-layer numpy network reads that, and a temperature fitted on documents held
-back from training calibrates its probabilities.
+over all training texts, in whole numbers, so the table is counted in one pass
+and its size is fixed. A document is the mean and spread of its words' own and
+context vectors. A two-layer numpy network reads that; every fifth labelled
+document is held back from training, and a temperature fitted on those
+calibrates its probabilities.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from voxelgrain.llm.common import Hashes, bounded, labelled, mix, slices
 
-BUCKETS = 1 << 12
+BUCKETS = 1 << 16
 DIM = 32
 NEAR = 2
 MAX_DOCS = 20_000
@@ -29,7 +30,7 @@ HIDDEN = 32
 def index_vectors(buckets: int = BUCKETS, dim: int = DIM) -> np.ndarray:
     """Random vectors with a quarter of entries +-1, from a fixed seed."""
     r = np.random.default_rng(7)
-    return (r.integers(0, 2, (buckets, dim)) * 2 - 1).astype(np.float32) * (r.random((buckets, dim)) < 0.25)
+    return ((r.integers(0, 2, (buckets, dim), dtype=np.int8) * 2 - 1) * (r.random((buckets, dim), np.float32) < 0.25)).astype(np.int8)
 
 
 class Words:
@@ -52,38 +53,39 @@ def context_vectors(documents: DataFrame, text: str = "text", buckets: int = BUC
     src = documents.select(F.col(text).alias("_text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs = Words(buckets), np.zeros((buckets, dim), np.float32)
-        own, any_ = index_vectors(buckets, dim), False
+        words, pairs = Words(buckets), np.zeros((buckets, dim), np.int32)
+        own, seen = index_vectors(buckets, dim), np.zeros(buckets, bool)
         for b in slices(batches, "_text", 2_000_000):
             doc, w = words.batch(b.column(0).to_pylist())
-            any_ |= len(w) > 0
-            near = np.zeros((len(w), dim), np.float32)
+            if not len(w):
+                continue
+            near = np.zeros((len(w), dim), np.int8)  # 2 * NEAR entries of -1, 0 or 1 each
             for gap in range(1, NEAR + 1):
                 same = np.flatnonzero(doc[gap:] == doc[:-gap])
                 near[same] += own[w[same + gap]]
                 near[same + gap] += own[w[same]]
             order = np.argsort(w, kind="stable")
-            if len(w):
-                ws = w[order]
-                first = np.flatnonzero(np.concatenate([[True], ws[1:] != ws[:-1]]))
-                pairs[ws[first]] += np.add.reduceat(near[order], first)
-        if any_:
-            at = np.flatnonzero(np.abs(pairs).sum(1))
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(list(pairs[at].astype(np.float64)), pa.list_(pa.float64()))], names=["bucket", "v"])
-
-    each = src.mapInArrow(work, "bucket long, v array<double>")
-    total = each.groupBy("bucket").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(dim)]).toPandas()
-    out = np.zeros((buckets, dim), np.float32)
+            ws = w[order]
+            first = np.flatnonzero(np.concatenate([[True], ws[1:] != ws[:-1]]))
+            pairs[ws[first]] += np.add.reduceat(near[order], first, dtype=np.int32)
+            seen[ws[first]] = True
+        at = np.flatnonzero(seen)
+        for part in np.array_split(at, max(1, len(at) // 8192)):
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(pairs[part].ravel(), pa.int32()), dim).cast(pa.list_(pa.int32()))], names=["bucket", "v"])
+
+    each = src.mapInArrow(work, "bucket long, v array<int>")
+    total = each.groupBy("bucket").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(dim)]).toPandas()  # ``buckets`` rows at most
+    out = np.zeros((buckets, dim))
     if len(total):
-        out[total["bucket"]] = total.drop(columns="bucket").to_numpy(np.float32)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)
+        out[total["bucket"]] = total.drop(columns="bucket").to_numpy(np.float64)
+    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)).astype(np.float32)
 
 
 class Pool:
     """Document vectors: mean, spread and length of the mean, and log length."""
 
     def __init__(self, context: np.ndarray):
-        self.table = np.concatenate([index_vectors(*context.shape) / np.sqrt(context.shape[1] / 4), context], 1)
+        self.table = np.concatenate([(index_vectors(*context.shape) / np.sqrt(context.shape[1] / 4)).astype(np.float32), context], 1)
         self.words = Words(len(context))
 
     def batch(self, texts: list[str | None]) -> np.ndarray:
@@ -115,7 +117,7 @@ class Network:
         self.t = 1.0
         self.p = [r.normal(0, (2 / x.shape[1]) ** 0.5, (x.shape[1], hidden)), np.zeros(hidden), r.normal(0, hidden**-0.5, hidden), np.array(np.log((y.mean() + 0.01) / (1.01 - y.mean())))]
         held = np.arange(len(y)) % 5 == 4
-        tr = np.flatnonzero(~held) if len(y) >= 50 else np.arange(len(y))
+        tr = np.flatnonzero(~held)
         m, v, step = [np.zeros_like(a) for a in self.p], [np.zeros_like(a) for a in self.p], 0
         for _ in range(epochs):
             r.shuffle(tr)
@@ -130,7 +132,7 @@ class Network:
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.999 * v[k] + 0.001 * g * g
                     self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-        if len(y) >= 50:
+        if held.any():  # fewer than five rows hold none back: temperature 1
             z = self._raw(x[held])
             loss = lambda t: np.mean(np.logaddexp(0, z / t) - y[held] * z / t)
             self.t = float(min(np.exp(np.linspace(-1.5, 2, 71)), key=loss))
@@ -143,8 +145,10 @@ class Network:
 
 
 def fit(rows: DataFrame, context: np.ndarray, max_docs: int = MAX_DOCS) -> Network | None:
-    """Network from (doc_id, text, y); only the document vectors of ``max_docs``
-    rows at most come to the driver. None without rows."""
+    """Network from (doc_id, text, y); only the document vectors of about
+    ``max_docs`` rows at most come to the driver. Null and empty texts are the
+    zero vector, repeated rows count each time. None without rows.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(context)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,8 +167,9 @@ def fit(rows: DataFrame, context: np.ndarray, max_docs: int = MAX_DOCS) -> Netwo
 def score(documents: DataFrame, model: Network | None, context: np.ndarray, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns and ``score``, the calibrated probability of label 1.
 
-    Null and empty texts get the network's value for no words; without a model
-    every score is one half. Repeated rows score alike; an empty table gives none.
+    Null and empty texts get the network's value for no words; very long texts
+    are pooled whole; without a model every score is one half. Repeated rows
+    score alike; an empty table gives none.
     """
     src = documents.select(*keep, F.col(text).alias("_text"))
     shared = documents.sparkSession.sparkContext.broadcast((model and vars(model), context))

@@ -1,10 +1,12 @@
 """Toxicity: FTRL-proximal logistic regression over hashed n-grams.
 
 Features of a document are the distinct hashed words, word stems (first five
-letters), word pairs and skip-grams (pairs with a word between). Every coordinate has a learning rate of its own and an L1 penalty
-keeps the weights few, so the model is a short list of buckets and weights that
-is broadcast for scoring. It is fitted in one streaming task over a bounded
-sample of the labelled rows (``max_docs``).
+letters), word pairs and skip-grams (pairs with a word between). Every
+coordinate has a learning rate of its own and an L1 penalty keeps the weights
+few, so the model is a short list of buckets and weights that is broadcast for
+scoring. It is fitted in one streaming task over a bounded sample of the
+labelled rows (``max_docs``): that task reads every row once for each epoch and
+holds the model and one batch, however long the texts are.
 """
 
 from __future__ import annotations
@@ -20,7 +22,6 @@ from voxelgrain.llm.common import Hashes, bounded, labelled, mix, slices, words_
 
 BITS = 20
 MAX_DOCS = 20_000
-MAX_FEATURES = 60_000_000
 STEM = 5
 #: A word pair's distance: 1 for neighbours, more for skip-grams.
 GAPS = (1, 2)
@@ -72,28 +73,24 @@ class Ftrl:
 def fit(rows: DataFrame, bits: int = BITS, epochs: int = 3, max_docs: int = MAX_DOCS, **rates) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, weights) other than zero, from rows (doc_id, text, y).
 
-    The one task that fits reads ``max_docs`` rows at most, in the order of a
-    hash of the id; with no rows the model is empty and scores one half.
+    About ``max_docs`` rows are read at most, in the order of a hash of the id,
+    and all of them in every epoch. Null and empty texts teach the intercept;
+    very long ones are read whole; repeated rows count each time. With no rows
+    the model is empty and scores one half.
     """
     few = bounded(rows.select("doc_id", "text", "y"), "doc_id", max_docs)
-    few = few.repartition(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit("order")), "text")
+    few = few.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
+    few = few.repartition(1).sortWithinPartitions("epoch", F.xxhash64("doc_id", F.lit("order")), "text").select("text", "y")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, feats, held, room = Ftrl(bits, **rates), Features(bits), [], MAX_FEATURES
+        model, feats = Ftrl(bits, **rates), Features(bits)
         for b in slices(batches, limit=2_000_000):
-            texts, ys = b.column(1).to_pylist(), b.column(2).to_pylist()
+            texts, ys = b.column(0).to_pylist(), b.column(1).to_pylist()
             doc, bucket = feats.batch(texts)
             order = np.argsort(doc, kind="stable")
             cut = np.split(bucket[order], np.cumsum(np.bincount(doc, minlength=len(texts)))[:-1])
             for f, y in zip(cut, ys, strict=True):
-                at = np.append(np.unique(f), np.int32(1 << bits))
-                model.learn(at, y)
-                if room > 0:  # later epochs go over what fits in memory
-                    held.append((at, y))
-                    room -= len(at)
-        for _ in range(epochs - 1):
-            for at, y in held:
-                model.learn(at, y)
+                model.learn(np.append(np.unique(f), np.int32(1 << bits)), y)
         w = model.weights()
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at], pa.float64())], names=["bucket", "weight"])
@@ -105,8 +102,8 @@ def fit(rows: DataFrame, bits: int = BITS, epochs: int = 3, max_docs: int = MAX_
 def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: list[str], text: str = "text", bits: int = BITS) -> DataFrame:
     """``keep`` columns and ``score``, the probability of label 1.
 
-    Null and empty texts have the intercept alone; repeated rows score alike; an
-    empty table gives none.
+    Null and empty texts have the intercept alone; very long ones are scored
+    whole; repeated rows score alike; an empty table gives none.
     """
     src = documents.select(*keep, F.col(text).alias("_text"))
     shared = documents.sparkSession.sparkContext.broadcast(model)
