@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxelgrain.operators.volume import POS, boundary
+from voxelgrain.storage import stage
 
 Size = tuple[float, float, float]
 UNIT: Size = (1.0, 1.0, 1.0)
@@ -33,36 +34,69 @@ def _cells(v: DataFrame, edge: float, size: Size, spread: bool) -> DataFrame:
     return v
 
 
-def nearest_structure(objects: DataFrame, structure: DataFrame, size: Size = UNIT, edges: tuple[float, ...] = (8.0, 32.0, 128.0, 1e9), surface: bool = True) -> DataFrame:
+def _box(v: DataFrame, edge: float, size: Size) -> DataFrame:
+    """Adds the grid cell of each voxel (tomo, p): columns cz, cy, cx."""
+    return v.withColumns({f"c{c}": F.floor(F.col(f"p.{c}") * float(s) / edge) for c, s in zip("zyx", size, strict=True)})
+
+
+def nearest_structure(objects: DataFrame, structure: DataFrame, size: Size = UNIT, edge: float = 2.0, surface: bool = True) -> DataFrame:
     """(tomo, label, distance, ep_object, ep_structure, structure_label).
 
     For every object the least distance to any voxel of the structure, with end
     points and the structure's label; of equal distances the first end points
-    in z, y, x order. Objects are looked up in cells of growing edge: what is
-    found within one edge is final, the rest goes on to the next.
+    in z, y, x order. Objects in tomograms without structure give no row.
+
+    Voxels are looked up in cells of ``edge``: what is found within one edge is
+    final and written; what is not goes on to cells of twice the edge, until no
+    object is left. The structure's side is spread over the 27 cells around it,
+    so no pass joins on the tomogram alone.
     """
     near = lambda v: boundary(v) if surface else v
-    a = near(objects).select("tomo", "label", F.struct("z", "y", "x").alias("p"))
-    b = near(structure).select("tomo", F.col("label").alias("structure_label"), F.struct("z", "y", "x").alias("p"))
-    out, left = None, a
-    for edge in edges:
-        x = _cells(left, edge, size, True).withColumnRenamed("p", "ep_object")
-        y = _cells(b, edge, size, False).withColumnRenamed("p", "ep_structure")
+    left = stage(near(objects).select("tomo", "label", F.struct("z", "y", "x").alias("p")), "nearest-left")
+    b = stage(near(structure).select("tomo", F.col("label").alias("structure_label"), F.struct("z", "y", "x").alias("p")), "nearest-structure")
+    left = left.join(b.select("tomo").distinct(), "tomo", "left_semi")
+    out = None
+    while True:
+        x = _box(left, edge, size).withColumnRenamed("p", "ep_object")
+        y = _cells(b, edge, size, True).withColumnRenamed("p", "ep_structure")
         both = x.join(y, ["tomo", "cz", "cy", "cx"]).withColumn("d2", _squared("ep_object", "ep_structure", size))
-        best = both.groupBy("tomo", "label").agg(F.min(F.struct("d2", "ep_object", "ep_structure", "structure_label")).alias("m"))
+        best = stage(both.groupBy("tomo", "label").agg(F.min(F.struct("d2", "ep_object", "ep_structure", "structure_label")).alias("m")), "nearest-found")
         found = best.where(F.col("m.d2") <= edge * edge)
         out = found if out is None else out.unionByName(found)
-        left = left.join(found.select("tomo", "label"), ["tomo", "label"], "left_anti")
-    return out.select("tomo", "label", F.sqrt("m.d2").alias("distance"), "m.ep_object", "m.ep_structure", "m.structure_label")
+        left = stage(left.join(found.select("tomo", "label"), ["tomo", "label"], "left_anti"), "nearest-left")
+        if left.isEmpty():
+            return out.select("tomo", "label", F.sqrt("m.d2").alias("distance"), "m.ep_object", "m.ep_structure", "m.structure_label")
+        edge *= 2
 
 
-def pairwise(v: DataFrame, max_distance: float, size: Size = UNIT, surface: bool = True) -> DataFrame:
-    """(tomo, id_a, id_b, distance, ep_a, ep_b), id_a < id_b, up to ``max_distance``."""
-    s = (boundary(v) if surface else v).select("tomo", "label", F.struct("z", "y", "x").alias("p"))
-    a = _cells(s, max_distance, size, True).select("tomo", "cz", "cy", "cx", F.col("label").alias("id_a"), F.col("p").alias("ep_a"))
-    b = _cells(s, max_distance, size, False).select("tomo", "cz", "cy", "cx", F.col("label").alias("id_b"), F.col("p").alias("ep_b"))
-    both = a.join(b, ["tomo", "cz", "cy", "cx"]).where("id_a < id_b").withColumn("d2", _squared("ep_a", "ep_b", size)).where(F.col("d2") <= max_distance * max_distance)
+def pairwise(v: DataFrame, max_distance: float | None = None, size: Size = UNIT, surface: bool = True) -> DataFrame:
+    """(tomo, id_a, id_b, distance, ep_a, ep_b), id_a < id_b: least distances of pairs.
+
+    With ``max_distance`` only pairs up to it, found in cells; without, every
+    pair of a tomogram. Pairs of objects are first met by their bounding boxes:
+    a voxel takes part in a pair only if it is no farther from the other
+    object's box than the two boxes allow the least distance to be.
+    """
+    s = stage((boundary(v) if surface else v).select("tomo", "label", F.struct("z", "y", "x").alias("p")), "pairs-surface")
+    box = s.groupBy("tomo", "label").agg(*[f(f"p.{c}").alias(f"{n}{c}") for c in "zyx" for n, f in (("lo", F.min), ("hi", F.max))], F.min("p").alias("any"))
+    side = lambda n: box.select("tomo", F.col("label").alias(f"id_{n}"), *[F.col(f"{e}{c}").alias(f"{n}_{e}{c}") for c in "zyx" for e in ("lo", "hi")], F.col("any").alias(f"{n}_any"))
+    gap = lambda c, w: F.greatest(F.lit(0), F.col(f"a_lo{c}") - F.col(f"b_hi{c}"), F.col(f"b_lo{c}") - F.col(f"a_hi{c}")) * float(w)
+    pairs = side("a").join(side("b"), "tomo").where("id_a < id_b")
+    least = sum(((gap(c, w) * gap(c, w)) for c, w in zip("yx", size[1:], strict=True)), gap("z", size[0]) * gap("z", size[0]))
+    if max_distance is not None:
+        pairs = pairs.where(least <= max_distance * max_distance)
+    # any two voxels bound the least distance from above
+    pairs = pairs.withColumn("most", _squared("a_any", "b_any", size))
+    to_box = lambda n: sum(
+        (F.pow(F.greatest(F.lit(0), F.col(f"{n}_lo{c}") - F.col(f"p.{c}"), F.col(f"p.{c}") - F.col(f"{n}_hi{c}")) * float(w), 2) for c, w in zip("zyx", size, strict=True)), F.lit(0.0)
+    )
+    mine = lambda n, other: (
+        pairs.join(s.withColumnRenamed("label", f"id_{n}"), ["tomo", f"id_{n}"]).where(to_box(other) <= F.col("most")).select("tomo", "id_a", "id_b", F.col("p").alias(f"ep_{n}"))
+    )
+    both = mine("a", "b").join(mine("b", "a"), ["tomo", "id_a", "id_b"]).withColumn("d2", _squared("ep_a", "ep_b", size))
     best = both.groupBy("tomo", "id_a", "id_b").agg(F.min(F.struct("d2", "ep_a", "ep_b")).alias("m"))
+    if max_distance is not None:
+        best = best.where(F.col("m.d2") <= max_distance * max_distance)
     return best.select("tomo", "id_a", "id_b", F.sqrt("m.d2").alias("distance"), "m.ep_a", "m.ep_b")
 
 
