@@ -17,6 +17,7 @@ from voxelgrain.operators import kernels as K
 from voxelgrain.operators import relational as R
 from voxelgrain.operators import volume as V
 from voxelgrain.plans import analysis as A
+from voxelgrain.plans import sites as S
 from voxelgrain.streaming import ingest
 from voxelgrain.views import MEASURES_SQL, SHAPE, STRUCTURE_SQL, TRUTH_SQL, VOXELS_SQL, measurements, structure, table, truth, vesicles, voxels
 
@@ -217,6 +218,68 @@ query("membrane_near")(lambda s, d: A.membrane_near(structure(s, d), vesicles(s,
 query("object_axes")(lambda s, d: K.axes(voxels(s, d)).select("tomo", "label", r6("major", "major"), r6("minor", "minor")))
 query("event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value),4) AS total FROM events GROUP BY ALL")(lambda s, d: ingest.windowed_counts(table(s, d, "events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total")))
 
+# -- sites, regions and reports --------------------------------------------
+
+query("contact_sites")(lambda s, d: S.contact_sites(vesicles(s, d), structure(s, d), 8.0)[1])
+query("component_boxes")(lambda s, d: S.component_boxes(voxels(s, d), 2, (4, 16, 16), SHAPE))
+query("object_statistics", f"""{GT}, {OFFSETS_SQL}, ins AS (SELECT vox.* FROM vox SEMI JOIN gt USING (tomo,z,y,x)), n AS (SELECT tomo, label, count(*) n, avg(z) cz, avg(y) cy, avg(x) cx FROM vox GROUP BY ALL),
+ i AS (SELECT tomo, label, count(*) n, avg(z) cz, avg(y) cy, avg(x) cx FROM ins GROUP BY ALL),
+ f AS (SELECT tomo, label, CAST(count(*) AS DOUBLE) a FROM (SELECT tomo, z+dz AS z, y+dy AS y, x+dx AS x, label FROM vox, off) q ANTI JOIN vox USING (tomo,z,y,x,label) GROUP BY ALL),
+ g AS (SELECT tomo, label, CAST(count(*) AS DOUBLE) a FROM (SELECT tomo, z+dz AS z, y+dy AS y, x+dx AS x, label FROM ins, off) q ANTI JOIN ins USING (tomo,z,y,x,label) GROUP BY ALL)
+ SELECT n.tomo, n.label, CAST(n.n AS DOUBLE) AS volume, f.a AS surface, CAST(coalesce(i.n,0) AS DOUBLE) AS inner_volume, coalesce(g.a,0) AS inner_surface, round(coalesce(i.n,0)/n.n,6) AS inner_share,
+ round(coalesce(g.a,0)/n.n,6) AS surface_density, round(i.cz-n.cz,6) AS offset_z, round(i.cy-n.cy,6) AS offset_y, round(i.cx-n.cx,6) AS offset_x
+ FROM n JOIN f USING (tomo, label) LEFT JOIN i USING (tomo, label) LEFT JOIN g USING (tomo, label)""")(
+    lambda s, d: S.object_statistics(voxels(s, d), truth(s, d)).select("tomo", "label", "volume", "surface", "inner_volume", "inner_surface", *[r6(c, c) for c in ("inner_share", "surface_density", "offset_z", "offset_y", "offset_x")])
+)
+PER_REGION = f"{GT}, r AS (SELECT gt.tomo, gt.label AS region, count(DISTINCT vox.label) AS n FROM gt JOIN vox USING (tomo,z,y,x) GROUP BY ALL)"
+query("objects_per_region", f"{PER_REGION} SELECT * FROM r")(lambda s, d: S.objects_per_region(truth(s, d), voxels(s, d)))
+query("fullest_region", f"{PER_REGION} SELECT tomo, region, n FROM r QUALIFY row_number() OVER (PARTITION BY tomo ORDER BY n DESC, region) = 1")(lambda s, d: S.fullest_region(truth(s, d), voxels(s, d)))
+query("presynaptic_mask", f"""{GT}, r AS (SELECT gt.tomo, gt.z, gt.label AS region, count(DISTINCT vox.label) AS n FROM gt JOIN vox USING (tomo,z,y,x) GROUP BY ALL),
+ b AS (SELECT tomo, z, region FROM r QUALIFY row_number() OVER (PARTITION BY tomo, z ORDER BY n DESC, region) = 1) SELECT gt.tomo, gt.z, gt.y, gt.x FROM gt JOIN b ON b.tomo = gt.tomo AND b.z = gt.z AND b.region = gt.label""")(lambda s, d: S.presynaptic_mask(truth(s, d), voxels(s, d), 0).select(*V.POS))
+query("size_filter_large", f"{VOX} SELECT * FROM vox SEMI JOIN (SELECT tomo, label FROM vox GROUP BY ALL HAVING count(*) >= 95) USING (tomo, label)")(lambda s, d: V.size_filter(voxels(s, d), 95))
+query("size_filter_strict_large", f"{VOX} SELECT * FROM vox SEMI JOIN (SELECT tomo, label FROM vox GROUP BY ALL HAVING count(*) > 95) USING (tomo, label)")(lambda s, d: V.size_filter(voxels(s, d), 95, strict=True))
+query("size_filter_to_mask", f"{VOX} SELECT tomo, z, y, x FROM vox SEMI JOIN (SELECT tomo, label FROM vox GROUP BY ALL HAVING count(*) >= 95) USING (tomo, label)")(lambda s, d: S.binary_size_filter(voxels(s, d), 95))
+query("z_extent_of_slices", f"{VOX}, s AS (SELECT * FROM vox WHERE (z + label) % 3 <> 0) SELECT * FROM s SEMI JOIN (SELECT tomo, label FROM s GROUP BY ALL HAVING max(z)-min(z)+1 >= 6) USING (tomo, label)")(lambda s, d: V.z_extent_filter(voxels(s, d).where("(z + label) % 3 <> 0"), 6))
+query("in_mask_boundary", f"{GT}, {OFFSETS_SQL}, c AS (SELECT tomo, z+dz AS z, y+dy AS y, x+dx AS x, count(*) n FROM gt, off GROUP BY ALL), e AS (SELECT gt.tomo, gt.z, gt.y, gt.x FROM gt LEFT JOIN c USING (tomo,z,y,x) WHERE coalesce(n,0) < 6) SELECT vox.* FROM vox SEMI JOIN e USING (tomo,z,y,x)")(lambda s, d: S.in_mask_boundary(voxels(s, d), truth(s, d)))
+FIRST = f"{GT}, f AS (SELECT * FROM vox QUALIFY row_number() OVER (PARTITION BY tomo, label ORDER BY z, y, x) = 1), m AS (SELECT f.tomo, f.label, coalesce(gt.label, 0) AS value FROM f LEFT JOIN gt USING (tomo,z,y,x))"
+query("value_at_first_voxel", f"{FIRST} SELECT * FROM m")(lambda s, d: S.value_at_first_voxel(voxels(s, d), truth(s, d)))
+query("map_labels", f"{FIRST} SELECT vox.tomo, z, y, x, value AS label FROM vox JOIN m USING (tomo, label) WHERE value <> 0")(lambda s, d: S.map_labels(voxels(s, d), S.value_at_first_voxel(voxels(s, d), truth(s, d))))
+query("close_along_z", f"""{VOX}, g AS (SELECT DISTINCT tomo, z+i AS z, y, x, label FROM vox, range(-1,2) t(i)), c AS (SELECT g.* FROM g SEMI JOIN (SELECT tomo, z+1 AS z, y, x, label FROM g) USING (tomo,z,y,x,label)), e AS (SELECT c.* FROM c SEMI JOIN (SELECT tomo, z-1 AS z, y, x, label FROM g) USING (tomo,z,y,x,label))
+ SELECT tomo, CAST(z AS INTEGER) AS z, y, x, max(label) AS label FROM (SELECT * FROM e UNION SELECT tomo, z, y, x, label FROM vox) GROUP BY ALL""")(lambda s, d: S.close_along_z(voxels(s, d), 1))
+query("closing", f"""{NEAR}, d AS (SELECT * FROM vox UNION ALL (SELECT tomo,z,y,x,max(label) AS label FROM near ANTI JOIN vox USING (tomo,z,y,x) GROUP BY ALL)), n2 AS (SELECT tomo, z+dz AS z, y+dy AS y, x+dx AS x, label, count(*) n FROM d, off GROUP BY ALL),
+ e AS (SELECT d.* FROM d JOIN n2 USING (tomo,z,y,x,label) WHERE n = 6) SELECT * FROM vox UNION ALL SELECT e.* FROM e ANTI JOIN vox USING (tomo,z,y,x)""")(lambda s, d: V.closing(voxels(s, d)))
+query("crop_around_mean", f"{VOX}, m AS (SELECT tomo, CAST(floor(avg(z)) AS INT) mz, CAST(floor(avg(y)) AS INT) my, CAST(floor(avg(x)) AS INT) mx FROM vox GROUP BY tomo) SELECT vox.* FROM vox JOIN m USING (tomo) WHERE z >= mz-2 AND z < mz+2 AND y >= my-10 AND y < my+10 AND x >= mx-10 AND x < mx+10")(lambda s, d: S.crop_around_mean(voxels(s, d), (2, 10, 10)))
+query("labels_to_points", f"{VOX}, p AS (SELECT tomo, label, z, count(*) n, avg(y) y, avg(x) x FROM vox GROUP BY ALL) SELECT tomo, label AS id, z, round(y,6) AS y, round(x,6) AS x, round(sqrt(n/pi())*1.2,6) AS radius FROM p QUALIFY row_number() OVER (PARTITION BY tomo, label ORDER BY n DESC, z) = 1")(lambda s, d: S.labels_to_points(voxels(s, d), 0.0, 1.2).select("tomo", "id", "z", r6("y", "y"), r6("x", "x"), r6("radius", "radius")))
+query("label_counts", f"{VOX} SELECT t.tomo, CAST((SELECT count(DISTINCT label) FROM vox WHERE vox.tomo = t.tomo) AS BIGINT) AS n FROM (VALUES ('tomo0'),('tomo1'),('tomo2'),('tomo3')) t(tomo)")(lambda s, d: S.label_counts(voxels(s, d), s.createDataFrame([(f"tomo{k}",) for k in range(4)], "tomo string")))
+query("count_report", "SELECT p_brand AS dataset, count(DISTINCT p_name) AS tomograms, count(*) FILTER (p_size > 25) AS manual, count(*) AS total FROM part WHERE NOT starts_with(p_name, 'a') AND NOT starts_with(p_name, 's') GROUP BY p_brand")(lambda s, d: S.count_report(table(s, d, "part").select(F.col("p_brand").alias("dataset"), F.col("p_name").alias("name"), (F.col("p_size") > 25).alias("manual")), ["a", "s"]))
+query("outside_domain", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IS NULL OR lower(trim(o_orderstatus)) NOT IN ('f', 'o')")(lambda s, d: S.outside_domain(table(s, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", ["f", "o"]))
+query("shift_ids", "SELECT c_nationkey AS tomo, c_custkey + CASE n_name WHEN 'FRANCE' THEN 2 WHEN 'GERMANY' THEN 3 ELSE 0 END AS id FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey")(lambda s, d: S.shift_ids(table(s, d, "customer").select(F.col("c_nationkey").alias("tomo"), F.col("c_custkey").alias("id")), table(s, d, "nation").select(F.col("n_nationkey").alias("tomo"), F.lit(4).alias("id"), F.col("n_name").alias("name")), 4, {"FRANCE": 2, "GERMANY": 3}).select("tomo", "id"))
+query("with_parameters", "SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_regionkey = 1")(lambda s, d: S.with_parameters(table(s, d, "customer").select("c_custkey", F.col("c_nationkey").alias("k")), table(s, d, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("k"), "n_name"), ["k"]).select("c_custkey", "n_name"))
+query("first_rating", "SELECT o_custkey FROM (SELECT o_custkey, arg_min(o_orderstatus, o_orderkey) r FROM orders GROUP BY ALL) WHERE r = 'F'")(lambda s, d: S.first_rating(table(s, d, "orders").select("o_custkey", "o_orderkey", F.col("o_orderstatus").alias("rating")), ["o_custkey"], "o_orderkey", "F"))
+SURFACE = "sa AS (SELECT tomo,z,y,x FROM vox p WHERE (SELECT count(*) FROM off JOIN vox q ON q.tomo=p.tomo AND q.z=p.z+dz AND q.y=p.y+dy AND q.x=p.x+dx) < 6), sb AS (SELECT tomo,z,y,x FROM gt p WHERE (SELECT count(*) FROM off JOIN gt q ON q.tomo=p.tomo AND q.z=p.z+dz AND q.y=p.y+dy AND q.x=p.x+dx) < 6)"
+query("surface_dice", f"""{GT}, {OFFSETS_SQL}, {SURFACE}, o7 AS (SELECT * FROM off UNION ALL SELECT 0,0,0), na AS (SELECT tomo, count(*) n FROM sa SEMI JOIN (SELECT tomo, z+dz AS z, y+dy AS y, x+dx AS x FROM sb, o7) USING (tomo,z,y,x) GROUP BY tomo), nb AS (SELECT tomo, count(*) n FROM sb SEMI JOIN (SELECT tomo, z+dz AS z, y+dy AS y, x+dx AS x FROM sa, o7) USING (tomo,z,y,x) GROUP BY tomo)
+ SELECT a.tomo, round((na.n+nb.n)/(a.n+b.n),6) AS surface_dice FROM (SELECT tomo, count(*) n FROM sa GROUP BY tomo) a JOIN (SELECT tomo, count(*) n FROM sb GROUP BY tomo) b USING (tomo) JOIN na USING (tomo) JOIN nb USING (tomo)""")(lambda s, d: S.surface_dice(voxels(s, d), truth(s, d), 1.0).select("tomo", r6("surface_dice", "surface_dice")))
+IMAGE_SQL = "img AS (SELECT 'tomo' || CAST(l_orderkey % 3 AS VARCHAR) AS tomo, CAST(l_linenumber AS INTEGER) AS z, CAST(l_partkey % 64 AS INTEGER) AS y, CAST(l_suppkey * 7 % 64 AS INTEGER) AS x, CAST(max(l_quantity) AS DOUBLE) AS value FROM lineitem GROUP BY ALL)"
+
+
+def image(s, d):
+    at = F.concat(F.lit("tomo"), (F.col("l_orderkey") % 3).cast("string")).alias("tomo"), F.col("l_linenumber").cast("int").alias("z"), (F.col("l_partkey") % 64).cast("int").alias("y"), (F.col("l_suppkey") * 7 % 64).cast("int").alias("x")
+    return table(s, d, "lineitem").groupBy(*at).agg(F.max("l_quantity").cast("double").alias("value"))
+
+
+EDGES_SQL = f"WITH {IMAGE_SQL}, o(dy, dx) AS (SELECT a, b FROM range(-1,2) i(a), range(-1,2) j(b) WHERE a <> 0 OR b <> 0), n AS (SELECT tomo, z, CAST(y-dy AS INTEGER) AS y, CAST(x-dx AS INTEGER) AS x, dy, dx, value AS v FROM img, o)"
+query("edge_laplace", f"{EDGES_SQL}, s AS (SELECT tomo, z, y, x, sum(v) AS v FROM n WHERE dy*dx = 0 GROUP BY ALL HAVING count(*) = 4) SELECT tomo, z, y, x, round(s.v-4*value,6) AS edge FROM s JOIN img USING (tomo,z,y,x)")(lambda s, d: S.laplace(image(s, d)).select(*V.POS, r6("edge", "edge")))
+query("edge_sobel", f"{EDGES_SQL}, s AS (SELECT tomo, z, y, x, sum(v*dy*(2-abs(dx))) AS gy, sum(v*dx*(2-abs(dy))) AS gx FROM n GROUP BY ALL HAVING count(*) = 8) SELECT tomo, z, y, x, round(sqrt(gy*gy+gx*gx),6) AS edge FROM s SEMI JOIN img USING (tomo,z,y,x)")(lambda s, d: S.gradient(image(s, d)).select(*V.POS, r6("edge", "edge")))
+query("refine_shapes")(lambda s, d: S.refine_shapes(V.dilate(voxels(s, d)), image(s, d).select(*V.POS, F.col("value").alias("edge")), 1, 2, 25.0))
+query("id_list", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (1, 5, 9, 77)")(lambda s, d: table(s, d, "customer").where(F.col("c_custkey").isin(1, 5, 9, 77)).select("c_custkey", "c_name"))
+query("prefix_filter", "SELECT p_partkey, p_name FROM part WHERE starts_with(p_name, 'a') OR starts_with(p_name, 'b')")(lambda s, d: table(s, d, "part").where(F.col("p_name").startswith("a") | F.col("p_name").startswith("b")).select("p_partkey", "p_name"))
+query("name_groups", "SELECT CASE WHEN contains(o_orderpriority, 'URGENT') THEN 'first' WHEN contains(o_orderpriority, 'LOW') THEN 'last' ELSE 'middle' END AS grp, count(*) AS n FROM orders GROUP BY 1")(lambda s, d: table(s, d, "orders").groupBy(F.when(F.col("o_orderpriority").contains("URGENT"), "first").when(F.col("o_orderpriority").contains("LOW"), "last").otherwise("middle").alias("grp")).agg(F.count(F.lit(1)).alias("n")))
+query("semi_by_list", "SELECT DISTINCT o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")(lambda s, d: table(s, d, "orders").join(table(s, d, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi").select("o_custkey").distinct())
+query("intersect_keys", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")(lambda s, d: table(s, d, "customer").select(F.col("c_nationkey").alias("k")).intersect(table(s, d, "supplier").select(F.col("s_nationkey").alias("k"))))
+query("union_keys", "SELECT c_custkey AS k FROM customer UNION SELECT s_suppkey FROM supplier")(lambda s, d: table(s, d, "customer").select(F.col("c_custkey").alias("k")).union(table(s, d, "supplier").select(F.col("s_suppkey").alias("k"))).distinct())
+query("ratio_of_sums", "SELECT l_returnflag, round(sum(l_discount)/sum(l_quantity),9) AS ratio FROM lineitem GROUP BY l_returnflag")(lambda s, d: table(s, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.sum("l_discount") / F.sum("l_quantity"), 9).alias("ratio")))
+query("sorted_ranks", "SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS place FROM supplier QUALIFY place <= 50")(lambda s, d: R.top_n(table(s, d, "supplier").withColumn("all", F.lit(1)), ["all"], 50, F.desc("s_acctbal"), "s_suppkey").select("s_suppkey", F.col("rank").alias("place")))
+
 
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)

@@ -62,7 +62,7 @@ def evaluate(seg: DataFrame, gt: DataFrame, min_seg: int = 0, min_gt: int = 0, i
 
 def thin_zone(zone: DataFrame, mask: DataFrame, distance: float = 6.0, iterations: int = 2) -> DataFrame:
     """Zone voxels within ``distance`` of the mask in their slice, closed."""
-    z = zone.select(*V.POS).withColumn("label", F.monotonically_increasing_id())
+    z = zone.select(*V.POS).distinct().withColumn("label", F.concat_ws("/", *V.POS))
     by_slice = lambda v: v.withColumn("tomo", F.concat_ws("|", "tomo", "z"))
     near = D.nearest_structure(by_slice(z), by_slice(mask), surface=False).where(F.col("distance") <= distance)
     kept = z.join(near.select("label"), "label", "left_semi").select(*V.POS, F.lit(1).cast("long").alias("label"))
