@@ -297,7 +297,7 @@ def assign_pools(df: DataFrame, rules: list[tuple[str, Column]], default: str =
 
 def update_pool(pools: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     """Replaces the pool ``name``: its old rows go, the ids leave other pools."""
-    rest = pools.where(F.col("pool") != name).join(ids.select("id"), "id", "left_anti")
+    rest = pools.where(~F.col("pool").eqNullSafe(F.lit(name))).join(ids.select("id"), "id", "left_anti")
     return rest.unionByName(ids.select("id").distinct().withColumn("pool", F.lit(name)))
 
 
