@@ -133,6 +133,25 @@ def test_geodesic_goes_around(spark):
     assert d[0, 0] == 0 and d[0, 4] > 8 and len(d) == a.sum()
 
 
+def test_geodesic_over_blocks_is_that_of_the_whole(spark):
+    a = (np.random.default_rng(5).random((5, 14, 15)) < 0.45).astype(int)
+    start = np.zeros_like(a)
+    start[tuple(np.argwhere(a)[0])] = 1
+    size = (2.0, 1.0, 1.5)
+    want = K.geodesic(a > 0, np.where(start > 0, 0.0, np.inf), size)
+    got = {(r.z, r.y, r.x): r.distance for r in K.geodesic_distance(volume(spark, a), volume(spark, start), size, (3, 4, 5)).collect()}
+    assert set(got) == set(map(tuple, np.argwhere(np.isfinite(want)))) and len(got) > 50
+    assert all(d == pytest.approx(want[p]) for p, d in got.items())
+    nowhere = K.geodesic_distance(volume(spark, a), volume(spark, start).where("false"))
+    assert nowhere.isEmpty() and K.geodesic_distance(volume(spark, a).where("false"), volume(spark, start)).isEmpty()
+
+
+def test_skeletons_keep_objects_apart(spark):
+    flat = np.zeros((1, 9, 40), int)
+    flat[0, 2:4, 2:38], flat[0, 4:7, 2:38] = 1, 2
+    assert labels_of(K.skeletons(volume(spark, flat))) == [1, 2]
+
+
 def test_blockwise_sees_the_halo(spark):
     a = np.ones((4, 8, 8), int)
     count = lambda pdf: pdf.assign(n=len(pdf))

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelgrain.storage import stage
+
 Size = tuple[float, float, float]
 FACES = ((-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1))
 
@@ -88,13 +90,15 @@ def flood(height: np.ndarray, seeds: np.ndarray, mask: np.ndarray) -> np.ndarray
 
 
 def geodesic(mask: np.ndarray, start: np.ndarray, size: Size = (1, 1, 1)) -> np.ndarray:
-    """Length of the shortest path inside the mask over all 26 neighbours."""
-    out, heap = np.full(mask.shape, np.inf), []
-    steps = [(o, float(np.sqrt(sum((d * s) ** 2 for d, s in zip(o, size, strict=True))))) for o in np.ndindex(3, 3, 3) if o != (1, 1, 1)]
-    steps = [(tuple(d - 1 for d in o), float(np.sqrt(sum(((d - 1) * s) ** 2 for d, s in zip(o, size, strict=True))))) for o, _ in steps]
-    for p in map(tuple, np.argwhere(start & mask)):
-        out[p] = 0.0
-        heap.append((0.0, p))
+    """Length of the shortest path inside the mask over all 26 neighbours.
+
+    ``start`` holds lengths known so far: 0 where paths begin, infinite elsewhere.
+    """
+    out = np.where(mask, start, np.inf)
+    around = [tuple(i - 1 for i in k) for k in np.ndindex(3, 3, 3) if k != (1, 1, 1)]
+    steps = [(o, float(np.sqrt(sum((d * s) ** 2 for d, s in zip(o, size, strict=True))))) for o in around]
+    heap = [(float(out[p]), p) for p in map(tuple, np.argwhere(np.isfinite(out)))]
+    heapq.heapify(heap)
     while heap:
         d, p = heapq.heappop(heap)
         if d > out[p]:
@@ -252,16 +256,16 @@ def close_holes(v: DataFrame, max_size: int) -> DataFrame:
 
 
 def skeletons(v: DataFrame, min_size: int = 10, prune: bool = True) -> DataFrame:
-    """Skeleton per slice, cut down to its longest path; short ones are dropped."""
+    """Skeleton of each object per slice, cut down to its longest path; short ones are dropped."""
 
     def work(pdf):
         m, lo = dense(pdf)
         s = thin(m[1])
         s = longest_path(s) if prune else s
         keep = s[None] if s.sum() >= min_size else np.zeros((1, *s.shape), bool)
-        return voxels_of(keep.astype(np.int64), lo + np.array([1, 0, 0]), "on").assign(tomo=pdf["tomo"].iloc[0])[["tomo", "z", "y", "x"]]
+        return voxels_of(keep.astype(np.int64) * int(pdf["label"].iloc[0]), lo + np.array([1, 0, 0])).assign(tomo=pdf["tomo"].iloc[0])[["tomo", "z", "y", "x", "label"]]
 
-    return v.groupBy("tomo", "z").applyInPandas(work, "tomo string, z int, y int, x int")
+    return v.groupBy("tomo", "label", "z").applyInPandas(work, "tomo string, z int, y int, x int, label long")
 
 
 def segment(prediction: DataFrame, seed_limit: float = 0.5, min_size: int = 0, distance_seeds: float | None = None, per_slice: bool = False) -> DataFrame:
@@ -285,18 +289,30 @@ def segment(prediction: DataFrame, seed_limit: float = 0.5, min_size: int = 0, d
     return prediction.groupBy("tomo", *(["z"] if per_slice else [])).applyInPandas(work, "tomo string, z int, y int, x int, label long")
 
 
-def geodesic_distance(mask: DataFrame, start: DataFrame, size: Size = (1, 1, 1)) -> DataFrame:
-    """Path length inside the mask from the start voxels; unreachable ones are left out."""
-    both = mask.select("tomo", "z", "y", "x").join(start.select("tomo", "z", "y", "x").distinct().withColumn("s", F.lit(True)), ["tomo", "z", "y", "x"], "left").na.fill(False, ["s"])
+def geodesic_distance(mask: DataFrame, start: DataFrame, size: Size = (1, 1, 1), block: tuple[int, int, int] = (32, 32, 32)) -> DataFrame:
+    """Path length inside the mask from the start voxels; unreachable ones are left out.
 
-    def work(pdf):
+    Each round lengthens paths inside blocks with a halo of one voxel, starting
+    from the lengths of the round before; it is written, and the last round is
+    the one that shortens none. A task holds one block, whatever the tomogram.
+    """
+    pos = ["tomo", "z", "y", "x"]
+    where = [F.col("tomo"), *[F.col(c).cast("int").alias(c) for c in "zyx"]]
+    first = start.select(*where).distinct().withColumn("distance", F.lit(0.0))
+    state = stage(mask.select(*where).distinct().join(first, pos, "left"), "geodesic")
+
+    def relax(pdf):
         m, lo = dense(pdf)
-        s, _ = dense(pdf, 1, "s")
-        d = geodesic(m, s.astype(bool), size)
-        p = np.argwhere(np.isfinite(d))
-        return pd.DataFrame({"tomo": pdf["tomo"].iloc[0], "z": p[:, 0] + lo[0], "y": p[:, 1] + lo[1], "x": p[:, 2] + lo[2], "distance": d[tuple(p.T)]})
+        known, at = np.full(m.shape, np.inf), tuple((pdf[["z", "y", "x"]].to_numpy(np.int64) - lo).T)
+        known[at] = pdf["distance"].fillna(np.inf)
+        d = geodesic(m, known, size)[at]
+        return pdf.assign(distance=np.where(np.isfinite(d), d, np.nan), moved=d < known[at])
 
-    return both.groupBy("tomo").applyInPandas(work, "tomo string, z int, y int, x int, distance double")
+    while True:
+        made = stage(blockwise(state, block, (1, 1, 1), relax, "tomo string, z int, y int, x int, distance double, moved boolean"), "geodesic")
+        state = made.drop("moved")
+        if made.where("moved").isEmpty():
+            return state.where("distance is not null")
 
 
 def blockwise(v: DataFrame, block: tuple[int, int, int], halo: tuple[int, int, int], f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
