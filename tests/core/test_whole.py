@@ -60,20 +60,20 @@ def test_components(spark, small, volume):
         want |= {(tomo, *p): k for p, k in part.items()}
         largest |= {(tomo, *p) for p, k in part.items() if k == top}
         big |= {(tomo, *p) for p, k in part.items() if n[k] >= 5}
-    assert {(r.tomo, r.z, r.y, r.x): r.component for r in run(spark, small, "connected_components_whole")} == want
-    assert {(r.tomo, r.z, r.y, r.x) for r in run(spark, small, "largest_component_whole")} == largest
-    assert {(r.tomo, r.z, r.y, r.x) for r in run(spark, small, "components_size_filter_whole")} == big
+    assert {(r.tomo, r.z, r.y, r.x): r.component for r in run(spark, small, "connected_components")} == want
+    assert {(r.tomo, r.z, r.y, r.x) for r in run(spark, small, "largest_component")} == largest
+    assert {(r.tomo, r.z, r.y, r.x) for r in run(spark, small, "components_size_filter")} == big
 
 
 def test_pairs(spark, small, pairs):
-    got = {(r.tomo, r.id_a, r.id_b): r.distance for r in run(spark, small, "pairwise_distances_whole")}
+    got = {(r.tomo, r.id_a, r.id_b): r.distance for r in run(spark, small, "pairwise_distances")}
     assert got == {k: pytest.approx(m[0] ** 0.5, abs=1e-6) for k, m in pairs.items()}
     near = defaultdict(list)
     for (t, a, b), m in pairs.items():
         near[t, a].append((m[0], b))
         near[t, b].append((m[0], a))
     want = {(t, min(a, b), max(a, b)) for (t, a), some in near.items() for _, b in sorted(some)[:2]}
-    assert {(r.tomo, r.id_a, r.id_b) for r in run(spark, small, "nearest_neighbours_whole")} == want
+    assert {(r.tomo, r.id_a, r.id_b) for r in run(spark, small, "nearest_neighbours")} == want
 
 
 def test_direct_pairs(spark, small, volume, pairs):
@@ -94,4 +94,4 @@ def test_proximity(spark, small, volume):
             if k % 7:
                 objects[k].append(np.sqrt(((wall - np.array(p)) ** 2).sum(1).min()))
         want |= {(tomo, k): pytest.approx((min(d), np.median(d), max(d)), abs=2e-6) for k, d in objects.items()}
-    assert {(r.tomo, r.label): (r.min, r.median, r.max) for r in run(spark, small, "proximity_whole")} == want
+    assert {(r.tomo, r.label): (r.min, r.median, r.max) for r in run(spark, small, "proximity")} == want

@@ -11,9 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelgrain.operators import components as C
 from voxelgrain.operators import distance as D
-from voxelgrain.operators import kernels as K
 from voxelgrain.operators import relational as R
 from voxelgrain.operators import volume as V
 from voxelgrain.plans import analysis as A
@@ -134,12 +132,6 @@ query("additional_objects", f"{SCORES}, x AS (SELECT * FROM vox ANTI JOIN (SELEC
 
 # -- components and distances ----------------------------------------------
 
-COMPONENTS = f"""WITH RECURSIVE {VOXELS_SQL}, {STRUCTURE_SQL}, v AS (SELECT tomo, z, y, x, tomo || '/' || lpad(CAST(z AS VARCHAR),9,'0') || '/' || lpad(CAST(y AS VARCHAR),9,'0') || '/' || lpad(CAST(x AS VARCHAR),9,'0') AS id FROM structure),
- e AS (SELECT a.id AS a, b.id AS b FROM v a, range(-1,2) i(dz), range(-1,2) j(dy), range(-1,2) k(dx), v b WHERE b.tomo=a.tomo AND b.z=a.z+dz AND b.y=a.y+dy AND b.x=a.x+dx),
- r(id, m) AS (SELECT id, id FROM v UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.id WHERE r.m < e.b), c AS (SELECT id, min(m) AS m FROM r GROUP BY id)"""
-query("connected_components", f"{COMPONENTS} SELECT tomo, z, y, x, dense_rank() OVER (PARTITION BY tomo ORDER BY m) AS component FROM v JOIN c USING (id)")(lambda s, d: C.components(structure(s, d)))
-query("largest_component", f"{COMPONENTS} SELECT tomo, z, y, x FROM v JOIN c USING (id) JOIN (SELECT m FROM (SELECT tomo, m, count(*) n FROM v JOIN c USING (id) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY tomo ORDER BY n DESC, m) = 1) USING (m)")(lambda s, d: C.largest_component(structure(s, d)))
-query("components_size_filter", f"{COMPONENTS} SELECT tomo, z, y, x, label FROM (SELECT tomo, z, y, x, m, dense_rank() OVER (PARTITION BY tomo ORDER BY m) AS label, count(*) OVER (PARTITION BY m) n FROM v JOIN c USING (id)) WHERE n >= 5")(lambda s, d: C.components_filtered(structure(s, d), 5).select(*V.POS, "label"))
 NEAREST = f"{BOTH}, n AS (SELECT a.tomo, a.label, b.label sl, (a.z-b.z)*(a.z-b.z)+(a.y-b.y)*(a.y-b.y)+(a.x-b.x)*(a.x-b.x) AS d2, a.z az, a.y ay, a.x ax, b.z bz, b.y by_, b.x bx FROM ves a JOIN structure b ON a.tomo = b.tomo), m AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY tomo, label ORDER BY d2, az, ay, ax, bz, by_, bx) = 1)"
 query("nearest_structure", f"{NEAREST} SELECT tomo, label, round(sqrt(d2),6) AS distance, az, ay, ax, bz, by_, bx, sl AS structure_label FROM m")(
     lambda s, d: D.nearest_structure(vesicles(s, d), structure(s, d)).select("tomo", "label", r6("distance", "distance"), F.col("ep_object.z").alias("az"), F.col("ep_object.y").alias("ay"), F.col("ep_object.x").alias("ax"), F.col("ep_structure.z").alias("bz"), F.col("ep_structure.y").alias("by_"), F.col("ep_structure.x").alias("bx"), "structure_label")
@@ -147,20 +139,8 @@ query("nearest_structure", f"{NEAREST} SELECT tomo, label, round(sqrt(d2),6) AS
 query("flagship_pools", f"{NEAREST} SELECT tomo, CASE WHEN sqrt(d2) < 2 THEN 'docked' ELSE 'free' END AS pool, count(*) AS n, round(avg(sqrt(d2)),6) AS mean_distance FROM m GROUP BY ALL")(
     lambda s, d: R.assign_pools(D.nearest_structure(vesicles(s, d), structure(s, d)), [("free", F.lit(True)), ("docked", F.col("distance") < 2)]).groupBy("tomo", "pool").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("distance"), "mean_distance"))
 )
-PAIRS = f"{BOTH}, n AS (SELECT a.tomo, a.label ia, b.label ib, min((a.z-b.z)*(a.z-b.z)+(a.y-b.y)*(a.y-b.y)+(a.x-b.x)*(a.x-b.x)) d2 FROM structure a JOIN structure b ON a.tomo=b.tomo AND a.label<b.label GROUP BY ALL), p AS (SELECT tomo, ia AS id_a, ib AS id_b, sqrt(d2) AS distance FROM n WHERE d2 <= 400)"
-query("pairwise_distances", f"{PAIRS} SELECT tomo, id_a, id_b, round(distance,6) AS distance FROM p")(lambda s, d: D.pairwise(structure(s, d), 20.0).select("tomo", "id_a", "id_b", r6("distance", "distance")))
-query("nearest_neighbours", f"""{PAIRS}, b AS (SELECT tomo, id_a id, id_b o, distance FROM p UNION ALL SELECT tomo, id_b, id_a, distance FROM p)
- SELECT DISTINCT tomo, least(id,o) AS id_a, greatest(id,o) AS id_b, round(distance,6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY tomo, id ORDER BY distance, o) k FROM b) WHERE k <= 2""")(lambda s, d: D.neighbours(D.pairwise(structure(s, d), 20.0), 2).select("tomo", "id_a", "id_b", r6("distance", "distance")))
 query("top_structures", f"{NEAREST}, c AS (SELECT tomo, sl AS structure_label, count(*) AS objects FROM m WHERE sqrt(d2) <= 10 GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY tomo ORDER BY objects DESC, structure_label) AS rank FROM c QUALIFY rank <= 3")(lambda s, d: D.top_structures(D.nearest_structure(vesicles(s, d), structure(s, d)), 10.0, 3))
 query("top_n_per_structure", f"{NEAREST} SELECT tomo, sl AS structure_label, label, row_number() OVER (PARTITION BY tomo, sl ORDER BY d2, label) AS rank FROM m QUALIFY rank <= 2")(lambda s, d: D.top_n_per_structure(D.nearest_structure(vesicles(s, d), structure(s, d)), 2).select("tomo", "structure_label", "label", "rank"))
-query("direct_pairs")(lambda s, d: D.direct_pairs(D.pairwise(voxels(s, d), 20.0), voxels(s, d)).select("tomo", "id_a", "id_b", r6("distance", "distance")))
-# the same over all objects; no SQL, brute force on a small table tests them
-query("connected_components_whole")(lambda s, d: C.components(voxels(s, d)))
-query("largest_component_whole")(lambda s, d: C.largest_component(voxels(s, d)))
-query("components_size_filter_whole")(lambda s, d: C.components_filtered(voxels(s, d), 5).select(*V.POS, "label"))
-query("pairwise_distances_whole")(lambda s, d: D.pairwise(voxels(s, d), 20.0).select("tomo", "id_a", "id_b", r6("distance", "distance")))
-query("nearest_neighbours_whole")(lambda s, d: D.neighbours(D.pairwise(voxels(s, d), 20.0), 2).select("tomo", "id_a", "id_b", r6("distance", "distance")))
-query("proximity_whole")(lambda s, d: A.proximity(vesicles(s, d), structure(s, d)).select("tomo", "label", r6("min", "min"), r6("median", "median"), r6("max", "max")))
 
 # -- measurement tables ----------------------------------------------------
 
@@ -210,18 +190,10 @@ query("json_props", "SELECT event_type, count(*) AS n, count(*) FILTER (props IS
 VESICLE_POOL_SQL = "CASE WHEN pd_distance < 100 AND boundary_distance < 2 THEN 'Docked-V' WHEN ribbon_distance < 80 AND boundary_distance < 50 THEN 'MP-V' WHEN ribbon_distance < 80 THEN 'RA-V' ELSE 'unassigned' END"
 query("vesicle_pools", f"{MEAS} SELECT tomo, {VESICLE_POOL_SQL} AS pool, count(*) AS n, round(avg(radius),6) AS mean_radius FROM meas GROUP BY ALL")(lambda s, d: A.assign_vesicle_pools(measurements(s, d)).groupBy("tomo", "pool").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("radius"), "mean_radius")))
 query("inside_fraction", f"{GT} SELECT tomo, label, CAST(count(*)*8 AS DOUBLE) AS volume, CAST(count(g)*8 AS DOUBLE) AS inner_volume, round(count(g)/count(*),6) AS fraction FROM vox LEFT JOIN (SELECT tomo,z,y,x,1 AS g FROM gt) USING (tomo,z,y,x) GROUP BY ALL")(lambda s, d: A.inside_fraction(voxels(s, d), truth(s, d), 8.0).select("tomo", "label", "volume", "inner_volume", r6("fraction", "fraction")))
-query("select_structures")(lambda s, d: A.select_structures(structure(s, d), vesicles(s, d), 6.0, 2, connectivity=1))
-query("evaluate_components")(lambda s, d: A.evaluate(structure(s, d), truth(s, d).where("label % 7 = 0"), 2, 2, limit=0.1).select("tomo", "tp", "fp", "fn", r6("dice", "dice")))
-query("proximity", f"{BOTH}, n AS (SELECT a.tomo, a.label, a.z, a.y, a.x, min((a.z-b.z)*(a.z-b.z)+(a.y-b.y)*(a.y-b.y)+(a.x-b.x)*(a.x-b.x)) d2 FROM (SELECT * FROM ves WHERE label % 5 = 0) a JOIN structure b ON a.tomo=b.tomo GROUP BY ALL) SELECT tomo, label, round(sqrt(min(d2)),6) AS min, round(quantile_cont(sqrt(d2),0.5),6) AS median, round(sqrt(max(d2)),6) AS max FROM n GROUP BY ALL")(lambda s, d: A.proximity(vesicles(s, d).where("label % 5 = 0"), structure(s, d)).select("tomo", "label", r6("min", "min"), r6("median", "median"), r6("max", "max")))
-query("thin_zone")(lambda s, d: A.thin_zone(vesicles(s, d), structure(s, d), 3.0, 1))
-query("membrane_near")(lambda s, d: A.membrane_near(structure(s, d), vesicles(s, d), 2.0, 2, connectivity=1))
-query("object_axes")(lambda s, d: K.axes(voxels(s, d)).select("tomo", "label", r6("major", "major"), r6("minor", "minor")))
 query("event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value),4) AS total FROM events GROUP BY ALL")(lambda s, d: ingest.windowed_counts(table(s, d, "events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total")))
 
 # -- sites, regions and reports --------------------------------------------
 
-query("contact_sites")(lambda s, d: S.contact_sites(vesicles(s, d), structure(s, d), 8.0)[1])
-query("component_boxes")(lambda s, d: S.component_boxes(voxels(s, d), 2, (4, 16, 16), SHAPE))
 query("object_statistics", f"""{GT}, {OFFSETS_SQL}, ins AS (SELECT vox.* FROM vox SEMI JOIN gt USING (tomo,z,y,x)), n AS (SELECT tomo, label, count(*) n, avg(z) cz, avg(y) cy, avg(x) cx FROM vox GROUP BY ALL),
  i AS (SELECT tomo, label, count(*) n, avg(z) cz, avg(y) cy, avg(x) cx FROM ins GROUP BY ALL),
  f AS (SELECT tomo, label, CAST(count(*) AS DOUBLE) a FROM (SELECT tomo, z+dz AS z, y+dy AS y, x+dx AS x, label FROM vox, off) q ANTI JOIN vox USING (tomo,z,y,x,label) GROUP BY ALL),
@@ -281,6 +253,9 @@ query("ratio_of_sums", "SELECT l_returnflag, round(sum(l_discount)/sum(l_quantit
 query("sorted_ranks", "SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS place FROM supplier QUALIFY place <= 50")(lambda s, d: R.top_n(table(s, d, "supplier").withColumn("all", F.lit(1)), ["all"], 50, F.desc("s_acctbal"), "s_suppkey").select("s_suppkey", F.col("rank").alias("place")))
 
 
+from voxelgrain import catalog_shapes  # noqa: E402, F401  adds its queries to these
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
