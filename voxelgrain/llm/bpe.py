@@ -147,18 +147,19 @@ class Encoder:
         known = self.pieces
         if len(known) > CACHE_PIECES:
             known.clear()
-        fresh = list({p for part in found for p in part if p not in known})
+        fresh = list(set().union(*found).difference(known))
         for i in range(0, len(fresh), CACHE_PIECES):
             part = fresh[i : i + CACHE_PIECES]
             known.update(zip(part, encode_pieces([p.encode() for p in part], self.v), strict=True))
-        return [b"".join([known[p] for p in part]) for part in found]
+        return [known[part[0]] if len(part) == 1 else b"".join([known[p] for p in part]) for part in found]
 
     def _learn(self, cache: dict[str, bytes], chunks: set[str], lead: str) -> None:
         if len(cache) > CACHE_PIECES:
             cache.clear()
         find = self.pattern.findall
-        fresh = [c for c in chunks if c not in cache]
-        cache.update(zip(fresh, self._pieces([find(lead + c) for c in fresh]), strict=True))
+        fresh = list(chunks.difference(cache))
+        # letters up to the end of the Latin blocks, which every version of Unicode has: one piece
+        cache.update(zip(fresh, self._pieces([[lead + c] if c.isalpha() and max(c) < "\u0250" else find(lead + c) for c in fresh]), strict=True))
 
     def _whole(self, text: str) -> bytes:
         special = self.v.special
@@ -173,7 +174,7 @@ class Encoder:
             plain.append(t if any(s in t for s in special) or self.whole(t) else t.split(" "))
         split = [c for c in plain if c.__class__ is list]
         self._learn(self.first, {c[0] for c in split}, "")
-        self._learn(self.later, {x for c in split for x in c[1:]}, " ")
+        self._learn(self.later, set().union(*[c[1:] for c in split]), " ")
         first, later = self.first, self.later.__getitem__
         for c in plain:
             out.append(self._whole(c) if c.__class__ is str else first[c[0]] + b"".join(map(later, c[1:])))

@@ -118,8 +118,11 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1
             yield batch.slice(a, b - a)
 
 
-def empty_like(df: DataFrame, schema: str) -> DataFrame:
-    return df.sparkSession.createDataFrame([], schema)
+def finite_vectors(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
+    """(id, v) of the vectors, as doubles, that are not null and hold neither null nor non-finite components."""
+    v = F.col(vector).cast("array<double>")
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return vectors.where(v.isNotNull() & ~F.coalesce(bad, F.lit(True))).select(F.col(id_col), v.alias("v"))
 
 
 def labelled(documents: DataFrame, labels: DataFrame, label: str) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelgrain.llm import ann, bpe, dedup, langid, lm, mixing, quality, rules, toxicity, urls
+from voxelgrain.llm import ann, bpe, centroids, dedup, langid, lm, mixing, packing, quality, rules, toxicity, urls, whitening
 from voxelgrain.llm.common import crc_split
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -81,8 +81,25 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen whitened components of every vector; a deviation beyond a long is null."""
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector: 8 centroids, 10 rounds; an inertia beyond a long is null."""
+    out = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    return out.withColumns({c: F.expr(f"try_cast({c} as bigint)") for c in ("cluster_inertia", "inertia")})
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence and offset of every piece of every document, 2048 tokens a sequence."""
+    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_minhash_near_dedup, op2_toxicity, op3_bpe, op4_lm_score, op5_language_id, op6_nearest_neighbours, op7_quality, op8_mix_sources, op9_quality_rules, op10_url_filter]
+    ops = [op1_minhash_near_dedup, op2_toxicity, op3_bpe, op4_lm_score, op5_language_id, op6_nearest_neighbours, op7_quality, op8_mix_sources, op9_quality_rules, op10_url_filter, op11_embedding_whitening, op12_centroid_clustering, op13_best_fit_packing]
     return {f.__name__: f for f in ops}
 
 
@@ -114,5 +131,21 @@ MIX_SQL = f"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len({WORDS_SQL}),
  SELECT doc_id, size, source_size, target, CAST(epochs * size + least(size, greatest(0, rest - before)) AS BIGINT) AS taken FROM q"""
 
 
+def centroids_sql(k: int = 8, rounds: int = 10, dim: int = 64, seed: int = 3) -> str:
+    """Rounds of assignment and floored means, each a pair of tables."""
+    gap = "CAST(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
+    steps = [f"""x AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda e: CAST(floor(1024 * CAST(e AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+ WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {dim}),
+ c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h, v) - 1 AS INTEGER) AS cluster, v AS c FROM (SELECT v, sha256('{seed}:' || vec_id) AS h FROM x WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT {k}))"""]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT i, any_value(vec_id) AS vec_id, any_value(v) AS v, min(struct_pack(d := {gap}, k := cluster)) AS m FROM x, c{r} GROUP BY i)")
+        if r < rounds:
+            sums = f"SELECT cluster, dim, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS q FROM (SELECT m.k AS cluster, dim, sum(e) AS s, count(*) AS n FROM (SELECT m, unnest(v) AS e, unnest(range({dim})) AS dim FROM a{r}) GROUP BY ALL)"
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT o.cluster, coalesce(n.c, o.c) AS c FROM c{r} o LEFT JOIN (SELECT cluster, list(q ORDER BY dim) AS c FROM ({sums}) GROUP BY cluster) n USING (cluster))")
+    return f"""WITH {", ".join(steps)}
+ SELECT vec_id, m.k AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.k) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia,
+ sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON cluster = m.k"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": DEDUP_SQL, "op8_mix_sources": MIX_SQL}
+    return {"op1_minhash_near_dedup": DEDUP_SQL, "op8_mix_sources": MIX_SQL, "op12_centroid_clustering": centroids_sql()}
