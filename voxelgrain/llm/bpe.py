@@ -18,16 +18,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelgrain.llm.common import slices
+from voxelgrain.llm.common import TEXT, beside, kept, offsets, slices
 
 #: Split of a text before merging, as byte-level vocabularies of this kind define it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Signs that are one piece together where they end a chunk.
+SIGNS = ".,;:!?)"
 #: Entries kept in a worker's cache, after which it starts afresh.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 400_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -58,7 +62,7 @@ class Vocabulary:
         #: The ranks again, in the order of the pairs' keys.
         self.ranks = np.argsort(keys, kind="stable")
         self.keys = keys[self.ranks]
-        self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        self.split = "(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")"
         self.table = [self.bytes.get(i, b"") for i in range(max(self.bytes) + 1)]
 
 
@@ -127,57 +131,90 @@ def encode_pieces(pieces: list[bytes], v: Vocabulary) -> list[bytes]:
     return [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
+def is_letters(text: str) -> bool:
+    """Letters up to the end of the Latin blocks, which every version of Unicode has: one piece."""
+    return text.isalpha() and max(text) < "\u0250"
+
+
 class Encoder:
     """Encodes texts batch by batch; what was seen before comes from caches.
 
     A text falls apart at every single space that other characters than spaces
-    surround: the pattern always starts a piece there. Such chunks, most of them
-    words, are cached with their ids. A text in which a space touches more white
-    space on both sides or at its end is cut by the pattern as a whole.
+    surround: the pattern always starts a piece there. Chunks of a batch are numbered
+    by Arrow, those that follow a space are cached with their ids in ``later``, and
+    the ids of texts are gathered by number. A text in which a space touches more white space on both sides or at its end is
+    cut by the pattern as a whole.
     """
 
-    def __init__(self, path: str):
-        self.v, self.pattern = Vocabulary(path), regex.compile(PATTERN)
-        self.pieces: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+    def __init__(self, path: str | None = None, state: dict | None = None):
+        """From a tokenizer file, or from the ``state`` of another encoder, whose caches are then shared."""
+        self.state = state if state is not None else {"v": vars(Vocabulary(path)), "pieces": {}, "later": {}}
+        self.v = Vocabulary.__new__(Vocabulary)
+        vars(self.v).update(self.state["v"])
+        self.pattern = regex.compile(PATTERN)
+        self.pieces, self.later = self.state["pieces"], self.state["later"]
         self.whole = re.compile(r"\s (?:\s|\Z)").search
 
-    def _pieces(self, found: list[list[str]]) -> list[bytes]:
+    def _learn(self, words: set[str], odd: set[str]) -> None:
+        """Ids of words after a space and of other pieces that no cache holds yet."""
+        new, rest = list(words.difference(self.later)), list(odd.difference(self.pieces))
+        for i in range(0, max(len(new), len(rest)), CACHE_PIECES):  # bounds what is laid out at once
+            w, o = new[i : i + CACHE_PIECES], rest[i : i + CACHE_PIECES]
+            ids = encode_pieces([b" " + x.encode() for x in w] + [x.encode() for x in o], self.v)
+            self.later.update(zip(w, ids, strict=False))
+            self.pieces.update(zip(o, ids[len(w) :], strict=True))
+
+    def _chunks(self, chunks: list[str], apart: list[list[str]]) -> list[bytes]:
+        """Ids of chunks that follow a space, most of them a word or a word and
+        signs after it; the pieces of ``apart`` are learned with them."""
+        words, signed, found, find = set(), {}, {}, self.pattern.findall
+        for c in set(chunks).difference(self.later):
+            if is_letters(c):
+                words.add(c)
+                continue
+            stem = c.rstrip(SIGNS)
+            if stem and is_letters(stem):
+                words.add(stem)
+                signed[c] = stem, c[len(stem) :]
+            else:
+                found[c] = find(" " + c)
+        self._learn(words, set().union({sign for _, sign in signed.values()}, *found.values(), *apart))
+        later, known = self.later, self.pieces
+        later.update({c: later[stem] + known[sign] for c, (stem, sign) in signed.items()})
+        later.update({c: self._ids(part) for c, part in found.items()})
+        return [later[c] for c in chunks]
+
+    def _ids(self, part: list[str]) -> bytes:
         known = self.pieces
-        if len(known) > CACHE_PIECES:
-            known.clear()
-        fresh = list(set().union(*found).difference(known))
-        for i in range(0, len(fresh), CACHE_PIECES):
-            part = fresh[i : i + CACHE_PIECES]
-            known.update(zip(part, encode_pieces([p.encode() for p in part], self.v), strict=True))
-        return [known[part[0]] if len(part) == 1 else b"".join([known[p] for p in part]) for part in found]
-
-    def _learn(self, cache: dict[str, bytes], chunks: set[str], lead: str) -> None:
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
-        find = self.pattern.findall
-        fresh = list(chunks.difference(cache))
-        # letters up to the end of the Latin blocks, which every version of Unicode has: one piece
-        cache.update(zip(fresh, self._pieces([[lead + c] if c.isalpha() and max(c) < "\u0250" else find(lead + c) for c in fresh]), strict=True))
-
-    def _whole(self, text: str) -> bytes:
-        special = self.v.special
-        parts = self.v.cut.split(text) if self.v.cut else [text]
-        return b"".join(special[p].to_bytes(4, "little") if p in special else self._pieces([self.pattern.findall(p)])[0] for p in parts)
+        return b"".join([known[p] for p in part])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """A null text counts as empty; special tokens in a text become their ids."""
-        special, plain, out = list(self.v.special), [], []
-        for t in texts:
-            t = t or ""
-            plain.append(t if any(s in t for s in special) or self.whole(t) else t.split(" "))
-        split = [c for c in plain if c.__class__ is list]
-        self._learn(self.first, {c[0] for c in split}, "")
-        self._learn(self.later, set().union(*[c[1:] for c in split]), " ")
-        first, later = self.first, self.later.__getitem__
-        for c in plain:
-            out.append(self._whole(c) if c.__class__ is str else first[c[0]] + b"".join(map(later, c[1:])))
+        for cache in (self.pieces, self.later):
+            if len(cache) > CACHE_PIECES:
+                cache.clear()
+        special, find = self.v.special, self.pattern.findall
+        texts, odd = [t or "" for t in texts], {}
+        for i, t in enumerate(texts):
+            if any(x in t for x in special) or self.whole(t):  # cut as a whole, at special tokens first
+                odd[i] = [p if p in special else find(p) for p in (regex.split(self.v.split, t) if special else [t])]
+        cut = pa.compute.split_pattern(pa.array(["" if i in odd else t for i, t in enumerate(texts)], pa.string()), " ")
+        coded = cut.flatten().dictionary_encode()
+        ends = cut.offsets.to_numpy().astype(np.int64)
+        # the first chunk of a text has no space before it: such ones come after all others
+        lead = [find(c) for c in coded.take(pa.array(ends[:-1])).cast(pa.string()).to_pylist()]
+        table = self._chunks(coded.dictionary.to_pylist(), lead + [p for parts in odd.values() for p in parts if p.__class__ is list])
+        code = coded.indices.to_numpy().astype(np.int64)
+        code[ends[:-1]] = len(table) + np.arange(len(texts))
+        table += map(self._ids, lead)
+        starts = offsets(np.fromiter(map(len, table), np.int64, len(table)) // 4)
+        size = np.diff(starts)[code]
+        at = offsets(size)
+        ids = np.frombuffer(b"".join(table), "<u4")[np.repeat(starts[code] - at[:-1], size) + np.arange(at[-1])]
+        raw, cuts = ids.tobytes(), (at[ends] * 4).tolist()
+        out = [raw[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]
+        for i, parts in odd.items():
+            out[i] = b"".join(self._ids(p) if p.__class__ is list else special[p].to_bytes(4, "little") for p in parts)
         return out
 
     def decode(self, ids: bytes) -> str:
@@ -185,28 +222,35 @@ class Encoder:
         return b"".join(map(self.v.table.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
+def share(df: DataFrame, path: str) -> Broadcast:
+    """The vocabulary for all workers, some MB; each keeps its caches from task to task."""
+    return df.sparkSession.sparkContext.broadcast(Encoder(path).state)
+
+
 def _run(documents: DataFrame, path: str, keep: list[str], text: str, fields: list[tuple[str, str, pa.DataType]], row) -> DataFrame:
-    src = documents.select(*keep, F.col(text).alias("_text"))
-    names = [*keep, *[f[0] for f in fields]]
+    results = [f[0] for f in fields]
+    shared = share(documents, path)
+    src = documents.select(*kept(documents, keep, results), F.col(text).alias(TEXT))
+    names = [*beside(keep, results), *results]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(path)
-        for b in slices(batches, "_text", 4_000_000):
+        coder = Encoder(state=shared.value)
+        for b in slices(batches, TEXT, 4_000_000):
             texts = b.column(b.num_columns - 1).to_pylist()
             made = list(zip(*[row(coder, ids) for ids in coder.encode(texts)], strict=True)) or [[]] * len(fields)
             cols = [b.column(i) for i in range(b.num_columns - 1)] + [pa.array(list(c), f[2]) for c, f in zip(made, fields, strict=True)]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    kept = ", ".join(f"`{c}` {t}" for c, t in src.dtypes[:-1])
-    return src.mapInArrow(work, ", ".join([kept] * bool(kept) + [f"`{f[0]}` {f[1]}" for f in fields]))
+    return src.mapInArrow(work, ", ".join([f"`{c}` {t}" for c, t in [*src.dtypes[:-1], *[f[:2] for f in fields]]]))
 
 
 def encode(documents: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns and ids (array<int>), n_tokens of every whole text.
 
-    The tokenizer file must lie at ``path`` on every executor. Null and empty
+    The tokenizer file is read on the driver and broadcast. Null and empty
     texts have no tokens; repeated rows are encoded alike; an empty table gives
-    none; columns not in ``keep`` are not read.
+    none; columns not in ``keep`` are not read. A kept column with the name of a
+    result gets ``_in`` at its end.
     """
     row = lambda coder, ids: (np.frombuffer(ids, "<i4"), len(ids) // 4)
     return _run(documents, path, keep, text, [("ids", "array<int>", pa.list_(pa.int32())), ("n_tokens", "bigint", pa.int64())], row)
@@ -214,13 +258,14 @@ def encode(documents: DataFrame, path: str, keep: list[str], text: str = "text")
 
 def decode(encoded: DataFrame, path: str, keep: list[str], ids: str = "ids") -> DataFrame:
     """``keep`` columns and text of every list of ids; a null list gives null."""
-    src = encoded.select(*keep, F.col(ids).alias("_ids"))
+    src = encoded.select(*kept(encoded, keep, ["text"]), F.col(ids).alias("_ids"))
+    shared = share(encoded, path)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(path)
+        coder = Encoder(state=shared.value)
         for b in batches:
             texts = [None if x is None else coder.decode(np.array(x, "<u4").tobytes()) for x in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(b.num_columns - 1)], pa.array(texts, pa.string())], names=[*keep, "text"])
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(b.num_columns - 1)], pa.array(texts, pa.string())], names=[*beside(keep, ["text"]), "text"])
 
     return src.mapInArrow(work, ", ".join([f"`{c}` {t}" for c, t in src.dtypes[:-1]] + ["text string"]))
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Entries after which a worker's word cache starts afresh.
 CACHE_WORDS = 300_000
+#: Name of the text column on its way to the workers.
+TEXT = "_text_of_operator"
 
 
 def crc_split(doc_id: Column | str, parts: int) -> Column:
@@ -125,6 +127,26 @@ def finite_vectors(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
     return vectors.where(v.isNotNull() & ~F.coalesce(bad, F.lit(True))).select(F.col(id_col), v.alias("v"))
 
 
+def beside(keep: list[str], results: list[str]) -> list[str]:
+    """Names of kept columns beside those of results.
+
+    A kept column whose name is that of a result, in any case, gets ``_in`` at
+    its end, again and again until it is free.
+    """
+    out, taken = [], {r.lower() for r in results}
+    for c in keep:
+        while c.lower() in taken:
+            c += "_in"
+        taken.add(c.lower())
+        out.append(c)
+    return out
+
+
+def kept(df: DataFrame, keep: list[str], results: list[str]) -> list[Column]:
+    """Columns ``keep`` of ``df`` under the names that ``beside`` gives them."""
+    return [F.col(f"`{c}`").alias(n) for c, n in zip(keep, beside(keep, results), strict=True)]
+
+
 def labelled(documents: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     """(doc_id, text, y) of rows with a label of 0 or 1.
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voxelgrain.llm.bpe import Encoder
+from voxelgrain.llm.bpe import Encoder, share
 from voxelgrain.llm.common import slices, stage
 
 CAPACITY = 2048
@@ -39,10 +39,10 @@ def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, id_col: st
     Its ids and one ``END``; if longer than ``capacity``, the first piece takes
     what does not fill a whole one. Null and empty texts are one piece of one id.
     """
-    end = END.to_bytes(4, "little")
+    end, shared = END.to_bytes(4, "little"), share(documents, path)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(path)
+        coder = Encoder(state=shared.value)
         for b in slices(batches, "_text", 8_000_000):
             rows: list[tuple[int, int, int, int]] = []
             doc: list[int] = []
