@@ -14,7 +14,6 @@ wanted share of the sample's true neighbours.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import combinations
 from math import comb
 
@@ -66,7 +65,6 @@ def codes(x: np.ndarray, mean: np.ndarray, rot: np.ndarray, width: int = WIDTH)
     return out
 
 
-@lru_cache
 def ball(width: int, reach: int) -> np.ndarray:
     """All differences of ``width`` bits with ``reach`` ones at most."""
     return np.array([sum(1 << b for b in bits) for k in range(reach + 1) for bits in combinations(range(width), k)], np.uint32)
@@ -106,7 +104,7 @@ class MultiIndex:
     """Substrings of a block of codes, each with its rows by value."""
 
     def __init__(self, code: np.ndarray, width: int = WIDTH):
-        self.code, self.width = code, width
+        self.code, self.width, self.balls = code, width, {}
         self.rows, self.starts = [], []
         kind = np.uint16 if len(code) < 1 << 16 else np.uint32
         for t in range(code.shape[1]):
@@ -116,7 +114,9 @@ class MultiIndex:
     def probe(self, q: np.ndarray, reach: int) -> np.ndarray:
         """All rows with a substring within ``reach`` bits of that of ``q``."""
         hit = np.zeros(len(self.code), bool)
-        around = ball(self.width, reach)
+        if reach not in self.balls:
+            self.balls[reach] = ball(self.width, reach)
+        around = self.balls[reach]
         for rows, starts, value in zip(self.rows, self.starts, q, strict=True):
             at = around ^ value
             lo, hi = starts[at], starts[at + 1]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelgrain.llm.common import CACHE_WORDS, slices
+from voxelgrain.llm.common import CACHE_WORDS, TEXT, beside, kept, slices
 
 BUCKETS = 1 << 15
 SIZES = (1, 2, 3, 4)
@@ -67,7 +67,7 @@ def count(documents: DataFrame, lang: str = "lang", text: str = "text", buckets:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for b in slices(batches, "_text", 4_000_000):
+        for b in slices(batches, TEXT, 4_000_000):
             langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for one in set(langs):
                 seen: dict[str, int] = {}
@@ -189,15 +189,16 @@ def predict(documents: DataFrame, model: tuple[list[str], np.ndarray], keep: lis
     Null texts, texts without a letter, and all texts if no language was
     learned, are ``und`` with score 0. Of equal proportions the language first
     by code point is taken. Repeated rows get equal results; an empty table
-    gives none.
+    gives none. A kept column with the name of a result gets ``_in`` at its end.
     """
-    src = documents.select(*keep, F.col(text).alias("_text"))
+    results = ["lang_pred", "score", "proportions"]
+    keep, src = beside(keep, results), documents.select(*kept(documents, keep, results), F.col(text).alias(TEXT))
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, table = shared.value
         reader = Reader(langs, table)
-        for b in slices(batches, "_text", 4_000_000):
+        for b in slices(batches, TEXT, 4_000_000):
             pi, seen = reader.proportions(b.column(b.num_columns - 1).to_pylist())
             known = seen & bool(langs)
             top = pi.argmax(1) if langs else np.zeros(len(seen), int)
@@ -205,6 +206,6 @@ def predict(documents: DataFrame, model: tuple[list[str], np.ndarray], keep: lis
             score = np.where(known, pi[np.arange(len(top)), top] if langs else 0.0, 0.0)
             parts = [[(g, float(x)) for g, x in zip(langs, r, strict=True) if x > 0] for r in pi]
             cols = [pa.array(pred, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64()), pa.array(parts, pa.map_(pa.string(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(b.num_columns - 1)], *cols], names=[*keep, "lang_pred", "score", "proportions"])
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(b.num_columns - 1)], *cols], names=[*keep, *results])
 
     return src.mapInArrow(work, ", ".join([f"`{c}` {t}" for c, t in src.dtypes[:-1]] + ["lang_pred string, score double, proportions map<string,double>"]))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voxelgrain.llm.common import WORD, stage
+from voxelgrain.llm.common import WORD, beside, stage
 
 WEIGHTS = (5, 2, 1)
 TOTAL_SHARE = 1.5
@@ -24,6 +24,7 @@ MOST_EPOCHS = 2
 #: Sources whose targets are broadcast at most, of about 100 bytes each.
 BROADCAST_SOURCES = 50_000
 BINS = 4096
+RESULTS = ["size", "source_size", "target", "taken"]
 #: Logarithms of keys between which bins are cut; keys beyond go to the end bins.
 LEAST, MOST = -12.0, 8.0
 
@@ -69,9 +70,12 @@ def targets(sizes: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHARE,
     return [(s, n, float(target[s])) for s, n in rows]
 
 
-def mix(documents: DataFrame, size: Column | None = None, weight: Column | None = None, seed: int = 17, bins: int = BINS, weights=WEIGHTS, total_share: float = TOTAL_SHARE, most: int = MOST_EPOCHS) -> DataFrame:
+def mix(documents: DataFrame, size: Column | None = None, weight: Column | None = None, seed: int = 17, bins: int = BINS, weights=WEIGHTS, total_share: float = TOTAL_SHARE, most: int = MOST_EPOCHS, keep: list[str] | None = None) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of every row.
 
+    With ``keep`` these columns of the row come instead of doc_id and source; one
+    with the name of another result gets ``_in`` at its end.
+
     ``taken`` is words: whole epochs times the size, and in the fractional draw
     the size of each document that fits and, of the one in which the budget
     ends, as many words as are left. Null texts have size 0 and take none; a
@@ -86,7 +90,8 @@ def mix(documents: DataFrame, size: Column | None = None, weight: Column | None
     size = n_words(F.col("text")) if size is None else size
     weight = quality_weight(F.col("text")) if weight is None else weight
     u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))).cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-    drawn = documents.select("doc_id", "source", size.alias("size"), (-F.log(u) / weight).alias("key"))
+    more = [f"_keep{i}" for i in range(len(keep or []))]
+    drawn = documents.select("doc_id", "source", size.alias("size"), (-F.log(u) / weight).alias("key"), *[F.col(f"`{c}`").alias(m) for c, m in zip(keep or [], more, strict=True)])
     drawn = stage(drawn.withColumn("bin", F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((F.log("key") - LEAST) * (bins / (MOST - LEAST))))).cast("int")), "mix-keys")
     by_bin = stage(drawn.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")), "mix-bins")
     plan = targets(by_bin.groupBy("source").agg(F.sum("bin_size")), weights, total_share, most)
@@ -98,11 +103,12 @@ def mix(documents: DataFrame, size: Column | None = None, weight: Column | None
     ends = by_bin.withColumn("before", F.coalesce(F.sum("bin_size").over(before), F.lit(0))).alias("b").join(few(goal.alias("g")), F.col("g.source").eqNullSafe(F.col("b.source")))
     cut = ends.where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("bin_size") > F.col("rest"))).select(F.col("g.source").alias("source"), F.col("bin").alias("cut_bin"), "before")
     goals = goal.alias("g").join(cut.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source")), "left").select(F.col("g.source").alias("source"), "source_size", "target", "epochs", "rest", F.coalesce("cut_bin", F.lit(bins)).alias("cut_bin"), F.coalesce("before", F.lit(0)).alias("before"))
-    every = drawn.alias("d").join(few(goals.alias("g")), F.col("g.source").eqNullSafe(F.col("d.source"))).select("d.doc_id", "d.source", "d.size", "d.key", "d.bin", "source_size", "target", "epochs", "rest", "cut_bin", "before")
+    every = drawn.alias("d").join(few(goals.alias("g")), F.col("g.source").eqNullSafe(F.col("d.source"))).select("d.doc_id", "d.source", "d.size", "d.key", "d.bin", "source_size", "target", "epochs", "rest", "cut_bin", "before", *more)
     inside = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     at = every.where(F.col("bin") == F.col("cut_bin"))
     at = at.withColumn("so_far", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     at = at.withColumn("part", F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - F.col("so_far"))))
     off = every.where(F.col("bin") != F.col("cut_bin")).withColumn("part", F.when(F.col("bin") < F.col("cut_bin"), F.col("size")).otherwise(F.lit(0)))
-    cols = ["doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken")]
+    named = ["doc_id", "source"] if keep is None else [F.col(m).alias(n) for m, n in zip(more, beside(keep, RESULTS), strict=True)]
+    cols = [*named, "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken")]
     return off.select(*cols).unionByName(at.select(*cols))

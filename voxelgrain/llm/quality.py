@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelgrain.llm.common import Hashes, bounded, labelled, mix, slices
+from voxelgrain.llm.common import TEXT, Hashes, beside, bounded, kept, labelled, mix, slices
 
 BUCKETS = 1 << 16
 DIM = 32
@@ -55,7 +55,7 @@ def context_vectors(documents: DataFrame, text: str = "text", buckets: int = BUC
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pairs = Words(buckets), np.zeros((buckets, dim), np.int32)
         own, seen = index_vectors(buckets, dim), np.zeros(buckets, bool)
-        for b in slices(batches, "_text", 2_000_000):
+        for b in slices(batches, TEXT, 2_000_000):
             doc, w = words.batch(b.column(0).to_pylist())
             if not len(w):
                 continue
@@ -169,9 +169,10 @@ def score(documents: DataFrame, model: Network | None, context: np.ndarray, keep
 
     Null and empty texts get the network's value for no words; very long texts
     are pooled whole; without a model every score is one half. Repeated rows
-    score alike; an empty table gives none.
+    score alike; an empty table gives none. A kept column with the name of a
+    result gets ``_in`` at its end.
     """
-    src = documents.select(*keep, F.col(text).alias("_text"))
+    keep, src = beside(keep, ["score"]), documents.select(*kept(documents, keep, ["score"]), F.col(text).alias(TEXT))
     shared = documents.sparkSession.sparkContext.broadcast((model and vars(model), context))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +181,7 @@ def score(documents: DataFrame, model: Network | None, context: np.ndarray, keep
         if state:
             net = Network.__new__(Network)
             vars(net).update(state)
-        for b in slices(batches, "_text", 2_000_000):
+        for b in slices(batches, TEXT, 2_000_000):
             p = net.prob(pool.batch(b.column(b.num_columns - 1).to_pylist())) if net else np.full(b.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(b.num_columns - 1)], pa.array(p, pa.float64())], names=[*keep, "score"])
 

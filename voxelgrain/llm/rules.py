@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voxelgrain.llm.common import WORD, stage
+from voxelgrain.llm.common import WORD, beside, stage
 
 WINDOW = 5
 #: Concentration steps at most, and the change of the logarithm of a determinant
@@ -54,6 +54,7 @@ STATS = ("s0", "s1", "s2", "s3")
 STATS_INPUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
+RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept"]
 
 
 def _without(text: Column, chars: str) -> Column:
@@ -238,7 +239,7 @@ def judge(documents: DataFrame, keep: list[str], text: str = "text", groups: tup
     ``smallest`` rows, a group uses its language's estimate, and a language the
     whole table's; a table with fewer keeps all that pass the base rules. Very
     long texts are counted whole. Repeated rows are judged alike; an empty table
-    gives none.
+    gives none. A kept column with the name of a result gets ``_in`` at its end.
     """
     names = [f"_k{i}" for i in range(len(keep))]
     marks = [f"_g{i}" for i in range(len(groups))]
@@ -256,8 +257,8 @@ def judge(documents: DataFrame, keep: list[str], text: str = "text", groups: tup
         out = _with(out, est.select(F.col("k").alias(level), F.struct(*CENTRE, *FACTOR).alias(f"_e{level}")), level, "left")
         used.append(F.col(f"_e{level}"))
     out = _distance(out.withColumn("_e", F.coalesce(*used)).select(*rows.columns, "_e.*")).withColumn("distance", F.col("d2"))
-    measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    back = [F.col(k).alias(c) for c, k in zip(keep, names, strict=True)]
+    measures = RESULTS[:-2]
+    back = [F.col(k).alias(c) for c, k in zip(beside(keep, RESULTS), names, strict=True)]
     kept = out.select(*back, *measures, "distance", F.coalesce(F.col("distance") <= quantile(tail), F.lit(True)).alias("kept"))
     gone = rows.where("base_failed").select(*back, *measures, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
     return kept.unionByName(gone)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelgrain.llm.common import Hashes, bounded, labelled, mix, slices, words_of
+from voxelgrain.llm.common import TEXT, Hashes, beside, bounded, kept, labelled, mix, slices, words_of
 
 BITS = 20
 MAX_DOCS = 20_000
@@ -103,9 +103,10 @@ def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: list
     """``keep`` columns and ``score``, the probability of label 1.
 
     Null and empty texts have the intercept alone; very long ones are scored
-    whole; repeated rows score alike; an empty table gives none.
+    whole; repeated rows score alike; an empty table gives none. A kept column
+    with the name of a result gets ``_in`` at its end.
     """
-    src = documents.select(*keep, F.col(text).alias("_text"))
+    keep, src = beside(keep, ["score"]), documents.select(*kept(documents, keep, ["score"]), F.col(text).alias(TEXT))
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +114,7 @@ def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: list
         w = np.zeros((1 << bits) + 1, np.float32)
         w[at] = value
         feats = Features(bits)
-        for b in slices(batches, "_text", 2_000_000):
+        for b in slices(batches, TEXT, 2_000_000):
             doc, bucket = feats.batch(b.column(b.num_columns - 1).to_pylist())
             live = np.flatnonzero(w[bucket])
             pair = np.unique(doc[live].astype(np.int64) << bits | bucket[live])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelgrain.llm.common import mix, offsets
+from voxelgrain.llm.common import TEXT, beside, kept, mix, offsets
 
 RULES = (
     ("block", "com", "/en/"),
@@ -136,14 +136,16 @@ def judge(pages: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_id"
     have an empty host and path; no rule fits them and the model judges the two
     empty strings. Very long URLs are read whole. Null and repeated ids: rows
     are judged one by one. An empty table gives none, other columns are not read.
+    A kept column with the name of a result gets ``_in`` at its end.
     """
     w = fit(training_urls() if table is None else table)
-    base = pages.select(*keep, F.col(url).alias("_url")).withColumn("_host", host_of(F.col("_url"))).withColumn("_path", path_of(F.col("_url")))
+    results = ["host", "path", "rule", "verdict", "ruled", "p_block", "_host", "_path"]
+    base = pages.select(*kept(pages, [*keep], results), F.col(url).alias(TEXT)).withColumn("_host", host_of(F.col(TEXT))).withColumn("_path", path_of(F.col(TEXT)))
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for what, h, p in sorted(rules, key=lambda r: len(r[1]) + len(r[2])):
         fits = ((F.col("_host") == h) | F.col("_host").endswith("." + h)) & F.col("_path").startswith(p)
         rule, verdict = F.when(fits, F.lit(h + p)).otherwise(rule), F.when(fits, F.lit(what)).otherwise(verdict)
-    shared = pages.sparkSession.sparkContext.broadcast(w)
+    shared, keep = pages.sparkSession.sparkContext.broadcast(w), beside([*keep], results)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
