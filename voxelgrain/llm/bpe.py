@@ -31,7 +31,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Signs that are one piece together where they end a chunk.
 SIGNS = ".,;:!?)"
 #: Entries kept in a worker's cache, after which it starts afresh.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_000_000
 
 
 def byte_letters() -> dict[int, str]:
