@@ -17,7 +17,7 @@ from voxelgrain.operators import volume as V
 from voxelgrain.plans import analysis as A
 from voxelgrain.plans import sites as S
 from voxelgrain.streaming import ingest
-from voxelgrain.views import MEASURES_SQL, SHAPE, STRUCTURE_SQL, TRUTH_SQL, VOXELS_SQL, measurements, structure, table, truth, vesicles, voxels
+from voxelgrain.views import MEASURES_SQL, ORDERS, SHAPE, STRUCTURE_SQL, TRUTH_SQL, VOXELS_SQL, measurements, structure, table, truth, vesicles, voxels
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -231,11 +231,11 @@ query("first_rating", "SELECT o_custkey FROM (SELECT o_custkey, arg_min(o_orders
 SURFACE = "sa AS (SELECT tomo,z,y,x FROM vox p WHERE (SELECT count(*) FROM off JOIN vox q ON q.tomo=p.tomo AND q.z=p.z+dz AND q.y=p.y+dy AND q.x=p.x+dx) < 6), sb AS (SELECT tomo,z,y,x FROM gt p WHERE (SELECT count(*) FROM off JOIN gt q ON q.tomo=p.tomo AND q.z=p.z+dz AND q.y=p.y+dy AND q.x=p.x+dx) < 6)"
 query("surface_dice", f"""{GT}, {OFFSETS_SQL}, {SURFACE}, o7 AS (SELECT * FROM off UNION ALL SELECT 0,0,0), na AS (SELECT tomo, count(*) n FROM sa SEMI JOIN (SELECT tomo, z+dz AS z, y+dy AS y, x+dx AS x FROM sb, o7) USING (tomo,z,y,x) GROUP BY tomo), nb AS (SELECT tomo, count(*) n FROM sb SEMI JOIN (SELECT tomo, z+dz AS z, y+dy AS y, x+dx AS x FROM sa, o7) USING (tomo,z,y,x) GROUP BY tomo)
  SELECT a.tomo, round((na.n+nb.n)/(a.n+b.n),6) AS surface_dice FROM (SELECT tomo, count(*) n FROM sa GROUP BY tomo) a JOIN (SELECT tomo, count(*) n FROM sb GROUP BY tomo) b USING (tomo) JOIN na USING (tomo) JOIN nb USING (tomo)""")(lambda s, d: S.surface_dice(voxels(s, d), truth(s, d), 1.0).select("tomo", r6("surface_dice", "surface_dice")))
-IMAGE_SQL = "img AS (SELECT 'tomo' || CAST(l_orderkey % 3 AS VARCHAR) AS tomo, CAST(l_linenumber AS INTEGER) AS z, CAST(l_partkey % 64 AS INTEGER) AS y, CAST(l_suppkey * 7 % 64 AS INTEGER) AS x, CAST(max(l_quantity) AS DOUBLE) AS value FROM lineitem GROUP BY ALL)"
+IMAGE_SQL = f"img AS (SELECT 'tomo' || CAST(l_orderkey // {ORDERS} AS VARCHAR) AS tomo, CAST(l_linenumber AS INTEGER) AS z, CAST(l_partkey % 64 AS INTEGER) AS y, CAST(l_suppkey * 7 % 64 AS INTEGER) AS x, CAST(max(l_quantity) AS DOUBLE) AS value FROM lineitem GROUP BY ALL)"
 
 
 def image(s, d):
-    at = F.concat(F.lit("tomo"), (F.col("l_orderkey") % 3).cast("string")).alias("tomo"), F.col("l_linenumber").cast("int").alias("z"), (F.col("l_partkey") % 64).cast("int").alias("y"), (F.col("l_suppkey") * 7 % 64).cast("int").alias("x")
+    at = F.concat(F.lit("tomo"), F.floor(F.col("l_orderkey") / ORDERS).cast("string")).alias("tomo"), F.col("l_linenumber").cast("int").alias("z"), (F.col("l_partkey") % 64).cast("int").alias("y"), (F.col("l_suppkey") * 7 % 64).cast("int").alias("x")
     return table(s, d, "lineitem").groupBy(*at).agg(F.max("l_quantity").cast("double").alias("value"))
 
 
@@ -253,7 +253,7 @@ query("ratio_of_sums", "SELECT l_returnflag, round(sum(l_discount)/sum(l_quantit
 query("sorted_ranks", "SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS place FROM supplier QUALIFY place <= 50")(lambda s, d: R.top_n(table(s, d, "supplier").withColumn("all", F.lit(1)), ["all"], 50, F.desc("s_acctbal"), "s_suppkey").select("s_suppkey", F.col("rank").alias("place")))
 
 
-from voxelgrain import catalog_shapes  # noqa: E402, F401  adds its queries to these
+from voxelgrain import catalog_shapes, catalog_segments  # noqa: E402, F401, I001  they add their queries to these
 
 
 def queries() -> dict[str, Query]:

@@ -7,6 +7,8 @@ voxels of neighbouring cells are compared.
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,47 +46,54 @@ def nearest_structure(objects: DataFrame, structure: DataFrame, size: Size = UNI
 
     For every object the least distance to any voxel of the structure, with end
     points and the structure's label; of equal distances the first end points
-    in z, y, x order. Objects in tomograms without structure give no row.
+    in z, y, x order. Objects that share a voxel with the structure are at 0,
+    the first such voxel. Objects in tomograms without structure give no row, nor
+    do voxels with a null coordinate.
 
     Voxels are looked up in cells of ``edge``: what is found within one edge is
     final and written; what is not goes on to cells of twice the edge, until no
     object is left. The structure's side is spread over the 27 cells around it,
     so no pass joins on the tomogram alone.
     """
+    objects = objects.select("tomo", "z", "y", "x", "label").dropna()
+    structure = structure.select("tomo", "z", "y", "x", "label").dropna()
     near = lambda v: boundary(v) if surface else v
-    left = stage(near(objects).select("tomo", "label", F.struct("z", "y", "x").alias("p")), "nearest-left")
-    b = stage(near(structure).select("tomo", F.col("label").alias("structure_label"), F.struct("z", "y", "x").alias("p")), "nearest-structure")
+    point = F.struct("z", "y", "x")
+    shared = objects.join(structure.select(*POS, F.col("label").alias("structure_label")), POS)
+    out = stage(shared.groupBy("tomo", "label").agg(F.min(F.struct(F.lit(0.0).alias("d2"), point.alias("ep_object"), point.alias("ep_structure"), "structure_label")).alias("m")), "nearest-shared")
+    left = near(objects).select("tomo", "label", point.alias("p"))
+    left = stage(left.join(out.select("tomo", "label"), ["tomo", "label"], "left_anti"), "nearest-left")
+    b = stage(near(structure).select("tomo", F.col("label").alias("structure_label"), point.alias("p")), "nearest-structure")
     left = left.join(b.select("tomo").distinct(), "tomo", "left_semi")
-    out = None
-    while True:
+    while not left.isEmpty():
         x = _box(left, edge, size).withColumnRenamed("p", "ep_object")
         y = _cells(b, edge, size, True).withColumnRenamed("p", "ep_structure")
         both = x.join(y, ["tomo", "cz", "cy", "cx"]).withColumn("d2", _squared("ep_object", "ep_structure", size))
         best = stage(both.groupBy("tomo", "label").agg(F.min(F.struct("d2", "ep_object", "ep_structure", "structure_label")).alias("m")), "nearest-found")
         found = best.where(F.col("m.d2") <= edge * edge)
-        out = found if out is None else out.unionByName(found)
+        out = out.unionByName(found)
         left = stage(left.join(found.select("tomo", "label"), ["tomo", "label"], "left_anti"), "nearest-left")
-        if left.isEmpty():
-            return out.select("tomo", "label", F.sqrt("m.d2").alias("distance"), "m.ep_object", "m.ep_structure", "m.structure_label")
         edge *= 2
+    return out.select("tomo", "label", F.sqrt("m.d2").alias("distance"), "m.ep_object", "m.ep_structure", "m.structure_label")
 
 
 def pairwise(v: DataFrame, max_distance: float | None = None, size: Size = UNIT, surface: bool = True) -> DataFrame:
     """(tomo, id_a, id_b, distance, ep_a, ep_b), id_a < id_b: least distances of pairs.
 
-    With ``max_distance`` only pairs up to it, found in cells; without, every
-    pair of a tomogram. Pairs of objects are first met by their bounding boxes:
-    a voxel takes part in a pair only if it is no farther from the other
-    object's box than the two boxes allow the least distance to be.
+    With ``max_distance`` only pairs up to it: voxels are met in cells as wide as
+    that, each cell and the half of its neighbours that come after it, so that
+    nothing is joined by tomogram. Without, every pair of a tomogram: pairs of
+    objects are met by their bounding boxes, and a voxel takes part only if it is
+    no farther from the other object's box than the two boxes allow the least
+    distance to be. Voxels with a null coordinate take no part.
     """
+    v = v.select(*POS, "label").dropna()
     s = stage((boundary(v) if surface else v).select("tomo", "label", F.struct("z", "y", "x").alias("p")), "pairs-surface")
+    if max_distance is not None:
+        return _pairs_within(s, max_distance, size)
     box = s.groupBy("tomo", "label").agg(*[f(f"p.{c}").alias(f"{n}{c}") for c in "zyx" for n, f in (("lo", F.min), ("hi", F.max))], F.min("p").alias("any"))
     side = lambda n: box.select("tomo", F.col("label").alias(f"id_{n}"), *[F.col(f"{e}{c}").alias(f"{n}_{e}{c}") for c in "zyx" for e in ("lo", "hi")], F.col("any").alias(f"{n}_any"))
-    gap = lambda c, w: F.greatest(F.lit(0), F.col(f"a_lo{c}") - F.col(f"b_hi{c}"), F.col(f"b_lo{c}") - F.col(f"a_hi{c}")) * float(w)
     pairs = side("a").join(side("b"), "tomo").where("id_a < id_b")
-    least = sum(((gap(c, w) * gap(c, w)) for c, w in zip("yx", size[1:], strict=True)), gap("z", size[0]) * gap("z", size[0]))
-    if max_distance is not None:
-        pairs = pairs.where(least <= max_distance * max_distance)
     # any two voxels bound the least distance from above
     pairs = pairs.withColumn("most", _squared("a_any", "b_any", size))
     to_box = lambda n: sum(
@@ -95,8 +104,28 @@ def pairwise(v: DataFrame, max_distance: float | None = None, size: Size = UNIT,
     )
     both = mine("a", "b").join(mine("b", "a"), ["tomo", "id_a", "id_b"]).withColumn("d2", _squared("ep_a", "ep_b", size))
     best = both.groupBy("tomo", "id_a", "id_b").agg(F.min(F.struct("d2", "ep_a", "ep_b")).alias("m"))
-    if max_distance is not None:
-        best = best.where(F.col("m.d2") <= max_distance * max_distance)
+    return best.select("tomo", "id_a", "id_b", F.sqrt("m.d2").alias("distance"), "m.ep_a", "m.ep_b")
+
+
+def _pairs_within(s: DataFrame, limit: float, size: Size) -> DataFrame:
+    """Pairs of objects with voxels (tomo, label, p) within a limit.
+
+    Each two cells meet once, in the later of them. The rows of one object and
+    cell travel as one array: what is shuffled grows with cells, not with pairs.
+    """
+    edge = max(float(limit), 1e-9)
+    held = _box(s, edge, size).groupBy("tomo", "label", "cz", "cy", "cx").agg(F.collect_list("p").alias("ps"))
+    held = stage(held, "pairs-cells")
+    steps = F.array(*[F.struct(*[F.lit(d).alias(n) for d, n in zip(o, ("dz", "dy", "dx"), strict=True)]) for o in product((-1, 0, 1), repeat=3) if o >= (0, 0, 0)])
+    cell = ["tomo", "cz", "cy", "cx"]
+    a = held.withColumn("_o", F.explode(steps)).select("tomo", F.col("label").alias("id_1"), F.col("ps").alias("ps_1"), F.expr("_o.dz = 0 and _o.dy = 0 and _o.dx = 0").alias("_same"), *[(F.col(f"c{c}") + F.col(f"_o.d{c}")).alias(f"c{c}") for c in "zyx"])
+    b = held.select(*cell, F.col("label").alias("id_2"), F.col("ps").alias("ps_2"))
+    met = a.join(b, cell).where("id_1 <> id_2 and (not _same or id_1 < id_2)")
+    swap = F.col("id_1") > F.col("id_2")
+    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    met = met.select("tomo", F.least("id_1", "id_2").alias("id_a"), F.greatest("id_1", "id_2").alias("id_b"), F.explode(pick("ps_1", "ps_2")).alias("ep_a"), pick("ps_2", "ps_1").alias("_ps"))
+    met = met.withColumn("ep_b", F.explode("_ps")).withColumn("d2", _squared("ep_a", "ep_b", size)).where(F.col("d2") <= limit * limit)
+    best = met.groupBy("tomo", "id_a", "id_b").agg(F.min(F.struct("d2", "ep_a", "ep_b")).alias("m"))
     return best.select("tomo", "id_a", "id_b", F.sqrt("m.d2").alias("distance"), "m.ep_a", "m.ep_b")
 
 
