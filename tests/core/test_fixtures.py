@@ -9,6 +9,7 @@ from voxelgrain.operators import distance as D
 from voxelgrain.operators import kernels as K
 from voxelgrain.operators import relational as R
 from voxelgrain.operators import volume as V
+from voxelgrain.plans import segmentation as G
 from voxelgrain.sources import mrc, tables
 from voxelgrain.streaming import ingest
 
@@ -112,6 +113,9 @@ def test_kernels(spark):
     flat[0, 2:7, 2:38] = 1
     line = K.skeletons(volume(spark, flat))
     assert 20 <= line.count() <= 45
+    pieces = np.zeros((9, 20), bool)
+    pieces[1, :7] = pieces[5, 3:10] = True  # each counts for itself
+    assert not K.long_pieces(pieces, 8).any() and (K.long_pieces(pieces, 7) == pieces).all()
     mask = np.random.default_rng(3).random((5, 6, 7)) < 0.7
     d = K.distance_transform(mask)
     back = np.argwhere(~mask)
@@ -120,7 +124,7 @@ def test_kernels(spark):
 
 def test_segment_two_blobs(spark):
     rows = [("t", 0, y, x, 0.9 if (y - 8) ** 2 + (x - c) ** 2 <= 16 else 0.0, 0.0) for y in range(17) for x in range(30) for c in [8 if x < 15 else 21]]
-    got = K.segment(spark.createDataFrame(rows, "tomo string, z int, y int, x int, foreground double, border double"))
+    got = G.segment(spark.createDataFrame(rows, "tomo string, z int, y int, x int, foreground double, border double"))
     assert labels_of(got) == [1, 2]
 
 
@@ -198,6 +202,9 @@ def test_joins_and_null_rules(spark):
     assert R.equal_join(a, a, ["id"]).columns == ["id", "v_left", "v_right"]
     with pytest.raises(Exception):
         R.query_filter(a, "nothing > 1")
+    pools = spark.createDataFrame([("A", 1), ("B", 2), ("C, D", 3), ("E", 4)], "pool string, n int")
+    assert sorted(r.n for r in R.query_filter(pools, "pool in ('A', 'C, D', concat('', 'E')), n > 1").collect()) == [3, 4]
+    assert R.query_filter(pools, "n > 1, , no_such > 2, pool <> 'E'", strict=False).count() == 2
     names = spark.createDataFrame([("ab",), ("abc",)], "name string")
     files = spark.createDataFrame([("abc",), ("abd",)], "file string")
     assert sorted((r.name, r.file, r.matches) for r in R.prefix_join(names, files, "name", "file").collect()) == [("ab", "abc", 2), ("abc", "abc", 1)]

@@ -250,7 +250,7 @@ query("semi_by_list", "SELECT DISTINCT o_custkey FROM orders WHERE o_custkey IN
 query("intersect_keys", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")(lambda s, d: table(s, d, "customer").select(F.col("c_nationkey").alias("k")).intersect(table(s, d, "supplier").select(F.col("s_nationkey").alias("k"))))
 query("union_keys", "SELECT c_custkey AS k FROM customer UNION SELECT s_suppkey FROM supplier")(lambda s, d: table(s, d, "customer").select(F.col("c_custkey").alias("k")).union(table(s, d, "supplier").select(F.col("s_suppkey").alias("k"))).distinct())
 query("ratio_of_sums", "SELECT l_returnflag, round(sum(l_discount)/sum(l_quantity),9) AS ratio FROM lineitem GROUP BY l_returnflag")(lambda s, d: table(s, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.sum("l_discount") / F.sum("l_quantity"), 9).alias("ratio")))
-query("sorted_ranks", "SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS place FROM supplier QUALIFY place <= 50")(lambda s, d: R.top_n(table(s, d, "supplier").withColumn("all", F.lit(1)), ["all"], 50, F.desc("s_acctbal"), "s_suppkey").select("s_suppkey", F.col("rank").alias("place")))
+query("sorted_ranks", "SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS place FROM supplier QUALIFY place <= 50")(lambda s, d: R.first_rows(table(s, d, "supplier"), 50, F.desc("s_acctbal"), "s_suppkey").select("s_suppkey", F.col("rank").alias("place")))
 
 
 from voxelgrain import catalog_shapes, catalog_segments  # noqa: E402, F401, I001  they add their queries to these

@@ -16,6 +16,7 @@ from voxelgrain.operators.watershed import watershed
 from voxelgrain.plans import compartments as P
 from voxelgrain.plans import filters as E
 from voxelgrain.plans import segmentation as G
+from voxelgrain.plans import sites as S
 from voxelgrain.storage import stage
 from voxelgrain.views import DENSE_SQL, dense_image, structure, vesicles
 
@@ -40,6 +41,10 @@ def radii_sql(planar: bool) -> str:
 for _name, _planar in (("radii", False), ("radii_of_slices", True)):
     query(_name, radii_sql(_planar))(lambda s, d, planar=_planar: G.radii(balls(s, d), planar=planar, min_size=20).select("tomo", "label", "z", "y", "x", r6("radius", "radius")))
 
+query("points_by_boundary", f"SELECT tomo, label AS id, z, y, x, round(1.5 * radius, 4) AS radius FROM ({radii_sql(True)}) WHERE 1.5 * radius >= 1.5")(
+    lambda s, d: S.points_by_boundary(balls(s, d), 1.5, 1.5, min_size=20).select("tomo", "id", "z", "y", "x", F.round("radius", 4).alias("radius"))
+)
+
 # -- filters ---------------------------------------------------------------
 
 

@@ -1,8 +1,8 @@
 """Numpy kernels for one object or one tomogram, run by Spark group by group.
 
-They cover what has no relational form: distance transforms, floods, thinning.
-The group of most is an object, (tomo, label), padded to its bounding box;
-floods work on one tomogram or slice, whose voxels bound the memory.
+They cover what has no relational form: thinning, thickness, paths.
+The group is an object, (tomo, label), or its part of a slice, padded to its
+bounding box.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelgrain.operators.lines import envelope
 from voxelgrain.storage import stage
 
 Size = tuple[float, float, float]
@@ -31,17 +32,23 @@ def dense(pdf: pd.DataFrame, pad: int = 1, value: str | None = None) -> tuple[np
 
 
 def distance_transform(mask: np.ndarray, size: Size = (1, 1, 1)) -> np.ndarray:
-    """Exact Euclidean distance of each voxel of the mask to the background."""
-    big = float(sum((n * s) ** 2 for n, s in zip(mask.shape, size, strict=True))) + 1
-    d = np.where(mask, big, 0.0)
+    """Exact Euclidean distance of each voxel of the mask to the background.
+
+    Three passes of lower envelopes, in time linear in the voxels; infinite where
+    there is no background at all.
+    """
+    d = np.where(mask, np.inf, 0.0)
     for axis, s in enumerate(size):
-        n = mask.shape[axis]
-        gap = ((np.arange(n)[:, None] - np.arange(n)[None, :]) * s) ** 2
-        line = np.moveaxis(d, axis, -1)
-        out = np.empty_like(line)
-        for i in range(n):  # the lower envelope at i over the whole line
-            out[..., i] = (line + gap[i]).min(-1)
-        d = np.moveaxis(out, -1, axis)
+        rows = np.moveaxis(d, axis, -1)
+        flat = rows.reshape(-1, rows.shape[-1]).copy()
+        line, pos = np.nonzero(np.isfinite(flat))
+        full, number = np.unique(line, return_inverse=True)
+        if len(full):
+            q_line, q_pos = np.repeat(np.arange(len(full)), flat.shape[1]), np.tile(np.arange(flat.shape[1]), len(full))
+            value = flat[line, pos]
+            won = envelope(number, pos, value, q_line, q_pos, float(s))
+            flat[full] = (value[won] + ((q_pos - pos[won]) * s) ** 2).reshape(len(full), -1)
+        d = np.moveaxis(flat.reshape(rows.shape), -1, axis)
     return np.sqrt(d)
 
 
@@ -72,23 +79,6 @@ def label(mask: np.ndarray) -> np.ndarray:
     return out
 
 
-def flood(height: np.ndarray, seeds: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Seeded watershed: lowest voxels first, earlier ones first among equals."""
-    out, heap, n = np.where(mask, seeds, 0), [], 0
-    for p in map(tuple, np.argwhere(out > 0)):
-        heapq.heappush(heap, (float(height[p]), n, p))
-        n += 1
-    while heap:
-        level, _, p = heapq.heappop(heap)
-        for o in FACES:
-            q = tuple(a + b for a, b in zip(p, o, strict=True))
-            if all(0 <= c < m for c, m in zip(q, mask.shape, strict=True)) and mask[q] and not out[q]:
-                out[q] = out[p]
-                heapq.heappush(heap, (max(level, float(height[q])), n, q))
-                n += 1
-    return out
-
-
 def geodesic(mask: np.ndarray, start: np.ndarray, size: Size = (1, 1, 1)) -> np.ndarray:
     """Length of the shortest path inside the mask over all 26 neighbours.
 
@@ -157,6 +147,21 @@ def longest_path(skeleton: np.ndarray) -> np.ndarray:
     return out
 
 
+def long_pieces(skeleton: np.ndarray, least: int) -> np.ndarray:
+    """The pieces of a 2D skeleton, corners touching, of ``least`` voxels or more."""
+    left = {tuple(p) for p in np.argwhere(skeleton).tolist()}
+    out = np.zeros(skeleton.shape, bool)
+    while left:
+        todo = [left.pop()]
+        for y, x in todo:
+            near = {(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & left
+            left -= near
+            todo += near
+        if len(todo) >= least:
+            out[tuple(np.array(todo).T)] = True
+    return out
+
+
 def fill_holes(mask: np.ndarray, max_size: int) -> np.ndarray:
     """Closes holes (background cut off from the border) under ``max_size``."""
     back = label(~mask)
@@ -256,39 +261,18 @@ def close_holes(v: DataFrame, max_size: int) -> DataFrame:
 
 
 def skeletons(v: DataFrame, min_size: int = 10, prune: bool = True) -> DataFrame:
-    """Skeleton of each object per slice, cut down to its longest path; short ones are dropped."""
+    """Skeleton of each object per slice, each piece cut down to its longest path; pieces under ``min_size`` go."""
 
     def work(pdf):
         m, lo = dense(pdf)
         s = thin(m[1])
         s = longest_path(s) if prune else s
-        keep = s[None] if s.sum() >= min_size else np.zeros((1, *s.shape), bool)
+        keep = long_pieces(s, min_size)[None]
         return voxels_of(keep.astype(np.int64) * int(pdf["label"].iloc[0]), lo + np.array([1, 0, 0])).assign(tomo=pdf["tomo"].iloc[0])[["tomo", "z", "y", "x", "label"]]
 
     return v.groupBy("tomo", "label", "z").applyInPandas(work, "tomo string, z int, y int, x int, label long")
 
 
-def segment(prediction: DataFrame, seed_limit: float = 0.5, min_size: int = 0, distance_seeds: float | None = None, per_slice: bool = False) -> DataFrame:
-    """Instances from (tomo, z, y, x, foreground, border) predictions.
-
-    Seeds are the parts with foreground - border over ``seed_limit``, or those
-    farther than ``distance_seeds`` from the border; a watershed over the
-    distance to the seeds fills the foreground, small objects are dropped.
-    """
-
-    def work(pdf):
-        fg, lo = dense(pdf, 1, "foreground")
-        bd, _ = dense(pdf, 1, "border")
-        inside = fg + bd > 0.5
-        seeds = label(distance_transform((bd < 0.5) & (fg > 0.5)) > distance_seeds if distance_seeds else fg - bd > seed_limit)
-        out = flood(distance_transform(seeds == 0), seeds, inside & (fg > 0.5 if not distance_seeds else inside))
-        n = np.bincount(out.ravel())
-        out[n[out] < min_size] = 0
-        return voxels_of(out, lo).assign(tomo=pdf["tomo"].iloc[0])[["tomo", "z", "y", "x", "label"]].astype({"label": "int64"})
-
-    return prediction.groupBy("tomo", *(["z"] if per_slice else [])).applyInPandas(work, "tomo string, z int, y int, x int, label long")
-
-
 def geodesic_distance(mask: DataFrame, start: DataFrame, size: Size = (1, 1, 1), block: tuple[int, int, int] = (32, 32, 32)) -> DataFrame:
     """Path length inside the mask from the start voxels; unreachable ones are left out.
 

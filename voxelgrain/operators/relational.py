@@ -7,6 +7,7 @@ named otherwise, and ties break by the id named in the docstring.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -27,12 +28,13 @@ def finite(df: DataFrame, col: str) -> DataFrame:
 
 
 def query_filter(df: DataFrame, text: str, strict: bool = True) -> DataFrame:
-    """Conjunction of comma-separated conditions such as ``radius > 5, pool = 'A'``.
+    """Conjunction of comma-separated conditions such as ``radius > 5, pool in ('A', 'B')``.
 
-    A condition that Spark can't resolve raises; with ``strict`` off it is left
+    Commas inside quotes or brackets belong to a condition. A condition that Spark can't resolve raises; with ``strict`` off it is left
     out, as an interactive tool would.
     """
-    for part in filter(None, (p.strip() for p in text.split(","))):
+    parts = re.findall(r"""((?:'[^']*'|"[^"]*"|`[^`]*`|\((?:[^()'"]|'[^']*'|"[^"]*"|\([^()]*\))*\)|[^,])+)""", text)
+    for part in filter(None, (p.strip() for p in parts)):
         try:
             narrowed = df.where(F.expr(part))
             narrowed.schema  # noqa: B018  resolves the condition
@@ -234,6 +236,12 @@ def top_n(df: DataFrame, key: list[str], n: int, *order: Column | str) -> DataFr
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def first_rows(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
+    """The first n rows in an order, with their ``rank``: only they meet in one task."""
+    w = Window.orderBy(*order)
+    return df.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(w))
+
+
 def split_tasks(df: DataFrame, n: int, order: str, within: list[str]) -> DataFrame:
     """Task numbers from 0; the first tasks get one row more where it doesn't divide."""
     return df.withColumn("task", F.ntile(n).over(Window.partitionBy(*within).orderBy(order)) - 1)

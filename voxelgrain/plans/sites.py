@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from voxelgrain.operators import components as C
 from voxelgrain.operators import distance as D
 from voxelgrain.operators import volume as V
+from voxelgrain.plans.segmentation import radii
 
 
 def contact_sites(inner: DataFrame, membrane: DataFrame, voxel_volume: float = 1.0) -> tuple[DataFrame, DataFrame]:
@@ -143,8 +144,14 @@ def points_to_labels(points: DataFrame, shape: tuple[int, int, int], exclude: li
     return V.paint_spheres(kept, shape)
 
 
+def points_by_boundary(v: DataFrame, min_radius: float = 0.0, factor: float = 1.0, size: tuple = (1.0, 1.0, 1.0), planar: bool = True, min_size: int = 0, shape: tuple | None = None) -> DataFrame:
+    """(tomo, id, z, y, x, radius): the voxel of each object farthest from its boundary, and how far that is, times ``factor``."""
+    r = radii(v, size, planar, min_size, shape)
+    return r.select("tomo", F.col("label").alias("id"), "z", "y", "x", (F.col("radius") * factor).alias("radius")).where(F.col("radius") >= min_radius)
+
+
 def labels_to_points(v: DataFrame, min_radius: float = 0.0, factor: float = 1.0, planar: bool = True) -> DataFrame:
-    """(tomo, id, z, y, x, radius): centre and radius of each object.
+    """(tomo, id, z, y, x, radius): centre and radius of each object by its size.
 
     The radius is that of the disk as large as the object's largest slice, or
     (``planar`` false) of the ball as large as the object, times ``factor``.

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where unset (tests), a temporary folder, set once."""
+    """``spark.checkpoint.dir``; where unset, in local mode alone, a temporary folder, set once."""
     kept = spark.sparkContext.getCheckpointDir()
     root = spark.conf.get("spark.checkpoint.dir", None) or kept
+    if not root and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if not kept:
