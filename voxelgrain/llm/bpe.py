@@ -60,8 +60,12 @@ class Vocabulary:
         self.merges = [(ids[a], ids[b], ids[a + b]) for a, b in pairs]
         keys = np.array([a << 32 | b for a, b, _ in self.merges], np.int64)
         #: The ranks again, in the order of the pairs' keys.
-        self.ranks = np.argsort(keys, kind="stable")
-        self.keys = keys[self.ranks]
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.ranks = keys[order], order.astype(np.min_scalar_type(max(1, len(order) - 1)))
+        #: Ranks of pairs of single bytes, -1 where there is none.
+        byte_pairs = (np.repeat(np.array(self.single, np.int64), 256) << 32) | np.tile(np.array(self.single, np.int64), 256)
+        at = np.minimum(np.searchsorted(self.keys, byte_pairs), max(0, len(self.keys) - 1))
+        self.start = np.where(self.keys[at] == byte_pairs, order[at], -1) if len(order) else np.full(65536, -1)
         self.split = "(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")"
         self.table = [self.bytes.get(i, b"") for i in range(max(self.bytes) + 1)]
 
@@ -85,9 +89,10 @@ def encode_pieces(pieces: list[bytes], v: Vocabulary) -> list[bytes]:
         """Enter places of pairs that have a rank."""
         at = np.searchsorted(v.keys, keys)
         hit = np.flatnonzero(v.keys[np.minimum(at, len(v.keys) - 1)] == keys)
-        if not len(hit):
-            return
-        rank, places = v.ranks[at[hit]], places[hit]
+        if len(hit):
+            enter(places[hit], v.ranks[at[hit]])
+
+    def enter(places: np.ndarray, rank: np.ndarray) -> None:
         order = np.argsort(rank, kind="stable")
         rank, places = rank[order], places[order]
         edge = [0, *(np.flatnonzero(rank[1:] != rank[:-1]) + 1).tolist(), len(rank)]
@@ -100,7 +105,11 @@ def encode_pieces(pieces: list[bytes], v: Vocabulary) -> list[bytes]:
                 heapq.heappush(heap, r)
 
     left = np.flatnonzero(after >= 0)
-    note(left, sym[left] << 32 | sym[after[left]])
+    byte = np.frombuffer(raw, np.uint8).astype(np.int32)
+    rank = v.start[byte[left] << 8 | byte[left + 1]]
+    hit = rank >= 0
+    if hit.any():
+        enter(left[hit], rank[hit].astype(v.ranks.dtype))
     while heap:
         rank = heapq.heappop(heap)
         a, b, new = v.merges[rank]
@@ -133,7 +142,7 @@ def encode_pieces(pieces: list[bytes], v: Vocabulary) -> list[bytes]:
 
 def is_letters(text: str) -> bool:
     """Letters up to the end of the Latin blocks, which every version of Unicode has: one piece."""
-    return text.isalpha() and max(text) < "\u0250"
+    return text.isalpha() and (text.isascii() or max(text) < "\u0250")
 
 
 class Encoder:
