@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelgrain.storage import shared_dir, stage  # noqa: F401
+
 #: A word: a run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Entries after which a worker's word cache starts afresh.
@@ -26,31 +27,6 @@ def crc_split(doc_id: Column | str, parts: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % F.lit(parts)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset (tests in local mode) a temporary folder is set once.
-    """
-    kept = spark.sparkContext.getCheckpointDir()
-    root = spark.conf.get("spark.checkpoint.dir", None) or kept
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    if not kept:
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    This cuts lineage and survives the loss of any executor.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def stage_in_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
     """Like ``stage``, in as many buckets by ``key`` as a shuffle has partitions.
 
