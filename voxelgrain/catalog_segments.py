@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from voxelgrain.catalog import BOTH, query, r6
 from voxelgrain.catalog_shapes import AT, INSIDE, balls
+from voxelgrain.operators import eikonal as K
 from voxelgrain.operators import lines as L
+from voxelgrain.operators import meshes as M
 from voxelgrain.operators import volume as V
 from voxelgrain.operators.watershed import watershed
 from voxelgrain.plans import compartments as P
@@ -18,7 +20,7 @@ from voxelgrain.plans import filters as E
 from voxelgrain.plans import segmentation as G
 from voxelgrain.plans import sites as S
 from voxelgrain.storage import stage
-from voxelgrain.views import DENSE_SQL, dense_image, structure, vesicles
+from voxelgrain.views import DENSE_SQL, VOXELS_SQL, dense_image, structure, vesicles, voxels
 
 NEAR = ("near_z", "near_y", "near_x")
 
@@ -106,3 +108,39 @@ query("segment_by_distance")(lambda s, d: G.segment(predictions(s, d), min_size=
 query("segment_slices")(lambda s, d: G.segment(predictions(s, d), 0.3, min_size=5, planar=True))
 query("segment_with_borders")(lambda s, d: G.segment_with_borders(predictions(s, d), (8, 64, 64), exclude_partial=1, seed_limit=0.3))
 query("compartments")(lambda s, d: P.segment_compartments(walls(s, d), 8, min_extent=2, far=3.0, min_seed=10, max_hole=20, iterations=1))
+
+# -- surfaces and paths ----------------------------------------------------
+
+SPACING = (2.5, 1.0, 1.5)
+
+
+def cases_sql(axes: str) -> str:
+    """CTE ``cube``: the corners that each object has of the cubes or squares around its voxels."""
+    corners = M.CORNERS[: 1 << len(axes), 3 - len(axes) :].tolist()
+    moved = ", ".join(f"{c} - o.d{c} AS {c}" for c in axes)
+    return f"""o(bit, {", ".join(f"d{c}" for c in axes)}) AS (VALUES {", ".join(f"({1 << k}, {', '.join(map(str, c))})" for k, c in enumerate(corners))}),
+ cube AS (SELECT tomo, label, z, y, x, sum(bit) AS k FROM (SELECT tomo, label, bit, {"" if "z" in axes else "z, "}{moved} FROM vox, o) GROUP BY ALL)"""
+
+
+def values_sql(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(f"{v!r}" if isinstance(v, int) else f"{v!r}::DOUBLE" for v in r) + ")" for r in rows)
+
+
+query("object_surfaces", f"""WITH {VOXELS_SQL}, {cases_sql("zyx")}, t(k, area, az, ay, ax, moment, crossing) AS (VALUES {values_sql(M.case_table(SPACING))})
+ SELECT tomo, label, round(sum(area), 4) AS surface, round(sum(moment + (z*{SPACING[0]}*az + y*{SPACING[1]}*ay + x*{SPACING[2]}*ax)/3), 4) AS volume, round(sum(crossing), 4) AS crofton FROM cube JOIN t USING (k) GROUP BY ALL""")(
+    lambda s, d: M.surfaces(voxels(s, d), SPACING).select("tomo", "label", *[F.round(c, 4).alias(c) for c in ("surface", "volume", "crofton")])
+)
+query("object_outlines", f"""WITH {VOXELS_SQL}, {cases_sql("yx")}, t(k, length) AS (VALUES {values_sql(M.square_table(SPACING))}), n AS (SELECT tomo, label, z, count(*) * {SPACING[1] * SPACING[2]} AS area FROM vox GROUP BY ALL)
+ SELECT tomo, label, z, CAST(any_value(area) AS DOUBLE) AS area, round(sum(length), 6) AS perimeter FROM cube JOIN t USING (k) JOIN n USING (tomo, label, z) GROUP BY ALL""")(
+    lambda s, d: M.outlines(voxels(s, d), SPACING).select("tomo", "label", "z", "area", r6("perimeter", "perimeter"))
+)
+
+
+def gaps(s: SparkSession, d: str) -> DataFrame:
+    """The positions of each tomogram at which nothing was ordered: paths lead through these."""
+    return dense_image(s, d).where("value = 0").select(*V.POS)
+
+
+# Marches have no SQL here: tests/core holds them against a queue.
+query("eikonal_distance")(lambda s, d: K.eikonal_distance(gaps(s, d), gaps(s, d).where("y = 0"), SPACING))
+query("membrane_by_path")(lambda s, d: K.membrane_by_path(gaps(s, d), structure(s, d), 9.0, SPACING, exclude=1, depth=8, min_size=5))

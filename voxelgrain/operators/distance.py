@@ -41,12 +41,13 @@ def _box(v: DataFrame, edge: float, size: Size) -> DataFrame:
     return v.withColumns({f"c{c}": F.floor(F.col(f"p.{c}") * float(s) / edge) for c, s in zip("zyx", size, strict=True)})
 
 
-def nearest_structure(objects: DataFrame, structure: DataFrame, size: Size = UNIT, edge: float = 2.0, surface: bool = True) -> DataFrame:
+def nearest_structure(objects: DataFrame, structure: DataFrame, size: Size = UNIT, edge: float = 2.0, surface: bool = True, by_structure: bool = False) -> DataFrame:
     """(tomo, label, distance, ep_object, ep_structure, structure_label).
 
     For every object the least distance to any voxel of the structure, with end
     points and the structure's label; of equal distances the first end points
-    in z, y, x order. Objects that share a voxel with the structure are at 0,
+    in z, y, x order, those of the object before those of the structure
+    (``by_structure``: the other way round). Objects that share a voxel with the structure are at 0,
     the first such voxel. Objects in tomograms without structure give no row, nor
     do voxels with a null coordinate.
 
@@ -69,7 +70,9 @@ def nearest_structure(objects: DataFrame, structure: DataFrame, size: Size = UNI
         x = _box(left, edge, size).withColumnRenamed("p", "ep_object")
         y = _cells(b, edge, size, True).withColumnRenamed("p", "ep_structure")
         both = x.join(y, ["tomo", "cz", "cy", "cx"]).withColumn("d2", _squared("ep_object", "ep_structure", size))
-        best = stage(both.groupBy("tomo", "label").agg(F.min(F.struct("d2", "ep_object", "ep_structure", "structure_label")).alias("m")), "nearest-found")
+        ends = ("ep_structure", "ep_object") if by_structure else ("ep_object", "ep_structure")
+        best = both.groupBy("tomo", "label").agg(F.min(F.struct("d2", *ends, "structure_label")).alias("m"))
+        best = stage(best.select("tomo", "label", F.struct("m.d2", "m.ep_object", "m.ep_structure", "m.structure_label").alias("m")), "nearest-found")
         found = best.where(F.col("m.d2") <= edge * edge)
         out = out.unionByName(found)
         left = stage(left.join(found.select("tomo", "label"), ["tomo", "label"], "left_anti"), "nearest-left")
