@@ -124,7 +124,7 @@ SCORES = f"""{GT}, o AS (SELECT vox.tomo, vox.label AS la, gt.label AS lb, count
 query("overlap_scores", f"{SCORES} SELECT tomo, la AS label_a, lb AS label_b, n, round(iou,6) AS iou, round(n/a,6) AS iop, round(n/b,6) AS iot FROM sc")(lambda s, d: V.scores(voxels(s, d), truth(s, d)).select("tomo", "label_a", "label_b", "n", r6("iou", "iou"), r6("iop", "iop"), r6("iot", "iot")))
 query("object_matching", f"""{SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY tomo, la ORDER BY iou DESC, lb) ra, row_number() OVER (PARTITION BY tomo, lb ORDER BY iou DESC, la) rb FROM sc WHERE iou >= 0.02),
  tp AS (SELECT tomo, count(*) tp FROM r WHERE ra=1 AND rb=1 GROUP BY tomo) SELECT tomo, coalesce(tp,0) AS tp, na-coalesce(tp,0) AS fp, nb-coalesce(tp,0) AS fn
- FROM (SELECT tomo, count(*) na FROM sa GROUP BY tomo) FULL JOIN (SELECT tomo, count(*) nb FROM sb GROUP BY tomo) USING (tomo) LEFT JOIN tp USING (tomo)""")(lambda s, d: V.matching(voxels(s, d), truth(s, d), 0.02))
+ FROM (SELECT tomo, count(*) na FROM sa GROUP BY tomo) FULL JOIN (SELECT tomo, count(*) nb FROM sb GROUP BY tomo) USING (tomo) LEFT JOIN tp USING (tomo)""")(lambda s, d: V.matching(voxels(s, d), truth(s, d), 0.02, mutual=True))
 query("dice", f"{GT} SELECT tomo, round(2*(SELECT count(*) FROM vox v SEMI JOIN gt USING (tomo,z,y,x) WHERE v.tomo=t.tomo)/((SELECT count(*) FROM vox v WHERE v.tomo=t.tomo)+(SELECT count(*) FROM gt g WHERE g.tomo=t.tomo)),6) AS dice FROM (SELECT DISTINCT tomo FROM vox) t")(lambda s, d: V.dice(voxels(s, d), truth(s, d)).select("tomo", r6("dice", "dice")))
 query("symmetric_best_dice", f"""{SCORES}, dd AS (SELECT *, 2*n/(a+b) AS dc FROM sc), ba AS (SELECT tomo, avg(coalesce(m,0)) v FROM sa LEFT JOIN (SELECT tomo, la, max(dc) m FROM dd GROUP BY ALL) USING (tomo, la) GROUP BY tomo),
  bb AS (SELECT tomo, avg(coalesce(m,0)) v FROM sb LEFT JOIN (SELECT tomo, lb, max(dc) m FROM dd GROUP BY ALL) USING (tomo, lb) GROUP BY tomo) SELECT tomo, round(least(ba.v, bb.v),6) AS sbd FROM ba JOIN bb USING (tomo)""")(lambda s, d: V.symmetric_best_dice(voxels(s, d), truth(s, d)).select("tomo", r6("sbd", "sbd")))

@@ -20,7 +20,7 @@ from voxelgrain.plans import filters as E
 from voxelgrain.plans import segmentation as G
 from voxelgrain.plans import sites as S
 from voxelgrain.storage import stage
-from voxelgrain.views import DENSE_SQL, VOXELS_SQL, dense_image, structure, vesicles, voxels
+from voxelgrain.views import DENSE_SQL, VOXELS_SQL, dense_image, structure, truth, vesicles, voxels
 
 NEAR = ("near_z", "near_y", "near_x")
 
@@ -144,3 +144,4 @@ def gaps(s: SparkSession, d: str) -> DataFrame:
 # Marches have no SQL here: tests/core holds them against a queue.
 query("eikonal_distance")(lambda s, d: K.eikonal_distance(gaps(s, d), gaps(s, d).where("y = 0"), SPACING))
 query("membrane_by_path")(lambda s, d: K.membrane_by_path(gaps(s, d), structure(s, d), 9.0, SPACING, exclude=1, depth=8, min_size=5))
+query("optimal_matching")(lambda s, d: V.matching(voxels(s, d), truth(s, d), 0.02))  # largest matchings: tests/core

@@ -68,7 +68,7 @@ query("evaluate_components", f"""{REC}, {TRUTH_SQL}, {STRUCTURE_SQL}, g7 AS (SEL
  r AS (SELECT *, row_number() OVER (PARTITION BY tomo, la ORDER BY iou DESC, lb) AS ra, row_number() OVER (PARTITION BY tomo, lb ORDER BY iou DESC, la) AS rb FROM sc WHERE iou >= 0.1), tp AS (SELECT tomo, count(*) AS tp FROM r WHERE ra = 1 AND rb = 1 GROUP BY tomo),
  t AS (SELECT tomo, na, va, nb, vb FROM (SELECT tomo, count(*) AS na, sum(a) AS va FROM sa GROUP BY tomo) FULL JOIN (SELECT tomo, count(*) AS nb, sum(b) AS vb FROM sb GROUP BY tomo) USING (tomo))
  SELECT tomo, coalesce(tp, 0) AS tp, coalesce(na, 0) - coalesce(tp, 0) AS fp, coalesce(nb, 0) - coalesce(tp, 0) AS fn, round(2 * coalesce((SELECT sum(n) FROM o WHERE o.tomo = t.tomo), 0) / (coalesce(va, 0) + coalesce(vb, 0)), 6) AS dice FROM t LEFT JOIN tp USING (tomo)""")(
-    lambda s, d: A.evaluate(structure(s, d), truth(s, d).where("label % 7 = 0"), 2, 2, limit=0.1).select("tomo", "tp", "fp", "fn", r6("dice", "dice"))
+    lambda s, d: A.evaluate(structure(s, d), truth(s, d).where("label % 7 = 0"), 2, 2, limit=0.1, mutual=True).select("tomo", "tp", "fp", "fn", r6("dice", "dice"))
 )
 
 # -- pairs and lines -------------------------------------------------------

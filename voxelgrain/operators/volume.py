@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from voxelgrain.operators.matching import maximum_matching
+
 POS = ["tomo", "z", "y", "x"]
 FACES = ((-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1))
 FULL = tuple(o for o in product((-1, 0, 1), repeat=3) if o != (0, 0, 0))
@@ -323,15 +325,20 @@ def scores(a: DataFrame, b: DataFrame) -> DataFrame:
     return o.select("*", (F.col("n") / (F.col("size_a") + F.col("size_b") - F.col("n"))).alias("iou"), (F.col("n") / F.col("size_a")).alias("iop"), (F.col("n") / F.col("size_b")).alias("iot"))
 
 
-def matching(seg: DataFrame, gt: DataFrame, limit: float = 0.5, criterion: str = "iou") -> DataFrame:
-    """(tomo, tp, fp, fn): pairs over ``limit``, each object in one match.
+def matching(seg: DataFrame, gt: DataFrame, limit: float = 0.5, criterion: str = "iou", mutual: bool = False) -> DataFrame:
+    """(tomo, tp, fp, fn): pairs of at least ``limit``, each object in one match.
 
-    Pairs count when each is the other's best; over one half of IoU every pair
-    is, so the count then equals that of an optimal assignment.
+    As many pairs as can be: over one half of IoU no object has two, and those
+    that are each other's best are all; else a largest matching is sought.
+    ``mutual`` counts only pairs that are each other's best, at any limit.
     """
     s = scores(seg, gt).where(F.col(criterion) >= limit)
-    best = lambda k, other: F.row_number().over(Window.partitionBy("tomo", k).orderBy(F.desc(criterion), other))
-    tp = s.withColumn("ra", best("label_a", "label_b")).withColumn("rb", best("label_b", "label_a")).where("ra = 1 and rb = 1").groupBy("tomo").agg(F.count(F.lit(1)).alias("tp"))
+    if mutual or (criterion == "iou" and limit > 0.5):
+        best = lambda k, other: F.row_number().over(Window.partitionBy("tomo", k).orderBy(F.desc(criterion), other))
+        pairs = s.withColumn("ra", best("label_a", "label_b")).withColumn("rb", best("label_b", "label_a")).where("ra = 1 and rb = 1")
+    else:
+        pairs = maximum_matching(s.select("tomo", F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+    tp = pairs.groupBy("tomo").agg(F.count(F.lit(1)).alias("tp"))
     count = lambda v, c: v.groupBy("tomo").agg(F.count_distinct("label").alias(c))
     out = count(seg, "n_seg").join(count(gt, "n_gt"), "tomo", "full_outer").join(tp, "tomo", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")

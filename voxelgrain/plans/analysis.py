@@ -51,13 +51,13 @@ def membrane_near(membrane: DataFrame, reference: DataFrame, radius: float, n: i
     return c.join(top.select("tomo", "label"), ["tomo", "label"], "left_semi").select(*V.POS)
 
 
-def evaluate(seg: DataFrame, gt: DataFrame, min_seg: int = 0, min_gt: int = 0, iterations: int = 0, criterion: str = "iou", limit: float = 0.5, shape: tuple | None = None) -> DataFrame:
-    """(tomo, tp, fp, fn, dice) of the components of two foregrounds."""
+def evaluate(seg: DataFrame, gt: DataFrame, min_seg: int = 0, min_gt: int = 0, iterations: int = 0, criterion: str = "iou", limit: float = 0.5, shape: tuple | None = None, mutual: bool = False) -> DataFrame:
+    """(tomo, tp, fp, fn, dice) of the components of two foregrounds; see ``matching``."""
     a = C.components_filtered(seg, min_seg)
     b = C.components_filtered(gt, min_gt)
     if iterations:
         a = V.closing(V.dilate(a, iterations=iterations, shape=shape), iterations=iterations, shape=shape)
-    return V.matching(a, b, limit, criterion).join(V.dice(a, b), "tomo", "left")
+    return V.matching(a, b, limit, criterion, mutual).join(V.dice(a, b), "tomo", "left")
 
 
 def thin_zone(zone: DataFrame, mask: DataFrame, distance: float = 6.0, iterations: int = 2) -> DataFrame:
