@@ -17,10 +17,11 @@ from voxelgrain.operators import volume as V
 from voxelgrain.operators.watershed import watershed
 from voxelgrain.plans import compartments as P
 from voxelgrain.plans import filters as E
+from voxelgrain.plans import outlines as O
 from voxelgrain.plans import segmentation as G
 from voxelgrain.plans import sites as S
 from voxelgrain.storage import stage
-from voxelgrain.views import DENSE_SQL, VOXELS_SQL, dense_image, structure, truth, vesicles, voxels
+from voxelgrain.views import DENSE_SQL, ORDERS, VOXELS_SQL, dense_image, structure, table, truth, vesicles, voxels
 
 NEAR = ("near_z", "near_y", "near_x")
 
@@ -145,3 +146,46 @@ def gaps(s: SparkSession, d: str) -> DataFrame:
 query("eikonal_distance")(lambda s, d: K.eikonal_distance(gaps(s, d), gaps(s, d).where("y = 0"), SPACING))
 query("membrane_by_path")(lambda s, d: K.membrane_by_path(gaps(s, d), structure(s, d), 9.0, SPACING, exclude=1, depth=8, min_size=5))
 query("optimal_matching")(lambda s, d: V.matching(voxels(s, d), truth(s, d), 0.02))  # largest matchings: tests/core
+
+# -- outlines --------------------------------------------------------------
+
+TOMO_SQL = f"'tomo' || CAST(l_orderkey // {ORDERS} AS VARCHAR) AS tomo"
+
+
+def order_points(s: SparkSession, d: str) -> DataFrame:
+    """The lines of each order as the points of a contour, all in slices by order."""
+    li = table(s, d, "lineitem")
+    tomo = F.concat(F.lit("tomo"), F.floor(F.col("l_orderkey") / ORDERS).cast("string"))
+    return li.select(tomo.alias("tomo"), F.col("l_orderkey").cast("long").alias("label"), (F.col("l_orderkey") % 8).cast("int").alias("z"), F.lit(0).alias("contour"), F.col("l_linenumber").cast("int").alias("n"), (F.col("l_partkey") % 64).alias("y"), (F.col("l_suppkey") * 7 % 64).alias("x"))
+
+
+query("polygons", f"""WITH p AS (SELECT {TOMO_SQL}, l_orderkey AS label, l_linenumber AS n, l_partkey % 64 AS y, l_suppkey * 7 % 64 AS x FROM lineitem),
+ e AS (SELECT tomo, label, CAST(y AS DOUBLE) AS y0, CAST(x AS DOUBLE) AS x0, CAST(coalesce(lead(y) OVER w, first_value(y) OVER w) AS DOUBLE) AS y1, CAST(coalesce(lead(x) OVER w, first_value(x) OVER w) AS DOUBLE) AS x1 FROM p WINDOW w AS (PARTITION BY tomo, label ORDER BY n, y, x)),
+ c AS (SELECT tomo, label, r.y, x0 + (r.y - y0) * (x1 - x0) / (y1 - y0) AS c FROM e, range(64) r(y) WHERE least(y0, y1) <= r.y AND r.y < greatest(y0, y1)),
+ i AS (SELECT tomo, label, c.y, r.x FROM c, range(64) r(x) WHERE c.c <= r.x GROUP BY ALL HAVING count(*) % 2 = 1)
+ SELECT tomo, label, count(*) AS pixels, CAST(sum(y) AS BIGINT) AS sum_y, CAST(sum(x) AS BIGINT) AS sum_x FROM i GROUP BY ALL""")(
+    lambda s, d: O.fill_polygons(order_points(s, d)).groupBy("tomo", "label").agg(F.count(F.lit(1)).alias("pixels"), F.sum("y").alias("sum_y"), F.sum("x").alias("sum_x"))
+)
+query("point_files", f"""WITH p AS (SELECT {TOMO_SQL}, dense_rank() OVER (PARTITION BY l_orderkey // {ORDERS} ORDER BY CAST(l_quantity AS INTEGER)) - 1 AS z, l_partkey, l_suppkey FROM lineitem),
+ b AS (SELECT tomo, z, l_partkey % 64 AS y, l_suppkey * 7 % 64 AS x, 1 AS label FROM p UNION ALL SELECT tomo, z, l_suppkey % 64, l_partkey * 5 % 64, 2 FROM p)
+ SELECT tomo, CAST(z AS INTEGER) AS z, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(max(label) AS BIGINT) AS label FROM b WHERE y > 0 AND z < 40 GROUP BY ALL""")(
+    lambda s, d: O.voxelise(
+        table(s, d, "lineitem").select(F.concat(F.lit("tomo"), F.floor(F.col("l_orderkey") / ORDERS).cast("string")).alias("tomo"), F.concat(F.lit("slice"), F.col("l_quantity").cast("int").cast("string"), F.lit(".txt")).alias("file"), (F.col("l_partkey") % 64).alias("y1"), (F.col("l_suppkey") * 7 % 64).alias("x1"), (F.col("l_suppkey") % 64).alias("y2"), (F.col("l_partkey") * 5 % 64).alias("x2")),
+        [("y1", "x1"), ("y2", "x2")],
+        (40, 64, 64),
+    )
+)
+
+
+def frames(v: DataFrame, wide: int) -> DataFrame:
+    """Rectangles as wide as the box of each object, with lines of ``wide`` pixels."""
+    box = v.groupBy("tomo", "label").agg(*[f(c).alias(f"{n}_{c}") for c in "zyx" for n, f in (("lo", F.min), ("hi", F.max))])
+    for c in "zyx":
+        box = box.withColumn(c, F.explode(F.sequence(f"lo_{c}", f"hi_{c}")))
+    rim = [F.least(F.col(c) - F.col(f"lo_{c}"), F.col(f"hi_{c}") - F.col(c)) for c in "yx"]
+    return box.where(F.least(*rim) < wide).select(*V.POS)
+
+
+# floods again: tests/core
+query("fill_outlines")(lambda s, d: O.fill_outlines(frames(truth(s, d), 1), (8, 64, 64)))
+query("outline_instances")(lambda s, d: O.instances_from_outlines(frames(structure(s, d), 3), (8, 64, 64), far=3.0))
