@@ -36,3 +36,19 @@ def test_no_join_of_pairs_or_cells_is_broadcast(spark, noise):
     v = spark.createDataFrame(noise, "tomo string, z int, y int, x int, label long")
     plan = D.pairwise(v, 3.0)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_nearest_from_both_sides(spark, noise):
+    """Whichever side has fewer voxels is spread; the result is that of all voxels, and nothing spread is broadcast."""
+    v = spark.createDataFrame(noise, "tomo string, z int, y int, x int, label long")
+    few = v.where("x = 0 and y > 3").withColumn("label", F.lit(7).cast("long"))
+    many = v.where("x > 5")
+    at = lambda t: [((r.z, r.y, r.x), r.label) for r in t.collect()]
+    for a, b in ((few, many), (many, few)):
+        want = {}
+        for p, label in at(a):
+            for q, s in at(b):
+                m = (sum((i - j) ** 2 for i, j in zip(p, q, strict=True)), p, q, s)
+                want[label] = min(want.get(label, m), m)
+        got = {r.label: (round(r.distance**2), tuple(r.ep_object), tuple(r.ep_structure), r.structure_label) for r in D.nearest_structure(a, b, surface=False).collect()}
+        assert got == want
