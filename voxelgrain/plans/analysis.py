@@ -9,6 +9,8 @@ from voxelgrain.operators import components as C
 from voxelgrain.operators import distance as D
 from voxelgrain.operators import relational as R
 from voxelgrain.operators import volume as V
+from voxelgrain.operators.lines import distance_field
+from voxelgrain.plans.segmentation import distances
 
 #: Distances in nm below which an object belongs to a pool; later pools win.
 RA_V, MP_V, DOCKED_PD, DOCKED_MEMBRANE = 80.0, 50.0, 100.0, 2.0
@@ -62,10 +64,8 @@ def evaluate(seg: DataFrame, gt: DataFrame, min_seg: int = 0, min_gt: int = 0, i
 
 def thin_zone(zone: DataFrame, mask: DataFrame, distance: float = 6.0, iterations: int = 2) -> DataFrame:
     """Zone voxels within ``distance`` of the mask in their slice, closed."""
-    z = zone.select(*V.POS).distinct().withColumn("label", F.concat_ws("/", *V.POS))
-    by_slice = lambda v: v.withColumn("tomo", F.concat_ws("|", "tomo", "z"))
-    near = D.nearest_structure(by_slice(z), by_slice(mask), surface=False).where(F.col("distance") <= distance)
-    kept = z.join(near.select("label"), "label", "left_semi").select(*V.POS, F.lit(1).cast("long").alias("label"))
+    near = distances(zone.select(*V.POS), mask, planar=True).where(F.col("distance") <= distance)
+    kept = near.select(*V.POS, F.lit(1).cast("long").alias("label"))
     return V.closing(kept, V.SQUARE_2D, iterations)
 
 
@@ -86,9 +86,8 @@ def inside_fraction(outer: DataFrame, inner: DataFrame, voxel_volume: float = 1.
 
 def proximity(inner: DataFrame, membrane: DataFrame, size: tuple = (1.0, 1.0, 1.0)) -> DataFrame:
     """Minimum, median and maximum distance of each object's voxels to the membrane."""
-    v = inner.select("tomo", *"zyx", F.concat_ws("/", "label", *"zyx").alias("key"), F.col("label").alias("object"))
-    each = D.nearest_structure(v.select("tomo", *"zyx", F.col("key").alias("label")), membrane, size, surface=False)
-    d = v.select("tomo", "key", "object").join(each.select("tomo", F.col("label").alias("key"), "distance"), ["tomo", "key"])
+    each = distance_field(inner.select(*V.POS), membrane, size).select(*V.POS, "distance")
+    d = inner.select(*V.POS, F.col("label").alias("object")).join(each, V.POS)
     return d.groupBy("tomo", F.col("object").alias("label")).agg(F.min("distance").alias("min"), F.percentile("distance", 0.5).alias("median"), F.max("distance").alias("max"))
 
 
