@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voxelgrain.operators import components as C
 from voxelgrain.operators import distance as D
 
 
@@ -13,6 +14,13 @@ def noise():
     return [("t", z, y, x, int(r.integers(1, 3))) for z in range(-3, 4) for y in range(-6, 7) for x in range(10) if r.random() < 0.3]
 
 
+def test_components_over_blocks(spark, noise):
+    v = spark.createDataFrame(noise, "tomo string, z int, y int, x int, label long")
+    for options in ({"connectivity": 3}, {"connectivity": 1, "per_label": True}, {"connectivity": 3, "planar": True}):
+        one, many = ({tuple(r) for r in C.components(v, **options, block_edge=e).collect()} for e in (64, 3))
+        assert one == many and len(one) == len(noise)
+
+
 def test_pairs_in_pieces(spark, noise, monkeypatch):
     """Pieces and cells do not show: least distances and their first end points are those of all voxels."""
     monkeypatch.setattr(D, "PIECE", 5)

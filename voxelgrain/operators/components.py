@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from voxelgrain.operators.blocks import BLOCK, block, first_voxels
 from voxelgrain.operators.volume import POS, neighbourhood, shifted, size_filter
 from voxelgrain.storage import stage
 
@@ -35,20 +37,35 @@ def graph_components(edges: DataFrame) -> DataFrame:
         rest = rest.join(a, "a").join(b, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
 
 
-def components(v: DataFrame, connectivity: int = 3, per_label: bool = False, planar: bool = False) -> DataFrame:
+def components(v: DataFrame, connectivity: int = 3, per_label: bool = False, planar: bool = False, block_edge: int = BLOCK) -> DataFrame:
     """Voxels with the number of their component, 1..n per tomogram.
 
     Components are numbered by their first voxel in z, y, x order. With
     ``per_label`` only voxels of one label connect; ``planar`` works slice by
-    slice. Connectivity 1 is faces, 3 also edges and corners.
+    slice. Connectivity 1 is faces, 3 also edges and corners. Blocks of
+    ``block_edge`` voxels an edge are connected for themselves, then their
+    components over the faces of the blocks. A row with a null coordinate is no
+    voxel and left out.
     """
     half = [o for o in neighbourhood(connectivity, planar) if o > (0, 0, 0)]
-    key = F.concat_ws("/", "tomo", *[F.lpad(F.col(c).cast("string"), 9, "0") for c in "zyx"])
-    own = v.select(*POS, *(["label"] if per_label else []))
-    moved = shifted(own.withColumn("_from", key), half)
-    edges = moved.join(own, POS + (["label"] if per_label else [])).select(F.col("_from").alias("a"), key.alias("b"))
+    more = ["label"] if per_label else []
+    own = v.select(*POS, *more)
+    types = dict(own.dtypes)
+    head, cells = ["tomo", "z", "y", "x", *more], ["_bz", "_by", "_bx"]
+
+    def work(f: pd.DataFrame) -> pd.DataFrame:
+        first = first_voxels(f, half, per_label)
+        return f.assign(**{f"_r{c}": f[c].to_numpy()[first] for c in "zyx"})
+
+    schema = ", ".join([*[f"`{c}` {types[c]}" for c in head], "_bz long, _by long, _bx long", *[f"_r{c} {types[c]}" for c in "zyx"]])
+    named = own.dropna(subset=list("zyx")).select(*head, *block(block_edge)).groupBy("tomo", *cells).applyInPandas(work, schema)
+    key = F.struct("tomo", "_rz", "_ry", "_rx", *more)
+    named = stage(named.select(*head, *cells, key.alias("id")), "components-blocks")
+    rim = named.where(" or ".join(f"pmod({c}, {block_edge}) in (0, {block_edge - 1})" for c in "zyx"))
+    moved = shifted(rim.withColumnRenamed("id", "a"), half).where(" or ".join(f"_b{c} <> floor({c} / {block_edge})" for c in "zyx")).drop(*cells)
+    edges = moved.join(rim.drop(*cells).withColumnRenamed("id", "b"), head).select("a", "b")
     found = graph_components(edges)
-    named = own.withColumn("id", key).join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    named = named.drop(*cells).join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     order = named.select("tomo", "comp").distinct()
     order = order.withColumn("component", F.row_number().over(Window.partitionBy("tomo").orderBy("comp")).cast("long"))
     return named.join(order, ["tomo", "comp"]).select(*own.columns, "component")
