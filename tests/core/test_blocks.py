@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from voxelgrain.operators import components as C
 from voxelgrain.operators import distance as D
+from voxelgrain.operators.watershed import watershed
 
 
 @pytest.fixture(scope="module")
@@ -21,6 +22,15 @@ def test_components_over_blocks(spark, noise):
         assert one == many and len(one) == len(noise)
 
 
+def test_floods_over_blocks(spark, noise):
+    r = np.random.default_rng(5)
+    height = spark.createDataFrame([("t", z, y, x, float(r.integers(0, 6))) for z in range(-2, 4) for y in range(9) for x in range(9)], "tomo string, z int, y int, x int, height double")
+    seeds = spark.createDataFrame([("t", -2, 1, 1, 5), ("t", 3, 8, 0, 2), ("t", 0, 4, 7, 9), ("t", 0, 4, 8, 9)], "tomo string, z int, y int, x int, label long")
+    for planar in (False, True):
+        one, many = ({tuple(r) for r in watershed(height, seeds, planar, block_edge=e).collect()} for e in (64, 4))
+        assert one == many and len(one) == (3 * 81 if planar else 6 * 81)
+
+
 def test_pairs_in_pieces(spark, noise, monkeypatch):
     """Pieces and cells do not show: least distances and their first end points are those of all voxels."""
     monkeypatch.setattr(D, "PIECE", 5)

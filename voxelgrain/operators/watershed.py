@@ -1,20 +1,25 @@
 """Seeded watershed without a queue: a minimum spanning forest grown in rounds.
 
-Neighbouring voxels are joined by an edge as high as the higher of the two. In
-the first round every voxel without a seed points along its lowest edge, which
-is down the steepest descent where there is one; pointers are doubled until each
-voxel knows the end of its path, a basin or a seed. Edges between two basins
-shrink to the lowest pass, and basins without a seed point on over theirs, until
-all that can reach a seed has one. Rounds are written tables of (volume, node)
-rows, at most as many as the logarithm of the number of voxels; nothing is
-grouped by volume, slice or block.
+Neighbouring voxels are joined by an edge as high as the higher of the two. A
+tree without a seed goes over its lowest edge, which is down the steepest descent
+where there is one. Each block of the volume does so for itself, as long as the
+lowest edges of its trees end inside it; then nodes are trees, and only the lowest
+edges between them and those over the faces of blocks are left. In rounds, nodes
+without a seed point along their lowest edge, pointers are doubled until each node
+knows the end of its path, and edges shrink to the lowest pass of every two nodes,
+until all that can reach a seed has one. Rounds are written tables of (volume,
+node) rows, at most as many as the logarithm of the number of nodes; nothing is
+grouped by volume or slice.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelgrain.operators.blocks import BLOCK, contract
 from voxelgrain.storage import stage
 
 #: Coordinates from -2^20 on and under 2^20 fit into one number.
@@ -42,7 +47,7 @@ def _chase(up: DataFrame) -> DataFrame:
             return up
 
 
-def watershed(height: DataFrame, seeds: DataFrame, planar: bool = False) -> DataFrame:
+def watershed(height: DataFrame, seeds: DataFrame, planar: bool = False, block_edge: int = BLOCK) -> DataFrame:
     """(tomo, z, y, x, label): the rows of ``height`` that a seed's flood reaches.
 
     The forest is that of a flood which always takes the lowest edge between a
@@ -53,21 +58,23 @@ def watershed(height: DataFrame, seeds: DataFrame, planar: bool = False) -> Data
     ``height`` and those with a label of 0 or null are no seeds, and of several
     at one voxel the largest counts. Rows with a null coordinate or height
     (NaN among them) take no part, repeated ones have their lowest height. Voxels
-    cut off from every seed are left out.
+    cut off from every seed are left out. Blocks have ``block_edge`` voxels an
+    edge; their size does not change the result.
     """
     pos = ["tomo", "z", "y", "x"]
     whole = [F.col("tomo"), *[F.col(c).cast("int").alias(c) for c in "zyx"]]
     ground = height.select(*whole, F.nanvl(F.col("height").cast("double"), F.lit(None).cast("double")).alias("height")).dropna().groupBy(*pos).agg(F.min("height").alias("height"))
     seed = seeds.where("label > 0").select(*whole, F.col("label").cast("long").alias("label")).dropna().groupBy(*pos).agg(F.max("label").alias("label"))
     # nodes: seeds by their negative label, other voxels by their position
-    at = packed(F.col("z"), F.col("y"), F.col("x"))
-    voxels = stage(ground.join(seed, pos, "left").withColumn("p", at).withColumn("n", F.coalesce(-F.col("label"), F.col("p"))), "watershed-voxels")
-    steps = [1, 1 << BITS] + ([] if planar else [1 << 2 * BITS])
-    near = voxels.select("tomo", F.explode(F.array(*[F.col("p") + s for s in steps])).alias("q"), F.col("p").alias("_p"), F.col("n").alias("a"), F.col("height").alias("_a"))
-    far = voxels.select("tomo", F.col("p").alias("q"), F.col("n").alias("b"), F.col("height").alias("_b"))
-    edges = near.join(far, ["tomo", "q"]).select("tomo", "a", "b", F.struct(F.greatest("_a", "_b").alias("hi"), F.least("_a", "_b").alias("lo"), F.col("_p").alias("p"), F.col("q").alias("q")).alias("k"))
-    names = voxels.where("label is null").select("tomo", "n", F.col("n").alias("m"))
-    first = True
+    met = ground.join(seed, pos, "left")
+    done = stage(_blocks(met, planar, block_edge), "watershed-blocks")
+    voxels = done.where("not edge").select(*pos, F.col("a").alias("m"))
+    key = F.struct("hi", "lo", "p", "q").alias("k")
+    inner = done.where("edge and b is not null").select("tomo", "a", "b", key)
+    half = done.where("edge and b is null")
+    over = half.where("first").select("tomo", "p", "q", "a", "hi", "lo").join(half.where("not first").select("tomo", "p", "q", F.col("a").alias("b")), ["tomo", "p", "q"])
+    edges = inner.unionByName(over.select("tomo", "a", "b", key))
+    names = voxels.where("m >= 0").select("tomo", F.col("m").alias("n"), "m").distinct()
     while True:
         # the lowest pass of every two nodes; two seeds never merge
         low = edges.where("a <> b and (a >= 0 or b >= 0)").groupBy("tomo", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("k").alias("k"))
@@ -76,15 +83,47 @@ def watershed(height: DataFrame, seeds: DataFrame, planar: bool = False) -> Data
             break
         ends = edges.unionByName(edges.select("tomo", F.col("b").alias("a"), F.col("a").alias("b"), "k")).where("a >= 0")
         up = _chase(ends.groupBy("tomo", F.col("a").alias("n")).agg(F.min_by("b", "k").alias("m")))
-        if first:
-            names, first = names.select("tomo", "n").join(up, ["tomo", "n"], "left").select("tomo", "n", F.coalesce("m", F.col("n")).alias("m")), False
-        else:
-            on = up.select("tomo", F.col("n").alias("m"), F.col("m").alias("_to"))
-            names = names.join(on, ["tomo", "m"], "left").select("tomo", "n", F.coalesce("_to", F.col("m")).alias("m"))
-        names = stage(names, "watershed-names")
+        on = up.select("tomo", F.col("n").alias("m"), F.col("m").alias("_to"))
+        names = stage(names.join(on, ["tomo", "m"], "left").select("tomo", "n", F.coalesce("_to", F.col("m")).alias("m")), "watershed-names")
         for end in ("a", "b"):
             to = up.select("tomo", F.col("n").alias(end), F.col("m").alias("_to"))
             edges = edges.join(to, ["tomo", end], "left").withColumn(end, F.coalesce("_to", F.col(end))).drop("_to")
-    own = voxels.where("label is not null").select(*pos, "label")
-    flooded = voxels.where("label is null").join(names.where("m < 0"), ["tomo", "n"]).select(*pos, (-F.col("m")).alias("label"))
-    return own.unionByName(flooded)
+    settled = voxels.where("m < 0").select(*pos, (-F.col("m")).alias("label"))
+    later = names.where("m < 0").select("tomo", "n", (-F.col("m")).alias("label"))
+    return settled.unionByName(voxels.where("m >= 0").withColumnRenamed("m", "n").join(later, ["tomo", "n"]).select(*pos, "label"))
+
+
+def _blocks(voxels: DataFrame, planar: bool, edge: int) -> DataFrame:
+    """Blocks contracted for themselves: rows of voxels and of edges that are left.
+
+    A voxel has its node as ``a``. An edge inside a block has both nodes; one
+    over a face comes from both blocks, with the node of that side alone, that
+    of its first voxel or not.
+    """
+    steps = [1, 1 << BITS] + ([] if planar else [1 << 2 * BITS])
+    axes = "yx" if planar else "zyx"
+    # a voxel goes to its own block, and to those that begin at one of its faces
+    moves = [F.struct(*[F.lit(m.get(c, 0)).alias(c) for c in "zyx"]) for m in ({}, *[{c: d} for c in axes for d in (-1, 1)])]
+    to = [F.floor((F.col(c) + F.col(f"_o.{c}")) / edge).alias(f"_b{c}") for c in "zyx"]
+    own = F.expr(" and ".join(f"_b{c} = floor({c} / {edge})" for c in "zyx"))
+    dealt = voxels.withColumn("_o", F.explode(F.array(*moves))).select("*", *to).withColumn("halo", ~own)
+    dealt = dealt.where("halo or (_o.z = 0 and _o.y = 0 and _o.x = 0)").withColumn("p", packed(F.col("z"), F.col("y"), F.col("x"))).drop("_o")
+    schema = f"tomo {dict(voxels.dtypes)['tomo']}, edge boolean, first boolean, z int, y int, x int, a long, b long, hi double, lo double, p long, q long"
+
+    def work(f: pa.Table) -> pa.Table:
+        f = f.combine_chunks().sort_by("p")
+        p, halo, height = (f[c].to_numpy() for c in ("p", "halo", "height"))
+        seeded = f["label"].is_valid().to_numpy()
+        up, (a, b, hi, lo, at, to) = contract(p, height, seeded, halo, steps)
+        name = np.where(seeded, -f["label"].fill_null(0).to_numpy(), p)
+        own, over = np.flatnonzero(~halo), halo[a] | halo[b]
+        v, e = f.select(["tomo", "z", "y", "x"]).take(own), f.select(["tomo"]).take(np.zeros(len(a), np.int64))
+        flag = lambda on, n: pa.array(np.full(n, on))
+        v = v.append_column("edge", flag(False, len(own))).append_column("a", pa.array(name[up[own]]))
+        columns = {"edge": flag(True, len(a)), "first": pa.array(~halo[a]), "a": pa.array(np.where(halo[a], name[b], name[a])), "b": pa.array(name[b], mask=over), "hi": pa.array(hi), "lo": pa.array(lo), "p": pa.array(at), "q": pa.array(to)}
+        for c, values in columns.items():
+            e = e.append_column(c, values)
+        return pa.concat_tables([v, e], promote_options="default").select(names)
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    return dealt.groupBy("tomo", "_bz", "_by", "_bx").applyInArrow(work, schema)
