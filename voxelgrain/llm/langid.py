@@ -12,6 +12,7 @@ score that proportion.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ PART = 50_000
 
 
 def _letters(word: str) -> str:
-    return word if word.isalpha() else "".join(c for c in word if c.isalpha())
+    return word if word.isalpha() else "".join(filter(str.isalpha, word))
 
 
 def ngrams(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -113,33 +114,43 @@ def mixture(like: np.ndarray, doc: np.ndarray, weight: np.ndarray, n_docs: int,
     out = np.zeros((n_docs, n_langs))
     if not len(doc) or not n_langs:
         return out
-    p = np.exp(like - like.max(1, keepdims=True)).astype(np.float64)
-    row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(doc))))
+    # languages by words, so that every step runs along contiguous numbers
+    p = np.ascontiguousarray(np.exp(like - like.max(1, keepdims=True)).astype(np.float64).T)
+    size = np.diff(np.append(starts, len(doc)))
+
+    def em(pi: np.ndarray, p: np.ndarray, size: np.ndarray, weight: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = np.cumsum(size) - size
+        row, part = np.repeat(np.arange(len(size)), size), np.empty(p.shape[1])
+
+        def joint() -> np.ndarray:
+            total = np.zeros(p.shape[1])
+            for k in range(n_langs):
+                np.multiply(p[k], pi[k][row], out=part)
+                np.add(total, part, out=total)
+            return np.maximum(total, 1e-300, out=total)
 
-    def em(pi: np.ndarray, p: np.ndarray, row: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        n = np.add.reduceat(weight, first)[:, None]
         for _ in range(iterations):
-            joint = p * pi[row]
-            pi = np.add.reduceat(joint * (weight / np.maximum(joint.sum(1), 1e-300))[:, None], first) / n
-        return pi, np.add.reduceat(weight * np.log(np.maximum((p * pi[row]).sum(1), 1e-300)), first)
+            share = np.divide(weight, joint())
+            pi = np.stack([pi[k] * np.add.reduceat(np.multiply(p[k], share, out=part), first) for k in range(n_langs)]) / n
+        return pi, np.add.reduceat(weight * np.log(joint()), first)
 
-    pi, best = em(np.full((len(starts), n_langs), 1 / n_langs), p, row, weight)
-    live = np.arange(len(pi))  # documents whose set of languages may still shrink
+    pi, best = em(np.full((n_langs, len(starts)), 1 / n_langs), p, size, weight, total)
+    live = np.arange(len(starts))  # documents whose set of languages may still shrink
     for _ in range(n_langs - 1):
-        live = live[(pi[live] > 0).sum(1) > 1]
+        live = live[(pi[:, live] > 0).sum(0) > 1]
         if not len(live):
             break
-        place = np.full(len(pi), -1)
-        place[live] = np.arange(len(live))
-        mine = np.flatnonzero(place[row] >= 0)
-        trial = pi[live].copy()
-        trial[np.arange(len(live)), np.where(trial > 0, trial, np.inf).argmin(1)] = 0
-        trial /= trial.sum(1, keepdims=True)
-        trial, fit_ = em(trial, p[mine], place[row[mine]], weight[mine])
+        on = np.zeros(len(starts), bool)
+        on[live] = True
+        mine = np.flatnonzero(np.repeat(on, size))
+        trial = pi[:, live]
+        trial[np.where(trial > 0, trial, np.inf).argmin(0), np.arange(len(live))] = 0
+        trial /= trial.sum(0)
+        trial, fit_ = em(trial, p[:, mine], size[live], weight[mine], total[live])
         better = fit_ + 0.5 * np.log(np.maximum(total[live], 2)) >= best[live]
         live = live[better]
-        pi[live], best[live] = trial[better], fit_[better]
+        pi[:, live], best[live] = trial[:, better], fit_[better]
+    pi = pi.T
     out[present] = pi
     return out
 
@@ -173,7 +184,7 @@ class Reader:
         """(proportions, whether a text has a letter)."""
         cut = [t.lower().split() if t else [] for t in texts]
         row = self.rows({w for c in cut for w in c})
-        at = np.fromiter((row[w] for c in cut for w in c), np.int64)
+        at = np.fromiter(map(row.__getitem__, chain.from_iterable(cut)), np.int64)
         doc = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
         doc, at = doc[at >= 0], at[at >= 0]
         pair, n = np.unique(doc * np.int64(max(1, len(self.like))) + at, return_counts=True)
