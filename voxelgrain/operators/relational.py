@@ -14,6 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from voxelgrain.storage import parts, stage
+
+#: Rows of one value that are written out together.
+RUN = 1 << 16
+
 # -- ingest and filters ----------------------------------------------------
 
 
@@ -261,9 +266,28 @@ def hash_split(df: DataFrame, key: str, train: float = 0.8, val: float = 0.1) ->
 
 
 def ragged_pivot(df: DataFrame, column: str, value: str, values: list[str]) -> DataFrame:
-    """One column a group, padded with nulls: rows are numbered within each."""
-    n = df.withColumn("row", F.row_number().over(Window.partitionBy(column).orderBy(value)))
-    return n.groupBy("row").pivot(column, values).agg(F.first(value))
+    """One column a group, padded with nulls: rows are numbered within each.
+
+    Values are counted and the counts sorted in ranges, each of which starts where
+    the ones before it end; then every value is repeated, in runs of ``RUN`` rows at
+    most. So neither a group nor a frequent value is sorted in one task.
+    """
+    spark = df.sparkSession
+    seen = stage(df.groupBy(F.col(column).alias("_g"), F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n")), "pivot-counts")
+    ranges = seen.repartitionByRange(parts(spark, seen.count()), "_g", "_v").withColumn("_p", F.spark_partition_id())
+    ranges = stage(ranges, "pivot-ranges")
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    heads = ranges.groupBy("_g", "_p").agg(F.sum("_n").alias("_n"))  # a row for each group and range
+    heads = heads.select(F.col("_g").alias("_of"), F.col("_p").alias("_in"), F.coalesce(F.sum("_n").over(before("_g").orderBy("_p")), F.lit(0)).alias("_head"))
+    placed = ranges.withColumn("_at", F.coalesce(F.sum("_n").over(before("_g", "_p").orderBy("_v")), F.lit(0)))
+    placed = placed.join(F.broadcast(heads), F.col("_g").eqNullSafe(F.col("_of")) & (F.col("_p") == F.col("_in")))
+    runs = placed.withColumn("_r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(RUN).cast("long"))))
+    runs = runs.select("_g", "_v", (F.col("_head") + F.col("_at") + F.col("_r")).alias("_at"), F.least(F.col("_n") - F.col("_r"), F.lit(RUN)).alias("_n"))
+    runs = stage(runs, "pivot-runs")
+    total = runs.agg(F.sum("_n")).first()[0] or 0
+    row = F.explode(F.expr("sequence(cast(_at + 1 as int), cast(_at + _n as int))")).alias("row")
+    dealt = runs.repartition(parts(spark, total), "_g", "_at").select("_g", "_v", row).repartition(parts(spark, total), "row")
+    return dealt.groupBy("row").agg(*[F.max(F.when(F.col("_g") == v, F.col("_v"))).alias(v) for v in values])
 
 
 def standardise(df: DataFrame, col: str, within: list[str]) -> DataFrame:

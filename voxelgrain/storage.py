@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that a task sorts or hashes, about.
+ROWS = 1 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where unset, in local mode alone, a temporary folder, set once."""
@@ -21,6 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+def parts(spark: SparkSession, rows: int) -> int:
+    """Partitions for so many rows. Adaptive execution goes by bytes, of which
+    sorted coordinates have so few that one task would get many million rows;
+    a number given to ``repartition`` is kept."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // ROWS))
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: this cuts lineage and
     survives the loss of executors."""
