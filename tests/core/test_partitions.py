@@ -35,6 +35,18 @@ def at(df):
     return {(r.z, r.y, r.x): r.label for r in df.collect()}
 
 
+def test_dilate(noise, few):
+    own = at(noise)
+    want = dict(own)
+    for p, label in own.items():
+        for o in V.FACES:
+            q = tuple(i + j for i, j in zip(p, o, strict=True))
+            if q not in own:
+                want[q] = max(want.get(q, 0), label)
+    got = V.dilate(noise)
+    assert dealt(got) >= 7 * len(own) // 40 and at(got) == want
+
+
 def test_ragged_pivot(spark, few, monkeypatch):
     monkeypatch.setattr(R, "RUN", 7)
     r = np.random.default_rng(2)

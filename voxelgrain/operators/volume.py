@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxelgrain.operators.matching import maximum_matching
+from voxelgrain.storage import parts, stage
 
 POS = ["tomo", "z", "y", "x"]
 FACES = ((-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1))
@@ -42,6 +43,13 @@ def shifted(v: DataFrame, offsets, names: tuple[str, ...] = ("z", "y", "x")) ->
     return v.select("*", moves).withColumns({n: (F.col(n) + F.col(f"_o.d{n}")).cast("int") for n in names}).drop("_o")
 
 
+def gathered(v: DataFrame, offsets, name: str, keys: list[str] = POS) -> tuple[DataFrame, DataFrame]:
+    """(v, v moved by each offset), written once and dealt out by ``keys`` alike, so many rows a task."""
+    v = stage(v, name)
+    n = parts(v.sparkSession, v.count() * len(offsets))
+    return v.repartition(n, *keys), shifted(v, offsets).repartition(n, *keys)
+
+
 # -- objects ---------------------------------------------------------------
 
 
@@ -219,11 +227,13 @@ def paint_spheres(spheres: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
 def dilate(v: DataFrame, offsets=FACES, iterations: int = 1, shape: tuple | None = None) -> DataFrame:
     """Grown objects; a voxel reached by several gets the largest label."""
     for _ in range(iterations):
-        grown = shifted(v.select(*POS, "label"), offsets)
+        v = stage(v.select(*POS, "label"), "dilate")
+        n = parts(v.sparkSession, v.count() * (len(offsets) + 1))
+        grown = shifted(v, offsets)
         if shape:
             grown = crop(grown, (0, 0, 0), shape)
-        old = v.select(*POS, "label", F.lit(1).alias("_own"))
-        v = old.unionByName(grown.withColumn("_own", F.lit(0))).groupBy(*POS).agg(F.max(F.struct("_own", "label"))["label"].alias("label"))
+        old = v.withColumn("_own", F.lit(1))
+        v = old.unionByName(grown.withColumn("_own", F.lit(0))).repartition(n, *POS).groupBy(*POS).agg(F.max(F.struct("_own", "label"))["label"].alias("label"))
     return v
 
 
