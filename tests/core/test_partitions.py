@@ -47,6 +47,12 @@ def test_dilate(noise, few):
     assert dealt(got) >= 7 * len(own) // 40 and at(got) == want
 
 
+def test_closing(spark, few):
+    v = spark.createDataFrame([("t", z, y, x, 1) for z in range(5) for y in range(5) for x in range(5) if (z, y, x) != (2, 2, 2)], "tomo string, z int, y int, x int, label long")
+    got = V.closing(v)
+    assert dealt(got) >= 4 * 124 // 40 and len(at(got)) == 125
+
+
 def test_ragged_pivot(spark, few, monkeypatch):
     monkeypatch.setattr(R, "RUN", 7)
     r = np.random.default_rng(2)

@@ -184,12 +184,16 @@ def resize_labels(v: DataFrame, scale: tuple[float, float, float], shape: tuple[
 # -- overlay ---------------------------------------------------------------
 
 
-def overlay(*volumes: DataFrame) -> DataFrame:
-    """Volumes over each other: where several have a voxel the last wins."""
+def overlay(*volumes: DataFrame, deal: int | None = None) -> DataFrame:
+    """Volumes over each other: where several have a voxel the last wins.
+
+    ``deal``: partitions to deal the voxels into; else adaptive execution finds them.
+    """
     layers = [v.select(*POS, "label", F.lit(k).alias("_p")) for k, v in enumerate(volumes)]
     both = layers[0]
     for v in layers[1:]:
         both = both.unionByName(v)
+    both = both.repartition(deal, *POS) if deal else both
     return both.groupBy(*POS).agg(F.max_by("label", F.struct("_p", "label")).alias("label"))
 
 
@@ -243,13 +247,13 @@ def erode(v: DataFrame, offsets=FACES, iterations: int = 1, border: bool = False
     ``border`` counts neighbours outside ``shape`` as present.
     """
     for _ in range(iterations):
-        near = shifted(v.select(*POS, "label"), [tuple(-d for d in o) for o in offsets])
+        v, near = gathered(v.select(*POS, "label"), [tuple(-d for d in o) for o in offsets], "erode", [*POS, "label"])
         have = near.groupBy(*POS, "label").agg(F.count(F.lit(1)).alias("_n"))
         need = F.lit(len(offsets))
         if border and shape:
             outside = [F.when((F.col("z") + a < 0) | (F.col("z") + a >= shape[0]) | (F.col("y") + b < 0) | (F.col("y") + b >= shape[1]) | (F.col("x") + c < 0) | (F.col("x") + c >= shape[2]), 1).otherwise(0) for a, b, c in offsets]
             need = need - sum(outside[1:], outside[0])
-        v = v.select(*POS, "label").join(have, [*POS, "label"], "left").where(F.coalesce("_n", F.lit(0)) >= need).select(*POS, "label")
+        v = v.join(have, [*POS, "label"], "left").where(F.coalesce("_n", F.lit(0)) >= need).select(*POS, "label")
     return v
 
 
@@ -259,9 +263,10 @@ def opening(v: DataFrame, offsets=FACES, iterations: int = 1, shape: tuple | Non
 
 def closing(v: DataFrame, offsets=FACES, iterations: int = 1, shape: tuple | None = None) -> DataFrame:
     """Grow, then shrink; voxels that were there stay."""
-    grown = dilate(v, offsets, iterations)
-    closed = erode(grown, offsets, iterations)
-    return overlay(closed if shape is None else crop(closed, (0, 0, 0), shape), v)
+    v = stage(v.select(*POS, "label"), "closing")
+    closed = erode(dilate(v, offsets, iterations), offsets, iterations)
+    deal = parts(v.sparkSession, 4 * v.count())
+    return overlay(closed if shape is None else crop(closed, (0, 0, 0), shape), v, deal=deal)
 
 
 def boundary(v: DataFrame, mode: str = "inner", offsets=FACES) -> DataFrame:
