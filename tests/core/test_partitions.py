@@ -53,6 +53,12 @@ def test_closing(spark, few):
     assert dealt(got) >= 4 * 124 // 40 and len(at(got)) == 125
 
 
+def test_surfaces(noise, few):
+    cubes = meshes._cases(noise, "zyx", None)
+    assert dealt(cubes) >= 8 * noise.count() // 40
+    assert cubes.agg(F.sum(F.bit_count("case"))).first()[0] == 8 * noise.count()
+
+
 def test_ragged_pivot(spark, few, monkeypatch):
     monkeypatch.setattr(R, "RUN", 7)
     r = np.random.default_rng(2)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelgrain.operators.volume import POS
+from voxelgrain.storage import parts, stage
 
 Size = tuple[float, float, float]
 #: Corner k of a cube lies at its bits: 4 for z, 2 for y, 1 for x.
@@ -132,9 +133,11 @@ def _cases(v: DataFrame, axes: str, shape: tuple[int, int, int] | None) -> DataF
     The case is -1 where a corner lies outside of ``shape``.
     """
     at = [F.struct(F.lit(1 << k).alias("bit"), *[F.lit(int(c[3 - len(axes) + i])).alias(f"d{a}") for i, a in enumerate(axes)]) for k, c in enumerate(CORNERS[: 1 << len(axes)])]
-    src = v.select(*POS, "label").dropna().withColumn("_c", F.explode(F.array(*at)))
+    v = stage(v.select(*POS, "label").dropna(), "cases")
+    src = v.withColumn("_c", F.explode(F.array(*at)))
     src = src.withColumns({a: (F.col(a) - F.col(f"_c.d{a}")).cast("int") for a in axes})
-    cubes = src.groupBy("tomo", "label", "z", "y", "x").agg(F.bit_or("_c.bit").alias("case"))
+    keys = ["tomo", "label", "z", "y", "x"]
+    cubes = src.repartition(parts(v.sparkSession, v.count() * len(at)), *keys).groupBy(*keys).agg(F.bit_or("_c.bit").alias("case"))
     if shape is None:
         return cubes
     inside = F.lit(True)
