@@ -53,6 +53,14 @@ def test_closing(spark, few):
     assert dealt(got) >= 4 * 124 // 40 and len(at(got)) == 125
 
 
+def test_laplace(noise, few):
+    img = {(r.z, r.y, r.x): r.value for r in noise.collect()}
+    near = {p: [img.get((p[0], p[1] + a, p[2] + b)) for _, a, b in V.CROSS_2D] for p in img}
+    got = S.laplace(noise)
+    assert dealt(got) >= 4 * len(img) // 40
+    assert {(r.z, r.y, r.x): r.edge for r in got.collect()} == {p: sum(n) - 4 * img[p] for p, n in near.items() if None not in n}
+
+
 def test_surfaces(noise, few):
     cubes = meshes._cases(noise, "zyx", None)
     assert dealt(cubes) >= 8 * noise.count() // 40

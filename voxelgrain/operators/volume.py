@@ -253,7 +253,8 @@ def erode(v: DataFrame, offsets=FACES, iterations: int = 1, border: bool = False
         if border and shape:
             outside = [F.when((F.col("z") + a < 0) | (F.col("z") + a >= shape[0]) | (F.col("y") + b < 0) | (F.col("y") + b >= shape[1]) | (F.col("x") + c < 0) | (F.col("x") + c >= shape[2]), 1).otherwise(0) for a, b, c in offsets]
             need = need - sum(outside[1:], outside[0])
-        v = v.join(have, [*POS, "label"], "left").where(F.coalesce("_n", F.lit(0)) >= need).select(*POS, "label")
+        # written voxels look small on disk: they are never broadcast
+        v = v.join(have.hint("merge"), [*POS, "label"], "left").where(F.coalesce("_n", F.lit(0)) >= need).select(*POS, "label")
     return v
 
 

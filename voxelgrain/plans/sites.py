@@ -10,6 +10,7 @@ from voxelgrain.operators import components as C
 from voxelgrain.operators import distance as D
 from voxelgrain.operators import volume as V
 from voxelgrain.plans.segmentation import radii
+from voxelgrain.storage import parts, stage
 
 
 def contact_sites(inner: DataFrame, membrane: DataFrame, voxel_volume: float = 1.0) -> tuple[DataFrame, DataFrame]:
@@ -231,8 +232,9 @@ def gradient(image: DataFrame, value: str = "value") -> DataFrame:
 
 def laplace(image: DataFrame, value: str = "value") -> DataFrame:
     """(tomo, z, y, x, edge): sum of the four neighbours in the slice less four times the voxel."""
-    near = V.shifted(image.select(*V.POS, F.col(value).alias("_v")), V.CROSS_2D).groupBy(*V.POS).agg(F.sum("_v").alias("_s"), F.count(F.lit(1)).alias("_n")).where("_n = 4")
-    return image.join(near, V.POS).select(*V.POS, (F.col("_s") - 4 * F.col(value)).alias("edge"))
+    image, near = V.gathered(image.select(*V.POS, F.col(value).alias("_v")), V.CROSS_2D, "laplace")
+    near = near.groupBy(*V.POS).agg(F.sum("_v").alias("_s"), F.count(F.lit(1)).alias("_n")).where("_n = 4")
+    return image.join(near.hint("merge"), V.POS).select(*V.POS, (F.col("_s") - 4 * F.col("_v")).alias("edge"))
 
 
 def refine_shapes(v: DataFrame, edge: DataFrame, erosion: int = 2, growth: int = 2, limit: float = 0.0) -> DataFrame:
