@@ -61,6 +61,18 @@ def test_laplace(noise, few):
     assert {(r.z, r.y, r.x): r.edge for r in got.collect()} == {p: sum(n) - 4 * img[p] for p, n in near.items() if None not in n}
 
 
+def test_gradient(noise, few):
+    img = {(r.z, r.y, r.x): r.value for r in noise.collect()}
+    got = S.gradient(noise)
+    assert dealt(got) >= 8 * len(img) // 40
+    want = {}
+    for z, y, x in img:
+        w = [(a, b, img.get((z, y + a, x + b))) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
+        if all(v is not None for _, _, v in w):
+            want[z, y, x] = pytest.approx(np.hypot(sum(v * a * (2 - abs(b)) for a, b, v in w), sum(v * b * (2 - abs(a)) for a, b, v in w)))
+    assert {(r.z, r.y, r.x): r.edge for r in got.collect()} == want
+
+
 def test_surfaces(noise, few):
     cubes = meshes._cases(noise, "zyx", None)
     assert dealt(cubes) >= 8 * noise.count() // 40

@@ -223,11 +223,13 @@ def gradient(image: DataFrame, value: str = "value") -> DataFrame:
     """(tomo, z, y, x, edge): Sobel magnitude in each slice, over voxels with all eight neighbours."""
     kernel = [(a, b, a * (2 - abs(b)), b * (2 - abs(a))) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
     each = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("dy", "dx", "gy", "gx"), k, strict=True)]) for k in kernel])).alias("o")
-    parts = image.select(*V.POS, F.col(value).alias("_v"), each)
+    image = stage(image.select(*V.POS, F.col(value).alias("_v")), "gradient")
+    n = parts(image.sparkSession, image.count() * len(kernel))
+    near = image.select(*V.POS, "_v", each)
     at = [(F.col(c) - F.col(f"o.d{c}")).cast("int").alias(c) for c in "yx"]
-    parts = parts.select("tomo", "z", *at, *[(F.col("_v") * F.col(f"o.{g}")).alias(g) for g in ("gy", "gx")])
-    sums = parts.groupBy(*V.POS).agg(F.sum("gy").alias("gy"), F.sum("gx").alias("gx"), F.count(F.lit(1)).alias("n")).where(F.col("n") == len(kernel))
-    return sums.join(image.select(*V.POS), V.POS, "left_semi").select(*V.POS, F.sqrt(F.col("gy") * F.col("gy") + F.col("gx") * F.col("gx")).alias("edge"))
+    near = near.select("tomo", "z", *at, *[(F.col("_v") * F.col(f"o.{g}")).alias(g) for g in ("gy", "gx")])
+    sums = near.repartition(n, *V.POS).groupBy(*V.POS).agg(F.sum("gy").alias("gy"), F.sum("gx").alias("gx"), F.count(F.lit(1)).alias("n")).where(F.col("n") == len(kernel))
+    return sums.join(image.select(*V.POS).repartition(n, *V.POS).hint("merge"), V.POS, "left_semi").select(*V.POS, F.sqrt(F.col("gy") * F.col("gy") + F.col("gx") * F.col("gx")).alias("edge"))
 
 
 def laplace(image: DataFrame, value: str = "value") -> DataFrame:
