@@ -89,3 +89,9 @@ def test_ragged_pivot(spark, few, monkeypatch):
     assert dealt(got) >= 290 // 40 and got.columns == ["row", "a", "c"] and dict(got.dtypes)["row"] == "int"
     assert {r.row: (r.a, r.c) for r in got.collect()} == want
     assert "Window [row_number" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_refine_shapes_reads_what_is_written(noise, few):
+    """A ring asks for the grown objects three times; they are not made anew for each."""
+    out = S.refine_shapes(noise.select(*V.POS, "label"), noise.select(*V.POS, F.lit(0.0).alias("edge")), 1, 2, 1.0)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hash") <= 8

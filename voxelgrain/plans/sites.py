@@ -246,11 +246,13 @@ def refine_shapes(v: DataFrame, edge: DataFrame, erosion: int = 2, growth: int =
     reach in one ring goes to the largest label. Objects that the erosion
     swallows keep their first shape.
     """
-    seeds = V.erode(v, V.CROSS_2D, erosion)
-    lost = v.join(seeds.select("tomo", "label").distinct(), ["tomo", "label"], "left_anti")
-    grown, open_ = V.overlay(lost, seeds), edge.where(F.col("edge") <= limit).select(*V.POS)
+    v = stage(v, "refine-shapes")
+    seeds = stage(V.erode(v, V.CROSS_2D, erosion), "refine-seeds")
+    lost = v.join(seeds.select("tomo", "label").distinct().hint("merge"), ["tomo", "label"], "left_anti")
+    grown, open_ = V.overlay(lost, seeds), stage(edge.where(F.col("edge") <= limit).select(*V.POS), "refine-open")
     for _ in range(growth):
-        ring = V.shifted(grown, V.CROSS_2D).join(open_, V.POS, "left_semi").join(grown.select(*V.POS), V.POS, "left_anti").groupBy(*V.POS).agg(F.max("label").alias("label"))
+        grown = stage(grown, "refine-grown")  # each ring asks for it three times; looks small on disk, so never broadcast
+        ring = V.shifted(grown, V.CROSS_2D).join(open_.hint("merge"), V.POS, "left_semi").join(grown.select(*V.POS).hint("merge"), V.POS, "left_anti").groupBy(*V.POS).agg(F.max("label").alias("label"))
         grown = grown.unionByName(ring)
     return grown
 
