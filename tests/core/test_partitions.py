@@ -91,6 +91,16 @@ def test_ragged_pivot(spark, few, monkeypatch):
     assert "Window [row_number" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_polygons(spark, few, monkeypatch):
+    """Bands do not show: a triangle of 40 rows, cut every three."""
+    rows = [("t", 1, 0, 0, n, y, x) for n, (y, x) in enumerate([(-5.0, 0.0), (35.0, 0.0), (35.0, 80.0)])]
+    points = spark.createDataFrame(rows, "tomo string, label long, z int, contour int, n int, y double, x double")
+    monkeypatch.setattr(O, "BAND", 3)
+    got = O.fill_polygons(points)
+    assert dealt(got) >= 2
+    assert {(r.y, r.x) for r in got.collect()} == {(y, x) for y in range(-5, 35) for x in range(80) if x < 2 * (y + 5)}
+
+
 def test_refine_shapes_reads_what_is_written(noise, few):
     """A ring asks for the grown objects three times; they are not made anew for each."""
     out = S.refine_shapes(noise.select(*V.POS, "label"), noise.select(*V.POS, F.lit(0.0).alias("edge")), 1, 2, 1.0)

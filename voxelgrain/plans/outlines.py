@@ -13,7 +13,10 @@ from voxelgrain.operators import components as C
 from voxelgrain.operators import volume as V
 from voxelgrain.operators.lines import distance_field, smooth
 from voxelgrain.operators.watershed import watershed
-from voxelgrain.storage import stage
+from voxelgrain.storage import parts, stage
+
+#: Rows of a slice in which the sides of an object meet in one task.
+BAND = 64
 
 
 def natural(name: Column) -> Column:
@@ -49,18 +52,25 @@ def fill_polygons(points: DataFrame) -> DataFrame:
     sorted, and what lies between the first and second, third and fourth, ... is
     inside. So contours within contours are holes. A pixel counts by its
     coordinates; of the rim, low sides are inside and high sides are not. Points
-    with a null are left out.
+    with a null are left out. Sides are dealt out by object and band of ``BAND``
+    rows, as many tasks as their crossings ask for.
     """
     unit = ["tomo", "label", "z"]
     p = points.select(*unit, "contour", "n", F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x")).dropna()
+    spark = p.sparkSession
+    p = p.repartition(parts(spark, p.count()), *unit, "contour")
     ring = Window.partitionBy(*unit, "contour").orderBy("n", "y", "x")
     to = lambda c: F.coalesce(F.lead(c).over(ring), F.first(c).over(ring)).alias(f"{c}1")
     side = p.select(*unit, F.col("y").alias("y0"), F.col("x").alias("x0"), to("y"), to("x"))
     side = side.withColumns({"_lo": F.ceil(F.least("y0", "y1")), "_hi": F.ceil(F.greatest("y0", "y1")) - 1}).where("_lo <= _hi")
-    row = side.withColumn("y", F.explode(F.sequence(F.col("_lo").cast("int"), F.col("_hi").cast("int"))))
-    row = row.select(*unit, "y", (F.col("x0") + (F.col("y") - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))).alias("c"))
-    turn = F.row_number().over(Window.partitionBy(*unit, "y").orderBy("c")) - 1
-    span = row.withColumn("_k", F.floor(turn / 2)).groupBy(*unit, "y", "_k").agg(F.ceil(F.min("c")).alias("_lo"), (F.ceil(F.max("c")) - 1).alias("_hi"))
+    side = stage(side.withColumn("_band", F.explode(F.expr(f"sequence(floor(_lo / {BAND}), floor(_hi / {BAND}))"))), "polygons-sides")
+    first, last = F.greatest(F.col("_lo"), F.col("_band") * BAND), F.least(F.col("_hi"), F.col("_band") * BAND + BAND - 1)
+    crossings = side.agg(F.sum(last - first + 1)).first()[0] or 0
+    side = side.repartition(parts(spark, crossings), *unit, "_band")
+    row = side.withColumn("y", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    row = row.select(*unit, "_band", "y", (F.col("x0") + (F.col("y") - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))).alias("c"))
+    turn = F.row_number().over(Window.partitionBy(*unit, "_band", "y").orderBy("c")) - 1
+    span = row.withColumn("_k", F.floor(turn / 2)).groupBy(*unit, "_band", "y", "_k").agg(F.ceil(F.min("c")).alias("_lo"), (F.ceil(F.max("c")) - 1).alias("_hi"))
     return span.where("_lo <= _hi").select(*unit, "y", F.explode(F.sequence(F.col("_lo").cast("int"), F.col("_hi").cast("int"))).alias("x"))
 
 
