@@ -101,6 +101,14 @@ def test_polygons(spark, few, monkeypatch):
     assert {(r.y, r.x) for r in got.collect()} == {(y, x) for y in range(-5, 35) for x in range(80) if x < 2 * (y + 5)}
 
 
+def test_matching_broadcasts_nothing(spark, monkeypatch):
+    plans, write = [], matching.stage
+    monkeypatch.setattr(matching, "stage", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df, name))[1])
+    edges = spark.createDataFrame([("t", 1, 1), ("t", 1, 2), ("t", 2, 1), ("t", 3, 2), ("t", 3, 3)], "tomo string, a long, b long")
+    assert matching.maximum_matching(edges).count() == 3
+    assert plans and not any("Broadcast" in p for p in plans)
+
+
 def test_refine_shapes_reads_what_is_written(noise, few):
     """A ring asks for the grown objects three times; they are not made anew for each."""
     out = S.refine_shapes(noise.select(*V.POS, "label"), noise.select(*V.POS, F.lit(0.0).alias("edge")), 1, 2, 1.0)

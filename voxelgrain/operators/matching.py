@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from voxelgrain.storage import stage
 
 
+def _join(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join of tables that grow with the volumes: none goes through the driver in any round."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def _greedy(edges: DataFrame) -> DataFrame:
     """Edges no two of which share a node, and to which none can be added.
 
@@ -18,10 +23,10 @@ def _greedy(edges: DataFrame) -> DataFrame:
     left, out = stage(edges.withColumn("_k", rank), "matching-left"), None
     while not left.isEmpty():
         first = lambda end: left.groupBy("tomo", end).agg(F.min("_k").alias("_k")).select("tomo", "_k.a", "_k.b")  # noqa: B023, E731
-        taken = stage(first("a").join(first("b"), ["tomo", "a", "b"]), "matching-taken")
+        taken = stage(_join(first("a"), first("b"), ["tomo", "a", "b"]), "matching-taken")
         out = taken if out is None else out.unionByName(taken)
         for end in ("a", "b"):
-            left = left.join(taken.select("tomo", end), ["tomo", end], "left_anti")
+            left = _join(left, taken.select("tomo", end), ["tomo", end], "left_anti")
         left = stage(left, "matching-left")
     return edges.limit(0) if out is None else stage(out, "matching")
 
@@ -41,14 +46,14 @@ def maximum_matching(edges: DataFrame) -> DataFrame:
     edges = stage(edges.select("tomo", "a", "b").dropna().distinct(), "matching-edges")
     matched = _greedy(edges)
     while True:
-        free = edges.select("tomo", "a").distinct().join(matched, ["tomo", "a"], "left_anti")
+        free = _join(edges.select("tomo", "a").distinct(), matched, ["tomo", "a"], "left_anti")
         front, layers, seen = free.withColumn("root", F.col("a")), [], None
         while True:
-            met = front.join(edges, ["tomo", "a"])
+            met = _join(front, edges, ["tomo", "a"])
             if seen is not None:
-                met = met.join(seen, ["tomo", "b"], "left_anti")
+                met = _join(met, seen, ["tomo", "b"], "left_anti")
             grown = met.groupBy("tomo", "b").agg(F.min(F.struct("root", "a")).alias("m")).select("tomo", "b", "m.a", "m.root")
-            layer = stage(grown.join(matched.withColumnRenamed("a", "mate"), ["tomo", "b"], "left"), "matching-layer")
+            layer = stage(_join(grown, matched.withColumnRenamed("a", "mate"), ["tomo", "b"], "left"), "matching-layer")
             if layer.isEmpty():
                 return matched
             layers.append(layer)
@@ -59,7 +64,7 @@ def maximum_matching(edges: DataFrame) -> DataFrame:
             seen = layer.select("tomo", "b") if seen is None else seen.unionByName(layer.select("tomo", "b"))
         turned = None
         for layer in reversed(layers):
-            pairs = stage(ends.join(layer, ["tomo", "b"]).select("tomo", "a", "b"), "matching-pairs")
+            pairs = stage(_join(ends, layer, ["tomo", "b"]).select("tomo", "a", "b"), "matching-pairs")
             turned = pairs if turned is None else turned.unionByName(pairs)
-            ends = pairs.select("tomo", "a").join(matched, ["tomo", "a"]).select("tomo", "b")
-        matched = stage(matched.join(turned.select("tomo", "a"), ["tomo", "a"], "left_anti").unionByName(turned), "matching")
+            ends = _join(pairs.select("tomo", "a"), matched, ["tomo", "a"]).select("tomo", "b")
+        matched = stage(_join(matched, turned.select("tomo", "a"), ["tomo", "a"], "left_anti").unionByName(turned), "matching")
