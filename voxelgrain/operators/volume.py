@@ -76,7 +76,7 @@ def size_filter(v: DataFrame, min_size: int, strict: bool = False) -> DataFrame:
     if min_size == 0 and not strict:
         return v
     ok = label_sizes(v).where(F.col("size") > min_size if strict else F.col("size") >= min_size)
-    return v.join(ok.select("tomo", "label"), ["tomo", "label"], "left_semi")
+    return v.join(ok.select("tomo", "label").hint("merge"), ["tomo", "label"], "left_semi")
 
 
 def z_extent_filter(v: DataFrame, min_extent: int) -> DataFrame:
@@ -125,7 +125,7 @@ def first_voxel(v: DataFrame) -> DataFrame:
 
 def in_mask(v: DataFrame, mask: DataFrame, inside: bool = True) -> DataFrame:
     """Voxels in (or outside) the mask."""
-    return v.join(mask.select(*POS).distinct(), POS, "left_semi" if inside else "left_anti")
+    return v.join(mask.select(*POS).distinct().hint("merge"), POS, "left_semi" if inside else "left_anti")
 
 
 def overlapping(v: DataFrame, mask: DataFrame) -> DataFrame:
@@ -277,14 +277,19 @@ def boundary(v: DataFrame, mode: str = "inner", offsets=FACES) -> DataFrame:
     ``outer``: the background voxels next to an object (largest label).
     """
     own = v.select(*POS, "label")
+    if mode == "inner":
+        # a bit for each side on which the object goes on, 0 for the voxel itself: one shuffle and no join
+        to = F.explode(F.array(*[F.struct(*[F.lit(d).alias(f"d{n}") for n, d in zip("zyx", o, strict=True)], F.lit(bit).alias("bit")) for o, bit in [((0, 0, 0), 0), *[(o, 1 << k) for k, o in enumerate(offsets)]]]))
+        spread = own.select("*", to.alias("_o")).select("tomo", *[(F.col(c) + F.col(f"_o.d{c}")).cast("int").alias(c) for c in "zyx"], "label", "_o.bit")
+        sides = spread.groupBy(*POS, "label").agg(F.bit_or("bit").alias("_in"), F.min("bit").alias("_own"))
+        return sides.where((F.col("_own") == 0) & (F.col("_in") < (1 << len(offsets)) - 1)).select(*POS, "label")
     near = shifted(own, offsets).withColumnRenamed("label", "_near")
     if mode == "outer":
-        return near.join(own, POS, "left_anti").groupBy(*POS).agg(F.max("_near").alias("label"))
+        return near.join(own.hint("merge"), POS, "left_anti").groupBy(*POS).agg(F.max("_near").alias("label"))
     if mode == "between":
-        touching = near.join(own, POS).where("_near <> label").select(*POS).distinct()
-        return own.join(touching, POS, "left_semi")
-    same = near.join(own, POS).where("_near = label").groupBy(*POS).agg(F.count(F.lit(1)).alias("_n"))
-    return own.join(same, POS, "left").where(F.coalesce("_n", F.lit(0)) < len(offsets)).select(*POS, "label")
+        touching = near.join(own.hint("merge"), POS).where("_near <> label").select(*POS).distinct()
+        return own.join(touching.hint("merge"), POS, "left_semi")
+    raise ValueError(f"unknown mode {mode}; there are inner, between and outer")
 
 
 def separate_instances(v: DataFrame) -> DataFrame:
