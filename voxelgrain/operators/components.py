@@ -16,7 +16,8 @@ def graph_components(edges: DataFrame) -> DataFrame:
     """(id, comp) for edges (a, b): the least id reachable from each id.
 
     Nodes point to their least neighbour, pointers are doubled down to roots,
-    and only edges between different roots go on to the next round.
+    and only edges between different roots go on to the next round. Nodes take few
+    bytes on disk and many in a driver: no join here is broadcast through it.
     """
     names, rest = None, edges.where("a <> b")
     while True:
@@ -27,14 +28,14 @@ def graph_components(edges: DataFrame) -> DataFrame:
         up = stage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("comp")), "up")
         while True:
             over = up.select(F.col("id").alias("comp"), F.col("comp").alias("next"))
-            jumped = stage(up.join(over, "comp").select("id", F.col("next").alias("comp"), (F.col("next") != F.col("comp")).alias("moved")), "jump")
+            jumped = stage(up.join(over.hint("merge"), "comp").select("id", F.col("next").alias("comp"), (F.col("next") != F.col("comp")).alias("moved")), "jump")
             up = jumped.select("id", "comp")
             if jumped.where("moved").isEmpty():
                 break
         root = up.select(F.col("id").alias("comp"), F.col("comp").alias("root"))
-        names = up if names is None else names.join(root, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp"))
+        names = up if names is None else names.join(root.hint("merge"), "comp", "left").select("id", F.coalesce("root", "comp").alias("comp"))
         a, b = up.select(F.col("id").alias("a"), F.col("comp").alias("ra")), up.select(F.col("id").alias("b"), F.col("comp").alias("rb"))
-        rest = rest.join(a, "a").join(b, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        rest = rest.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
 
 
 def components(v: DataFrame, connectivity: int = 3, per_label: bool = False, planar: bool = False, block_edge: int = BLOCK) -> DataFrame:
@@ -63,12 +64,12 @@ def components(v: DataFrame, connectivity: int = 3, per_label: bool = False, pla
     named = stage(named.select(*head, *cells, key.alias("id")), "components-blocks")
     rim = named.where(" or ".join(f"pmod({c}, {block_edge}) in (0, {block_edge - 1})" for c in "zyx"))
     moved = shifted(rim.withColumnRenamed("id", "a"), half).where(" or ".join(f"_b{c} <> floor({c} / {block_edge})" for c in "zyx")).drop(*cells)
-    edges = moved.join(rim.drop(*cells).withColumnRenamed("id", "b"), head).select("a", "b")
+    edges = moved.join(rim.drop(*cells).withColumnRenamed("id", "b").hint("merge"), head).select("a", "b")
     found = graph_components(edges)
-    named = named.drop(*cells).join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    named = named.drop(*cells).join(found.hint("merge"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     order = named.select("tomo", "comp").distinct()
     order = order.withColumn("component", F.row_number().over(Window.partitionBy("tomo").orderBy("comp")).cast("long"))
-    return named.join(order, ["tomo", "comp"]).select(*own.columns, "component")
+    return named.join(order.hint("merge"), ["tomo", "comp"]).select(*own.columns, "component")
 
 
 def components_filtered(v: DataFrame, min_size: int, connectivity: int = 3) -> DataFrame:
@@ -86,4 +87,4 @@ def largest_component(v: DataFrame, connectivity: int = 3) -> DataFrame:
     """Voxels of the largest component per tomogram (first on ties)."""
     c = components(v, connectivity)
     top = c.groupBy("tomo", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("tomo").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("component"))
-    return c.join(top, ["tomo", "component"], "left_semi").select(*POS)
+    return c.join(top.hint("merge"), ["tomo", "component"], "left_semi").select(*POS)

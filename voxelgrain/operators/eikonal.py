@@ -88,7 +88,7 @@ def eikonal_distance(
     first = clean(start).withColumn("distance", F.lit(0.0))
     cell = [f"_b{c}" for c in AXES]
     own = {f"_b{c}": F.floor(F.col(c) / b) for c, b in zip(AXES, block, strict=True)}
-    state = clean(mask).join(first, pos, "left").withColumn("moved", F.col("distance").isNotNull())
+    state = clean(mask).join(first.hint("merge"), pos, "left").withColumn("moved", F.col("distance").isNotNull())
     state = stage(state.withColumns(own), "eikonal")
     most = np.inf if limit is None else float(limit)
 
@@ -111,9 +111,9 @@ def eikonal_distance(
         mine = F.lit(True)
         for c, b in own.items():
             mine = mine & (F.col(c) == b)
-        halo = around(state.select(*pos, "distance")).join(active, [*unit, *cell], "left_semi").withColumn("_mine", mine)
+        halo = around(state.select(*pos, "distance")).join(active.hint("merge"), [*unit, *cell], "left_semi").withColumn("_mine", mine)
         made = halo.groupBy(*unit, *cell).applyInPandas(work, schema)
-        rest = state.join(active, [*unit, *cell], "left_anti").withColumn("moved", F.lit(False))
+        rest = state.join(active.hint("merge"), [*unit, *cell], "left_anti").withColumn("moved", F.lit(False))
         state = stage(made.withColumn("distance", F.nanvl("distance", F.lit(None).cast("double"))).unionByName(rest), "eikonal")
     return state.where("distance is not null").select(*pos, "distance")
 
@@ -144,6 +144,6 @@ def membrane_by_path(membrane: DataFrame, reference: DataFrame, max_distance: fl
         spread = spread.withColumn(k, F.explode(F.array(*[F.col(k) + d for d in (-1, 0, 1)])))
     spread = spread.withColumnsRenamed({c: f"_s{c}" for c in AXES})
     gap = sum((F.pow((F.col(c) - F.col(f"_s{c}")) * float(s), 2) for c, s in zip(AXES, size, strict=True)), F.lit(0.0))
-    local = membrane.withColumns(in_cell).join(spread, ["tomo", *cell]).where(gap <= float(max_distance) ** 2)
+    local = membrane.withColumns(in_cell).join(spread.hint("merge"), ["tomo", *cell]).where(gap <= float(max_distance) ** 2)
     reached = eikonal_distance(local.select("tomo", "label", *AXES), start, size, max_distance, ("tomo", "label"))
     return reached.select(*V.POS).distinct()
