@@ -40,7 +40,7 @@ def select_densities(densities: DataFrame, ribbons: DataFrame, n: int = 1, conne
     """The n densities nearest to each ribbon."""
     c = C.components(densities, connectivity).withColumnRenamed("component", "label")
     near = D.top_n_per_structure(D.nearest_structure(c, ribbons), n)
-    return c.join(near.select("tomo", "label").distinct(), ["tomo", "label"], "left_semi").select(*V.POS, "label")
+    return c.join(near.select("tomo", "label").distinct().hint("merge"), ["tomo", "label"], "left_semi").select(*V.POS, "label")
 
 
 def membrane_near(membrane: DataFrame, reference: DataFrame, radius: float, n: int = 1, connectivity: int = 3) -> DataFrame:
