@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from voxelgrain.operators.components import largest_component
 FILTERS = ("sobel", "laplace", "ggm", "structure-tensor", "sato")
 #: Widths of the ridges that the ridge filter looks for.
 RIDGES = (1.0, 3.0, 5.0, 7.0, 9.0)
+#: Rows of a slice in which the ridge filter's derivatives are made in one task.
+BAND = 64
 
 
 def eigenvalues_2d(a: Column, b: Column, c: Column) -> tuple[Column, Column]:
@@ -93,16 +97,64 @@ def ridges(image: DataFrame, sigmas: tuple[float, ...] = RIDGES, dark: bool = Tr
     """(tomo, z, y, x, value): how much of a dark (or bright) line in its slice a voxel is on.
 
     The larger eigenvalue of the Hessian, times the square of the scale, the
-    largest over all scales and at least 0.
+    largest over all scales and at least 0. Lines along y are cut into bands of
+    ``BAND`` rows with what the widest filter sees around them; a task takes bands
+    whole and makes all scales of them, so that no derivative is shuffled.
     """
-    found = None
-    for k, s in enumerate(sigmas):
-        h = L.derivatives(image, s, {"hyy": (0, 2, 0), "hyx": (0, 1, 1), "hxx": (0, 0, 2)}, planar=True)
-        high, low = eigenvalues_2d(F.col("hyy"), F.col("hyx"), F.col("hxx"))
-        one = h.select(*V.POS, (F.greatest(F.lit(0.0), high if dark else -low) * s * s).alias(f"_r{k}"))
-        found = one if found is None else found.join(one, V.POS)
-    cols = [F.col(f"_r{k}") for k in range(len(sigmas))]
-    return found.select(*V.POS, (F.greatest(*cols) if len(cols) > 1 else cols[0]).alias("value"))
+    taps = [[L.gaussian_taps(s, o) for o in range(3)] for s in sigmas]
+    reach = max(len(t[0]) // 2 for t in taps)
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows (tomo, z, x, _band, v, on): a line's values in and around a band, mirrored, and which are there."""
+        for f, number in L.whole_lines(frames, ["tomo", "z", "x"]):
+            pos, value = f["y"].to_numpy(np.int64), f["value"].to_numpy(np.float64)
+            top = np.flatnonzero(np.diff(number, prepend=-1))
+            rows = {"_row": [], "_band": [], "v": [], "on": []}
+            for a, z in zip(top, np.append(top[1:], len(pos)), strict=True):
+                lo, n = pos[a], pos[z - 1] - pos[a] + 1
+                line, there = np.zeros(n), np.zeros(n, bool)
+                line[pos[a:z] - lo], there[pos[a:z] - lo] = value[a:z], True
+                for k in np.unique(pos[a:z] // BAND).tolist():
+                    at = np.arange(k * BAND - reach, (k + 1) * BAND + reach) - lo
+                    seen, core = at % (2 * n), at[reach : reach + BAND]
+                    rows["_row"].append(a)
+                    rows["_band"].append(k)
+                    rows["v"].append(line[np.where(seen < n, seen, 2 * n - 1 - seen)])
+                    rows["on"].append(((core >= 0) & (core < n) & there[np.clip(core, 0, n - 1)]).tobytes())
+            yield f.iloc[rows.pop("_row")][["tomo", "z", "x"]].reset_index(drop=True).assign(**rows)
+
+    def filtered(a: np.ndarray, t: np.ndarray, start: int, n: int) -> np.ndarray:
+        return sum(w * a[:, start + k : start + k + n] for k, w in enumerate(t))
+
+    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f, number in L.whole_lines(frames, ["tomo", "z", "_band"]):
+            for g in np.split(np.arange(len(f)), np.flatnonzero(np.diff(number)) + 1):
+                x, v = f["x"].to_numpy(np.int64)[g], np.stack(f["v"].to_numpy()[g])
+                on = np.frombuffer(b"".join(f["on"].to_numpy()[g]), bool).reshape(len(g), BAND)
+                used = np.flatnonzero(on.any(0))
+                first, last = x[on[:, used].argmax(0)], x[len(g) - 1 - on[::-1, used].argmax(0)]
+                best = np.zeros(on.shape)
+                for lo, hi in sorted(set(zip(first.tolist(), last.tolist(), strict=True))):  # rows of one extent make a matrix
+                    rows = used[(first == lo) & (last == hi)]
+                    mine, n = np.flatnonzero((x >= lo) & (x <= hi)), hi - lo + 1
+                    for s, t in zip(sigmas, taps, strict=True):
+                        r = len(t[0]) // 2
+                        h = []
+                        for o in (2, 1, 0):
+                            a = np.zeros((len(rows), n))
+                            a[:, x[mine] - lo] = np.where(on[mine], filtered(v[mine], t[o], reach - r, BAND), 0.0)[:, rows].T
+                            h.append(filtered(np.pad(a, ((0, 0), (r, r)), "symmetric"), t[2 - o], 0, n)[:, x[mine] - lo].T)
+                        mid, root = (h[0] + h[2]) / 2, np.sqrt((h[0] - h[2]) * (h[0] - h[2]) / 4 + h[1] * h[1])
+                        at = np.ix_(mine, rows)
+                        best[at] = np.maximum(best[at], (mid + root if dark else root - mid) * s * s)
+                i, j = np.nonzero(on)
+                yield pd.DataFrame({"tomo": f["tomo"].iloc[g[0]], "z": f["z"].iloc[g[0]], "y": (f["_band"].iloc[g[0]] * BAND + j).astype(np.int32), "x": x[i].astype(np.int32), "value": best[i, j]})
+
+    src = image.select("tomo", *[F.col(c).cast("int").alias(c) for c in "zyx"], F.col("value").cast("double").alias("value"))
+    lines = src.repartition("tomo", "z", "x").sortWithinPartitions("tomo", "z", "x", "y")
+    bands = lines.mapInPandas(cut, "tomo string, z int, x int, _band long, v array<double>, on binary")
+    bands = bands.repartition("tomo", "z", "_band").sortWithinPartitions("tomo", "z", "_band", "x")
+    return bands.mapInPandas(make, "tomo string, z int, y int, x int, value double")
 
 
 def ridge_map(image: DataFrame, sigma: float, sigmas: tuple[float, ...] = RIDGES, dark: bool = True) -> DataFrame:
