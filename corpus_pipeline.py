@@ -80,8 +80,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document; null and empty texts have none, equal rows the same."""
-    return bpe.encode(docs, TOKENIZER, ["doc_id", "lang", "source"])
+    """Token ids of every document; null and empty texts have none, equal rows the same.
+
+    Executors come here with their heaps filled by the stages before, so that
+    workers hold small caches.
+    """
+    return bpe.encode(docs, TOKENIZER, ["doc_id", "lang", "source"], cache=100_000, slice_bytes=2_000_000)
 
 
 STAGES = [("toxicity", drop_toxic), ("quality_rules", drop_poor), ("minhash_near_dedup", drop_copies), ("mix_sources", mix_sources), ("bpe", encode)]

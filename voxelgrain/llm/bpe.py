@@ -32,6 +32,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 SIGNS = ".,;:!?)"
 #: Entries kept in a worker's cache, after which it starts afresh.
 CACHE_PIECES = 1_000_000
+#: Bytes of text that a worker encodes at once, about.
+SLICE_BYTES = 4_000_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -155,8 +157,12 @@ class Encoder:
     cut by the pattern as a whole.
     """
 
-    def __init__(self, path: str | None = None, state: dict | None = None):
-        """From a tokenizer file, or from the ``state`` of another encoder, whose caches are then shared."""
+    def __init__(self, path: str | None = None, state: dict | None = None, cache: int = CACHE_PIECES):
+        """From a tokenizer file, or from the ``state`` of another encoder, whose caches are then shared.
+
+        A cache of more than ``cache`` entries starts afresh before the next batch.
+        """
+        self.cache = cache
         self.state = state if state is not None else {"v": vars(Vocabulary(path)), "pieces": {}, "later": {}}
         self.v = Vocabulary.__new__(Vocabulary)
         vars(self.v).update(self.state["v"])
@@ -200,7 +206,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """A null text counts as empty; special tokens in a text become their ids."""
         for cache in (self.pieces, self.later):
-            if len(cache) > CACHE_PIECES:
+            if len(cache) > self.cache:
                 cache.clear()
         special, find = self.v.special, self.pattern.findall
         texts, odd = [t or "" for t in texts], {}
@@ -236,15 +242,15 @@ def share(df: DataFrame, path: str) -> Broadcast:
     return df.sparkSession.sparkContext.broadcast(Encoder(path).state)
 
 
-def _run(documents: DataFrame, path: str, keep: list[str], text: str, fields: list[tuple[str, str, pa.DataType]], row) -> DataFrame:
+def _run(documents: DataFrame, path: str, keep: list[str], text: str, fields: list[tuple[str, str, pa.DataType]], row, cache: int = CACHE_PIECES, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     results = [f[0] for f in fields]
     shared = share(documents, path)
     src = documents.select(*kept(documents, keep, results), F.col(text).alias(TEXT))
     names = [*beside(keep, results), *results]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(state=shared.value)
-        for b in slices(batches, TEXT, 4_000_000):
+        coder = Encoder(state=shared.value, cache=cache)
+        for b in slices(batches, TEXT, slice_bytes):
             texts = b.column(b.num_columns - 1).to_pylist()
             made = list(zip(*[row(coder, ids) for ids in coder.encode(texts)], strict=True)) or [[]] * len(fields)
             cols = [b.column(i) for i in range(b.num_columns - 1)] + [pa.array(list(c), f[2]) for c, f in zip(made, fields, strict=True)]
@@ -253,16 +259,17 @@ def _run(documents: DataFrame, path: str, keep: list[str], text: str, fields: li
     return src.mapInArrow(work, ", ".join([f"`{c}` {t}" for c, t in [*src.dtypes[:-1], *[f[:2] for f in fields]]]))
 
 
-def encode(documents: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:
+def encode(documents: DataFrame, path: str, keep: list[str], text: str = "text", cache: int = CACHE_PIECES, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """``keep`` columns and ids (array<int>), n_tokens of every whole text.
 
     The tokenizer file is read on the driver and broadcast. Null and empty
     texts have no tokens; repeated rows are encoded alike; an empty table gives
     none; columns not in ``keep`` are not read. A kept column with the name of a
-    result gets ``_in`` at its end.
+    result gets ``_in`` at its end. ``cache`` and ``slice_bytes`` bound what a
+    worker holds, at the price of time; they do not change the result.
     """
     row = lambda coder, ids: (np.frombuffer(ids, "<i4"), len(ids) // 4)
-    return _run(documents, path, keep, text, [("ids", "array<int>", pa.list_(pa.int32())), ("n_tokens", "bigint", pa.int64())], row)
+    return _run(documents, path, keep, text, [("ids", "array<int>", pa.list_(pa.int32())), ("n_tokens", "bigint", pa.int64())], row, cache, slice_bytes)
 
 
 def decode(encoded: DataFrame, path: str, keep: list[str], ids: str = "ids") -> DataFrame:
