@@ -94,7 +94,8 @@ def predictions(s: SparkSession, d: str) -> DataFrame:
     slope = F.sqrt(F.col("dz") * F.col("dz") + F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx"))
     mean = image.groupBy("tomo").agg(F.avg("v").alias("_v"), F.avg(slope).alias("_s"))
     squash = lambda c: 1 / (1 + F.exp(-c))
-    return image.join(mean, "tomo").select(*V.POS, squash(8 * (F.col("v") / F.col("_v") - 1)).alias("foreground"), squash(6 * (slope / F.col("_s") - 2)).alias("border"))
+    # a row a tomogram: without the hint the whole image is shuffled for it, each time it is read
+    return image.join(F.broadcast(mean), "tomo").select(*V.POS, squash(8 * (F.col("v") / F.col("_v") - 1)).alias("foreground"), squash(6 * (slope / F.col("_s") - 2)).alias("border"))
 
 
 def walls(s: SparkSession, d: str) -> DataFrame:

@@ -188,7 +188,7 @@ def line_filter(image: DataFrame, axis: str, made: dict[str, tuple[str, np.ndarr
     ends (the end voxel repeated). ``keep`` names the columns that go on.
     """
     line = ["tomo", *[c for c in AXES if c != axis]]
-    keep = [c for c in (keep or image.columns) if c not in ["tomo", *AXES, *made]]
+    keep = [c for c in (image.columns if keep is None else keep) if c not in ["tomo", *AXES, *made]]
     types = dict(image.dtypes)
     schema = ", ".join(["tomo string, z int, y int, x int", *[f"`{c}` {types[c]}" for c in keep], *[f"`{o}` double" for o in made]])
 
@@ -237,6 +237,6 @@ def derivatives(image: DataFrame, sigma: float, orders: dict[str, tuple[int, int
         for o in {tuple(v[: k + 1]) for v in orders.values()}:
             name = f"_d{''.join(map(str, o))}"
             made[name], nxt[o] = (have[o[:-1]], taps[o[-1]]), name
-        image = line_filter(image, axis, made, keep=["value"])
+        image = line_filter(image, axis, made, keep=[])
         have = nxt
     return image.select("tomo", *AXES, *[F.col(have[o]).alias(n) for n, o in orders.items()])

@@ -16,22 +16,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelgrain.operators.blocks import BLOCK, contract
 from voxelgrain.storage import stage
 
-#: Coordinates from -2^20 on and under 2^20 fit into one number.
+#: Coordinates from -2^20 on and under 2^20 fit into one number; positions in z, y, x order are numbers in order.
 BITS, HALF = 21, 1 << 20
 
 
-def packed(z: Column, y: Column, x: Column) -> Column:
-    """One number for a position; positions in z, y, x order are numbers in order."""
-    at = [(c + HALF).cast("long") for c in (z, y, x)]
-    return F.shiftleft(at[0], 2 * BITS) + F.shiftleft(at[1], BITS) + at[2]
-
-
 def _chase(up: DataFrame) -> DataFrame:
     """Pointers (tomo, n, m) doubled until each leads to a root, a node without one.
 
@@ -63,11 +57,12 @@ def watershed(height: DataFrame, seeds: DataFrame, planar: bool = False, block_e
     """
     pos = ["tomo", "z", "y", "x"]
     whole = [F.col("tomo"), *[F.col(c).cast("int").alias(c) for c in "zyx"]]
-    ground = height.select(*whole, F.nanvl(F.col("height").cast("double"), F.lit(None).cast("double")).alias("height")).dropna().groupBy(*pos).agg(F.min("height").alias("height"))
-    seed = seeds.where("label > 0").select(*whole, F.col("label").cast("long").alias("label")).dropna().groupBy(*pos).agg(F.max("label").alias("label"))
-    # nodes: seeds by their negative label, other voxels by their position
-    met = ground.join(seed, pos, "left")
-    done = stage(_blocks(met, planar, block_edge), "watershed-blocks")
+    level = F.nanvl(F.col("height").cast("double"), F.lit(None).cast("double")).alias("height")
+    ground = height.select(*whole, level).dropna().withColumn("label", F.lit(None).cast("long"))
+    seed = seeds.where("label > 0").select(*whole, F.lit(None).cast("double").alias("height"), F.col("label").cast("long").alias("label")).dropna(subset=[*pos, "label"])
+    # nodes: seeds by their negative label, other voxels by their position; both
+    # tables go to the blocks as they are, which bring rows of one voxel together
+    done = stage(_blocks(ground.unionByName(seed), planar, block_edge), "watershed-blocks")
     voxels = done.where("not edge").select(*pos, F.col("a").alias("m"))
     key = F.struct("hi", "lo", "p", "q").alias("k")
     inner = done.where("edge and b is not null").select("tomo", "a", "b", key)
@@ -96,6 +91,8 @@ def watershed(height: DataFrame, seeds: DataFrame, planar: bool = False, block_e
 def _blocks(voxels: DataFrame, planar: bool, edge: int) -> DataFrame:
     """Blocks contracted for themselves: rows of voxels and of edges that are left.
 
+    Of the rows of a voxel the lowest height and the largest label count; one
+    without a height is none.
     A voxel has its node as ``a``. An edge inside a block has both nodes; one
     over a face comes from both blocks, with the node of that side alone, that
     of its first voxel or not.
@@ -107,23 +104,31 @@ def _blocks(voxels: DataFrame, planar: bool, edge: int) -> DataFrame:
     to = [F.floor((F.col(c) + F.col(f"_o.{c}")) / edge).alias(f"_b{c}") for c in "zyx"]
     own = F.expr(" and ".join(f"_b{c} = floor({c} / {edge})" for c in "zyx"))
     dealt = voxels.withColumn("_o", F.explode(F.array(*moves))).select("*", *to).withColumn("halo", ~own)
-    dealt = dealt.where("halo or (_o.z = 0 and _o.y = 0 and _o.x = 0)").withColumn("p", packed(F.col("z"), F.col("y"), F.col("x"))).drop("_o")
+    # positions and halos are made anew in the task: they need not be shuffled
+    dealt = dealt.where("halo or (_o.z = 0 and _o.y = 0 and _o.x = 0)").drop("_o", "halo")
     schema = f"tomo {dict(voxels.dtypes)['tomo']}, edge boolean, first boolean, z int, y int, x int, a long, b long, hi double, lo double, p long, q long"
 
     def work(f: pa.Table) -> pa.Table:
-        f = f.combine_chunks().sort_by("p")
-        p, halo, height = (f[c].to_numpy() for c in ("p", "halo", "height"))
-        seeded = f["label"].is_valid().to_numpy()
-        up, (a, b, hi, lo, at, to) = contract(p, height, seeded, halo, steps)
-        name = np.where(seeded, -f["label"].fill_null(0).to_numpy(), p)
+        f = f.combine_chunks()
+        tomo = f["tomo"].slice(0, 1)
+        at = np.stack([f[c].to_numpy().astype(np.int64) for c in "zyx"])
+        p = (at[0] + HALF << 2 * BITS) + (at[1] + HALF << BITS) + at[2] + HALF
+        order = np.argsort(p, kind="stable")
+        top = np.flatnonzero(np.diff(p[order], prepend=-1))
+        height = np.minimum.reduceat(f["height"].fill_null(np.inf).to_numpy()[order], top)
+        label = np.maximum.reduceat(f["label"].fill_null(0).to_numpy()[order], top)
+        some = np.maximum.reduceat(f["height"].is_valid().to_numpy()[order], top)
+        row, height, label = order[top][some], height[some], label[some]
+        p, at, seeded = p[row], at[:, row], label > 0
+        halo = np.any([at[k] // edge != f[f"_b{c}"][0].as_py() for k, c in enumerate("zyx")], axis=0)
+        up, (a, b, hi, lo, low, to) = contract(p, height, seeded, halo, steps)
+        name = np.where(seeded, -label, p)
         own, over = np.flatnonzero(~halo), halo[a] | halo[b]
-        v, e = f.select(["tomo", "z", "y", "x"]).take(own), f.select(["tomo"]).take(np.zeros(len(a), np.int64))
+        of = lambda n: tomo.take(np.zeros(n, np.int64))
         flag = lambda on, n: pa.array(np.full(n, on))
-        v = v.append_column("edge", flag(False, len(own))).append_column("a", pa.array(name[up[own]]))
-        columns = {"edge": flag(True, len(a)), "first": pa.array(~halo[a]), "a": pa.array(np.where(halo[a], name[b], name[a])), "b": pa.array(name[b], mask=over), "hi": pa.array(hi), "lo": pa.array(lo), "p": pa.array(at), "q": pa.array(to)}
-        for c, values in columns.items():
-            e = e.append_column(c, values)
-        return pa.concat_tables([v, e], promote_options="default").select(names)
+        v = {"tomo": of(len(own)), "edge": flag(False, len(own)), "a": pa.array(name[up[own]])} | {c: pa.array(at[k][own].astype(np.int32)) for k, c in enumerate("zyx")}
+        e = {"tomo": of(len(a)), "edge": flag(True, len(a)), "first": pa.array(~halo[a]), "a": pa.array(np.where(halo[a], name[b], name[a])), "b": pa.array(name[b], mask=over), "hi": pa.array(hi), "lo": pa.array(lo), "p": pa.array(low), "q": pa.array(to)}
+        return pa.concat_tables([pa.table(v), pa.table(e)], promote_options="default").select(names)
 
     names = [c.split()[0] for c in schema.split(", ")]
     return dealt.groupBy("tomo", "_bz", "_by", "_bx").applyInArrow(work, schema)
