@@ -53,6 +53,15 @@ BEGIN2, BEGIN, END, AFTER = 1, 2, 3, 4
 LEVELS = 255
 LOWEST = -12.0
 LOW32 = 0xFFFFFFFF
+#: Place of the k-th one of a byte, at 8 * byte + k; masks and constants of a select in a word.
+SELECT = np.zeros(256 * 8, np.uint8)
+for _byte in range(256):
+    _ones = [k for k in range(8) if _byte >> k & 1]
+    SELECT[8 * _byte : 8 * _byte + len(_ones)] = _ones
+PAIRS, FOURS, BYTES, EACH, SIGNS = (np.uint64(m * 0x0101010101010101) for m in (0x55, 0x33, 0x0F, 0x01, 0x80))
+ONE, TWO, THREE, FOUR, EIGHT, LAST, BYTE = (np.uint64(k) for k in (1, 2, 3, 4, 8, 63, 255))
+#: Items of a sequence that are read at once.
+READ = 1 << 15
 
 
 def small(a: np.ndarray) -> np.ndarray:
@@ -144,15 +153,16 @@ class EliasFano:
         while len(on):  # a few words on at most, but for runs of zeros
             word[on] += 1
             on = on[self.rank[word[on] + 1] <= at[on]]
-        left, x, bit = (at - self.rank[word]).astype(np.uint8), self.high[word], np.zeros(len(at), np.uint8)
-        for step in (32, 16, 8, 4, 2, 1):
-            ones = np.bitwise_count(x & np.uint64((1 << step) - 1))
-            far = left >= ones
-            left -= ones * far
-            move = far * np.uint8(step)
-            bit += move
-            x = x >> move.astype(np.uint64)
-        top = (word * 64 + bit - at).astype(np.uint64) << np.uint64(self.l)
+        left, x = (at - self.rank[word]).astype(np.uint64), self.high[word]
+        # ones of each byte and those below it, all bytes of a word at once
+        ones = x - (x >> ONE & PAIRS)
+        ones = (ones & FOURS) + (ones >> TWO & FOURS)
+        ones = (ones + (ones >> FOUR) & BYTES) * EACH
+        # the byte is after all those that end before the wanted one
+        shift = np.bitwise_count((left * EACH | SIGNS) - ones & SIGNS).astype(np.uint64) * EIGHT
+        left -= ones << EIGHT >> shift & BYTE
+        bit = shift + SELECT[(x >> shift & BYTE) * EIGHT + left]
+        top = (word * 64 - at).astype(np.uint64) + bit << np.uint64(self.l)
         if not self.l:
             return top
         off = at * self.l
@@ -161,6 +171,13 @@ class EliasFano:
         rest = self.low[w] >> o | self.low[w + 1] << np.uint64(1) << (np.uint64(63) - o)
         return top | rest & np.uint64((1 << self.l) - 1)
 
+    def steps(self, at: "EliasFano | None" = None) -> np.ndarray:
+        """Differences between each two items in a row, of those ``at`` the indexes of another sequence."""
+        n = self.n if at is None else at.n
+        runs = (np.arange(k, min(k + READ + 1, n)) for k in range(0, n - 1, READ))
+        out = [np.diff(self.get(r if at is None else at.get(r).astype(np.int64))) for r in runs]
+        return small(np.concatenate(out)) if out else np.zeros(0, np.uint8)
+
     def search(self, lo: np.ndarray, hi: np.ndarray, values: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Index of each value within [lo, hi), -1 where it is not there.
 
@@ -263,14 +280,34 @@ class Trie:
         """One byte for the discounted probability of each trigram (-1: none)."""
         return np.where(at >= 0, self.share[np.maximum(at, 0)], 0).astype(np.uint8) if len(self.share) else np.zeros(len(at), np.uint8)
 
-    def answer(self, words: np.ndarray, asked: np.ndarray, fan1: np.ndarray, second: np.ndarray, fan2: np.ndarray, third: np.ndarray) -> list[np.ndarray]:
-        """Counts and successors of the words asked and of their pairs, shares of trigrams."""
-        place = self.find(words)
-        under_word = self.nodes(self.to2, place[asked])
-        pair = self.successor(self.second, under_word, fan1, place[second])
-        under_pair = self.nodes(self.to3, pair)
-        tri = self.successor(self.third, under_pair, fan2, place[third])
-        return [self.count_of_word(under_word), under_word[1] - under_word[0], self.count_of_pair(pair), under_pair[1] - under_pair[0], self.shares(tri)]
+    def missing(self, ids: EliasFano, pointer: EliasFano, at: np.ndarray, fan: np.ndarray, nxt: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """``known`` nodes of the successors of ``at``, those of -1 searched as in ``successor``."""
+        out = known.astype(np.int64)
+        ask = np.flatnonzero(known < 0)
+        fan = np.bincount(np.repeat(np.arange(len(at)), fan)[ask], minlength=len(at))
+        some = np.flatnonzero(fan)
+        out[ask] = self.successor(ids, self.nodes(pointer, at[some]), fan[some], nxt[ask])
+        return out
+
+    def steps(self) -> list[np.ndarray]:
+        """Count and successors of every word, and of every pair."""
+        of_words = (self.total.steps(self.to2), self.to2.steps()) if self.to2.n > 1 else (self.words, self.words)
+        return [*of_words, self.total.steps(), self.to3.steps()]
+
+    def answer(self, place: np.ndarray, asked: np.ndarray, fan1: np.ndarray, second: np.ndarray, fan2: np.ndarray, third: np.ndarray, pair: np.ndarray, tri: np.ndarray, steps: list[np.ndarray]) -> list[np.ndarray]:
+        """Counts and successors of the words asked and of their pairs, shares of trigrams.
+
+        ``place`` has the words' indexes, ``pair`` and ``tri`` the nodes that are
+        known and -1 for others.
+        """
+        word = place[asked]
+        pair = self.missing(self.second, self.to2, word, fan1, place[second], pair)
+        tri = self.missing(self.third, self.to3, pair, fan2, place[third], tri)
+        there = np.flatnonzero(pair >= 0)
+        of_pairs = np.zeros((2, len(pair)), np.int64)
+        for out, step in zip(of_pairs, steps[2:], strict=True):
+            out[there] = step[pair[there]]
+        return [steps[0][word], steps[1][word], *of_pairs, self.shares(tri)]
 
 
 class Layout:
@@ -404,7 +441,9 @@ def _layout(data: bytes, hot: tuple[np.ndarray, np.ndarray], shards: int) -> tup
 
 def _common(chunks: DataFrame) -> np.ndarray:
     """Hashes of the commonest words of a few chunks, the commonest first."""
-    some = [unpack(r["data"])[:3] for r in chunks.orderBy(F.xxhash64("chunk")).limit(SAMPLE_CHUNKS).select("data").toLocalIterator()]
+    # by their numbers alone: an ordered table would go through one task with all its data
+    chosen = [r["chunk"] for r in chunks.select("chunk").orderBy(F.xxhash64("chunk")).limit(SAMPLE_CHUNKS).collect()]
+    some = [unpack(r["data"])[:3] for r in chunks.where(F.col("chunk").isin(chosen)).select("data").toLocalIterator()]
     if not some:
         return np.zeros(0, np.uint64)
     words, at = np.unique(np.concatenate([w[order] for w, order, _ in some]), return_inverse=True)
@@ -422,37 +461,56 @@ def _blocks(hot, common, shards: int):
     return work
 
 
-def build(blocks: Iterator[list[np.ndarray]], vocabulary: np.ndarray, discount: float = DISCOUNT) -> Trie:
-    """The trie of the training trigrams of all blocks."""
-    keys, counts = [], []
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct values, ascending."""
+    values = np.sort(values)
+    return values[np.flatnonzero(np.append(True, values[1:] != values[:-1]))] if len(values) else values
+
+
+def build(blocks: list[list[np.ndarray]], discount: float = DISCOUNT) -> tuple[Trie, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """The trie of the training trigrams of all blocks, and what each block knows of it.
+
+    That is the place of its words, and the nodes of the pairs and trigrams that
+    its own training texts have, -1 for others.
+    """
+    vocabulary = distinct(np.concatenate([b[0] for b in blocks])) if blocks else np.zeros(0, np.uint64)
+    places, seen, keys, counts = [], [], [], []
     for words, asked, fan1, second, fan2, third, count in blocks:
-        place = np.searchsorted(vocabulary, words).astype(np.uint64)
-        first = np.repeat(place[asked], fan1)
-        seen = np.flatnonzero(count)
-        pair = np.repeat(first << np.uint64(32) | place[second], fan2)[seen]
-        keys.append(np.stack([pair, place[third[seen]]]))
-        counts.append(count[seen].astype(np.int64))
+        place = np.searchsorted(vocabulary, words)
+        on = np.flatnonzero(count)
+        parent = np.repeat(np.arange(len(fan2)), fan2)[on]
+        pair = (np.repeat(place[asked], fan1) << 32 | place[second]).astype(np.uint64)
+        keys.append(np.stack([pair[parent], place[third[on]].astype(np.uint64)]))
+        counts.append(count[on].astype(np.int64))
+        places.append(place.astype(np.uint32))
+        seen.append((on.astype(np.uint32), parent.astype(np.uint32)))
     pair, third = np.concatenate(keys, 1) if keys else np.zeros((2, 0), np.uint64)
     del keys
-    pairs, at = np.unique(pair, return_inverse=True)
+    pairs, in_pair = np.unique(pair, return_inverse=True)
     del pair
-    trigrams, at = np.unique(at.astype(np.uint64) << np.uint64(32) | third, return_inverse=True)
-    return Trie(vocabulary, pairs, trigrams, np.bincount(at, np.concatenate(counts) if counts else None, len(trigrams)).astype(np.int64), discount)
+    trigrams, in_tri = np.unique(in_pair.astype(np.uint64) << np.uint64(32) | third, return_inverse=True)
+    del third
+    trie = Trie(vocabulary, pairs, trigrams, np.bincount(in_tri, np.concatenate(counts) if counts else None, len(trigrams)).astype(np.int64), discount)
+    known, ends = [], offsets([len(on) for on, _ in seen])
+    in_pair, in_tri = in_pair.astype(np.int32), in_tri.astype(np.int32)
+    for b, place, (on, parent), i, j in zip(blocks, places, seen, ends[:-1], ends[1:], strict=True):
+        two, three = np.full(len(b[3]), -1, np.int32), np.full(len(b[5]), -1, np.int32)
+        two[parent], three[on] = in_pair[i:j], in_tri[i:j]
+        known.append((place, two, three))
+    return trie, known
 
 
 def _answer(hot, common):
     def work(table: pa.Table) -> pa.Table:
         """Build one shard's trie from its blocks and answer each of them."""
         shard, data = table.column("shard")[0].as_py(), table.column("data")
-        vocabulary = np.zeros(0, np.uint64)
-        for k in range(0, len(data), 16):
-            vocabulary = np.unique(np.concatenate([vocabulary, *[read_block(d.as_py(), common.value)[0] for d in data[k : k + 16]]]))
-        trie = build((read_block(d.as_py(), common.value) for d in data), vocabulary)
-        out = []
-        for d in data:
-            made = trie.answer(*read_block(d.as_py(), common.value)[:6])
+        blocks = [read_block(d.as_py(), common.value) for d in data]
+        trie, known = build(blocks)
+        vocabulary, steps, out = trie.words, trie.steps(), []
+        for b, (place, pair, tri) in zip(blocks, known, strict=True):
+            made = trie.answer(place.astype(np.int64), *b[1:6], pair, tri, steps)
             out.append(pack(*map(small, made[:4]), made[4]))
-        count = trie.count_of_word(trie.nodes(trie.to2, np.arange(len(vocabulary))))
+        count = steps[0].astype(np.int64)
         mark = np.isin(vocabulary, np.array([BEGIN2, BEGIN], np.uint64))
         texts, tokens = int(count[vocabulary == BEGIN].sum()), int(count[~mark].sum())
         types = int(((count > 0) & ~mark & ~np.isin(vocabulary, hot.value[0])).sum())
@@ -487,7 +545,8 @@ def score(documents: DataFrame, train: Column, id_col: str = "doc_id", text: str
     hot = spark.sparkContext.broadcast((hot_words, hot_parts))
     common = spark.sparkContext.broadcast(_common(chunks))  # 1 MB at most
     blocks = chunks.select("chunk", "data").mapInArrow(_blocks(hot, common, shards), "chunk long, shard int, data binary")
-    answers = stage(blocks.repartition(4 * shards, "shard").groupBy("shard").applyInArrow(_answer(hot, common), "chunk long, shard int, data binary, texts long, tokens long, types long"), "lm-answers")
+    # a shard a task
+    answers = stage(blocks.repartitionById(shards, F.col("shard")).groupBy("shard").applyInArrow(_answer(hot, common), "chunk long, shard int, data binary, texts long, tokens long, types long"), "lm-answers")
     texts, tokens, types = (int(x or 0) for x in answers.where(F.col("chunk") < 0).agg(F.sum("texts"), F.sum("tokens"), F.sum("types")).first())
     total = tokens + texts
     kinds = types + int((~np.isin(hot_words, np.array([BEGIN2, BEGIN], np.uint64))).sum()) + (texts > 0)
