@@ -474,25 +474,29 @@ def build(blocks: list[list[np.ndarray]], discount: float = DISCOUNT) -> tuple[T
     its own training texts have, -1 for others.
     """
     vocabulary = distinct(np.concatenate([b[0] for b in blocks])) if blocks else np.zeros(0, np.uint64)
-    places, seen, keys, counts = [], [], [], []
-    for words, asked, fan1, second, fan2, third, count in blocks:
+    places, seen, keys, thirds, counts = [], [], [], [], []
+    for b in blocks:
+        words, asked, fan1, second, fan2, third, count = b
         place = np.searchsorted(vocabulary, words)
         on = np.flatnonzero(count)
         parent = np.repeat(np.arange(len(fan2)), fan2)[on]
         pair = (np.repeat(place[asked], fan1) << 32 | place[second]).astype(np.uint64)
-        keys.append(np.stack([pair[parent], place[third[on]].astype(np.uint64)]))
-        counts.append(count[on].astype(np.int64))
+        keys.append(pair[parent])
+        thirds.append(place[third[on]].astype(np.uint32))
+        counts.append(count[on])
         places.append(place.astype(np.uint32))
+        b[0] = b[6] = None  # hashes and counts are not needed again
         seen.append((on.astype(np.uint32), parent.astype(np.uint32)))
-    pair, third = np.concatenate(keys, 1) if keys else np.zeros((2, 0), np.uint64)
-    del keys
+    pair, third = (np.concatenate(k) if k else np.zeros(0, np.uint64) for k in (keys, thirds))
+    del keys, thirds
     pairs, in_pair = np.unique(pair, return_inverse=True)
+    in_pair = in_pair.astype(np.int32)
     del pair
     trigrams, in_tri = np.unique(in_pair.astype(np.uint64) << np.uint64(32) | third, return_inverse=True)
     del third
     trie = Trie(vocabulary, pairs, trigrams, np.bincount(in_tri, np.concatenate(counts) if counts else None, len(trigrams)).astype(np.int64), discount)
     known, ends = [], offsets([len(on) for on, _ in seen])
-    in_pair, in_tri = in_pair.astype(np.int32), in_tri.astype(np.int32)
+    in_tri = in_tri.astype(np.int32)
     for b, place, (on, parent), i, j in zip(blocks, places, seen, ends[:-1], ends[1:], strict=True):
         two, three = np.full(len(b[3]), -1, np.int32), np.full(len(b[5]), -1, np.int32)
         two[parent], three[on] = in_pair[i:j], in_tri[i:j]
