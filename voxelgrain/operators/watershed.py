@@ -9,7 +9,8 @@ without a seed point along their lowest edge, pointers are doubled until each no
 knows the end of its path, and edges shrink to the lowest pass of every two nodes,
 until all that can reach a seed has one. Rounds are written tables of (volume,
 node) rows, at most as many as the logarithm of the number of nodes; nothing is
-grouped by volume or slice.
+grouped by volume or slice, and no join of nodes or voxels is broadcast: they take
+few bytes on disk and many in a driver.
 """
 
 from __future__ import annotations
@@ -32,10 +33,10 @@ def _chase(up: DataFrame) -> DataFrame:
     Of two nodes that point at each other the smaller becomes the root.
     """
     back = up.select("tomo", F.col("n").alias("m"), F.col("m").alias("_back"))
-    up = stage(up.join(back, ["tomo", "m"], "left").where((F.coalesce("_back", F.col("m")) != F.col("n")) | (F.col("n") > F.col("m"))).select("tomo", "n", "m"), "watershed-up")
+    up = stage(up.join(back.hint("merge"), ["tomo", "m"], "left").where((F.coalesce("_back", F.col("m")) != F.col("n")) | (F.col("n") > F.col("m"))).select("tomo", "n", "m"), "watershed-up")
     while True:
         over = up.select("tomo", F.col("n").alias("m"), F.col("m").alias("_next"))
-        jumped = stage(up.join(over, ["tomo", "m"], "left").select("tomo", "n", F.coalesce("_next", F.col("m")).alias("m"), F.col("_next").isNotNull().alias("_moved")), "watershed-jump")
+        jumped = stage(up.join(over.hint("merge"), ["tomo", "m"], "left").select("tomo", "n", F.coalesce("_next", F.col("m")).alias("m"), F.col("_next").isNotNull().alias("_moved")), "watershed-jump")
         up = jumped.select("tomo", "n", "m")
         if jumped.where("_moved").isEmpty():
             return up
@@ -67,7 +68,7 @@ def watershed(height: DataFrame, seeds: DataFrame, planar: bool = False, block_e
     key = F.struct("hi", "lo", "p", "q").alias("k")
     inner = done.where("edge and b is not null").select("tomo", "a", "b", key)
     half = done.where("edge and b is null")
-    over = half.where("first").select("tomo", "p", "q", "a", "hi", "lo").join(half.where("not first").select("tomo", "p", "q", F.col("a").alias("b")), ["tomo", "p", "q"])
+    over = half.where("first").select("tomo", "p", "q", "a", "hi", "lo").join(half.where("not first").select("tomo", "p", "q", F.col("a").alias("b")).hint("merge"), ["tomo", "p", "q"])
     edges = inner.unionByName(over.select("tomo", "a", "b", key))
     names = voxels.where("m >= 0").select("tomo", F.col("m").alias("n"), "m").distinct()
     while True:
@@ -79,13 +80,13 @@ def watershed(height: DataFrame, seeds: DataFrame, planar: bool = False, block_e
         ends = edges.unionByName(edges.select("tomo", F.col("b").alias("a"), F.col("a").alias("b"), "k")).where("a >= 0")
         up = _chase(ends.groupBy("tomo", F.col("a").alias("n")).agg(F.min_by("b", "k").alias("m")))
         on = up.select("tomo", F.col("n").alias("m"), F.col("m").alias("_to"))
-        names = stage(names.join(on, ["tomo", "m"], "left").select("tomo", "n", F.coalesce("_to", F.col("m")).alias("m")), "watershed-names")
+        names = stage(names.join(on.hint("merge"), ["tomo", "m"], "left").select("tomo", "n", F.coalesce("_to", F.col("m")).alias("m")), "watershed-names")
         for end in ("a", "b"):
             to = up.select("tomo", F.col("n").alias(end), F.col("m").alias("_to"))
-            edges = edges.join(to, ["tomo", end], "left").withColumn(end, F.coalesce("_to", F.col(end))).drop("_to")
+            edges = edges.join(to.hint("merge"), ["tomo", end], "left").withColumn(end, F.coalesce("_to", F.col(end))).drop("_to")
     settled = voxels.where("m < 0").select(*pos, (-F.col("m")).alias("label"))
     later = names.where("m < 0").select("tomo", "n", (-F.col("m")).alias("label"))
-    return settled.unionByName(voxels.where("m >= 0").withColumnRenamed("m", "n").join(later, ["tomo", "n"]).select(*pos, "label"))
+    return settled.unionByName(voxels.where("m >= 0").withColumnRenamed("m", "n").join(later.hint("merge"), ["tomo", "n"]).select(*pos, "label"))
 
 
 def _blocks(voxels: DataFrame, planar: bool, edge: int) -> DataFrame:

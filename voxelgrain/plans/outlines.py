@@ -91,7 +91,7 @@ def fill_outlines(outlines: DataFrame, shape: tuple[int, int, int], sigma: float
     outline stay empty.
     """
     drawn = V.crop(outlines.select(*V.POS).dropna().distinct(), (0, 0, 0), shape)
-    ground = stage(_slices(drawn, shape).join(drawn.withColumn("value", F.lit(1.0)), V.POS, "left").fillna(0.0, ["value"]), "outlines")
+    ground = stage(_slices(drawn, shape).join(drawn.withColumn("value", F.lit(1.0)).hint("merge"), V.POS, "left").fillna(0.0, ["value"]), "outlines")
     height = stage(smooth(ground, sigma, planar=True).withColumnRenamed("value", "height"), "outlines-height")
     middle = (F.col("y") == shape[1] // 2) & (F.col("x") == shape[2] // 2)
     frame = F.col("y").isin(0, shape[1] - 1) | F.col("x").isin(0, shape[2] - 1)
@@ -110,7 +110,7 @@ def close_each(v: DataFrame, iterations: int) -> DataFrame:
     grown = v
     for _ in range(iterations):
         grown = grown.unionByName(V.shifted(grown, V.FACES)).distinct()
-        grown = stage(grown.join(box, ["tomo", "label"]).where(" and ".join(f"{c} >= min_{c} and {c} < max_{c}" for c in "zyx")).select(*v.columns), "close-each")
+        grown = stage(grown.join(box.hint("merge"), ["tomo", "label"]).where(" and ".join(f"{c} >= min_{c} and {c} < max_{c}" for c in "zyx")).select(*v.columns), "close-each")
     return V.overlay(V.erode(grown, iterations=iterations), v)
 
 
@@ -134,10 +134,10 @@ def instances_from_outlines(boundaries: DataFrame, shape: tuple[int, int, int],
     reach = lambda domain, to: distance_field(by_slice(domain), by_slice(to), keys=("tomo", "_slice")).select(*V.POS, "distance")
     outside = reach(ground, thinned).withColumnRenamed("distance", "out")
     depth = reach(thinned, V.in_mask(ground, thinned, inside=False)).withColumnRenamed("distance", "deep")
-    both = stage(ground.join(outside, V.POS, "left").join(depth, V.POS, "left"), "outline-distances")
+    both = stage(ground.join(outside.hint("merge"), V.POS, "left").join(depth.hint("merge"), V.POS, "left"), "outline-distances")
     most = both.groupBy("tomo", "z").agg(F.max("out").alias("_out"), F.max("deep").alias("_deep"))
     share = lambda c: F.coalesce(F.col(c) / (F.col(f"_{c}") + 1e-6), F.lit(0.0))
-    height = stage(both.join(most, ["tomo", "z"]).select(*V.POS, "out", (1 - share("out") + share("deep")).alias("height")), "outline-height")
+    height = stage(both.join(most.hint("merge"), ["tomo", "z"]).select(*V.POS, "out", (1 - share("out") + share("deep")).alias("height")), "outline-height")
     middle = parts.groupBy("tomo", "label", "z").agg(*[F.floor(F.avg(c)).cast("int").alias(c) for c in "yx"]).select(*V.POS, "label")
     top = parts.groupBy("tomo").agg((F.max("label") + 1).alias("label"))
     away = height.where(F.col("out") > far).join(top, "tomo").select(*V.POS, "label")
@@ -146,6 +146,6 @@ def instances_from_outlines(boundaries: DataFrame, shape: tuple[int, int, int],
     first = stage(first.join(top.withColumnRenamed("label", "_top"), "tomo").where("label < _top").select(*V.POS, "label"), "outline-first")
     mask = first.select(*V.POS).unionByName(drawn).distinct()
     edge = V.boundary(drawn.withColumn("label", F.lit(1))).select(*V.POS).unionByName(V.boundary(drawn.withColumn("label", F.lit(1)), "outer").select(*V.POS)).withColumn("height", F.lit(1.0))
-    rim = mask.join(edge, V.POS, "left").fillna(0.0, ["height"])
+    rim = mask.join(edge.hint("merge"), V.POS, "left").fillna(0.0, ["height"])
     out = watershed(rim, first)
     return close_each(stage(out, "outline-instances"), closing) if closing else out
