@@ -8,18 +8,22 @@ be relaxed apart from each other until none of them moves.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelgrain.operators import components as C
 from voxelgrain.operators import volume as V
 from voxelgrain.operators.distance import nearest_structure
-from voxelgrain.storage import stage
+from voxelgrain.storage import parts, stage
 
 Size = tuple[float, float, float]
 AXES = "zyx"
+#: Voxels of blocks that are relaxed together, about.
+TOGETHER = 1 << 16
 
 
 def upwind(near: np.ndarray, size: Size) -> np.ndarray:
@@ -28,16 +32,20 @@ def upwind(near: np.ndarray, size: Size) -> np.ndarray:
     Axes are taken in from the nearest neighbour on, as long as the next one
     lies under what the former give.
     """
-    order = np.argsort(near, axis=0, kind="stable")
-    a = np.take_along_axis(near, order, 0)
-    w = 1 / np.take_along_axis(np.broadcast_to(np.array(size, float)[:, None], near.shape), order, 0) ** 2
-    low = np.where(np.isfinite(a[0]), a[0], 0.0)
-    gap = np.where(np.isfinite(a), a - low, np.inf)
-    above = np.where(np.isfinite(a[0]), 1 / np.sqrt(w[0]), np.inf)
+    a, w = list(near), [np.full(near.shape[1], 1 / float(h) ** 2) for h in size]
+    for i, j in ((0, 1), (1, 2), (0, 1)):  # put in order, equal ones as they are
+        swap = a[j] < a[i]
+        a[i], a[j] = np.where(swap, a[j], a[i]), np.where(swap, a[i], a[j])
+        w[i], w[j] = np.where(swap, w[j], w[i]), np.where(swap, w[i], w[j])
+    some = np.isfinite(a[0])
+    low = np.where(some, a[0], 0.0)
+    above = np.where(some, 1 / np.sqrt(w[0]), np.inf)
+    p, q, r = w[0], 0.0, -1.0
     for k in (1, 2):
-        more = gap[k] < above
-        g = np.where(more, gap[: k + 1], 0.0)
-        p, q, r = w[: k + 1].sum(0), (w[: k + 1] * g).sum(0), (w[: k + 1] * g * g).sum(0) - 1
+        gap = np.where(np.isfinite(a[k]), a[k] - low, np.inf)
+        more = gap < above
+        g = np.where(more, gap, 0.0)
+        p, q, r = p + w[k], q + w[k] * g, r + w[k] * g * g
         above = np.where(more, (q + np.sqrt(np.maximum(q * q - p * r, 0.0))) / p, above)
     return low + above
 
@@ -77,10 +85,12 @@ def eikonal_distance(
     """(keys, z, y, x, distance) inside the mask from the start voxels, in units of ``size``.
 
     Voxels that cannot be reached, or not within less than ``limit``, are left
-    out; start voxels outside the mask count for nothing. Each round gives every
-    block that has a moved voxel in it or beside it to one task, and is written;
-    the last round is the one that moves none. Rows with a null key or
-    coordinate are left out, repeated ones count once.
+    out; start voxels outside the mask count for nothing. A block is one row, its
+    voxels and those it knows of beside it as bytes. Each round is written; it
+    relaxes the blocks that got a message, and these send what has moved on their
+    faces to the blocks beside them. The last round is the one that sends
+    nothing. Rows with a null key or coordinate are left out, repeated ones count
+    once.
     """
     unit, types = list(keys), dict(mask.dtypes)
     pos = [*unit, *AXES]
@@ -88,34 +98,107 @@ def eikonal_distance(
     first = clean(start).withColumn("distance", F.lit(0.0))
     cell = [f"_b{c}" for c in AXES]
     own = {f"_b{c}": F.floor(F.col(c) / b) for c, b in zip(AXES, block, strict=True)}
-    state = clean(mask).join(first.hint("merge"), pos, "left").withColumn("moved", F.col("distance").isNotNull())
-    state = stage(state.withColumns(own), "eikonal")
+    key = [*unit, *cell]
+    voxels = stage(clean(mask).join(first.hint("merge"), pos, "left").withColumns(own), "eikonal-voxels")
+    n = parts(voxels.sparkSession, voxels.count())
+    head = ", ".join([*[f"`{k}` {types[k]}" for k in unit], *[f"{c} long" for c in cell]])
+    schema = f"{head}, at binary, d binary"
     most = np.inf if limit is None else float(limit)
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        known = pdf["distance"].fillna(np.inf).to_numpy(float)
-        mine = pdf["_mine"].to_numpy(bool)
-        d = relax(pdf[[*AXES]].to_numpy(np.int64), known, mine, size, most)
-        out = pdf.assign(distance=np.where(np.isfinite(d), d, np.nan), moved=d < known)[mine]
-        return out[[*pos, "distance", "moved", *cell]]
-
-    def around(v: DataFrame) -> DataFrame:
-        """A row for each block that holds a voxel or lies beside it."""
-        for c, b in zip(AXES, block, strict=True):
-            v = v.withColumn(f"_b{c}", F.explode(F.sequence(F.floor((F.col(c) - 1) / b), F.floor((F.col(c) + 1) / b))))
-        return v
-
-    schema = ", ".join([*[f"`{k}` {types[k]}" for k in unit], "z int, y int, x int, distance double, moved boolean", *[f"{c} long" for c in cell]])
-    while not (front := state.where("moved")).isEmpty():
-        active = stage(around(front.select(*pos)).select(*unit, *cell).distinct(), "eikonal-active")
-        mine = F.lit(True)
-        for c, b in own.items():
-            mine = mine & (F.col(c) == b)
-        halo = around(state.select(*pos, "distance")).join(active.hint("merge"), [*unit, *cell], "left_semi").withColumn("_mine", mine)
-        made = halo.groupBy(*unit, *cell).applyInPandas(work, schema)
-        rest = state.join(active.hint("merge"), [*unit, *cell], "left_anti").withColumn("moved", F.lit(False))
-        state = stage(made.withColumn("distance", F.nanvl("distance", F.lit(None).cast("double"))).unionByName(rest), "eikonal")
-    return state.where("distance is not null").select(*pos, "distance")
+    packed = voxels.repartition(n, *key).groupBy(*key).applyInArrow(_packed(key, block), schema)
+    made = stage(packed.withColumn("inbox", F.lit(None).cast("array<struct<at:binary,d:binary>>")).mapInArrow(_round(key, block, size, most, True), f"{schema}, sent boolean"), "eikonal")
+    while not (sent := made.where("sent")).isEmpty():
+        inbox = sent.repartition(n, *key).groupBy(*key).agg(F.collect_list(F.struct("at", "d")).alias("inbox"))
+        state = made.where("not sent").drop("sent").repartition(n, *key)
+        made = stage(state.join(inbox.hint("merge"), key, "left").mapInArrow(_round(key, block, size, most, False), f"{schema}, sent boolean"), "eikonal")
+    fields = ", ".join([*[f"`{k}` {types[k]}" for k in unit], "z int, y int, x int, distance double"])
+    return made.where("not sent").mapInArrow(_unpacked(unit, block), fields)
+
+
+def _packed(key: list[str], block: tuple[int, int, int]) -> Callable:
+    """A block's voxels as one row: places in the block with a rim of one voxel, and distances."""
+
+    def work(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        local = [t[c].to_numpy().astype(np.int64) - t[f"_b{c}"][0].as_py() * b + 1 for c, b in zip(AXES, block, strict=True)]
+        at = np.ravel_multi_index(local, [b + 2 for b in block]).astype(np.int32)
+        d = t["distance"].fill_null(np.inf).to_numpy().astype(np.float64)
+        order = np.argsort(at)
+        return t.slice(0, 1).select(key).append_column("at", pa.array([at[order].tobytes()], pa.binary())).append_column("d", pa.array([d[order].tobytes()], pa.binary()))
+
+    return work
+
+
+def _met(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a block and their distances, the least of what it knows and what it is told."""
+    told = row["inbox"] or []
+    at = np.concatenate([np.frombuffer(m["at"], np.int32) for m in [row, *told]])
+    d = np.concatenate([np.frombuffer(m["d"], np.float64) for m in [row, *told]])
+    if not told:
+        return at, d
+    order = np.argsort(at, kind="stable")
+    at, d = at[order], d[order]
+    top = np.flatnonzero(np.diff(at, prepend=-1))
+    return at[top], np.minimum.reduceat(d, top)
+
+
+def _round(key: list[str], block: tuple[int, int, int], size: Size, limit: float, first: bool) -> Callable:
+    """Blocks with a message relaxed, and what they send; in the first round all blocks with a start."""
+    wide = [b + 2 for b in block]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.select(["at", "d", "inbox"]).to_pylist()
+            cells = np.stack([batch.column(c).to_numpy() for c in key[-3:]], 1)
+            met = [(k, *_met(r)) for k, r in enumerate(rows) if first or r["inbox"]]
+            met = [m for m in met if not first or np.isfinite(m[2]).any()]
+            # row of the batch, cell, at, d, sent
+            busy = {m[0] for m in met}
+            out = [(k, cells[k], r["at"], r["d"], False) for k, r in enumerate(rows) if k not in busy]
+            while met:
+                held = np.cumsum([len(at) for _, at, _ in met])
+                some, met = met[: max(1, int(np.searchsorted(held, TOGETHER)))], met[max(1, int(np.searchsorted(held, TOGETHER))) :]
+                cut = np.cumsum([len(at) for _, at, _ in some])[:-1]
+                local = np.stack(np.unravel_index(np.concatenate([at for _, at, _ in some]), wide), 1)
+                known = np.concatenate([d for _, _, d in some])
+                mine = np.all((local >= 1) & (local <= np.array(block)), axis=1)
+                apart = local.copy()  # blocks lie side by side and never touch
+                apart[:, 0] += np.repeat(np.arange(len(some)), [len(at) for _, at, _ in some]) * (wide[0] + 1)
+                new = relax(apart, known, mine, size, limit)
+                moved = mine & (np.isfinite(new) if first else new < known)
+                for (k, at, _), d, m, o in zip(some, np.split(new, cut), np.split(moved, cut), np.split(local, cut), strict=True):
+                    out.append((k, cells[k], at.tobytes(), d.tobytes(), False))
+                    for axis, b in enumerate(block):
+                        for step, face, rim in ((-1, 1, b + 1), (1, b, 0)):
+                            go = np.flatnonzero(m & (o[:, axis] == face))
+                            if len(go):
+                                to, place = cells[k].copy(), o[go].copy()
+                                to[axis] += step
+                                place[:, axis] = rim
+                                out.append((k, to, np.ravel_multi_index(place.T, wide).astype(np.int32).tobytes(), d[go].tobytes(), True))
+            if out:
+                row, cell, at, d, sent = zip(*out, strict=True)
+                cell, row = np.stack(cell), pa.array(row)
+                cols = [*[batch.column(c).take(row) for c in key[:-3]], *[pa.array(cell[:, j]) for j in range(3)], pa.array(at, pa.binary()), pa.array(d, pa.binary()), pa.array(sent)]
+                yield pa.RecordBatch.from_arrays(cols, names=[*key, "at", "d", "sent"])
+
+    return work
+
+
+def _unpacked(unit: list[str], block: tuple[int, int, int]) -> Callable:
+    """Rows (unit, z, y, x, distance) of the voxels of blocks that are reached."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = np.stack([batch.column(f"_b{c}").to_numpy() for c in AXES], 1)
+            for k in range(batch.num_rows):
+                at, d = np.frombuffer(batch.column("at")[k].as_py(), np.int32), np.frombuffer(batch.column("d")[k].as_py(), np.float64)
+                local = np.stack(np.unravel_index(at, [b + 2 for b in block]), 1)
+                on = np.all((local >= 1) & (local <= np.array(block)), axis=1) & np.isfinite(d)
+                where = (local[on] - 1 + cells[k] * np.array(block)).astype(np.int32)
+                same = pa.array(np.full(len(where), k))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(same) for c in unit], *[pa.array(where[:, j]) for j in range(3)], pa.array(d[on])], names=[*unit, *AXES, "distance"])
+
+    return work
 
 
 def membrane_by_path(membrane: DataFrame, reference: DataFrame, max_distance: float, size: Size = (1.0, 1.0, 1.0), exclude: int = 0, depth: int | None = None, min_size: int = 0) -> DataFrame:
