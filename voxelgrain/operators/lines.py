@@ -2,7 +2,8 @@
 
 Spark deals out whole lines along one axis, sorted; a task streams them and never
 holds more than a batch and the line that goes over its end. An operation over
-all three axes is three such passes, each over one shuffle of the voxels.
+all three axes is three such passes. Two of them share a shuffle: what is dealt out
+by planes has whole lines along both axes of a plane, and is only sorted anew.
 """
 
 from __future__ import annotations
@@ -94,11 +95,13 @@ def envelope(line: np.ndarray, pos: np.ndarray, value: np.ndarray, q_line: np.nd
     return site[at]
 
 
-def _dealt(df: DataFrame, line: list[str], axis: str) -> DataFrame:
-    return df.repartition(*line).sortWithinPartitions(*line, axis)
+def _dealt(df: DataFrame, line: list[str], axis: str, by: list[str] | None = None) -> DataFrame:
+    """Whole lines, sorted, dealt out by some of their columns; not dealt out again if ``by`` is empty."""
+    by = line if by is None else by
+    return (df.repartition(*by) if by else df).sortWithinPartitions(*line, axis)
 
 
-def distance_field(domain: DataFrame, features: DataFrame, size: Size = (1.0, 1.0, 1.0), keys: tuple[str, ...] = ("tomo",)) -> DataFrame:
+def distance_field(domain: DataFrame, features: DataFrame, size: Size = (1.0, 1.0, 1.0), keys: tuple[str, ...] = ("tomo",), planar: bool = False) -> DataFrame:
     """(keys, z, y, x, distance, near_z, near_y, near_x) of every voxel of the domain.
 
     The exact Euclidean distance to the nearest feature voxel of the same keys,
@@ -106,6 +109,8 @@ def distance_field(domain: DataFrame, features: DataFrame, size: Size = (1.0, 1.
     takes the lower envelope along an axis and carries the end points on, over
     the bounding box of the domain. Keys without a feature give no rows; rows
     with a null coordinate or key are left out, repeated ones count once.
+    ``planar`` says that the rows of a key have one z: then domain and features
+    are shuffled once, and there is no pass along z.
     """
     unit = list(keys)
     types = dict(domain.dtypes)
@@ -121,6 +126,12 @@ def distance_field(domain: DataFrame, features: DataFrame, size: Size = (1.0, 1.
 
         def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f, number in whole_lines(frames, line):
+                site = f["d2"].notna().to_numpy()
+                if not site.all():  # what is asked goes on as it is
+                    yield f[~site][names]
+                    f, number = f[site].reset_index(drop=True), np.unique(number[site], return_inverse=True)[1]
+                if not len(f):
+                    continue
                 top = np.flatnonzero(np.diff(number, prepend=-1))
                 lo, hi = f[f"lo_{axis}"].to_numpy(np.int64)[top], f[f"hi_{axis}"].to_numpy(np.int64)[top]
                 q_line = np.repeat(np.arange(len(top)), hi - lo + 1)
@@ -128,34 +139,43 @@ def distance_field(domain: DataFrame, features: DataFrame, size: Size = (1.0, 1.
                 pos, d2 = f[axis].to_numpy(np.int64), f["d2"].to_numpy(np.float64)
                 won = envelope(number, pos, d2, q_line, q_pos, scale)
                 out = f.iloc[won][[*line, *carry]].reset_index(drop=True)
-                yield out.assign(**{axis: q_pos.astype(np.int32), "d2": d2[won] + ((q_pos - pos[won]) * scale) ** 2, f"near_{axis}": pos[won].astype(np.int32)})[[*unit, "z", "y", "x", "lo_y", "hi_y", "lo_x", "hi_x", "d2", "near_y", "near_x"]]
+                yield out.assign(**{axis: q_pos.astype(np.int32), "d2": d2[won] + ((q_pos - pos[won]) * scale) ** 2, f"near_{axis}": pos[won].astype(np.int32)})[names]
 
         return work
 
     schema = ", ".join([*head, *[f"{c} int" for c in ("z", "y", "x", "lo_y", "hi_y", "lo_x", "hi_x")], "d2 double, near_y int, near_x int"])
     boxed = ["lo_y", "hi_y", "lo_x", "hi_x"]
-    for axis, scale, other, near in (("x", size[2], ["z", "y"], "near_y"), ("y", size[1], ["z", "x"], "near_x")):
-        line = [*unit, *other]
-        state = _dealt(state, line, axis).mapInPandas(spread(axis, float(scale), line, [*boxed, near]), schema)
+    names = [*unit, *AXES, *boxed, "d2", "near_y", "near_x"]
     asked = domain.withColumns({"d2": F.lit(None).cast("double"), "near_y": F.lit(0), "near_x": F.lit(0)})
-    both = state.select(*asked.columns).unionByName(asked)
-    line, scale = [*unit, "y", "x"], float(size[0])
+    if planar:
+        state = state.unionByName(asked.withColumns({c: F.lit(0) for c in boxed}))
+    # a slice has whole lines along x and along y: the second pass needs no shuffle
+    line = [*unit, "z", "y"]
+    state = _dealt(state.select(*names), line, "x", [*unit, "z"]).mapInPandas(spread("x", float(size[2]), line, [*boxed, "near_y"]), schema)
+    line = [*unit, "z", "x"]
+    if planar:
+        axis, scale, both = "y", float(size[1]), _dealt(state.select(*asked.columns), line, "y", [])
+    else:
+        state = _dealt(state, line, "y", []).mapInPandas(spread("y", float(size[1]), line, [*boxed, "near_x"]), schema)
+        line, axis, scale = [*unit, "y", "x"], "z", float(size[0])
+        both = _dealt(state.select(*asked.columns).unionByName(asked), line, "z")
 
     def settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Positions of the domain alone, from the sites along z."""
+        """Positions of the domain alone, from the sites along the last axis."""
         for f, number in whole_lines(frames, line):
             site = f["d2"].notna().to_numpy()
             full = np.unique(number[site])  # lines of keys with features
             sites, ask = np.flatnonzero(site), np.flatnonzero(~site & np.isin(number, full))
             if not len(ask):
                 continue
-            z, d2 = f["z"].to_numpy(np.int64), f["d2"].to_numpy(np.float64)
-            won = sites[envelope(np.searchsorted(full, number[sites]), z[sites], d2[sites], np.searchsorted(full, number[ask]), z[ask], scale)]
+            at, d2 = f[axis].to_numpy(np.int64), f["d2"].to_numpy(np.float64)
+            won = sites[envelope(np.searchsorted(full, number[sites]), at[sites], d2[sites], np.searchsorted(full, number[ask]), at[ask], scale)]
             out = f.iloc[ask][[*unit, "z", "y", "x"]].reset_index(drop=True)
-            out["distance"] = np.sqrt(d2[won] + ((z[ask] - z[won]) * scale) ** 2)
-            yield out.assign(near_z=z[won].astype(np.int32), near_y=f["near_y"].to_numpy(np.int32)[won], near_x=f["near_x"].to_numpy(np.int32)[won])
+            out["distance"] = np.sqrt(d2[won] + ((at[ask] - at[won]) * scale) ** 2)
+            near = {c: f[c if c == axis or c == "z" else f"near_{c}"].to_numpy(np.int32)[won] for c in AXES}
+            yield out.assign(**{f"near_{c}": v for c, v in near.items()})
 
-    return _dealt(both, line, "z").mapInPandas(settle, ", ".join([*head, "z int, y int, x int, distance double, near_z int, near_y int, near_x int"]))
+    return both.mapInPandas(settle, ", ".join([*head, "z int, y int, x int, distance double, near_z int, near_y int, near_x int"]))
 
 
 # -- separable filters -------------------------------------------------------
@@ -180,12 +200,14 @@ def gaussian_taps(sigma: float, order: int = 0, truncate: float = 4.0) -> np.nda
     return d / (d * x**2).sum() * 2
 
 
-def line_filter(image: DataFrame, axis: str, made: dict[str, tuple[str, np.ndarray]], keep: list[str] | None = None) -> DataFrame:
+def line_filter(image: DataFrame, axis: str, made: dict[str, tuple[str, np.ndarray]], keep: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
     """Adds columns out = sum over k of taps[r + k] * column at position + k.
 
     ``made``: out -> (column, taps of odd length). Lines are taken from their
     first to their last voxel, absent ones between as 0, and mirrored at both
-    ends (the end voxel repeated). ``keep`` names the columns that go on.
+    ends (the end voxel repeated). ``keep`` names the columns that go on. Lines
+    are dealt out by the columns ``by``, by all of their own if it is not given;
+    if it is empty, partitions of the image hold whole lines already.
     """
     line = ["tomo", *[c for c in AXES if c != axis]]
     keep = [c for c in (image.columns if keep is None else keep) if c not in ["tomo", *AXES, *made]]
@@ -211,7 +233,7 @@ def line_filter(image: DataFrame, axis: str, made: dict[str, tuple[str, np.ndarr
             yield f[["tomo", "z", "y", "x", *keep]].assign(**out)
 
     src = image.select("tomo", *[F.col(c).cast("int").alias(c) for c in AXES], *dict.fromkeys([*keep, *[c for c, _ in made.values()]]))
-    return _dealt(src, line, axis).mapInPandas(work, schema)
+    return _dealt(src, line, axis, by).mapInPandas(work, schema)
 
 
 def smooth(image: DataFrame, sigma: float, planar: bool = False, columns: tuple[str, ...] = ("value",)) -> DataFrame:
@@ -225,8 +247,11 @@ def smooth(image: DataFrame, sigma: float, planar: bool = False, columns: tuple[
 def derivatives(image: DataFrame, sigma: float, orders: dict[str, tuple[int, int, int]], planar: bool = False) -> DataFrame:
     """Columns of Gaussian derivatives of ``value``: name -> order along z, y, x.
 
-    One pass an axis makes all that later passes need. Planar ones ignore z.
+    One pass an axis makes all that later passes need. Planar ones ignore z;
+    others pass along z and y over one shuffle by planes of x, which Spark leaves
+    out if the image is dealt out by those already.
     """
+    by = None if planar else {"z": ["tomo", "x"], "y": []}
     taps = [gaussian_taps(sigma, o) for o in range(3)]
     have = {(): "value"}
     for k, axis in enumerate(AXES):
@@ -237,6 +262,6 @@ def derivatives(image: DataFrame, sigma: float, orders: dict[str, tuple[int, int
         for o in {tuple(v[: k + 1]) for v in orders.values()}:
             name = f"_d{''.join(map(str, o))}"
             made[name], nxt[o] = (have[o[:-1]], taps[o[-1]]), name
-        image = line_filter(image, axis, made, keep=[])
+        image = line_filter(image, axis, made, keep=[], by=by and by.get(axis))
         have = nxt
     return image.select("tomo", *AXES, *[F.col(have[o]).alias(n) for n, o in orders.items()])
