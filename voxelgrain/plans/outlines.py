@@ -131,7 +131,7 @@ def instances_from_outlines(boundaries: DataFrame, shape: tuple[int, int, int],
     ground = stage(_slices(parts, shape), "outline-slices")
     thinned = stage(V.erode(drawn.withColumn("label", F.lit(1)), V.CROSS_2D).select(*V.POS), "outline-thin")
     by_slice = lambda t: t.select("tomo", F.col("z").alias("_slice"), *"zyx")
-    reach = lambda domain, to: distance_field(by_slice(domain), by_slice(to), keys=("tomo", "_slice")).select(*V.POS, "distance")
+    reach = lambda domain, to: distance_field(by_slice(domain), by_slice(to), keys=("tomo", "_slice"), planar=True).select(*V.POS, "distance")
     outside = reach(ground, thinned).withColumnRenamed("distance", "out")
     depth = reach(thinned, V.in_mask(ground, thinned, inside=False)).withColumnRenamed("distance", "deep")
     both = stage(ground.join(outside.hint("merge"), V.POS, "left").join(depth.hint("merge"), V.POS, "left"), "outline-distances")

@@ -25,7 +25,7 @@ def distances(domain: DataFrame, features: DataFrame, size: Size = UNIT, planar:
     if not planar:
         return distance_field(domain, features, size)
     slices = lambda v: v.select("tomo", F.col("z").alias("_slice"), *"zyx")
-    return distance_field(slices(domain), slices(features), size, ("tomo", "_slice")).drop("_slice")
+    return distance_field(slices(domain), slices(features), size, ("tomo", "_slice"), planar=True).drop("_slice")
 
 
 def flood_from(seeds: DataFrame, mask: DataFrame, min_size: int = 0, planar: bool = False) -> DataFrame:
