@@ -88,20 +88,25 @@ query("ridge_map")(lambda s, d: E.edge_filter(dense_image(s, d), SIGMA, "sato"))
 # -- segmentation ----------------------------------------------------------
 
 
+def squash(c):
+    return 1 / (1 + F.exp(-c))
+
+
 def predictions(s: SparkSession, d: str) -> DataFrame:
     """Foreground and border of blobs: the smoothed image and its gradient, set against their means."""
     made = L.derivatives(dense_image(s, d), 2.0, {"v": (0, 0, 0), "dz": (1, 0, 0), "dy": (0, 1, 0), "dx": (0, 0, 1)})
     slope = F.sqrt(F.col("dz") * F.col("dz") + F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx"))
     image = stage(made.select(*V.POS, "v", slope.alias("slope")), "predictions")
     mean = image.groupBy("tomo").agg(F.avg("v").alias("_v"), F.avg("slope").alias("_s"))
-    squash = lambda c: 1 / (1 + F.exp(-c))
     # a row a tomogram: without the hint the whole image is shuffled for it, each time it is read
     return image.join(F.broadcast(mean), "tomo").select(*V.POS, squash(8 * (F.col("v") / F.col("_v") - 1)).alias("foreground"), squash(6 * (F.col("slope") / F.col("_s") - 2)).alias("border"))
 
 
 def walls(s: SparkSession, d: str) -> DataFrame:
-    """Membrane probabilities: high where the smoothed image is low."""
-    return predictions(s, d).select(*V.POS, (1 - F.col("foreground")).alias("value"))
+    """Membrane probabilities: high where the smoothed image is low; the foreground of ``predictions``, whose gradient is not made."""
+    image = stage(L.derivatives(dense_image(s, d), 2.0, {"v": (0, 0, 0)}), "walls")
+    mean = image.groupBy("tomo").agg(F.avg("v").alias("_v"))
+    return image.join(F.broadcast(mean), "tomo").select(*V.POS, (1 - squash(8 * (F.col("v") / F.col("_v") - 1))).alias("value"))
 
 
 # Floods and contractions have no SQL here: tests/core holds them against brute force.

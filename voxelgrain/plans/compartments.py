@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelgrain.operators import components as C
 from voxelgrain.operators import volume as V
+from voxelgrain.operators.blocks import BLOCK
 from voxelgrain.operators.kernels import dense, label, voxels_of
 from voxelgrain.operators.watershed import watershed
 from voxelgrain.plans.segmentation import distances
@@ -24,16 +26,48 @@ SMALL = 1 << 40
 RING = [(0, a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
 
 
+def _tops(v: DataFrame) -> DataFrame:
+    """(tomo, z, y, x, value, _top): whether no voxel around it in its slice is higher.
+
+    A voxel goes to its own block of ``BLOCK`` voxels an edge and to those that it
+    touches, so that no neighbour is a row of a shuffle. A voxel without a value
+    counts for none around it and is a top itself.
+    """
+    dealt = v.select(*V.POS, F.col("value").cast("double").alias("value")).dropna(subset=V.POS).withColumn("_bz", F.floor(F.col("z") / BLOCK))
+    for c in "yx":
+        dealt = dealt.withColumn(f"_b{c}", F.explode(F.sequence(F.floor((F.col(c) - 1) / BLOCK), F.floor((F.col(c) + 1) / BLOCK))))
+    types = dict(v.dtypes)
+
+    def work(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        at = np.stack([t[c].to_numpy().astype(np.int64) for c in "zyx"])
+        mine = np.all([at[k] // BLOCK == t[f"_b{c}"][0].as_py() for k, c in enumerate("zyx")], axis=0)
+        low = at - at.min(1, keepdims=True) + 1
+        wide = low.max(1) + 2
+        p = (low[0] * wide[1] + low[1]) * wide[2] + low[2]
+        none = np.isnan(t["value"].fill_null(0.0).to_numpy())  # above all numbers, as in Spark
+        value = np.where(none, np.inf, t["value"].fill_null(-np.inf).to_numpy())
+        node, back = np.unique(p, return_inverse=True)
+        most = np.full(len(node), -np.inf)
+        np.maximum.at(most, back, value)
+        near = np.full(len(node), -np.inf)
+        for _, dy, dx in RING:
+            to = node + dy * wide[2] + dx
+            i = np.minimum(np.searchsorted(node, to), len(node) - 1)
+            near = np.maximum(near, np.where(node[i] == to, most[i], -np.inf))
+        top = (near[back] <= value) | t["value"].is_null().to_numpy(zero_copy_only=False)
+        return t.select([*V.POS, "value"]).append_column("_top", pa.array(top)).filter(pa.array(mine))
+
+    return dealt.groupBy("tomo", "_bz", "_by", "_bx").applyInArrow(work, f"{', '.join(f'{c} {types[c]}' for c in V.POS)}, value double, _top boolean")
+
+
 def plateau_maxima(v: DataFrame) -> DataFrame:
     """(tomo, z, y, x, label): in-slice maxima of ``value``, one label a plateau.
 
     A plateau is a set of equal values that touch, corners included; it is a
     maximum if no voxel next to it is higher. Labels number the plateaus.
     """
-    own = v.select(*V.POS, "value")
-    near = V.shifted(own.withColumnRenamed("value", "_near"), RING)
-    highest = near.join(own.select(*V.POS), V.POS, "left_semi").groupBy(*V.POS).agg(F.max("_near").alias("_near"))
-    marked = own.join(highest, V.POS, "left").withColumn("_top", F.coalesce(F.col("_near") <= F.col("value"), F.lit(True)))
+    marked = stage(_tops(v), "plateau-tops")
     # equal values share a number: the components of one are its plateaus
     flat = stage(C.components(marked.select(*V.POS, F.col("value").alias("label")), 3, per_label=True, planar=True).join(marked.select(*V.POS, "_top"), V.POS), "plateaus")
     good = flat.groupBy("tomo", "component").agg(F.min(F.col("_top").cast("int")).alias("_all")).where("_all = 1")
